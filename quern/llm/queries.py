@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat_format, exact_dedup, mixing, quality_rules, simhash, token_counts
+from quern.llm import bpe, chat_format, exact_dedup, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_counts
 from quern.llm.common import table
 
 
@@ -58,10 +58,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select(F.col("id").alias("doc_id"), *measures, failed.alias("base_failed"), (~failed & ~quality_rules.rejects(quality_rules.POLICIES[1])).alias("kept"), "failed")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), length=200, keep_first=False, with_text=False)
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op3_simhash_near_dedup, op4_bpe_round_trip, op6_token_counts, op7_quality_rules, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op3_simhash_near_dedup, op4_bpe_round_trip, op6_token_counts, op7_quality_rules, op8_lm_scoring, op9_suffix_dedup, op10_exact_dedup)
 }
