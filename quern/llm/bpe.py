@@ -16,6 +16,7 @@ from functools import lru_cache
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quern.llm.common import CACHE_ENTRIES, per_text, with_rid
 
@@ -217,3 +218,18 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
 
     return per_text(with_rid(docs, id_col, text_col), digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id column, n_tokens, ids (array of int) and decoded (text), one row per row of docs; what decodes is what encode gave."""
+    where = _path(path)
+
+    def both(text: str | None) -> tuple[int, list[int], str]:
+        bpe = load(where)
+        ids = bpe.encode(text) if text else b""
+        own = array("I")
+        own.frombytes(ids)
+        return len(own), own.tolist(), bpe.decode(ids)
+
+    rows = per_text(with_rid(docs, id_col, text_col), both, "n_tokens long, ids array<int>, decoded string")
+    return rows.select(F.col("id").alias(id_col), "n_tokens", "ids", "decoded")

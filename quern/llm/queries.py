@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat_format, exact_dedup, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_counts
+from quern.llm import bpe, chat_format, exact_dedup, lm_scoring, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_counts
 from quern.llm.common import table
 
 
@@ -47,6 +47,13 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    rows = quality_model.score(docs, model)
+    return rows.select(F.col("id").alias("doc_id"), quality_model.in_fold(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
@@ -73,5 +80,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op3_simhash_near_dedup, op4_bpe_round_trip, op6_token_counts, op7_quality_rules, op8_lm_scoring, op9_suffix_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op3_simhash_near_dedup, op4_bpe_round_trip, op5_quality_model, op6_token_counts, op7_quality_rules, op8_lm_scoring, op9_suffix_dedup, op10_exact_dedup)
 }
