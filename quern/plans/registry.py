@@ -1,10 +1,556 @@
-"""Queries by name and the SQL that each is held against."""
+"""Queries by name, over whole tables."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.config import ChunkConfig, CrawlConfig, RetrievalConfig, hybrid_stopwords
+from quern.functions import embedding, text, urls
+from quern.operators import answer, chunking, conversation, crawl, html, index, retrieval
+from quern.plans.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: Hosts that the fixture's pages are looked at from.
+HOSTS = ("example.com", "example.org", "www.example.com")
+HUB = ("hub.example.com",)
+LABEL = "Knowledge Base"
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have a vector, as chunks; access is a stand-in made from the toxicity labels."""
+    docs, vectors, labels = t(spark, sf_dir, "documents"), t(spark, sf_dir, "embeddings"), t(spark, sf_dir, "labels")
+    rows = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").join(labels.select("doc_id", "toxic"), "doc_id", "left")
+    access = F.when(F.col("toxic") == 1, "restricted").otherwise("authenticated")
+    return rows.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("title"), F.concat(F.lit("https://hub.example.com/"), F.col("doc_id").cast("string")).alias("url"), F.col("lang").alias("section"), access.alias("access"), F.col("doc_id").alias("pos"), "embedding")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first user turn of each conversation whose number is also a vector's."""
+    first = t(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    return first.join(t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector")), "conv_id").withColumnRenamed("conv_id", "query_id")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as blocks: the first is a heading, every tenth after it too."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    kind = F.when(F.col("pos") % 10 == 0, "heading").otherwise("paragraph")
+    return rows.select("doc_id", "pos", kind.alias("kind"), "text", F.lit("").alias("heading"), F.lit("").alias("section"))
+
+
+@query
+def hybrid_search(spark, sf_dir):
+    found = retrieval.hybrid_search(questions(spark, sf_dir), corpus(spark, sf_dir))
+    return found.select("query_id", "rank", "chunk_id", "title", "relevance")
+
+
+@query
+def vector_topk(spark, sf_dir):
+    return retrieval.vector_topk(questions(spark, sf_dir), corpus(spark, sf_dir), RetrievalConfig().candidates)
+
+
+@query
+def vector_topk_batch(spark, sf_dir):
+    vectors = t(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.vector_topk(asked, vectors.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), 5)
+
+
+@query
+def debug_search(spark, sf_dir):
+    own = corpus(spark, sf_dir)
+    vector = own.orderBy("pos").select("embedding").first()
+    return retrieval.debug_search(own, list(vector[0]) if vector else [0.0] * 64)
+
+
+@query
+def keyword_search(spark, sf_dir):
+    return retrieval.keyword_topk(questions(spark, sf_dir), corpus(spark, sf_dir), RetrievalConfig().candidates)
+
+
+def _two_lists(spark, sf_dir):
+    near = retrieval.vector_topk(questions(spark, sf_dir), corpus(spark, sf_dir), 12).select("query_id", F.lit(0).alias("list_no"), "chunk_id", "rank", text.relevance("distance").alias("relevance"))
+    words = retrieval.keyword_topk(questions(spark, sf_dir), corpus(spark, sf_dir), 12).select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank", "relevance")
+    return near.unionByName(words)
+
+
+@query
+def rrf_scores(spark, sf_dir):
+    return retrieval.rrf_scores(_two_lists(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@query
+def rrf_fuse(spark, sf_dir):
+    return retrieval.rrf_fuse(_two_lists(spark, sf_dir)).select("query_id", "position", "chunk_id", F.round("score", 9).alias("score"), F.round("relevance", 6).alias("relevance"))
+
+
+@query
+def authorized_filter(spark, sf_dir):
+    return corpus(spark, sf_dir).filter(text.authorized("access")).select("chunk_id", "access")
+
+
+@query
+def context_sufficient(spark, sf_dir):
+    asked = questions(spark, sf_dir)
+    return retrieval.context_sufficient(retrieval.hybrid_search(asked, corpus(spark, sf_dir)), asked)
+
+
+@query
+def context_blocks(spark, sf_dir):
+    found = retrieval.hybrid_search(questions(spark, sf_dir), corpus(spark, sf_dir))
+    kept = answer.context_budget(answer.context_blocks(found))
+    return kept.select("query_id", "rank", F.length("block").alias("block_chars"), "chars", F.sha2(F.regexp_replace("block", "relevance=[0-9.]+", ""), 256).alias("block_sha256"))
+
+
+@query
+def source_list(spark, sf_dir):
+    return answer.source_list(retrieval.hybrid_search(questions(spark, sf_dir), corpus(spark, sf_dir)))
+
+
+@query
+def build_prompt(spark, sf_dir):
+    asked = questions(spark, sf_dir)
+    rows = answer.prompts(asked, retrieval.hybrid_search(asked, corpus(spark, sf_dir)))
+    return rows.select("query_id", F.length("prompt").alias("chars"), F.sha2(F.regexp_replace("prompt", "relevance=[0-9.]+", ""), 256).alias("prompt_sha256"))
+
+
+@query
+def expand_query(spark, sf_dir):
+    return conversation.expanded(conversation.pair_turns(t(spark, sf_dir, "conversations"))).select("conv_id", "turn", "query")
+
+
+@query
+def conversation_tail(spark, sf_dir):
+    return conversation.tail(conversation.pair_turns(t(spark, sf_dir, "conversations"))).select("conv_id", "turn", "back", "question", "answer")
+
+
+@query
+def history_text(spark, sf_dir):
+    return conversation.history_text(conversation.pair_turns(t(spark, sf_dir, "conversations")))
+
+
+@query
+def content_hash(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", text.content_hash("text").alias("content_hash"))
+
+
+@query
+def text_normalize_hash(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.length(text.normalize_for_hash("text")).alias("chars"), F.md5(text.normalize_for_hash("text")).alias("normal_md5"))
+
+
+@query
+def content_changed(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents")
+    old = docs.select("doc_id", text.content_hash("text").alias("old_hash"))
+    new = docs.select("doc_id", text.content_hash(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.concat(F.lit("  "), "text"))).alias("new_hash"))
+    return old.join(new, "doc_id").select("doc_id", crawl.is_unchanged(F.col("old_hash"), F.col("new_hash")).alias("unchanged"))
+
+
+@query
+def query_terms(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.query_terms("text"), " ").alias("terms"))
+
+
+@query
+def query_terms_score(spark, sf_dir):
+    asked = t(spark, sf_dir, "benchmark").select("item_id", text.query_terms("text").alias("terms"))
+    return t(spark, sf_dir, "conversations").filter("role = 'user'").join(F.broadcast(asked), F.lit(True)).select("conv_id", "turn", "item_id", text.term_hits("text", "terms").alias("score"))
+
+
+@query
+def keywords_top8(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.keywords("text", hybrid_stopwords(LABEL)), " ").alias("keywords"))
+
+
+@query
+def token_count(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", text.count_tokens("text").alias("tokens"))
+
+
+@query
+def truncate_tokens(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(text.truncate_to_tokens("text", 100)).alias("cut_md5"))
+
+
+@query
+def overlap_suffix(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(text.overlap_suffix("text", 150)).alias("suffix_md5"))
+
+
+@query
+def slug_document_id(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", text.slugify("url").alias("slug"), text.document_id(F.col("url"), F.lit("")).alias("document_id"))
+
+
+@query
+def chunk_id(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", text.chunk_id(F.col("source"), F.col("lang"), F.col("doc_id"), F.col("text")).alias("chunk_id"))
+
+
+@query
+def whitespace_normalize(spark, sf_dir):
+    padded = F.concat(F.lit(" \t"), F.replace("text", F.lit("\n"), F.lit("  \n\n\n\n ")))
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_whitespace(padded)).alias("normal_md5"))
+
+
+@query
+def footer_flag(spark, sf_dir):
+    rows = lines(spark, sf_dir).withColumn("text", F.when(F.col("pos") % 5 == 0, F.concat(F.lit("© "), "text")).otherwise(F.col("text")))
+    return rows.groupBy("doc_id").agg(F.count_if(text.is_footer_boilerplate("text")).alias("n_footer"))
+
+
+@query
+def markdown_links(spark, sf_dir):
+    marked = F.concat(F.lit("[a b](https://hub.example.com/"), F.col("doc_id").cast("string"), F.lit(") "), F.col("text"), F.lit(" [z](http://x.example/)"))
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.markdown_links(marked)).alias("pos", "link"))
+    return rows.select("doc_id", "pos", F.col("link.text").alias("label"), F.col("link.url").alias("url"))
+
+
+@query
+def redact_secrets(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact("text")).alias("redacted_md5"), F.contains(text.redact("text"), F.lit("=***")).alias("had_secret"))
+
+
+@query
+def safe_error(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(text.safe_error(F.lit("ValueError"), F.col("text"))).alias("error_md5"))
+
+
+@query
+def url_normalize(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", urls.normalize_url("url").alias("url"))
+
+
+@query
+def url_classify(spark, sf_dir):
+    rows = t(spark, sf_dir, "pages")
+    return rows.select("page_id", urls.host("url").alias("host"), urls.is_internal("url", HOSTS).alias("internal"), urls.is_allowed("url", HOSTS).alias("allowed"), urls.is_probably_html("url").alias("page"), urls.is_document("url").alias("document"))
+
+
+@query
+def url_log_path(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", urls.log_path("url").alias("path"))
+
+
+@query
+def url_page_slug(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", urls.page_slug("url").alias("slug"))
+
+
+@query
+def login_signal(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", urls.looks_like_login("url", HOSTS).alias("login"))
+
+
+@query
+def signin_title(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", urls.looks_like_sign_in_title(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("sign_in"))
+
+
+@query
+def access_denied(spark, sf_dir):
+    status = F.when(F.col("page_id") % 50 == 0, 403).otherwise(200)
+    return t(spark, sf_dir, "pages").select("page_id", urls.looks_like_denied(status, F.col("url"), F.lit(""), F.col("html")).alias("denied"))
+
+
+def _extracted(spark, sf_dir):
+    return html.extract_pages(t(spark, sf_dir, "pages"), HOSTS)
+
+
+@query
+def html_title(spark, sf_dir):
+    return _extracted(spark, sf_dir).select(F.col("page_key").alias("page_id"), "title")
+
+
+@query
+def html_headings(spark, sf_dir):
+    rows = _extracted(spark, sf_dir).select(F.col("page_key").alias("page_id"), F.posexplode("headings").alias("pos", "h"))
+    return rows.select("page_id", "pos", F.col("h.level").alias("level"), F.col("h.text").alias("text"))
+
+
+@query
+def html_links(spark, sf_dir):
+    rows = _extracted(spark, sf_dir).select(F.col("page_key").alias("page_id"), F.posexplode("links").alias("pos", "l"))
+    return rows.select("page_id", "pos", F.col("l.url").alias("url"), F.col("l.text").alias("text"), F.col("l.internal").alias("internal"))
+
+
+@query
+def html_nav(spark, sf_dir):
+    rows = _extracted(spark, sf_dir).select(F.col("page_key").alias("page_id"), F.posexplode("navigation").alias("pos", "n"))
+    return rows.select("page_id", "pos", F.col("n.label").alias("label"), F.size("n.items").alias("n_items"))
+
+
+@query
+def html_visible_text(spark, sf_dir):
+    return _extracted(spark, sf_dir).select(F.col("page_key").alias("page_id"), "visible_text", "content_hash")
+
+
+@query
+def html_clean(spark, sf_dir):
+    return _extracted(spark, sf_dir).select(F.col("page_key").alias("page_id"), "cleaned_text", F.size("preserved_links").alias("n_links"))
+
+
+@query
+def html_blocks(spark, sf_dir):
+    rows = _extracted(spark, sf_dir).select(F.col("page_key").alias("page_id"), F.posexplode("blocks").alias("pos", "b"))
+    return rows.select("page_id", "pos", "b.kind", "b.text", "b.heading", "b.section", "b.level")
+
+
+@query
+def block_dedupe(spark, sf_dir):
+    return html.dedupe_blocks(lines(spark, sf_dir)).select("doc_id", "pos", "kind", F.md5("text").alias("text_md5"))
+
+
+@query
+def line_dedupe(spark, sf_dir):
+    return html.dedupe_lines(t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def chunk_fixed_windows(spark, sf_dir):
+    rows = chunking.windows_of(t(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "piece", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def section_groups(spark, sf_dir):
+    return chunking.section_groups(lines(spark, sf_dir)).select("doc_id", F.col("group_no").cast("long").alias("group_no"), F.md5("heading").alias("heading_md5"), F.md5("text").alias("text_md5"))
+
+
+def _documents_as_pages(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents")
+    none = F.lit(None).cast(html.BLOCKS)
+    return docs.select(F.concat(F.lit("https://hub.example.com/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.col("text").alias("cleaned_text"), none.alias("blocks"))
+
+
+@query
+def chunk_documents(spark, sf_dir):
+    own = chunking.chunk_documents(_documents_as_pages(spark, sf_dir))
+    pages = chunking.chunk_documents(_extracted(spark, sf_dir))
+    return own.unionByName(pages).select("chunk_id", "document_id", "url", "section", "heading", "token_count", "chunk_no", "content_hash", "text")
+
+
+@query
+def sections_rollup(spark, sf_dir):
+    docs = _extracted(spark, sf_dir)
+    return chunking.to_documents(docs, chunking.chunk_documents(docs)).select("document_id", "url", F.array_join("sections", "|").alias("sections"), "chunk_count")
+
+
+def _records(spark, sf_dir, edited: bool = False) -> DataFrame:
+    """Documents as chunk records, each source a URL; edited: another text and hash for every seventh."""
+    docs = t(spark, sf_dir, "documents")
+    body = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")) if edited else F.col("text")
+    url = F.concat(F.lit("https://hub.example.com/"), (F.col("doc_id") / 5).cast("long").cast("string"))
+    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), body.alias("text"), url.alias("url"), text.content_hash(body).alias("content_hash"), F.col("doc_id").alias("pos"))
+
+
+@query
+def normalize_records(spark, sf_dir):
+    own = _records(spark, sf_dir)
+    again = own.filter("pos % 3 = 0").select("chunk_id", F.lit("another").alias("text"), "url", "content_hash", (F.col("pos") + 1_000_000_000).alias("pos"))
+    blanks = own.filter("pos % 11 = 0").select(F.lit("  ").alias("chunk_id"), "text", "url", "content_hash", (F.col("pos") + 2_000_000_000).alias("pos"))
+    return index.normalize_records(own.unionByName(again).unionByName(blanks)).select("id", F.md5("text").alias("text_md5"), "pos")
+
+
+@query
+def index_full(spark, sf_dir):
+    return index.full(_records(spark, sf_dir))[0].select("id", "url", "content_hash")
+
+
+def _refresh(spark, sf_dir):
+    before = index.normalize_records(_records(spark, sf_dir)).filter("pos % 2 = 0")
+    return index.incremental(before, _records(spark, sf_dir, edited=True))
+
+
+@query
+def index_incremental(spark, sf_dir):
+    return _refresh(spark, sf_dir)[0].select("id", "url", "content_hash")
+
+
+@query
+def index_stale(spark, sf_dir):
+    before = index.normalize_records(_records(spark, sf_dir)).filter("pos % 2 = 0")
+    return index.stale(before, index.normalize_records(_records(spark, sf_dir, edited=True))).select("id", "url")
+
+
+@query
+def index_stats(spark, sf_dir):
+    return _refresh(spark, sf_dir)[1]
+
+
+@query
+def index_hashes_by_url(spark, sf_dir):
+    return index.hashes_by_url(index.normalize_records(_records(spark, sf_dir))).select("url", F.size("hashes").alias("n"), F.md5(F.array_join("hashes", "")).alias("hashes_md5"))
+
+
+@query
+def hash_embedding(spark, sf_dir):
+    rows = t(spark, sf_dir, "documents").select("doc_id", embedding.hash_embedding("text").alias("v"))
+    return rows.select("doc_id", F.posexplode("v").alias("slot", "x")).select("doc_id", "slot", F.round("x", 6).alias("value"))
+
+
+def _pages(spark, sf_dir) -> DataFrame:
+    """Pages, three of four of them moved to one site."""
+    moved = F.regexp_replace("url", r"\Ahttps?://[^/?#]*", "https://hub.example.com")
+    return t(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 4 != 0, moved).otherwise(F.col("url")).alias("url"), "html")
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    """Each page's URL and variants of it as links in page order, at depths 0 to 9."""
+    variants = F.array(F.col("url"), F.regexp_replace("url", r"\Ahttps:", "http:"), F.concat(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("/a.pdf")), F.concat(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("/b.PNG")), F.lit("mailto:x"), F.col("url"))
+    rows = _pages(spark, sf_dir).select("page_id", F.posexplode(variants).alias("k", "raw"))
+    return rows.select((F.col("page_id") * 10 + F.col("k")).alias("pos"), urls.normalize_url("raw").alias("url"), (F.col("page_id") % 10).cast("int").alias("depth"))
+
+
+@query
+def crawl_decisions(spark, sf_dir):
+    return crawl.decisions(_links(spark, sf_dir), HUB, CrawlConfig(max_pages=60)).select("pos", "url", "depth", "decision")
+
+
+@query
+def crawl_stats(spark, sf_dir):
+    return crawl.stats(crawl.decisions(_links(spark, sf_dir), HUB, CrawlConfig(max_pages=60)))
+
+
+def _state(spark, sf_dir) -> DataFrame:
+    """What was known of two thirds of the pages, half of it out of date; a URL's last page counts."""
+    rows = _pages(spark, sf_dir).filter("page_id % 3 <> 0").groupBy("url").agg(F.max("page_id").alias("pos"), F.max_by("html", "page_id").alias("html"))
+    old = F.when(F.col("pos") % 2 == 0, text.content_hash("html")).otherwise(F.lit("0"))
+    status = F.when(F.col("pos") % 5 == 0, "FAILED").when(F.col("pos") % 5 == 1, "PENDING").otherwise("PROCESSED")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return rows.select("pos", "url", title.alias("title"), old.alias("content_hash"), F.lit("").alias("last_scraped"), F.lit("").alias("last_updated"), status.alias("status"), F.lit("").alias("error"), F.array(F.concat("url", F.lit("/a.pdf"))).alias("document_links"))
+
+
+@query
+def crawl_outcomes(spark, sf_dir):
+    status = F.when(F.col("page_id") % 17 == 0, 404).when(F.col("page_id") % 19 == 0, 403).otherwise(200)
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    fetched = _pages(spark, sf_dir).select("page_id", "url", F.col("url").alias("final_url"), status.alias("status_code"), title.alias("title"), "html", text.content_hash("html").alias("content_hash"))
+    return crawl.outcomes(fetched, _state(spark, sf_dir), HUB).select("page_id", "url", "outcome", "status")
+
+
+@query
+def bfs_frontier(spark, sf_dir):
+    """A fixed graph with a cycle, a self-loop, an external link, a document, a deep chain and more pages than the budget."""
+    rows = spark.range(400).selectExpr("id AS src_no", "explode(array(id * 2 + 1, id * 2 + 2, id, (id * 7) % 50)) AS dst_no")
+    name = lambda c: F.concat(F.lit("https://hub.example.com/p"), F.col(c).cast("string"))
+    dst = F.when(F.col("dst_no") % 41 == 40, F.lit("https://other.example/")).when(F.col("dst_no") % 37 == 36, F.concat(name("dst_no"), F.lit(".pdf"))).otherwise(name("dst_no"))
+    edges = rows.select(name("src_no").alias("src"), F.col("dst_no").alias("pos"), dst.alias("dst"))
+    seed = spark.range(1).select(F.col("id").alias("pos"), F.lit("https://hub.example.com/p0").alias("url"))
+    return crawl.bfs(seed, edges, ["hub.example.com"], CrawlConfig())
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question")).withColumnRenamed("conv_id", "query_id")
+
+
+@query
+def catalog_rank(spark, sf_dir):
+    return crawl.rank_catalog(_state(spark, sf_dir), _asked(spark, sf_dir), HUB)
+
+
+@query
+def url_rank(spark, sf_dir):
+    asked = _asked(spark, sf_dir).withColumn("question", F.concat("question", F.lit(" example com")))
+    return crawl.rank_urls(_pages(spark, sf_dir).select("url"), asked, HUB)
+
+
+@query
+def catalog_fallback(spark, sf_dir):
+    return crawl.search_catalog(_state(spark, sf_dir), _asked(spark, sf_dir), HUB, start_url="https://hub.example.com/")
+
+
+@query
+def state_upsert(spark, sf_dir):
+    own = t(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("error"))
+    changes = own.select("url", "error", F.lit("FAILED").alias("status"), F.lit(None).cast("string").alias("title"))
+    start = spark.range(10).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("kept").alias("title"), F.lit("h").alias("content_hash"), F.lit("").alias("last_scraped"), F.lit("").alias("last_updated"), F.lit("PROCESSED").alias("status"), F.lit("").alias("error"), F.array(F.lit("d")).alias("document_links"))
+    return crawl.upsert_state(start, changes, "2000-01-01T00:00:00Z").select("url", "title", "content_hash", "status", "error", "last_updated", F.array_join("document_links", ",").alias("document_links"))
+
+
+@query
+def retry_urls(spark, sf_dir):
+    return crawl.retry_urls(_state(spark, sf_dir))
+
+
+@query
+def status_counts(spark, sf_dir):
+    return crawl.status_counts(_state(spark, sf_dir))
+
+
+def _folder(spark, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
+    return f"{base.rstrip('/')}/{name}-{tempfile.mktemp(prefix='', dir='').strip('/')}"
+
+
+def _stream(spark, sf_dir: str, name: str) -> DataFrame:
+    # As a pattern, so that a table may be one file or a folder.
+    return spark.readStream.schema(t(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.[p]arquet")
+
+
+@query
+def index_stream(spark, sf_dir):
+    from quern.streaming import refresh
+
+    own = index.Index(spark, _folder(spark, "index"), "id string, text string, url string, content_hash string, pos long")
+    source = _stream(spark, sf_dir, "documents")
+    url = F.concat(F.lit("https://hub.example.com/"), (F.col("doc_id") / 5).cast("long").cast("string"))
+    chunks = source.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", url.alias("url"), text.content_hash("text").alias("content_hash"), F.col("doc_id").alias("pos"))
+    refresh.index_stream(chunks, own, _folder(spark, "stream")).awaitTermination()
+    return own.read().select("id", "url", "content_hash")
+
+
+@query
+def conversation_stream(spark, sf_dir):
+    from quern.streaming import refresh
+
+    out, at = _folder(spark, "turns"), _folder(spark, "stream")
+    source = _stream(spark, sf_dir, "conversations")
+    turns = source.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), F.lit("").alias("answer"))
+    refresh.conversation_stream(turns).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("conv_id long, turn long, question string, answer string, kept int").parquet(out).select("conv_id", "turn", "question", "kept")
+
+
+@query
+def state_stream(spark, sf_dir):
+    from quern.streaming import refresh
+
+    out, at = _folder(spark, "state"), _folder(spark, "stream")
+    source = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.struct("ts", "event_id").alias("at"), "event_type")
+    refresh.state_stream(source, out, at, order="at").awaitTermination()
+    live = spark.read.parquet(out)
+    return live.join(live.agg(F.max("snapshot").alias("snapshot")), "snapshot").select("url", F.col("at.event_id").alias("event_id"), "event_type")
+
+
+@query
+def knowledge_loop(spark, sf_dir):
+    """The loop over the page table: (step, urls ingested so far) until a page is relevant enough."""
+    from quern.operators import loop
+
+    ranked = crawl.rank_catalog(_state(spark, sf_dir), spark.createDataFrame([(0, "the page and hub example")], "query_id long, question string"), HUB, 50)
+    order = [r["url"] for r in ranked.orderBy("rank").collect()]  # 50 at most
+    seen: set[str] = set()
+    steps: list[int] = []
+
+    def discover(_: str, limit: int) -> list[str]:
+        return [u for u in order if u not in seen][:limit]
+
+    def ingest(new: list[str]) -> int:
+        steps.append(len(new))
+        return len(new)
+
+    loop.fill_gaps("q", [], lambda q: [{"relevance": 0.1 * len(steps)}], discover, ingest, seen)
+    return spark.createDataFrame([(i, n) for i, n in enumerate(steps)], "step int, n_urls int")
