@@ -276,7 +276,8 @@ def repeated_passages(docs: DataFrame, length: int = 200, keep_first: bool = Tru
     sizes = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = seen.join(sizes, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "place", "n")).alias("places"))
     dealt = rows.repartition("rid")
-    contexts = dealt.join(again, "rid").select("rid", "text", "places").mapInArrow(_contexts(length), _CONTEXT)
+    # id is carried so that both joins read one exchange of the texts.
+    contexts = dealt.join(again, "rid").select("rid", "id", "text", "places").mapInArrow(_contexts(length), _CONTEXT)
     spans = contexts.repartition("h", "near").sortWithinPartitions("h", "near").mapInArrow(_ranges(length, keep_first), "rid long, spans binary")
     spans = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
     out = dealt.join(spans, "rid", "left").select("rid", "id", "text", "spans")
