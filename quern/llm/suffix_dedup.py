@@ -26,6 +26,8 @@ SPAN = 1 << 20
 #: Occurrences beyond which an anchor's windows are dealt by their distance to it.
 CROWD = 1000
 DISTANCES = 16
+#: Texts whose contexts a task holds at a time.
+TEXTS = 1000
 #: Windows that are put in order at a time, unless one anchor has more.
 ORDERED = 100_000
 
@@ -95,7 +97,7 @@ def _occurrences(length: int):
     """place: first window << 16 | windows << 8 | distance; both numbers are below 256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             hs, rids, places, size = [], [], [], 0
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist()):
                 if not text or len(data := text.encode()) < length:
@@ -123,17 +125,21 @@ _CONTEXT = "h long, near int, context binary, owners binary"
 
 
 def _contexts(length: int):
-    """Bytes that a run's windows cover, once for each batch with all places where they stand."""
+    """Bytes that a run's windows cover, once for some hundred texts with all places where they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
+            lists = batch.column("places")
+            edges = lists.offsets.to_pylist()
+            values = lists.values
+            hs, places, ns = (values.field(c).to_numpy() for c in ("h", "place", "n"))
             found: dict[tuple[int, int, bytes], list[int]] = {}
-            for rid, text, places in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "places"))):
+            for k, (rid, text) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist())):
                 data = text.encode()
-                for p in places:
-                    h, place, crowded = p["h"], p["place"], p["n"] > CROWD
+                own = slice(edges[k], edges[k + 1])
+                for h, place, times in zip(hs[own].tolist(), places[own].tolist(), ns[own].tolist()):
                     first, n, distance = place >> 16, place >> 8 & 255, place & 255
-                    if not crowded:
+                    if times <= CROWD:
                         found.setdefault((h, 0, data[first : first + n + length - 1]), []).extend((rid, first))
                         continue
                     # Equal windows stand at equal distances before their anchor.
@@ -150,17 +156,25 @@ def _contexts(length: int):
     return run
 
 
-def repeated_windows(contexts: list[bytes], owners: list[np.ndarray], length: int, keep_first: bool) -> list[tuple[int, int, int]]:
-    """(rid, first, end) of runs of repeated windows; owners[k]: rows (rid, first) of places of contexts[k], contexts differ.
+def _runs(flags: np.ndarray, of: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, end) of runs of set flags inside contexts."""
+    joined = flags[1:] & flags[:-1] & (of[1:] == of[:-1])
+    first = np.flatnonzero(flags & ~np.concatenate(([False], joined)))
+    last = np.flatnonzero(flags & ~np.concatenate((joined, [False])))
+    return of[first], inner[first], inner[last] + 1
+
+
+def repeated_windows(contexts: list[bytes], owners: list[np.ndarray], length: int, keep_first: bool) -> np.ndarray:
+    """Rows (rid, first, end) of runs of repeated windows; owners[k]: rows (rid, first) of places of contexts[k], contexts differ.
 
     All windows are sorted by their bytes, then by corpus position; a window with its like before it in that order has
     a longest previous factor of `length`.
     """
-    starts = [len(c) - length + 1 for c in contexts]
+    starts = np.array([len(c) - length + 1 for c in contexts])
     flat = np.frombuffer(b"".join(contexts), np.uint8)
     offsets = np.cumsum([0, *map(len, contexts)])[:-1]
     of = np.repeat(np.arange(len(contexts)), starts)
-    inner = np.arange(len(of)) - np.repeat(np.cumsum([0, *starts])[:-1], starts)
+    inner = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
     windows = np.lib.stride_tricks.sliding_window_view(flat, length)[offsets[of] + inner]
     keys = np.ascontiguousarray(windows).view(f"S{length}").ravel()
     del windows
@@ -169,27 +183,26 @@ def repeated_windows(contexts: list[bytes], owners: list[np.ndarray], length: in
     rank = np.empty(len(of), np.int64)
     rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
     del keys, ranked
-    out: list[tuple[int, int, int]] = []
     sizes = np.array([len(o) for o in owners])
-    times = np.bincount(rank, weights=sizes[of]).astype(np.int64)
-    if keep_first:
-        firsts = np.array([o[np.lexsort((o[:, 1], o[:, 0]))[0]] for o in owners])
-        at = np.lexsort((firsts[of, 1] + inner, firsts[of, 0], rank))
-        lead = at[np.concatenate(([True], rank[at][1:] != rank[at][:-1]))]
-        earliest = {(int(firsts[of[k], 0]), int(firsts[of[k], 1] + inner[k])) for k in lead}
-    hit = times[rank] > 1
-    bounds = np.cumsum([0, *starts])
-    for k, own in enumerate(owners):
-        flags = hit[bounds[k] : bounds[k + 1]]
-        if not flags.any():
-            continue
-        for rid, first in own.tolist():
-            mine = flags
-            if keep_first:
-                mine = flags & np.array([(rid, first + i) not in earliest for i in range(len(flags))])
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
-            out += [(rid, first + a, first + b) for a, b in edges.reshape(-1, 2).tolist()]
-    return out
+    every = np.concatenate(owners)
+    owner_of = np.repeat(np.arange(len(owners)), sizes)
+    every = every[np.lexsort((every[:, 1], every[:, 0], owner_of))]
+    lead = np.cumsum(sizes) - sizes  # where each context's earliest place stands
+    hit = np.bincount(rank, weights=sizes[of])[rank] > 1
+
+    def places(flags: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        k, a, b = _runs(flags, of, inner)
+        which = np.repeat(np.arange(len(k)), n[k])
+        own = every[at[k][which] + np.arange(len(which)) - np.repeat(np.cumsum(n[k]) - n[k], n[k])]
+        return np.stack((own[:, 0], own[:, 1] + a[which], own[:, 1] + b[which]), axis=1)
+
+    if not keep_first:
+        return places(hit, lead, sizes)
+    # The earliest of all equal windows is in the earliest place of its context; all other places are later copies.
+    by = np.lexsort((every[lead[of], 1] + inner, every[lead[of], 0], rank))
+    earliest = np.zeros(len(of), bool)
+    earliest[by[np.concatenate(([True], rank[by][1:] != rank[by][:-1]))]] = True
+    return np.concatenate((places(hit & ~earliest, lead, np.ones_like(sizes)), places(hit, lead + 1, sizes - 1)))
 
 
 def _ranges(length: int, keep_first: bool):
@@ -201,13 +214,14 @@ def _ranges(length: int, keep_first: bool):
         windows = 0
 
         def solve() -> Iterator[pa.RecordBatch]:
-            spans: dict[int, list[int]] = {}
             own = [np.frombuffer(b"".join(o), "<i8").reshape(-1, 2) for _, o in waiting]
-            for rid, a, b in repeated_windows([c for c, _ in waiting], own, length, keep_first):
-                spans.setdefault(rid, []).extend((a, b))
-            if spans:
-                packed = [np.array(v, "<i8").tobytes() for v in spans.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(spans), pa.int64()), pa.array(packed, pa.binary())], names=["rid", "spans"])
+            found = repeated_windows([c for c, _ in waiting], own, length, keep_first)
+            if len(found):
+                found = found[np.argsort(found[:, 0], kind="stable")]
+                new = np.flatnonzero(np.concatenate(([True], found[1:, 0] != found[:-1, 0])))
+                edges = (16 * np.concatenate((new, [len(found)]))).astype(np.int32)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(np.ascontiguousarray(found[:, 1:]).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(found[new, 0]), packed], names=["rid", "spans"])
 
         def close() -> None:
             nonlocal windows
@@ -231,6 +245,12 @@ def _ranges(length: int, keep_first: bool):
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS):
+            yield whole.slice(at, TEXTS)
+
+
 def merged(spans: list[bytes], length: int) -> list[tuple[int, int]]:
     """Maximal byte runs that windows cover, from packed ranges of their starts."""
     flat = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
@@ -244,7 +264,7 @@ def merged(spans: list[bytes], length: int) -> list[tuple[int, int]]:
 
 def _removed(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for rid, i, text, spans in zip(*(batch.column(c).to_pylist() for c in ("rid", "id", "text", "spans"))):
                 data = (text or "").encode()
