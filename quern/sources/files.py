@@ -54,10 +54,11 @@ def page_folder(spark: SparkSession, root: str, run: str | None = None) -> str |
 
 def read_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(pages, failures): files that aren't JSON objects are listed and don't stop the rest."""
-    raw = spark.read.schema(f"{PAGE}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(folder)
-    raw = raw.withColumn("file", F.col("_metadata.file_name"))
-    bad = F.col("_corrupt_record").isNotNull()
-    return raw.filter(~bad).drop("_corrupt_record"), raw.filter(bad).select("file", F.lit("not a JSON page").alias("error"))
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    page = F.from_json("value", f"{PAGE}, _corrupt_record string")
+    rows = raw.select(F.col("_metadata.file_name").alias("file"), page.alias("page"))
+    bad = F.col("page").isNull() | F.col("page._corrupt_record").isNotNull()
+    return rows.filter(~bad).select("page.*", "file").drop("_corrupt_record"), rows.filter(bad).select("file", F.lit("not a JSON page").alias("error"))
 
 
 def process_run(spark: SparkSession, root: str, run: str | None = None) -> str:
