@@ -54,11 +54,11 @@ def page_folder(spark: SparkSession, root: str, run: str | None = None) -> str |
 
 def read_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(pages, failures): files that aren't JSON objects are listed and don't stop the rest."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
-    page = F.from_json("value", f"{PAGE}, _corrupt_record string")
-    rows = raw.select(F.col("_metadata.file_name").alias("file"), page.alias("page"))
-    bad = F.col("page").isNull() | F.col("page._corrupt_record").isNotNull()
-    return rows.filter(~bad).select("page.*", "file").drop("_corrupt_record"), rows.filter(bad).select("file", F.lit("not a JSON page").alias("error"))
+    raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    good = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"\A\s*\{")
+    rows = raw.select(F.col("_metadata.file_name").alias("file"), "value", good.alias("good"))
+    parsed = rows.filter("good").select("file", F.from_json("value", PAGE).alias("page"))
+    return parsed.select("page.*", "file"), rows.filter("NOT good").select("file", F.lit("not a JSON page").alias("error"))
 
 
 def process_run(spark: SparkSession, root: str, run: str | None = None) -> str:
@@ -99,7 +99,7 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return spark.createDataFrame([], STATE)
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     wrapped = F.from_json("value", f"struct<urls:map<string,struct<{RECORD}>>>")["urls"]
     bare = F.from_json("value", f"map<string,struct<{RECORD}>>")
     rows = text.select(F.explode(F.coalesce(wrapped, bare)).alias("key", "r")).filter("r IS NOT NULL")
