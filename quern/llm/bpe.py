@@ -11,14 +11,17 @@ import hashlib
 import json
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import CACHE_ENTRIES, per_text, with_rid
+from quern.llm.common import CACHE_ENTRIES, SLICE_ROWS, per_text, with_rid
 
 DEFAULT = "word_bpe_49k.json"
 NEVER = 1 << 62
@@ -224,12 +227,16 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     """id column, n_tokens, ids (array of int) and decoded (text), one row per row of docs; what decodes is what encode gave."""
     where = _path(path)
 
-    def both(text: str | None) -> tuple[int, list[int], str]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(where)
-        ids = bpe.encode(text) if text else b""
-        own = array("I")
-        own.frombytes(ids)
-        return len(own), own.tolist(), bpe.decode(ids)
-
-    rows = per_text(with_rid(docs, id_col, text_col), both, "n_tokens long, ids array<int>, decoded string")
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                ids = [bpe.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                edges = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), "<u4").view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), values, pa.array(map(bpe.decode, ids), pa.string())], names=["id", "n_tokens", "ids", "decoded"])
+
+    rows = with_rid(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids array<int>, decoded string")
     return rows.select(F.col("id").alias(id_col), "n_tokens", "ids", "decoded")

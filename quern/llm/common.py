@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows that a frame may have at most to be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows that a task holds as Python objects at a time.
+SLICE_ROWS = 256
+
 #: Entries of a per-worker cache, after which it starts anew.
 CACHE_ENTRIES = 400_000
 
@@ -56,12 +59,13 @@ def per_text(df: DataFrame, fn: Callable[[str | None], tuple], columns: str, dro
     heads = [f.name for f in fresh.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [fn(x) for x in batch.column("text").to_pylist()]
-            cols = zip(*rows) if rows else [[] for _ in types]
-            arrays = [batch.column(n) for n in names]
-            arrays += [pa.array(list(c), t) for c, t in zip(cols, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names + heads)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                rows = [fn(x) for x in batch.column("text").to_pylist()]
+                arrays = [batch.column(n) for n in names]
+                arrays += [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names + heads)
 
     return df.mapInArrow(run, schema)
 
@@ -71,8 +75,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows that gone (rid of with_rid over the same docs) names; columns stay as they are."""
+    rid = fresh(docs, "__rid")
+    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    return rows.join(small(gone.select(F.col("rid").alias(rid))), rid, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def crc_mod(c: Column, n: int) -> Column:
