@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, per_text, small, with_rid
+from quern.llm.common import cut, per_text, small, with_rid, without
 
 PART_BYTES = 1 << 16
 #: Two primes below 2**31 and a base for each: a sum of PART_BYTES products of a byte and a power fits 64 bits.
@@ -131,5 +131,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they were."""
-    gone = small(exact_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("rid").alias("__rid")))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(gone, "__rid", "left_anti").drop("__rid")
+    return without(docs, exact_duplicates(docs, id_col, text_col).filter("not kept"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, small
+from quern.llm.common import cut, fresh, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -107,6 +107,7 @@ def mix(
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: rows it takes twice stand there twice, and all columns are as they were."""
-    plan = mix(docs, **how).filter("times > 0").select(F.col("rid").alias("__rid"), F.col("times").cast("int").alias("__times"))
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id()).join(small(plan), "__rid")
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__rid", "__times", "__n")
+    rid, times = fresh(docs, "__rid"), fresh(docs, "__times")
+    plan = mix(docs, **how).filter("times > 0").select(F.col("rid").alias(rid), F.sequence(F.lit(1), F.col("times").cast("int")).alias(times))
+    rows = docs.withColumn(rid, F.monotonically_increasing_id()).join(small(plan), rid)
+    return rows.withColumn(times, F.explode(times)).select(*(f"`{c}`" for c in docs.columns))
