@@ -8,6 +8,7 @@ chains prune them before the full check.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, per_text, small, with_rid
+from quern.llm.common import cut, per_text, small, with_rid, without
 
 #: Shingles that are hashed and counted at a time.
 BLOCK = 1 << 14
@@ -121,9 +122,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small_ = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(small_, "u")
-        own = small_.select("u", F.col("m").alias("v"))
+        least_ = large.groupBy("u").agg(F.min("v").alias("m"))
+        tied = large.join(least_, "u")
+        own = least_.select("u", F.col("m").alias("v"))
         rest = tied.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(own.unionByName(rest).filter("u <> v").distinct())
         figures = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -152,9 +153,163 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def without_near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, the first by (id, file order); all columns as they were."""
-    rows = near_duplicates(docs, width, max_bits, id_col, text_col)
+# Long fingerprints, for a similarity rather than a few bits.
+
+#: Words of 64 bits in a long fingerprint, and its bytes, which stand in a ring.
+WORDS = 4
+RING = 8 * WORDS
+#: Rows of a bucket beyond which it is dealt to several tasks.
+BUCKET_ROWS = 20_000
+#: Rows whose buckets are compared at a time.
+COMPARED = 50_000
+
+
+def max_distance(similarity: float, bits: int = 64 * WORDS) -> int:
+    """Bits in which shingle sets of that Jaccard similarity differ on average, and a standard deviation more.
+
+    Sets of one size with similarity s have cosine 2 s / (1 + s); a bit differs with probability angle / pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def long_fingerprint(text: str | None, width: int) -> bytes:
+    """WORDS * 64 bits: word k from the hashes of all shingles after k rounds of mixing."""
+    sums, total = np.zeros((WORDS, 64), np.int64), 0
+    for block in shingle_hashes(text, width):
+        for k in range(WORDS):
+            h = block + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            if k:
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h ^= h >> np.uint64(31)
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums[k] += bits.sum(axis=0, dtype=np.uint32)
+        total += len(block)
+    return np.packbits(2 * sums > total, bitorder="little").tobytes()
+
+
+def _near(x: np.ndarray, y: np.ndarray, first: np.ndarray, most: int) -> np.ndarray:
+    """Rows in which x and y (RING bytes each) pass the chains from byte `first` on and differ in `most` bits at most.
+
+    The first two bytes agree already. A chain of l bytes may differ in l * most / RING bits, rounded up.
+    """
+    ok = np.zeros(len(x), bool)
+    bits = np.bitwise_count(x ^ y)
+    near = np.flatnonzero(bits.sum(axis=1, dtype=np.int32) <= 2 * most)  # a coarse look spares most of the turning
+    turn = (first[near][:, None] + np.arange(RING)) % RING
+    chain = np.cumsum(np.take_along_axis(bits[near], turn, axis=1), axis=1, dtype=np.int32)
+    budget = -(-np.arange(1, RING + 1) * most // RING) + 4
+    budget[-1] = most
+    ok[near] = (chain <= budget).all(axis=1)
+    return ok
+
+
+def _tree(x: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of all links between rows of x, found breadth first against what is not reached yet."""
+    out: list[tuple[int, int]] = []
+    left = np.arange(len(x))
+    while len(left):
+        wave, left = left[:1], left[1:]
+        while len(wave) and len(left):
+            reached = []
+            for i in wave:
+                far = np.bitwise_count(x[left] ^ x[i]).sum(axis=1, dtype=np.int32)
+                hit = far <= most
+                if hit.any():
+                    out += [(int(i), int(j)) for j in left[hit]]
+                    reached.append(left[hit])
+                    left = left[~hit]
+                    if not len(left):
+                        break
+            wave = np.concatenate(reached) if reached else left[:0]
+    return out
+
+
+def _edges(most: int, crowd: int):
+    """Rows sorted by bucket to links (a, b) of fingerprint numbers, each once in a block."""
+
+    def solve(keys: np.ndarray, firsts: np.ndarray, ids: np.ndarray, x: np.ndarray) -> set[tuple[int, int]]:
+        found: set[tuple[int, int]] = set()
+        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        sizes = np.diff(edges)
+        for b in np.flatnonzero(sizes > crowd):
+            part = slice(edges[b], edges[b + 1])
+            found.update((int(ids[part][i]), int(ids[part][j])) for i, j in _tree(x[part], most))
+        small = np.repeat(sizes, sizes)
+        for lag in range(1, min(crowd, int(sizes.max(initial=0)))):
+            at = np.flatnonzero((keys[lag:] == keys[:-lag]) & (small[lag:] <= crowd))
+            if not len(at):
+                break
+            hit = at[_near(x[at], x[at + lag], firsts[at], most)]
+            found.update(zip(ids[hit].tolist(), ids[hit + lag].tolist()))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
+            keys, firsts, ids, x = (np.concatenate([h[k] for h in held]) for k in range(4))
+            # A bucket that may go on is kept for the next block.
+            end = len(keys) if last else int(np.searchsorted(np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1]))), np.count_nonzero(keys[1:] != keys[:-1])))
+            pairs = solve(keys[:end], firsts[:end], ids[:end], x[:end]) if end else set()
+            held, rows = ([(keys[end:], firsts[end:], ids[end:], x[end:])], len(keys) - end) if end < len(keys) else ([], 0)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("fp")
+            x = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, RING)
+            key = batch.column("bucket").to_numpy() * 4096 + batch.column("salt").to_numpy()
+            held.append((key, batch.column("first").to_numpy().astype(np.int64), batch.column("node").to_numpy(), x))
+            rows += batch.num_rows
+            if rows >= COMPARED:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    return run
+
+
+def similar_links(prints: DataFrame, most: int, crowd: int = 64) -> DataFrame:
+    """(a, b) links between nodes of prints (node long, fp binary), distinct fingerprints.
+
+    Every pair of neighbouring bytes of the ring, from each of its places, names a bucket. Buckets of up to `crowd`
+    give their pairs that pass chains and the full check, fuller ones a spanning forest of their links, so that what comes
+    out grows with the rows. Very full ones are dealt to several tasks by a hash that differs between buckets.
+    """
+    size = prints.count()
+    wide = 3 if size > 2_000_000 else 2  # bytes of a bucket's name: a bucket has few rows by chance
+    ring = F.concat("fp", F.substring("fp", 1, wide - 1))
+    value = lambda i: F.conv(F.hex(F.substring(ring, i + 1, wide)), 16, 10).cast("long")
+    spread = F.explode(F.array(*(F.struct(F.lit(i).alias("first"), (value(i) * RING + i).alias("bucket")) for i in range(RING))))
+    rows = prints.select("node", "fp", spread.alias("s")).select("node", "fp", "s.first", "s.bucket")
+    full = rows.groupBy("bucket").count().filter(F.col("count") > BUCKET_ROWS)
+    full = small(full.select("bucket", F.least(F.lit(4096), F.ceil(F.col("count") / BUCKET_ROWS)).alias("salts")))
+    rows = rows.join(full, "bucket", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node", "bucket"), F.col("salts")), F.lit(0)))
+    rows = rows.select("bucket", "salt", "first", "node", "fp").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+    return rows.mapInArrow(_edges(most, crowd), "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rid, id, root: one row per row of docs; root names its group of documents reachable by links.
+
+    Documents link where long fingerprints say that their shingle sets have that Jaccard similarity or more, as
+    max_distance has it, and agree in two neighbouring bytes. Null, empty and wordless texts are equal to each other.
+    Repeated rows each get a row; an empty table gives none; other columns are not read.
+    """
+    marks = cut(per_text(with_rid(docs, id_col, text_col), lambda t: (long_fingerprint(t, width),), "fp binary"))
+    prints = cut(marks.select("fp").distinct().select(F.xxhash64("fp").alias("node"), "fp"))
+    roots = components(similar_links(prints, max_distance(similarity)))
+    return marks.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").select("rid", "id", F.coalesce("root", "node").alias("root"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of similar_documents, the first by (id, file order); columns as they were."""
+    rows = similar_documents(docs, width, similarity, id_col, text_col)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("f"), F.count(F.lit(1)).alias("n"))
-    gone = rows.join(first.filter("n > 1"), "root").filter(F.col("rid") != F.col("f.rid")).select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(small(gone), "__rid", "left_anti").drop("__rid")
+    return without(docs, rows.join(first.filter("n > 1"), "root").filter(F.col("rid") != F.col("f.rid")))

@@ -219,10 +219,52 @@ def _invert(m):
 
 
 def test_one_of_each_near_group_stays(docs, spark):
-    info = simhash.near_duplicates(docs).collect()
+    info = simhash.similar_documents(docs).collect()
     out = simhash.without_near_duplicates(docs)
     assert out.columns == docs.columns and out.count() == len({r["root"] for r in info})
-    assert simhash.near_duplicates(empty(spark)).count() == 0
+    assert simhash.near_duplicates(empty(spark)).count() == simhash.similar_documents(empty(spark)).count() == 0
+
+
+def test_long_fingerprints_keep_the_majority_of_each_word():
+    text = "a b c d e f g h A b c d e"
+    hashes = np.concatenate(list(simhash.shingle_hashes(text, 5)))
+    first = np.frombuffer(simhash.long_fingerprint(text, 5), "<u8")
+    assert len(first) == simhash.WORDS and int(first[0]) == brute_fingerprint(text, 5) and len(set(first.tolist())) == simhash.WORDS
+    assert len(hashes) == 9 and simhash.long_fingerprint(None, 5) == simhash.long_fingerprint(" ", 5) == bytes(simhash.RING)
+
+
+@pytest.mark.parametrize("crowd,rows", [(64, 20_000), (3, 20_000), (3, 4)])
+def test_similar_links_find_planted_groups(spark, crowd, rows, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", rows)
+    rnd = random.Random(crowd)
+    prints, group = [], {}
+    for g in range(40):
+        centre = rnd.getrandbits(256)
+        for k in range(rnd.choice([1, 2, 30])):
+            x = centre ^ sum(1 << b for b in rnd.sample(range(256), 10 if k else 0))
+            group[len(prints)] = g
+            prints.append((len(prints), bytearray(x.to_bytes(32, "little"))))
+    links = simhash.similar_links(spark.createDataFrame(prints, "node long, fp binary"), 44, crowd)
+    found = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    assert _partition({n: found.get(n, n) for n in group}) == _partition(group)
+
+
+def _partition(m):
+    return sorted(sorted(g) for g in _invert(m).values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spanning_forest_has_all_components(seed):
+    rnd = random.Random(seed)
+    prints = [rnd.getrandbits(256) for _ in range(5)]
+    prints += [rnd.choice(prints) ^ sum(1 << b for b in rnd.sample(range(256), rnd.randrange(8, 40))) for _ in range(60)]
+    x = np.array([list(p.to_bytes(32, "little")) for p in prints], np.uint8)
+    root = list(range(len(prints)))
+    for i, j in simhash._tree(x, 30):
+        a, b = root[i], root[j]
+        root = [a if r == b else r for r in root]
+    expected = components(prints, 30)
+    assert _partition(dict(enumerate(root))) == _partition({i: expected[p] for i, p in enumerate(prints)})
 
 
 # 4 and 6. Tokenizers
