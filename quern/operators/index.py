@@ -120,8 +120,8 @@ class Index:
     def write(self, records: DataFrame) -> None:
         live = self.manifest()["live"]
         new = 0 if live is None else live + 1
-        names = self.spark.createDataFrame([], self.schema).columns
-        records.select(*(F.col(c) if c in records.columns else F.lit(None).alias(c) for c in names)).write.mode("overwrite").parquet(f"{self.path}/snapshot={new}")
+        fields = self.spark.createDataFrame([], self.schema).schema.fields
+        records.select(*((F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)).write.mode("overwrite").parquet(f"{self.path}/snapshot={new}")
         self._point(new)
 
     def clear(self) -> None:

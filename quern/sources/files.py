@@ -52,11 +52,14 @@ def page_folder(spark: SparkSession, root: str, run: str | None = None) -> str |
     return f"{newest}/pages" if newest else root
 
 
+def _is_object(value: str):
+    return F.try_parse_json(value).isNotNull() & F.col(value).rlike(r"\A\s*\{")
+
+
 def read_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(pages, failures): files that aren't JSON objects are listed and don't stop the rest."""
     raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    good = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"\A\s*\{")
-    rows = raw.select(F.col("_metadata.file_name").alias("file"), "value", good.alias("good"))
+    rows = raw.select(F.col("_metadata.file_name").alias("file"), "value", _is_object("value").alias("good"))
     parsed = rows.filter("good").select("file", F.from_json("value", PAGE).alias("page"))
     return parsed.select("page.*", "file"), rows.filter("NOT good").select("file", F.lit("not a JSON page").alias("error"))
 
@@ -72,8 +75,8 @@ def read_chunks(spark: SparkSession, run: str) -> DataFrame:
     """Chunks of chunks.jsonl, invalid lines left out; without that file, those nested in documents/*.json."""
     fs, path = _fs(spark, f"{run}/chunks.jsonl")
     if fs.exists(path):
-        raw = spark.read.schema(f"{CHUNK}, _corrupt_record string").option("mode", "PERMISSIVE").json(str(path))
-        return raw.filter("_corrupt_record IS NULL").drop("_corrupt_record")
+        rows = spark.read.text(str(path)).filter(_is_object("value"))
+        return rows.select(F.from_json("value", CHUNK).alias("c")).select("c.*")
     fields = ",".join(f.replace(" ", ":", 1) for f in CHUNK.split(", "))
     docs = spark.read.schema(f"document_id string, chunks array<struct<{fields}>>").option("multiLine", True).json(f"{run}/documents")
     return nested_chunks(docs)
