@@ -522,19 +522,64 @@ def test_exact_dedup_matches_brute_force(docs, rows, spark, salt):
 # The pipeline
 
 
-def test_pipeline_stages_in_turn(spark, tmp_path):
+def brute_pipeline(data):
+    """Rows (doc_id, text, lang, source, n_chars) after each stage, and (doc_id, ids) at the end."""
+    rules = [r.replace("AND", "and") for r in quality_rules.RULES.values()]
+    kept = [r for r in data if not any(eval(rule, {}, dict(zip(quality_rules.MEASURES, quality_rules.measure(r[1])))) for rule in rules)]
+    yield kept
+    best = {}
+    for r in kept:
+        k = r[1].encode().lower()
+        if k not in best or best[k][0] < r[0]:
+            best[k] = r
+    kept = list(best.values())
+    yield kept
+    grams = {r[0]: {tuple(words(r[1])[i : i + 5]) for i in range(len(words(r[1])) - 4)} for r in kept}
+    root = {d: d for d in grams}
+    for a in sorted(grams):
+        for b in sorted(grams):
+            if b < a and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {d: new if r == old else r for d, r in root.items()}
+    kept = [r for r in kept if root[r[0]] == r[0]]
+    yield kept
+    *_, times = brute_mix([(r[0], r[1], r[3]) for r in kept])
+    kept = [r for i, r in enumerate(kept) for _ in range(times[i])]
+    yield kept
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(bpe.DEFAULT))
+    yield [(r[0], tuple(library.encode(r[1], add_special_tokens=False).ids)) for r in kept]
+
+
+def test_pipeline_matches_brute_force_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
 
-    data = [(i, " ".join("".join(random.Random(99 * i + j).choices("abcdefg", k=6)) for j in range(30)), None if i % 5 == 0 else f"s{i % 3}", "en", 1) for i in range(30)]
-    data += [(100, data[3][1], "s1", "en", 1), (101, "too short", "s1", "en", 1), (102, None, "s1", "en", 1), (103, "ha " * 40, "s1", "en", 1)]
-    docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string, n_chars long").select("doc_id", "text", "lang", "source", "n_chars")
-    counts = []
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randrange(2, 9)))
+    data = [(i, " ".join(word() for _ in range(rnd.randrange(20, 300))), "en", None if i % 7 == 0 else f"s{i % 4}", 1) for i in range(60)]
+    longest = sorted(data, key=lambda r: -len(r[1]))[:5]
+    data += [(100 + k, r[1] + f" {word()}", "en", "s1", 1) for k, r in enumerate(longest)]  # near copies
+    data += [(110, data[3][1].upper(), "en", "s1", 1), (111, data[3][1], "fr", "s2", 1), (112, "too short", "en", "s1", 1), (113, None, "en", "s1", 1), (114, "", None, None, None), (115, "ha " * 40, "en", "s1", 1), (116, "## $$ " * 30, "en", "s1", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    expected = list(brute_pipeline([tuple(r) for r in docs.collect()]))
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        stage(spark, docs, "").write.parquet(path := str(tmp_path / str(k)))
+        stage(spark, docs, str(tmp_path)).write.parquet(path := str(tmp_path / str(k)))
         docs = spark.read.parquet(path)
-        counts.append(docs.count())
         if k + 1 < len(corpus_pipeline.STAGES):
             assert docs.columns == list(corpus_pipeline.COLUMNS)
-    assert counts[0] == 31 and counts[1] == 30 and counts[2] == 30 and counts[3] == counts[4]
-    ids = {r["doc_id"] for r in docs.collect()}
-    assert 3 not in ids and not ids & {101, 102, 103}
+            same(docs.collect(), expected[k])
+        else:
+            same([(r["doc_id"], tuple(r["ids"])) for r in docs.collect()], expected[k])
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    same([(r["doc_id"], tuple(r["ids"])) for r in whole.collect()], expected[-1])
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
