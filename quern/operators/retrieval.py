@@ -117,13 +117,23 @@ def rrf_fuse(ranked: DataFrame, k: int = 60) -> DataFrame:
 
     relevance is the best of a chunk's and its score, 1 at most; equal scores stand as first seen.
     """
+    return _fuse(ranked, k).select("query_id", "chunk_id", "score", "relevance", "position")
+
+
+def _fuse(ranked: DataFrame, k: int) -> DataFrame:
+    """rrf_fuse with best, a chunk's own relevance, and lists, the highest list number that its question has."""
     rows = ranked.groupBy("query_id", "chunk_id").agg(
         F.sum(1.0 / (F.lit(float(k)) + F.col("rank"))).alias("score"),
         F.max("relevance").alias("best"),
         F.min(F.struct("list_no", "rank")).alias("seen"),
+        F.max("list_no").alias("list_no"),
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "seen")
-    return rows.select("query_id", "chunk_id", "score", F.least(F.lit(1.0), F.greatest("best", "score")).alias("relevance"), F.row_number().over(order).alias("position"))
+    of_query = Window.partitionBy("query_id")
+    order = of_query.orderBy(F.desc(F.round("score", 12)), "seen")
+    return rows.select(
+        "query_id", "chunk_id", "score", "best", F.least(F.lit(1.0), F.greatest("best", "score")).alias("relevance"),
+        F.row_number().over(order).alias("position"), F.max("list_no").over(of_query).alias("lists"),
+    )
 
 
 def final_order(fused: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -135,7 +145,7 @@ def final_order(fused: DataFrame, queries: DataFrame, corpus: DataFrame, k: int)
     rows = fused.join(own.drop("relevance", "pos", "embedding"), "chunk_id").filter(authorized("access")).join(queries.select("query_id", "question"), "query_id")
     hit = (blank("title") != "") & F.contains(F.lower(blank("question")), F.lower(blank("title")))
     order = Window.partitionBy("query_id").orderBy(F.desc(hit.cast("int")), F.desc("relevance"), "position")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("question", "position", "score")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("question", "position")
 
 
 def hybrid_search(queries: DataFrame, corpus: DataFrame, config: RetrievalConfig = RetrievalConfig(), k: int | None = None) -> DataFrame:
@@ -147,13 +157,10 @@ def hybrid_search(queries: DataFrame, corpus: DataFrame, config: RetrievalConfig
         fused = near.select("query_id", "chunk_id", "relevance", F.col("rank").alias("position"))
         return final_order(fused, queries, corpus, k)
     words = keyword_topk(queries, corpus, n, config).select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank", "relevance")
-    both = near.unionByName(words)
-    fused = rrf_fuse(both, config.rrf_k)
-    # Without any keyword hit the vector list stands as it is.
-    plain = words.groupBy("query_id").agg(F.lit(True).alias("worded"))
-    own = near.select("query_id", "chunk_id", F.col("relevance").alias("own"))
-    fused = fused.join(plain, "query_id", "left").join(own, ["query_id", "chunk_id"], "left")
-    fused = fused.withColumn("relevance", F.round(F.when(F.col("worded"), F.col("relevance")).otherwise(F.col("own")), DIGITS)).drop("worded", "own")
+    fused = _fuse(near.unionByName(words), config.rrf_k)
+    # Without any keyword hit the vector list stands as it is, and a chunk has its own relevance.
+    relevant = F.when(F.col("lists") > 0, F.col("relevance")).otherwise(F.col("best"))
+    fused = fused.select("query_id", "chunk_id", F.round(relevant, DIGITS).alias("relevance"), "position")
     return final_order(fused, queries, corpus, k)
 
 
