@@ -26,6 +26,8 @@ SPAN = 1 << 20
 #: Occurrences beyond which an anchor's windows are dealt by their distance to it.
 CROWD = 1000
 DISTANCES = 16
+#: Runs of windows whose anchors a task packs together.
+OCCURRENCES = 500_000
 #: Texts whose contexts a task holds at a time.
 TEXTS = 1000
 #: Windows that are put in order at a time, unless one anchor has more.
@@ -90,35 +92,57 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-_OCC = "h long, rid long, place long"
+_OCC = "h long, n long, places binary"
 
 
 def _occurrences(length: int):
-    """place: first window << 16 | windows << 8 | distance; both numbers are below 256."""
+    """Anchors of some hundred thousand windows' runs, each once with how often it stands there and where.
+
+    places: pairs of rid and first window << 16 | windows << 8 | distance; both numbers are below 256.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, places, size = [], [], 0
         for batch in _slices(batches):
-            hs, rids, places, size = [], [], [], 0
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist()):
                 if not text or len(data := text.encode()) < length:
                     continue
                 h, first, n, distance = anchors(data, length)
                 hs.append(h)
-                rids.append(np.full(len(h), rid))
-                places.append(first << 16 | n << 8 | distance)
+                places.append(np.stack((np.full(len(h), rid), first << 16 | n << 8 | distance), axis=1))
                 size += len(h)
-                if size > 500_000:
-                    yield _arrays(hs, rids, places)
-                    hs, rids, places, size = [], [], [], 0
-            if size:
-                yield _arrays(hs, rids, places)
+                if size > OCCURRENCES:
+                    yield _packed(np.concatenate(hs).view(np.int64), np.concatenate(places))
+                    hs, places, size = [], [], 0
+        if size:
+            yield _packed(np.concatenate(hs).view(np.int64), np.concatenate(places))
 
     return run
 
 
-def _arrays(hs: list, rids: list, places: list) -> pa.RecordBatch:
-    columns = [pa.array(np.concatenate(x).astype(np.int64, copy=False) if k else np.concatenate(x).view(np.int64)) for k, x in enumerate((hs, rids, places))]
-    return pa.RecordBatch.from_arrays(columns, names=["h", "rid", "place"])
+def _packed(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """(h, n, places): rows of values packed by key."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    edges = np.concatenate((new, [len(keys)]))
+    flat = np.ascontiguousarray(values[order])
+    bytes_ = (edges * flat.itemsize * flat.shape[1]).astype(np.int32)
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(bytes_.tobytes()), pa.py_buffer(flat.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(np.diff(edges)), packed], names=["h", "n", "places"])
+
+
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated anchors (h, total, places) to (rid, anchors): rows (h, place, total) packed for each rid and batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("places").to_pylist()
+        sizes = np.array([len(x) // 16 for x in lists])
+        own = np.frombuffer(b"".join(lists), "<i8").reshape(-1, 2)
+        rows = np.stack((np.repeat(batch.column("h").to_numpy(), sizes), own[:, 1], np.repeat(batch.column("total").to_numpy(), sizes)), axis=1)
+        out = _packed(own[:, 0], rows)
+        yield pa.RecordBatch.from_arrays([out.column("h"), out.column("places")], names=["rid", "anchors"])
 
 
 _CONTEXT = "h long, near int, context binary, owners binary"
@@ -129,15 +153,10 @@ def _contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            lists = batch.column("places")
-            edges = lists.offsets.to_pylist()
-            values = lists.values
-            hs, places, ns = (values.field(c).to_numpy() for c in ("h", "place", "n"))
             found: dict[tuple[int, int, bytes], list[int]] = {}
-            for k, (rid, text) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist())):
+            for rid, text, own in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "anchors"))):
                 data = text.encode()
-                own = slice(edges[k], edges[k + 1])
-                for h, place, times in zip(hs[own].tolist(), places[own].tolist(), ns[own].tolist()):
+                for h, place, times in np.frombuffer(b"".join(own), "<i8").reshape(-1, 3).tolist():
                     first, n, distance = place >> 16, place >> 8 & 255, place & 255
                     if times <= CROWD:
                         found.setdefault((h, 0, data[first : first + n + length - 1]), []).extend((rid, first))
@@ -292,12 +311,14 @@ def repeated_passages(docs: DataFrame, length: int = 200, keep_first: bool = Tru
     if not GRAM < length <= 250:
         raise ValueError("length must be from 25 to 250")
     rows = with_rid(docs, id_col, text_col)
+    # Each task packs an anchor's places, so that a passage in very many texts has a row for each task and not for each text.
     seen = rows.mapInArrow(_occurrences(length), _OCC)
-    sizes = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = seen.join(sizes, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "place", "n")).alias("places"))
+    sizes = seen.groupBy("h").agg(F.sum("n").alias("total")).filter("total > 1")
+    again = seen.join(sizes, "h").select("h", "total", "places").mapInArrow(_by_text, "rid long, anchors binary")
+    again = again.groupBy("rid").agg(F.collect_list("anchors").alias("anchors"))
     dealt = rows.repartition("rid")
     # id is carried so that both joins read one exchange of the texts.
-    contexts = dealt.join(again, "rid").select("rid", "id", "text", "places").mapInArrow(_contexts(length), _CONTEXT)
+    contexts = dealt.join(again, "rid").select("rid", "id", "text", "anchors").mapInArrow(_contexts(length), _CONTEXT)
     spans = contexts.repartition("h", "near").sortWithinPartitions("h", "near").mapInArrow(_ranges(length, keep_first), "rid long, spans binary")
     spans = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
     out = dealt.join(spans, "rid", "left").select("rid", "id", "text", "spans")
