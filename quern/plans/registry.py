@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.config import ChunkConfig, CrawlConfig, RetrievalConfig, hybrid_stopwords
+from quern.config import CrawlConfig, RetrievalConfig, hybrid_stopwords
 from quern.functions import embedding, text, urls
 from quern.operators import answer, chunking, conversation, crawl, html, index, retrieval
 from quern.plans.oracles import ORACLES  # noqa: F401
