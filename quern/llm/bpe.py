@@ -21,10 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import CACHE_ENTRIES, SLICE_ROWS, per_text, with_rid
+from quern.llm.common import SLICE_ROWS, per_text, with_rid
 
 DEFAULT = "word_bpe_49k.json"
 NEVER = 1 << 62
+#: Entries of each of a worker's two caches, after which it starts anew.
+CACHED = 150_000
 #: White space as Unicode has it; str.split() also splits at U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT_SPACE = regex.compile(f"[{SPACE}]+")
@@ -135,7 +137,7 @@ class SegmentTreeBPE:
             symbols.append(self.final[data[-1]])
             ids = array("I", self.merge([s for s in symbols if s is not None])).tobytes()
             if len(word) < 64:
-                if len(self.words) >= CACHE_ENTRIES:
+                if len(self.words) >= CACHED:
                     self.words.clear()
                 self.words[word] = ids
         return ids
@@ -155,7 +157,7 @@ class SegmentTreeBPE:
         # Each code point is lowered for itself; only a final capital sigma would differ.
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         words = SPLIT_SPACE.split(text) if ODD_SPACE.search(text) else text.split()
-        if len(self.chunks) >= CACHE_ENTRIES:
+        if len(self.chunks) >= CACHED:
             self.chunks.clear()
         return b"".join(map(self.chunks.__getitem__, words))
 

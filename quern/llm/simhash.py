@@ -227,7 +227,7 @@ def _tree(x: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def _edges(most: int, crowd: int):
-    """Rows sorted by bucket to links (a, b) of fingerprint numbers, each once in a block."""
+    """Rows sorted by bucket to edges (a, b) of fingerprint numbers: a star for each component of a task's links."""
 
     def solve(keys: np.ndarray, firsts: np.ndarray, ids: np.ndarray, x: np.ndarray) -> set[tuple[int, int]]:
         found: set[tuple[int, int]] = set()
@@ -248,39 +248,51 @@ def _edges(most: int, crowd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         rows = 0
+        above: dict[int, int] = {}
 
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        def root(x: int) -> int:
+            top = x
+            while (up := above.setdefault(top, top)) != top:
+                top = up
+            while above[x] != top:
+                above[x], x = top, above[x]
+            return top
+
+        def flush(last: bool) -> None:
             nonlocal held, rows
             keys, firsts, ids, x = (np.concatenate([h[k] for h in held]) for k in range(4))
             # A bucket that may go on is kept for the next block.
-            end = len(keys) if last else int(np.searchsorted(np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1]))), np.count_nonzero(keys[1:] != keys[:-1])))
-            pairs = solve(keys[:end], firsts[:end], ids[:end], x[:end]) if end else set()
+            end = len(keys) if last else int(np.flatnonzero(keys != keys[-1]).max(initial=-1)) + 1
+            for a, b in solve(keys[:end], firsts[:end], ids[:end], x[:end]) if end else ():
+                a, b = root(a), root(b)
+                above[max(a, b)] = min(a, b)
             held, rows = ([(keys[end:], firsts[end:], ids[end:], x[end:])], len(keys) - end) if end < len(keys) else ([], 0)
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column("fp")
-            x = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, RING)
+            x = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, RING)
             key = batch.column("bucket").to_numpy() * 4096 + batch.column("salt").to_numpy()
             held.append((key, batch.column("first").to_numpy().astype(np.int64), batch.column("node").to_numpy(), x))
             rows += batch.num_rows
             if rows >= COMPARED:
-                yield from flush(False)
+                flush(False)
         if held:
-            yield from flush(True)
+            flush(True)
+        nodes = [n for n in above if root(n) != n]
+        for at in range(0, len(nodes), COMPARED):
+            part = nodes[at : at + COMPARED]
+            yield pa.RecordBatch.from_arrays([pa.array([root(n) for n in part], pa.int64()), pa.array(part, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def similar_links(prints: DataFrame, most: int, crowd: int = 64) -> DataFrame:
+def similar_links(prints: DataFrame, most: int, crowd: int = 16) -> DataFrame:
     """(a, b) links between nodes of prints (node long, fp binary), distinct fingerprints.
 
     Every pair of neighbouring bytes of the ring, from each of its places, names a bucket. Buckets of up to `crowd`
-    give their pairs that pass chains and the full check, fuller ones a spanning forest of their links, so that what comes
-    out grows with the rows. Very full ones are dealt to several tasks by a hash that differs between buckets.
+    look at their pairs by chains and the full check, fuller ones find a spanning forest of their links. Each task merges
+    what it finds and gives an edge for each fingerprint at most, so that what comes out grows with the rows. Very full ones are dealt to several tasks by a hash that differs between buckets.
     """
     size = prints.count()
     wide = 3 if size > 2_000_000 else 2  # bytes of a bucket's name: a bucket has few rows by chance
@@ -291,7 +303,7 @@ def similar_links(prints: DataFrame, most: int, crowd: int = 64) -> DataFrame:
     full = rows.groupBy("bucket").count().filter(F.col("count") > BUCKET_ROWS)
     full = small(full.select("bucket", F.least(F.lit(4096), F.ceil(F.col("count") / BUCKET_ROWS)).alias("salts")))
     rows = rows.join(full, "bucket", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node", "bucket"), F.col("salts")), F.lit(0)))
-    rows = rows.select("bucket", "salt", "first", "node", "fp").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+    rows = rows.select("bucket", "salt", "first", "node", "fp").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
     return rows.mapInArrow(_edges(most, crowd), "a long, b long").distinct()
 
 
