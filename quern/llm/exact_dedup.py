@@ -113,9 +113,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     doubtful = doubtful.withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")))
     doubtful = doubtful.repartition("fp", "n", "salt").sortWithinPartitions("fp", "n", "salt")
     verified = doubtful.select("rid", "fp", "n", "salt", "text").mapInArrow(_classes, "rid long, class_sha string")
-    members = marks.join(verified, "rid")
+    members = cut(marks.join(verified, "rid").select("rid", "id", "fp", "n", "class_sha"))
     classes = members.groupBy("fp", "n", "class_sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    members = members.join(classes, ["fp", "n", "class_sha"])
+    members = members.join(small(classes), ["fp", "n", "class_sha"])
     best = members.filter(F.col("id").eqNullSafe(F.col("keep_id")))
     first = best.groupBy("fp", "n", "class_sha").agg(F.min("rid").alias("rid")).select("rid", F.lit(True).alias("first"))
     info = members.join(first, "rid", "left").select("rid", "keep_id", "group_size", F.coalesce("first", F.lit(False)).alias("kept"))
