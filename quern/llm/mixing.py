@@ -19,7 +19,7 @@ from quern.llm.common import cut, fresh, small
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Rows that a bucket or a time slot is meant to hold.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 5_000
 
 
 def n_words(text: Column) -> Column:
@@ -74,7 +74,7 @@ def mix(
             n_words(F.col(text_col).cast("string")).alias("size"),
         )
     )
-    buckets = max(16, base.count() // ROWS_PER_BUCKET)
+    buckets = max(128, base.count() // ROWS_PER_BUCKET)
     key = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f"/{seed}")))
     rows = base.withColumn("key", key)
     rows = rows.withColumn("b", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
