@@ -294,10 +294,8 @@ def similar_links(prints: DataFrame, most: int, crowd: int = 16) -> DataFrame:
     look at their pairs by chains and the full check, fuller ones find a spanning forest of their links. Each task merges
     what it finds and gives an edge for each fingerprint at most, so that what comes out grows with the rows. Very full ones are dealt to several tasks by a hash that differs between buckets.
     """
-    size = prints.count()
-    wide = 3 if size > 2_000_000 else 2  # bytes of a bucket's name: a bucket has few rows by chance
-    ring = F.concat("fp", F.substring("fp", 1, wide - 1))
-    value = lambda i: F.conv(F.hex(F.substring(ring, i + 1, wide)), 16, 10).cast("long")
+    ring = F.concat("fp", F.substring("fp", 1, 1))
+    value = lambda i: F.conv(F.hex(F.substring(ring, i + 1, 2)), 16, 10).cast("long")
     spread = F.explode(F.array(*(F.struct(F.lit(i).alias("first"), (value(i) * RING + i).alias("bucket")) for i in range(RING))))
     rows = prints.select("node", "fp", spread.alias("s")).select("node", "fp", "s.first", "s.bucket")
     full = rows.groupBy("bucket").count().filter(F.col("count") > BUCKET_ROWS)

@@ -249,6 +249,23 @@ def test_similar_links_find_planted_groups(spark, crowd, rows, monkeypatch):
     assert _partition({n: found.get(n, n) for n in group}) == _partition(group)
 
 
+def one_bucket(pairs):
+    """Pairs of fingerprints with 15 bits of difference that agree in no neighbouring bytes but the first two."""
+    rnd = random.Random(5)
+    out = []
+    for k in range(pairs):
+        x = bytearray(b"ab" + rnd.randbytes(30))
+        y = bytearray(b ^ (i % 2 and i > 2) for i, b in enumerate(x))
+        out += [(2 * k, x), (2 * k + 1, y)]
+    return out
+
+
+def test_similar_links_have_one_rule_at_every_size(spark, monkeypatch):
+    prints = spark.createDataFrame(one_bucket(1), "node long, fp binary")
+    monkeypatch.setattr(type(prints), "count", lambda self: 3_000_000)
+    assert [tuple(r) for r in simhash.similar_links(prints, 44).collect()] == [(0, 1)]
+
+
 def _partition(m):
     return sorted(sorted(g) for g in _invert(m).values())
 
