@@ -158,8 +158,11 @@ def fingerprint_hex(fp: Column) -> Column:
 #: Words of 64 bits in a long fingerprint, and its bytes, which stand in a ring.
 WORDS = 4
 RING = 8 * WORDS
-#: Rows of a bucket beyond which it is dealt to several tasks.
+#: Rows of a bucket beyond which its parts are compared two and two, each two in a task of their own.
 BUCKET_ROWS = 20_000
+#: Parts of a bucket at most, and pairs of parts.
+PARTS = 2048
+CELLS = PARTS * PARTS
 #: Rows whose buckets are compared at a time.
 COMPARED = 50_000
 
@@ -272,7 +275,7 @@ def _edges(most: int, crowd: int):
             if not batch.num_rows:
                 continue
             x = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, RING)
-            key = batch.column("bucket").to_numpy() * 4096 + batch.column("salt").to_numpy()
+            key = batch.column("bucket").to_numpy() * CELLS + batch.column("salt").to_numpy()
             held.append((key, batch.column("first").to_numpy().astype(np.int64), batch.column("node").to_numpy(), x))
             rows += batch.num_rows
             if rows >= COMPARED:
@@ -287,21 +290,33 @@ def _edges(most: int, crowd: int):
     return run
 
 
+def _cells(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """rows with a salt, such that all pairs of rows with one value of `by` share a salt.
+
+    Values of over `most` rows have parts of about that many; a row stands once for every other part.
+    """
+    full = rows.groupBy(by).count().filter(F.col("count") > most)
+    full = small(full.select(by, F.least(F.lit(PARTS), F.ceil(F.col("count") / most)).cast("int").alias("parts")))
+    rows = rows.join(full, by, "left").withColumn("part", F.pmod(F.xxhash64("node", by), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part"))
+    cells = F.transform(others, lambda k: F.least("part", k) * PARTS + F.greatest("part", k))
+    return rows.withColumn("salt", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cells))).drop("part", "parts")
+
+
 def similar_links(prints: DataFrame, most: int, crowd: int = 16) -> DataFrame:
     """(a, b) links between nodes of prints (node long, fp binary), distinct fingerprints.
 
     Every pair of neighbouring bytes of the ring, from each of its places, names a bucket. Buckets of up to `crowd`
     look at their pairs by chains and the full check, fuller ones find a spanning forest of their links. Each task merges
-    what it finds and gives an edge for each fingerprint at most, so that what comes out grows with the rows. Very full ones are dealt to several tasks by a hash that differs between buckets.
+    what it finds and gives an edge for each fingerprint at most, so that what comes out grows with the rows. Very full ones
+    are cut into parts, and every two parts meet in a task, so that no pair of a bucket is passed over.
     """
     ring = F.concat("fp", F.substring("fp", 1, 1))
     value = lambda i: F.conv(F.hex(F.substring(ring, i + 1, 2)), 16, 10).cast("long")
     spread = F.explode(F.array(*(F.struct(F.lit(i).alias("first"), (value(i) * RING + i).alias("bucket")) for i in range(RING))))
     rows = prints.select("node", "fp", spread.alias("s")).select("node", "fp", "s.first", "s.bucket")
-    full = rows.groupBy("bucket").count().filter(F.col("count") > BUCKET_ROWS)
-    full = small(full.select("bucket", F.least(F.lit(4096), F.ceil(F.col("count") / BUCKET_ROWS)).alias("salts")))
-    rows = rows.join(full, "bucket", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node", "bucket"), F.col("salts")), F.lit(0)))
-    rows = rows.select("bucket", "salt", "first", "node", "fp").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
+    rows = _cells(rows, "bucket", BUCKET_ROWS).select("bucket", "salt", "first", "node", "fp")
+    rows = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
     return rows.mapInArrow(_edges(most, crowd), "a long, b long").distinct()
 
 

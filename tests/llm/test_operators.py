@@ -266,6 +266,12 @@ def test_similar_links_have_one_rule_at_every_size(spark, monkeypatch):
     assert [tuple(r) for r in simhash.similar_links(prints, 44).collect()] == [(0, 1)]
 
 
+def test_similar_links_pass_over_no_pair_of_a_full_bucket(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 4)
+    links = simhash.similar_links(spark.createDataFrame(one_bucket(30), "node long, fp binary"), 44)
+    assert sorted(tuple(sorted(r)) for r in links.collect()) == [(2 * k, 2 * k + 1) for k in range(30)]
+
+
 def _partition(m):
     return sorted(sorted(g) for g in _invert(m).values())
 
