@@ -76,7 +76,7 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """(hash, first window, windows, distance): runs of windows with one anchor; distance: from the first window to it."""
     out: list[tuple[np.ndarray, ...]] = []
     w = length - GRAM + 1
-    for at in range(0, max(0, len(data) - length + 1), SPAN - length):
+    for at in range(0, max(0, len(data) - length + 1), SPAN - length + 1):  # blocks share no window
         part = np.frombuffer(data, np.uint8, min(SPAN, len(data) - at), at)
         if len(part) < length:
             break

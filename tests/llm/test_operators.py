@@ -506,6 +506,27 @@ def test_crowded_anchors_give_the_same(spark, monkeypatch):
     assert suffix_dedup.repeated_passages(empty(spark)).count() == 0
 
 
+def test_blocks_of_a_text_share_no_window(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPAN", 256)
+    data = random.Random(9).randbytes(5000)
+    for n in (59, 60, 255, 256, 257, 453, 5000):
+        _, first, count, _ = suffix_dedup.anchors(data[:n], 60)
+        seen = [f + k for f, c in zip(first.tolist(), count.tolist()) for k in range(c)]
+        assert seen == list(range(max(0, n - 59)))
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_long_texts_lose_only_what_is_repeated(spark, keep_first):
+    rnd = random.Random(9)
+    text = rnd.randbytes((3 << 20) // 2 + 1000).hex()  # three blocks
+    border = suffix_dedup.SPAN - 100
+    data = [(0, text, "s"), (1, rnd.randbytes(500).hex() + text[border : border + 300] + rnd.randbytes(500).hex(), "s")]
+    got = suffix_dedup.repeated_passages(frame(spark, data), 200, keep_first).orderBy("id").collect()
+    assert [(r["n_removed"], r["n_spans"]) for r in got] == [(0, 0) if keep_first else (300, 1), (300, 1)]
+    kept = text if keep_first else text[:border] + text[border + 300 :]
+    assert got[0]["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+
+
 # 10. Exact dedup
 
 
