@@ -9,7 +9,8 @@ chains prune them before the full check.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -178,8 +179,12 @@ def max_distance(similarity: float, bits: int = 64 * WORDS) -> int:
 
 def long_fingerprint(text: str | None, width: int) -> bytes:
     """WORDS * 64 bits: word k from the hashes of all shingles after k rounds of mixing."""
+    return _majorities(shingle_hashes(text, width))
+
+
+def _majorities(blocks: Iterable[np.ndarray]) -> bytes:
     sums, total = np.zeros((WORDS, 64), np.int64), 0
-    for block in shingle_hashes(text, width):
+    for block in blocks:
         for k in range(WORDS):
             h = block + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
             if k:
@@ -229,8 +234,12 @@ def _tree(x: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def _pairs(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0], pa.int64()), pa.array(rows[:, 1], pa.int64())], names=["a", "b"])
+
+
 def _edges(most: int, crowd: int):
-    """Rows sorted by bucket to edges (a, b) of fingerprint numbers: a star for each component of a task's links."""
+    """Rows sorted by bucket to edges (a, b) of fingerprint numbers: a spanning forest of a task's links."""
 
     def solve(keys: np.ndarray, firsts: np.ndarray, ids: np.ndarray, x: np.ndarray) -> set[tuple[int, int]]:
         found: set[tuple[int, int]] = set()
@@ -252,6 +261,7 @@ def _edges(most: int, crowd: int):
         held: list[tuple] = []
         rows = 0
         above: dict[int, int] = {}
+        tree: list[tuple[int, int]] = []
 
         def root(x: int) -> int:
             top = x
@@ -266,9 +276,11 @@ def _edges(most: int, crowd: int):
             keys, firsts, ids, x = (np.concatenate([h[k] for h in held]) for k in range(4))
             # A bucket that may go on is kept for the next block.
             end = len(keys) if last else int(np.flatnonzero(keys != keys[-1]).max(initial=-1)) + 1
-            for a, b in solve(keys[:end], firsts[:end], ids[:end], x[:end]) if end else ():
-                a, b = root(a), root(b)
-                above[max(a, b)] = min(a, b)
+            for a, b in sorted(solve(keys[:end], firsts[:end], ids[:end], x[:end])) if end else ():
+                u, v = root(a), root(b)
+                if u != v:
+                    above[max(u, v)] = min(u, v)
+                    tree.append((a, b))
             held, rows = ([(keys[end:], firsts[end:], ids[end:], x[end:])], len(keys) - end) if end < len(keys) else ([], 0)
 
         for batch in batches:
@@ -282,10 +294,8 @@ def _edges(most: int, crowd: int):
                 flush(False)
         if held:
             flush(True)
-        nodes = [n for n in above if root(n) != n]
-        for at in range(0, len(nodes), COMPARED):
-            part = nodes[at : at + COMPARED]
-            yield pa.RecordBatch.from_arrays([pa.array([root(n) for n in part], pa.int64()), pa.array(part, pa.int64())], names=["a", "b"])
+        for at in range(0, len(tree), COMPARED):
+            yield _pairs(np.array(tree[at : at + COMPARED]))
 
     return run
 
@@ -320,17 +330,220 @@ def similar_links(prints: DataFrame, most: int, crowd: int = 16) -> DataFrame:
     return rows.mapInArrow(_edges(most, crowd), "a long, b long").distinct()
 
 
+# Shingle sets, held against each other exactly.
+
+#: Documents whose shingles are counted to find the common ones, and how many of these are told apart.
+COUNTED = 20_000
+COMMON = 200_000
+#: Rows of a shingle's bucket beyond which its parts are compared two and two.
+HOLDERS = 2_000
+
+
+def shingle_set(blocks: Iterable[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
+
+
+def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), by hash, of shingles that several of some thousand documents hold.
+
+    They only say in which order a document's shingles are tried; any order finds the same pairs.
+    """
+    step = max(1, rows.count() // COUNTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(shingle_hashes(text, width)).view(np.int64))], names=["h"])
+
+    some = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(step)) == 0).select("text").mapInArrow(run, "h long")
+    got = some.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    hashes, counts = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _folded(parities: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(parities.reshape(-1, size), axis=0)
+
+
+def _sketch(width: int, share: Fraction, common: tuple[np.ndarray, np.ndarray]):
+    """text to (node, fp, size, sig, parities, prefix): its shingle set's number, long fingerprint, size and so on.
+
+    Bit k of the parities, two or more a shingle, is that of the number of shingles whose low bits are k: sets differ in
+    as many shingles as bits at least. sig has them folded to RING bytes. Of sets that overlap in share of the larger one, the first size - ceil(share * size) + 1 shingles
+    of each in a common order, rare ones first, meet in one at least.
+    """
+
+    def run(text: str | None) -> tuple:
+        blocks = list(shingle_hashes(text, width))
+        own = shingle_set(blocks)
+        bits = max(8 * RING, 1 << (2 * len(own)).bit_length())
+        odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        parities = np.packbits(odd.astype(np.uint8), bitorder="little")
+        sig = _folded(parities, RING)
+        times = np.zeros(len(own), np.int64)
+        if len(common[0]):
+            at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+            times = np.where(common[0][at] == own, common[1][at], 0)
+        prefix = own[np.lexsort((own, times))][: len(own) - math.ceil(share * len(own)) + 1]
+        node = xxhash.xxh64_intdigest(own.tobytes(), 7)
+        return _signed(node), _majorities(blocks), len(own), sig.tobytes(), parities.tobytes(), prefix.tobytes()
+
+    return run
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root, prefix) to (token, node, root)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            lists = batch.column("prefix").to_pylist()
+            sizes = np.array([len(x) // 8 for x in lists])
+            columns = [np.frombuffer(b"".join(lists), np.int64), *(np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "root"))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "root"])
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], by: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, some ten thousand at a time; rows equal in the first `by` columns come together."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def columns() -> list[np.ndarray]:
+        out = []
+        for name in names:
+            parts = [b.column(name) for b in held]
+            binary = pa.types.is_binary(parts[0].type)
+            out.append(np.concatenate([np.frombuffer(b"".join(p.to_pylist()), np.uint8).reshape(-1, RING) if binary else p.to_numpy() for p in parts]))
+        return out
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < COMPARED:
+            continue
+        now = columns()
+        last = np.logical_and.reduce([c == c[-1] for c in now[:by]])
+        end = len(last) - int(last.sum())
+        held = [pa.Table.from_batches(held).slice(end).combine_chunks().to_batches()[0]]
+        rows = held[0].num_rows
+        if end:
+            yield [c[:end] for c in now]
+    if rows:
+        yield columns()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, node, root), sorted by token, of tokens that occur under several roots."""
+    for token, node, root in _whole_runs(batches, ("token", "node", "root"), 1):
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        sizes = np.diff(np.concatenate((first, [len(token)])))
+        keep = np.repeat(np.maximum.reduceat(root, first) != np.minimum.reduceat(root, first), sizes)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, node, root)], names=["token", "node", "root"])
+
+
+def _candidates(share: Fraction):
+    """Rows sorted by (token, salt) to pairs (a, b) under different roots that sizes and parities don't rule out."""
+    n, d = share.numerator, share.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, salt, node, root, size, sig in _whole_runs(batches, ("token", "salt", "node", "root", "size", "sig"), 2):
+            live, lag, found = np.arange(len(token)), 1, []
+            while len(live := live[live < len(token) - lag]):
+                live = live[(token[live] == token[live + lag]) & (salt[live] == salt[live + lag])]
+                x, y = live, live + lag
+                ok = (root[x] != root[y]) & (np.minimum(size[x], size[y]) * d >= np.maximum(size[x], size[y]) * n)
+                x, y = x[ok], y[ok]
+                # Sets of similarity n / d differ in (d - n) / (d + n) of their sizes' sum at most.
+                ok = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) * (d + n) <= (size[x] + size[y]) * (d - n)
+                x, y = node[x[ok]], node[y[ok]]
+                if len(x):
+                    found.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
+                if found and (sum(map(len, found)) > COMPARED):
+                    yield _pairs(np.unique(np.concatenate(found), axis=0))
+                    found = []
+                lag += 1
+            if found:
+                yield _pairs(np.unique(np.concatenate(found), axis=0))
+
+    return run
+
+
+def _possible(share: Fraction):
+    """Pairs that sizes s, t and parities x, y don't rule out."""
+    n, d = share.numerator, share.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b, s, t, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "s", "t", "x", "y"))):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                least = min(len(x), len(y))
+                apart = int(np.bitwise_count(_folded(x, least) ^ _folded(y, least)).sum(dtype=np.int64))
+                if min(s, t) * d >= max(s, t) * n and apart * (d + n) <= (s + t) * (d - n):
+                    found.append((a, b))
+            if found:
+                yield _pairs(np.array(found))
+
+    return run
+
+
+def _verified(share: Fraction):
+    """Pairs whose shingle sets x and y have that Jaccard similarity or more."""
+    n, d = share.numerator, share.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y"))):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both * d >= n * (len(x) + len(y) - both):
+                    found.append((a.as_py(), b.as_py()))
+            if found:
+                yield _pairs(np.array(found))
+
+    return run
+
+
+def verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """Those of pairs (a, b) of nodes whose shingle sets have that Jaccard similarity; only their texts are read again."""
+    left = prints.select(F.col("node").alias("a"), F.col("size").alias("s"), F.col("parities").alias("x"))
+    right = prints.select(F.col("node").alias("b"), F.col("size").alias("t"), F.col("parities").alias("y"))
+    pairs = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t", "x", "y").mapInArrow(_possible(share), "a long, b long"))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = small(nodes.join(prints.select("node", "rid"), "node"))
+    sets = per_text(rows.select("rid", "text").join(needed, "rid"), lambda t: (shingle_set(shingle_hashes(t, width)).tobytes(),), "x binary")
+    sets = cut(sets.select("node", "x"))
+    both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+    return cut(both.select("a", "b", "x", "y").mapInArrow(_verified(share), "a long, b long"))
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, id, root: one row per row of docs; root names its group of documents reachable by links.
 
-    Documents link where long fingerprints say that their shingle sets have that Jaccard similarity or more, as
-    max_distance has it, and agree in two neighbouring bytes. Null, empty and wordless texts are equal to each other.
-    Repeated rows each get a row; an empty table gives none; other columns are not read.
+    Documents link exactly if their sets of shingles, told apart by 64 bits of hash, have that Jaccard similarity or more.
+    Links that long fingerprints propose come first and make up most of the groups. What they miss shares a shingle
+    of both prefixes, so between groups all pairs that do are looked at. Every proposed link is verified on whole sets.
+    Null, empty and wordless texts are equal to each other. Repeated rows each get a row; an empty table gives none;
+    other columns are not read.
     """
-    marks = cut(per_text(with_rid(docs, id_col, text_col), lambda t: (long_fingerprint(t, width),), "fp binary"))
-    prints = cut(marks.select("fp").distinct().select(F.xxhash64("fp").alias("node"), "fp"))
-    roots = components(similar_links(prints, max_distance(similarity)))
-    return marks.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").select("rid", "id", F.coalesce("root", "node").alias("root"))
+    share = Fraction(str(similarity))
+    rows = with_rid(docs, id_col, text_col)
+    sketch = _sketch(width, share, common_shingles(rows, width))
+    marks = cut(per_text(rows, sketch, "node long, fp binary, size long, sig binary, parities binary, prefix binary"))
+    first = marks.groupBy("node").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = marks.select("rid", "node").join(first, "node").filter(F.col("rid") != F.col("first")).select("rid")
+    prints = marks.join(small(again), "rid", "left_anti").drop("id")
+    sure = verified(similar_links(prints.select("node", "fp"), max_distance(similarity)), prints, rows, width, share)
+    grouped = prints.join(small(components(sure)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tokens = grouped.select("node", "root", "prefix").mapInArrow(_spread, "token long, node long, root long")
+    shared = cut(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, node long, root long"))
+    shared = _cells(shared, "token", HOLDERS).join(prints.select("node", "size", "sig"), "node")
+    shared = shared.select("token", "salt", "node", "root", "size", "sig").repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
+    more = shared.mapInArrow(_candidates(share), "a long, b long").distinct()
+    roots = components(sure.unionByName(verified(more, prints, rows, width, share)))
+    return marks.select("rid", "id", "node").join(roots, "node", "left").select("rid", "id", F.coalesce("root", "node").alias("root"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -272,6 +272,34 @@ def test_similar_links_pass_over_no_pair_of_a_full_bucket(spark, monkeypatch):
     assert sorted(tuple(sorted(r)) for r in links.collect()) == [(2 * k, 2 * k + 1) for k in range(30)]
 
 
+@pytest.mark.parametrize("holders", [2000, 4])
+def test_similar_documents_are_those_of_exact_jaccard(spark, holders, monkeypatch):
+    """Copies with scattered edits, from well above to well below the limit, round it above all; two share a passage."""
+    monkeypatch.setattr(simhash, "HOLDERS", holders)
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=5))
+    passage, texts = [word() for _ in range(60)], []
+    for g in range(40):
+        text = [word() for _ in range(rnd.randrange(60, 400))] + passage
+        texts.append(text)
+        for _ in range(3):
+            copy = list(text)
+            for at in rnd.sample(range(len(copy) - 60), max(1, round(len(copy) * rnd.uniform(0.012, 0.04)))):
+                copy[at] = word()
+            texts.append(copy)
+    grams = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root, near = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if 5 * both >= 4 * (len(grams[i]) + len(grams[j]) - both):
+                near += 1
+                root = [root[j] if r == root[i] else r for r in root]
+    assert near > 40 and len(set(root)) > 50
+    got = simhash.similar_documents(frame(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])).collect()
+    assert _partition({r["id"]: r["root"] for r in got}) == _partition(dict(enumerate(root)))
+
+
 def _partition(m):
     return sorted(sorted(g) for g in _invert(m).values())
 
