@@ -178,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fold:
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
     known = known.filter(~in_fold(F.col("id"), fold)).groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_train)
-    rows = with_rid(docs, id_col, text_col).select("id", "text").join(F.broadcast(chosen), "id")  # max_train rows
+    rows = with_rid(docs, id_col, text_col).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "y").agg(F.min_by("text", "rid").alias("text"))  # max_train rows: an id's first
     got = rows.select("id", "y", "text").mapInArrow(_vectors, "id long, y int, x array<double>").toArrow().to_pydict()
     order = sorted(range(len(got["id"])), key=lambda k: (got["id"][k], got["x"][k]))
     return fit(np.array([got["x"][k] for k in order]).reshape(-1, len(FEATURES)), np.array([got["y"][k] for k in order], float))

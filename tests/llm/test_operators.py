@@ -405,6 +405,15 @@ def test_quality_model_ignores_held_out_labels(spark):
     assert (a.score(x) == b.score(x)).all()
 
 
+def test_quality_model_takes_one_row_of_an_id(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality_model, "fit", lambda x, y: sizes.append(len(x)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    data = [(i, f"text {i}", "s") for i in range(50)] + [(i, f"again {k}", "s") for i in range(50) for k in range(10)]
+    quality_model.train(frame(spark, data), labels, max_train=20)
+    assert sizes == [20]
+
+
 def test_quality_model_without_labels(spark):
     docs = frame(spark, [(1, "a b", "s")])
     model = quality_model.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
