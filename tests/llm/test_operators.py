@@ -250,12 +250,12 @@ def test_similar_links_find_planted_groups(spark, crowd, rows, monkeypatch):
 
 
 def one_bucket(pairs):
-    """Pairs of fingerprints with 15 bits of difference that agree in no neighbouring bytes but the first two."""
+    """Pairs of fingerprints with 16 bits of difference that agree in no neighbouring bytes but the first two."""
     rnd = random.Random(5)
     out = []
     for k in range(pairs):
         x = bytearray(b"ab" + rnd.randbytes(30))
-        y = bytearray(b ^ (i % 2 and i > 2) for i, b in enumerate(x))
+        y = bytearray(b ^ (i > 1 and i % 2 == 0 or i == 31) for i, b in enumerate(x))
         out += [(2 * k, x), (2 * k + 1, y)]
     return out
 
