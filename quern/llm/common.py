@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-#: Rows that a frame may have at most to be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a frame may hold at most to be broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+#: Keys that hold over one in so many rows are joined by themselves; there are fewer of them than that.
+HOT_KEYS = 1000
 
 #: Rows that a task holds as Python objects at a time.
 SLICE_ROWS = 256
@@ -18,14 +24,19 @@ SLICE_ROWS = 256
 #: Entries of a per-worker cache, after which it starts anew.
 CACHE_ENTRIES = 400_000
 
+#: Bits of a row's number that count inside a file.
+ROW_BITS = 40
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def use_shared_dir(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where the session has none."""
+    """Set a checkpoint folder only where the session has none; on a cluster that must be set by the session."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
 
 
@@ -35,13 +46,54 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_rid(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, id, text): rid tells repeated rows apart and is the same in each scan of the same files."""
-    return df.select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.col(id_col).cast("long").alias("id"),
-        F.col(text_col).cast("string").alias("text"),
-    )
+def _nodes(df: DataFrame) -> list[str]:
+    """Names of the nodes of df's plan, leaves last."""
+    lines = df._jdf.queryExecution().analyzed().toString().splitlines()
+    return [re.split(r"[ \[(]", re.sub(r"\A[\s:+-]*", "", line))[0] for line in lines]
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df if its rows keep their names over scans, else df checkpointed.
+
+    Columns and rows chosen from a Parquet table have file and place there; a checkpointed frame has fixed partitions. What
+    a shuffle brings has neither: its partitions may be dealt anew when an executor is lost.
+    """
+    nodes = [n for n in _nodes(df) if n]
+    plain = set(nodes[:-1]) <= {"Project", "Filter", "SubqueryAlias"}
+    return df if plain and (nodes[-1] == "LogicalRDD" or nodes[-1] == "Relation" and _places(df) is not None) else cut(df)
+
+
+def _places(df: DataFrame, path: str = "__path", at: str = "__at") -> DataFrame | None:
+    """df with its rows' places in Parquet files, or None if it has none."""
+    try:
+        return df.select("*", F.regexp_replace("_metadata.file_path", ":/+", ":/").alias(path), F.col("_metadata.row_index").alias(at))
+    except AnalysisException:
+        return None
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """A frame that is stable() with a number for each row, the same in every scan however the scan is split.
+
+    For Parquet it is the file's number in the order of paths and the row's in its file; a checkpointed frame has
+    partitions that don't change.
+    """
+    if "Relation" not in _nodes(df):
+        return df.withColumn(name, F.monotonically_increasing_id())
+    path, at, base = fresh(df, "__path"), fresh(df, "__at"), fresh(df, "__base")
+    # A local file's path has one or three slashes after its scheme, as it is listed or read.
+    rows, files = _places(df, path, at), sorted({re.sub(":/+", ":/", f) for f in df.inputFiles()})
+    if len(files) < 2:
+        return rows.withColumn(name, F.col(at)).drop(path, at)
+    order = df.sparkSession.createDataFrame([(f, i << ROW_BITS) for i, f in enumerate(files)], f"{path} string, {base} long")
+    rows = rows.join(small(order), path, "left")
+    start = F.coalesce(base, F.raise_error(F.concat(F.lit("a file that was not listed: "), path)).cast("long"))
+    return rows.withColumn(name, start + F.col(at)).drop(path, at, base)
+
+
+def with_rid(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(rid, id, text, more) of a stable frame: rid tells repeated rows apart."""
+    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
+    return numbered(own, "rid").select("rid", *own.columns)
 
 
 def per_text(df: DataFrame, fn: Callable[[str | None], tuple], columns: str, drop_text: bool = True) -> DataFrame:
@@ -70,9 +122,26 @@ def per_text(df: DataFrame, fn: Callable[[str | None], tuple], columns: str, dro
     return df.mapInArrow(run, schema)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has no more than `rows` rows, else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its values take `most` bytes at most, else df as it is; df should be cheap to scan."""
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType, ArrayType))]
+    fixed = 8 * (1 + len(df.columns))  # a row's head and a word for each column
+    length = lambda c: F.size(c) * 8 if isinstance(df.schema[c].dataType, ArrayType) else F.octet_length(c)
+    row = sum((F.coalesce(length(c), F.lit(0)) for c in wide), F.lit(fixed))
+    held = df.limit(most // fixed + 1).agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
+
+
+def join_hot(rows: DataFrame, classes: DataFrame, on: str, n: str, total: int) -> DataFrame:
+    """rows joined to classes (one row for each value of `on`, n of rows with it out of total); n goes.
+
+    Values that hold over one in HOT_KEYS rows are fewer than that, so they are broadcast; the rest are shuffled, and no
+    task gets more of one value than that share.
+    """
+    hot = F.col(n) * HOT_KEYS > total
+    few, many = F.broadcast(classes.filter(hot).drop(n)), classes.filter(~hot).drop(n)
+    rest = rows.join(F.broadcast(classes.filter(hot).select(on)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(many, on))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -84,10 +153,10 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows that gone (rid of with_rid over the same docs) names; columns stay as they are."""
+    """docs, a stable frame, without the rows that gone (rid of with_rid over the same docs) names; columns stay as they are."""
     rid = fresh(docs, "__rid")
-    rows = docs.withColumn(rid, F.monotonically_increasing_id())
-    return rows.join(small(gone.select(F.col("rid").alias(rid))), rid, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    rows = numbered(docs, rid)
+    return rows.join(small(cut(gone.select(F.col("rid").alias(rid)))), rid, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def crc_mod(c: Column, n: int) -> Column:

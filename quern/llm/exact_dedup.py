@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, per_text, small, with_rid, without
+from quern.llm.common import cut, join_hot, per_text, small, stable, with_rid, without
 
 PART_BYTES = 1 << 16
 #: Two primes below 2**31 and a base for each: a sum of PART_BYTES products of a byte and a power fits 64 bits.
@@ -71,54 +73,99 @@ def _digest(text: str | None) -> tuple[int, int, str]:
     return a << 31 | b, n, hashlib.sha256(data).hexdigest()
 
 
-def _short(text: str | None) -> tuple[int, int]:
-    data = (text or "").encode().lower()
-    a, b, n = fingerprint(data)
+def _part(text: str) -> tuple[bytes]:
+    return (np.array(fingerprint(text.encode().lower()), "<i8").tobytes(),)
+
+
+def _joined(parts: list[bytes]) -> tuple[int, int]:
+    a, b, n = reduce(combine, (tuple(np.frombuffer(p, "<i8").tolist()) for p in parts))
     return a << 31 | b, n
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each run of equal texts of a (fp, n, salt) group; only one text of each class is held."""
+def _huge(rows: DataFrame, part_chars: int) -> DataFrame:
+    """rid, id, fp, n, text_sha256 of rows whose texts are cut into parts that many tasks hash at once."""
+    text = F.coalesce("text", F.lit(""))
+    sha = F.sha2(F.translate(text, ascii_uppercase, ascii_lowercase).cast("binary"), 256)
+    starts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / part_chars).cast("int"))
+    parts = rows.select("rid", "text", F.explode(starts).alias("part"))
+    parts = parts.select("rid", "part", F.substring("text", F.col("part") * part_chars + 1, F.lit(part_chars)).alias("text"))
+    prints = per_text(parts.repartition("rid", "part"), _part, "f binary").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("part", "f"))).alias("fs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_joined([x["f"] for x in fs]) for fs in batch.column("fs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), *(pa.array([x[k] for x in own], pa.int64()) for k in range(2))], names=["rid", "fp", "n"])
+
+    prints = prints.mapInArrow(run, "rid long, fp long, n long")
+    return rows.select("rid", "id", sha.alias("text_sha256")).join(prints, "rid").select("rid", "id", "fp", "n", "text_sha256")
+
+
+def _first_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, rep) of rows sorted by (fp, n, salt, rid): rep is the first of the salt with the same text.
+
+    Texts stream past; one of each class of a salt is held.
+    """
     group, held = None, []
     for batch in batches:
-        out: list[tuple] = []
+        reps: list[int] = []
         keys = zip(*(batch.column(c).to_pylist() for c in ("fp", "n", "salt")))
-        for key, rid, text in zip(keys, batch.column("rid").to_pylist(), batch.column("text").to_pylist()):
-            data = (text or "").encode().lower()
+        for key, rid, text in zip(keys, batch.column("rid").to_pylist(), batch.column("text")):
+            data = (text.as_py() or "").encode().lower()
             if key != group:
                 group, held = key, []
-            for known, sha in held:
-                if same(known, data):
-                    break
-            else:
-                held.append((data, sha := hashlib.sha256(data).hexdigest()))
-            out.append((rid, sha))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], names=["rid", "class_sha"])
+            rep = next((r for r, known in held if same(known, data)), None)
+            if rep is None:
+                held.append((rid, data))
+            reps.append(rid if rep is None else rep)
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(reps, pa.int64())], names=["rid", "rep"])
+
 
+def _classes(rows: DataFrame, marks: DataFrame, rows_per_salt: int) -> DataFrame:
+    """(rid, rep) of rows whose fingerprint others have: rep is one row of their class of equal texts.
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 2000) -> DataFrame:
+    A group of over rows_per_salt rows is compared in salts of about so many; the first of each class in each salt
+    goes to the next round, in which there are fewer, until one salt holds all that are left.
+    """
+    groups = cut(marks.groupBy("fp", "n").count().filter("count > 1"))
+    todo = marks.select("rid", "fp", "n").join(small(groups), ["fp", "n"])
+    out, before = None, None
+    while True:
+        salts = F.ceil(F.col("count") / rows_per_salt)
+        named = todo.select("rid", "fp", "n", F.pmod(F.xxhash64("rid"), salts).alias("salt"), (salts > 1).alias("more"))
+        texts = rows.select("rid", "text").join(small(named), "rid").repartition("fp", "n", "salt").sortWithinPartitions("fp", "n", "salt", "rid")
+        found = texts.select("rid", "fp", "n", "salt", "text").mapInArrow(_first_equal, "rid long, rep long")
+        found = cut(found.join(named, "rid").select("rid", "rep", "fp", "n", "more"))
+        step = found.select("rid", "rep")
+        out = step if out is None else cut(out.withColumnRenamed("rep", "via").join(step.withColumnRenamed("rid", "via"), "via", "left").select("rid", F.coalesce("rep", "via").alias("rep")))
+        left = found.filter("more AND rid = rep").select("rid", "fp", "n")
+        sizes = left.groupBy("fp", "n").count()
+        waiting = left.count()
+        if not waiting:
+            return out
+        # Unlike texts of one fingerprint don't become fewer by rounds; then they meet all at once.
+        rows_per_salt = rows_per_salt if before is None or waiting < before else waiting
+        before, todo = waiting, left.join(small(cut(sizes)), ["fp", "n"])
+
+
+def exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 2000, huge_chars: int = 1 << 25, part_chars: int = 1 << 22
+) -> DataFrame:
     """One row per row of docs: rid, id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The largest id of a group stays.
-    A null id is smaller than any other; of rows that share the largest id the first in file order stays. An empty
-    table gives an empty result; other columns are not read.
+    A null id is smaller than any other; of rows that share the largest id the first in file order stays. Texts of
+    over huge_chars are hashed in parts by many tasks. An empty table gives an empty result; other columns are not read.
     """
-    rows = with_rid(docs, id_col, text_col)
-    marks = cut(per_text(rows, _digest, "fp long, n long, text_sha256 string"))
-    groups = marks.groupBy("fp", "n").count().filter("count > 1")
-    groups = small(groups.withColumn("salts", F.ceil(F.col("count") / rows_per_salt)).drop("count"))
-    # Only texts whose fingerprint occurs twice are moved. Large groups are salted; what one salt calls a class is
-    # named by its digest, under which the salts' classes meet again.
-    doubtful = per_text(rows, _short, "fp long, n long", drop_text=False).join(groups, ["fp", "n"])
-    doubtful = doubtful.withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")))
-    doubtful = doubtful.repartition("fp", "n", "salt").sortWithinPartitions("fp", "n", "salt")
-    verified = doubtful.select("rid", "fp", "n", "salt", "text").mapInArrow(_classes, "rid long, class_sha string")
-    members = cut(marks.join(verified, "rid").select("rid", "id", "fp", "n", "class_sha"))
-    classes = members.groupBy("fp", "n", "class_sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    members = members.join(small(classes), ["fp", "n", "class_sha"])
-    best = members.filter(F.col("id").eqNullSafe(F.col("keep_id")))
-    first = best.groupBy("fp", "n", "class_sha").agg(F.min("rid").alias("rid")).select("rid", F.lit(True).alias("first"))
-    info = members.join(first, "rid", "left").select("rid", "keep_id", "group_size", F.coalesce("first", F.lit(False)).alias("kept"))
+    rows = with_rid(stable(docs), id_col, text_col)
+    huge = F.coalesce(F.length("text"), F.lit(0)) > huge_chars
+    marks = per_text(rows.filter(~huge), _digest, "fp long, n long, text_sha256 string").unionByName(_huge(rows.filter(huge), part_chars))
+    marks = cut(marks)
+    members = cut(marks.select("rid", "id").join(_classes(rows, marks, rows_per_salt), "rid"))
+    best = F.max(F.struct("id", (-F.col("rid")).alias("first")))
+    classes = cut(members.groupBy("rep").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"), F.count(F.lit(1)).alias("n")))
+    classes = classes.select("rep", F.col("best.id").alias("keep_id"), (-F.col("best.first")).alias("keep_rid"), "group_size", "n")
+    info = join_hot(members.select("rid", "rep"), classes, "rep", "n", members.count())
+    info = info.select("rid", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"))
     alone = F.col("group_size").isNull()
     return marks.join(info, "rid", "left").select(
         "rid", "id",
@@ -129,6 +176,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were."""
-    return without(docs, exact_duplicates(docs, id_col, text_col).filter("not kept"))
+def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each group of equal texts, all columns as they were, whatever their names.
+
+    Null and empty texts are one group; ties and repeated rows go as in exact_duplicates; an empty table stays empty.
+    """
+    docs = stable(docs)
+    return without(docs, exact_duplicates(docs, id_col, text_col, **how).filter("not kept"))
