@@ -4,9 +4,9 @@ Each source's documents stand in a shuffled queue. A document's virtual finish t
 including it divided by the source's target; passes over the source follow each other in the queue. Over all
 sources, documents are taken by finish time while the running total stays within the budget.
 
-No running total puts a source, or all rows, into one task. Rows are dealt to buckets by range of their shuffle key,
-bucket totals are summed up in a small table, and rows are ordered inside their bucket. Finish times fall into time
-slots; only the slot in which the budget runs out is ordered, and its last taken entry is the cut for all others.
+Rows are sorted by range over all tasks, first each source's queue by its shuffle key and then all entries by finish
+time. A running total is a part's own running total upon the totals of the parts before it, which are a small table,
+so no source and no queue goes into one task. The mix is cut off where its running total passes the budget.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, fresh, small
+from quern.llm.common import cut, fresh, numbered, small, stable, with_rid
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Rows that a bucket or a time slot is meant to hold.
-ROWS_PER_BUCKET = 5_000
+#: Rows that a part of the global order is meant to hold, and parts at most.
+ROWS_PER_PART = 5_000
+PARTS = 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -48,6 +49,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("source_key", "source_size", target.alias("target"), "budget")
 
 
+def _sorted(rows: DataFrame, parts: int, *by: str) -> DataFrame:
+    """rows in global order: `part` numbers the ranges, which are written to the shared folder."""
+    return cut(rows.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()))
+
+
+def _starts(rows: DataFrame, *groups: str) -> DataFrame:
+    """(groups, part, start): words of a group before a part; a row for each part and group."""
+    words = rows.groupBy(*groups, "part").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy(*(groups or (F.lit(0),))).orderBy("part"))
+    return words.select(*groups, "part", "words", (upto - F.col("words")).alias("start"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -57,6 +70,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
     """rid, id, size, source_size, target, times, taken: one row per row of docs; taken = times * size.
 
@@ -65,49 +79,47 @@ def mix(
     file order. Texts are read once and only their word counts move. An empty table gives no rows. Other columns are
     not read.
     """
-    source = F.col(source_col).cast("string")
-    base = cut(
-        docs.select(
-            F.monotonically_increasing_id().alias("rid"),
-            F.col(id_col).cast("long").alias("id"),
-            F.coalesce(F.concat(F.lit("a"), source), F.lit("z")).alias("source_key"),
-            n_words(F.col(text_col).cast("string")).alias("size"),
-        )
-    )
-    buckets = max(128, base.count() // ROWS_PER_BUCKET)
+    source = F.coalesce(F.concat(F.lit("a"), F.col(source_col).cast("string")), F.lit("z")).alias("source_key")
+    base = with_rid(stable(docs), id_col, text_col, source)
     key = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f"/{seed}")))
-    rows = base.withColumn("key", key)
-    rows = rows.withColumn("b", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
-    words = rows.groupBy("source_key", "b").agg(F.sum("size").alias("words"))
-    goals = targets(words.groupBy("source_key").agg(F.sum("words").alias("source_size")), weights, share, cap)
-    starts = words.select("source_key", "b", (F.sum("words").over(Window.partitionBy("source_key").orderBy("b")) - F.col("words")).alias("start"))
-    inside = Window.partitionBy("source_key", "b").orderBy("key", "id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    queue = rows.withColumn("upto", F.sum("size").over(inside))
-    queue = queue.join(small(starts), ["source_key", "b"]).join(small(goals), "source_key")
+    base = cut(base.select("rid", "id", "source_key", n_words(F.col("text")).alias("size"), key.alias("key")))
+    parts = min(PARTS, max(8, base.count() // rows_per_part))
+    rows = _sorted(base, parts, "source_key", "key", "id", "size", "rid")
+    starts = cut(_starts(rows, "source_key"))
+    goals = targets(starts.groupBy("source_key").agg(F.sum("words").alias("source_size")), weights, share, cap)
+    goals = cut(starts.select("source_key", "part", "start").join(goals, "source_key"))
+    inside = Window.partitionBy("source_key", "part").orderBy("key", "id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    queue = rows.withColumn("upto", F.sum("size").over(inside)).join(small(goals), ["source_key", "part"]).drop("part")
 
     passes = F.sequence(F.lit(0), F.lit(int(-(-cap // 1)) - 1))
     at = (F.col("start") + F.col("upto") + F.col("p") * F.col("source_size")) / F.col("target")
     entry = queue.withColumn("p", F.explode(passes)).withColumn("finish", F.when(F.col("target") > 0, at).otherwise(F.lit(0.0)))
-    entry = entry.withColumn("slot", F.floor(F.least("finish", F.lit(8.0)) * 4 * buckets))
-    entry = cut(entry.select("rid", "id", "size", "source_size", "target", "budget", "slot", F.struct("finish", "source_key", "p", "key", "id", "size", "rid").alias("place")))
-    slots = entry.groupBy("slot", "budget").agg(F.sum("size").alias("words"))
-    slots = slots.withColumn("before", F.sum("words").over(Window.orderBy("slot")) - F.col("words"))
-    over = F.col("before") + F.col("words") > F.col("budget")
-    last = slots.filter(over).groupBy().agg(F.min_by(F.struct("slot", "before"), "slot").alias("l")).select(F.col("l.slot").alias("last_slot"), F.col("l.before").alias("before"))
-    edge = entry.join(F.broadcast(last), F.col("slot") == F.col("last_slot"))
-    running = F.col("before") + F.sum("size").over(Window.partitionBy("slot").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("fits", running <= F.col("budget")).filter("fits").groupBy().agg(F.max("place").alias("last_place"))
-    bound = last.join(edge, F.lit(True), "left")
-    # Both are single rows.
-    taken = entry.join(F.broadcast(bound), F.lit(True), "left")
-    fits = F.col("last_slot").isNull() | (F.col("slot") < F.col("last_slot")) | ((F.col("slot") == F.col("last_slot")) & F.coalesce(F.col("place") <= F.col("last_place"), F.lit(False)))
-    out = taken.groupBy("rid", "id", "size", "source_size", "target").agg(F.sum(fits.cast("long")).alias("times"))
+    order = ("finish", "source_key", "p", "key", "id", "size", "rid")
+    entry = _sorted(entry.select(*order, "source_size", "target", "budget"), parts, *order)
+    # Parts before the one in which the budget ends are taken whole; that one's own running total says how far it goes.
+    sums = cut(_starts(entry))
+    budget = entry.agg(F.first("budget").alias("budget"))
+    ends = sums.crossJoin(F.broadcast(budget)).filter(F.col("start") + F.col("words") > F.col("budget"))
+    last = cut(ends.agg(F.min_by(F.struct("part", "start", "budget"), "part").alias("l")).select("l.*")).first()
+    if last.part is None:
+        fits = F.lit(True)
+    else:
+        running = last.start + F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        inner = entry.filter(F.col("part") == last.part).withColumn("running", running).filter(F.col("running") <= last.budget)
+        bound = inner.agg(F.max(F.struct(*order)).alias("bound"))
+        entry = entry.join(F.broadcast(bound), F.lit(True), "left")
+        fits = (F.col("part") < last.part) | ((F.col("part") == last.part) & F.coalesce(F.struct(*order) <= F.col("bound"), F.lit(False)))
+    out = entry.groupBy("rid", "id", "size", "source_size", "target").agg(F.sum(fits.cast("long")).alias("times"))
     return out.withColumn("taken", F.col("times") * F.col("size"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix takes them: rows it takes twice stand there twice, and all columns are as they were."""
+    """docs as the mix takes them: rows it takes twice stand there twice, and all columns are as they were, whatever their names.
+
+    Rows without words are taken where their place in the queue is; repeated rows are told apart; an empty table stays empty.
+    """
+    docs = stable(docs)
     rid, times = fresh(docs, "__rid"), fresh(docs, "__times")
     plan = mix(docs, **how).filter("times > 0").select(F.col("rid").alias(rid), F.sequence(F.lit(1), F.col("times").cast("int")).alias(times))
-    rows = docs.withColumn(rid, F.monotonically_increasing_id()).join(small(plan), rid)
+    rows = numbered(docs, rid).join(small(cut(plan)), rid)
     return rows.withColumn(times, F.explode(times)).select(*(f"`{c}`" for c in docs.columns))
