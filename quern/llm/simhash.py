@@ -1,9 +1,9 @@
 """SimHash near-dedup with pigeonring filtering.
 
 A fingerprint is cut into segments that stand in a ring. If two fingerprints differ in at most t of 64 bits, then some
-segment begins a chain in which the first l segments together differ in at most l * t / m bits, for every l. With more
-segments than bits the first of a chain is equal, which gives candidates by an equality join; the budgets of the longer
-chains prune them before the full check.
+segment begins a chain in which the first l segments together differ in at most l * t / m bits, for every l. While l * t / m
+is below 1 the chain's segments are equal, which gives candidates by an equality join on all of them; the budgets of the
+longer chains prune these before the full check. With m = 3 t + 1 three segments are equal, 27 of 64 bits for t = 2.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, per_text, small, with_rid, without
+from quern.llm.common import cut, join_hot, per_text, small, stable, with_rid, without
 
 #: Shingles that are hashed and counted at a time.
 BLOCK = 1 << 14
@@ -61,8 +61,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _segment(c: Column, at: int, size: int) -> Column:
-    return F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << size) - 1))
+def _mask(ring: list[tuple[int, int]], first: int, n: int) -> int:
+    """Bits of the n segments of the ring from `first` on, as a signed integer."""
+    own = (ring[(first + k) % len(ring)] for k in range(n))
+    return _signed(sum(((1 << size) - 1) << at for at, size in own))
 
 
 def pigeonring(a: Column, b: Column, first: Column, max_bits: int, m: int) -> Column:
@@ -70,11 +72,7 @@ def pigeonring(a: Column, b: Column, first: Column, max_bits: int, m: int) -> Co
     ring = segments(m)
 
     def chain(i: int) -> Column:
-        mask, tests = 0, []
-        for n in range(1, m + 1):
-            at, size = ring[(i + n - 1) % m]
-            mask |= ((1 << size) - 1) << at
-            tests.append(F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(_signed(mask)))) <= n * max_bits // m)
+        tests = (F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(_mask(ring, i, n)))) <= n * max_bits // m for n in range(1, m + 1))
         return reduce(lambda x, y: x & y, tests)
 
     out = F.lit(False)
@@ -86,17 +84,19 @@ def pigeonring(a: Column, b: Column, first: Column, max_bits: int, m: int) -> Co
 def links(prints: DataFrame, max_bits: int = 2, crowd: int = 64) -> DataFrame:
     """(a, b) edges between fingerprints of prints (fp, distinct) such that components are those of all links.
 
-    Fingerprints that share a segment meet in a bucket. In buckets of up to `crowd`, pairs go through the pigeonring
-    filter. In fuller ones pairs would be too many. With max_bits 2, each fingerprint there is tied to itself and
+    Fingerprints that agree in the segments with which a chain must begin meet in a bucket. In buckets of up to `crowd`,
+    pairs go through the pigeonring filter. In fuller ones, which 27 equal bits make rare before ten thousand million
+    fingerprints, pairs would be too many. With max_bits 2, each fingerprint there is tied to itself and
     the 64 points one bit away: fingerprints share such a point exactly if they differ in 2 bits at most, so stars
     round the points give the same components with 65 rows each. Other max_bits have pairs in all buckets.
     """
-    m = max_bits + 1
+    m = 3 * max_bits + 1
     ring = segments(m)
-    spread = F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), _segment(F.col("fp"), *s).alias("val")) for i, s in enumerate(ring))))
+    equal = -(-m // max_bits) - 1 if max_bits else m
+    spread = F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(_mask(ring, i, equal))).alias("val")) for i in range(m))))
     rows = prints.select("fp", spread.alias("s")).select("fp", "s.seg", "s.val")
     sizes = rows.groupBy("seg", "val").count().filter("count > 1")
-    rows = cut(rows.join(sizes, ["seg", "val"]))
+    rows = cut(rows.join(small(cut(sizes)), ["seg", "val"]))
     ball = max_bits == 2
     few = rows.filter(F.col("count") <= crowd) if ball else rows
     x, y = few.select("seg", "val", F.col("fp").alias("a")), few.select("seg", "val", F.col("fp").alias("b"))
@@ -141,13 +141,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 2, id_col:
     texts have fingerprint 0 and link like any other. A null id is passed over as component_id unless there is
     no other. Repeated rows each get a row; an empty table gives none; other columns are not read.
     """
-    marks = cut(per_text(with_rid(docs, id_col, text_col), lambda t: (fingerprint(t, width),), "fp long"))
-    prints = marks.groupBy("fp").agg(F.min("id").alias("least"))
+    rows = with_rid(stable(docs), id_col, text_col)
+    marks = cut(per_text(rows, lambda t: (fingerprint(t, width),), "fp long"))
+    prints = cut(marks.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(prints.select("fp"), max_bits, crowd))
-    prints = prints.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = prints.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = prints.select("fp", "root").join(classes, "root").select("fp", "root", "component_id")
-    return marks.join(named, "fp").select("rid", "id", "fp", "root", "component_id")
+    prints = cut(prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", "root"))
+    linked = prints.filter("root IS NOT NULL")
+    classes = cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints")))
+    linked = join_hot(linked.select("fp", "n", "root"), classes, "root", "prints", linked.count())
+    alone = prints.filter("root IS NULL").select("fp", "n", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    named = cut(linked.select("fp", "n", "root", "component_id").unionByName(alone))
+    return join_hot(marks, named, "fp", "n", marks.count()).select("rid", "id", "fp", "root", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
