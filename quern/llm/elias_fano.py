@@ -76,8 +76,11 @@ class EliasFano:
             out[at : at + STEP] = (high << np.uint64(self.low_bits)) | self._low(k)
         return out
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x, or -1: the elements of x's high part lie between two zeros, and their low bits are searched."""
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Index of each x, or -1, in the whole sequence or among elements first to end (exclusive).
+
+        The elements of x's high part lie between two zeros; those of them in the range are halved by their low bits.
+        """
         out = np.full(len(x), -1, np.int64)
         if not self.n:
             return out
@@ -85,10 +88,15 @@ class EliasFano:
         for at in range(0, len(x), STEP):
             part = np.asarray(x[at : at + STEP], np.uint64)
             high = (part >> np.uint64(self.low_bits)).astype(np.int64)
-            ask = np.flatnonzero((high >= 0) & (high <= last))
+            ok = (high >= 0) & (high <= last)
+            if first is not None:
+                ok &= first[at : at + STEP] < end[at : at + STEP]
+            ask = np.flatnonzero(ok)
             high, low = high[ask], part[ask] & np.uint64((1 << self.low_bits) - 1)
             a = np.where(high > 0, self._select(self.zeros, np.maximum(high - 1, 0), 0) - high + 1, 0)
             b = self._select(self.zeros, high, 0) - high
+            if first is not None:
+                a, b = np.maximum(a, first[at + ask]), np.minimum(b, end[at + ask])
             while len(ask):  # halve [a, b) for all that are left
                 live = a < b
                 ask, a, b, low = ask[live], a[live], b[live], low[live]
@@ -117,8 +125,8 @@ class Trie:
     """Contexts, and for each its successors with a quantised log10 probability.
 
     Level one holds context hashes; level two holds successors, made monotone by the context's index above SUCCESSOR
-    bits, so a context's successors are those of one high range and a successor is looked for there alone. pointers
-    give the range of each context. Codes are one byte: 0 for none, else a probability's logarithm in even steps.
+    bits. Pointers, monotone too, give the range of each context's successors, and a successor is looked for in the range
+    of its context alone. Codes are one byte: 0 for none, else a probability's logarithm in even steps.
     """
 
     SUCCESSOR = 42
@@ -157,14 +165,20 @@ class Trie:
     def context(self, hashes: np.ndarray) -> np.ndarray:
         return self.contexts.find(hashes)
 
-    def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Codes of (context index, successor) pairs; -1 as context is none."""
-        key = (np.maximum(context, 0).astype(np.uint64) << np.uint64(self.SUCCESSOR)) | successor
-        at = np.where(context >= 0, self.successors.find(key), -1)
-        return np.where(at >= 0, self.codes[np.maximum(at, 0)] if len(self.codes) else 0, 0).astype(np.uint8)
-
     def range(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.pointers.get(context).astype(np.int64), self.pointers.get(context + 1).astype(np.int64)
+        """First and end of the successors of each context index; an empty range for -1."""
+        if self.pointers.n < 2:  # no context
+            return np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+        at = np.maximum(context, 0)
+        first, end = self.pointers.get(at).astype(np.int64), self.pointers.get(at + 1).astype(np.int64)
+        return first, np.where(context >= 0, end, first)
+
+    def lookup(self, context: np.ndarray, sizes: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Codes of successors of contexts; the first sizes[0] successors are asked of context[0], and so on; -1 as context is none."""
+        first, end = (np.repeat(x, sizes) for x in self.range(context))
+        key = (np.repeat(np.maximum(context, 0), sizes).astype(np.uint64) << np.uint64(self.SUCCESSOR)) | successor
+        at = self.successors.find(key, first, end)
+        return np.where(at >= 0, self.codes[np.maximum(at, 0)] if len(self.codes) else 0, 0).astype(np.uint8)
 
 
 def scratch() -> tempfile.TemporaryDirectory:

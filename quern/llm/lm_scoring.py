@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, with_rid
+from quern.llm.common import cut, stable, with_rid
 from quern.llm.elias_fano import Trie, scratch
 
 DISCOUNT = 0.75
@@ -31,8 +31,8 @@ BLOCK_TOKENS = 3_000_000
 SHARD_TOKENS = 4_000_000
 #: Successors of one context, summed over blocks, that one shard is meant to hold.
 HOT_SUCCESSORS = 1_000_000
-#: Contexts with fewer successors in a block are not counted when hot ones are looked for.
-HOT_IN_BLOCK = 1_000
+#: Contexts that are spread over shards at most; all tasks know which they are.
+HOT_CONTEXTS = 100_000
 SUCCESSOR = np.uint64(64 - Trie.SUCCESSOR)
 
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" ", b"\n"))  # neither can be a word
@@ -63,7 +63,7 @@ def _from_six(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_BLOCK = "block long, rids binary, ids binary, has_id binary, train binary, lengths binary, tokens binary, words binary"
+_BLOCK = "block long, n_tokens long, rids binary, ids binary, has_id binary, train binary, lengths binary, tokens binary, words binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         renumber = np.zeros(len(hashes) + 1, np.uint32)
         renumber[order + 1] = np.arange(1, len(hashes) + 1)
         column = lambda k, t: np.array([d[k] for d in docs], t).tobytes()
-        values = (partition << 32 | at, column(0, "<i8"), column(1, "<i8"), column(2, "u1"), column(3, "u1"), column(4, "<i8"), _pack(renumber[flat]), hashes[order].tobytes())
+        values = (partition << 32 | at, total, column(0, "<i8"), column(1, "<i8"), column(2, "u1"), column(3, "u1"), column(4, "<i8"), _pack(renumber[flat]), hashes[order].tobytes())
         return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
     for batch in batches:
@@ -128,40 +128,47 @@ class _Block:
     def plan(self, shards: int, hot: dict[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(shard, pairs, contexts, of): of[k] is the place in contexts of pair k's; both sorted by hash.
 
-        Every part of a spread context is asked for its totals, with or without pairs.
+        Shards of which the block has nothing to ask are left out, so a block has no more rows than pairs, and a few for
+        spread contexts: each of their parts is asked for its totals, with or without pairs.
         """
-        home = self.hashes % np.uint64(shards)
+        home = (self.hashes % np.uint64(shards)).astype(np.int64)
         parts = np.ones(len(self.hashes), np.int64)
-        for h, n in hot.items():
-            parts[self.hashes == np.uint64(h)] = n
+        if hot:
+            names = np.array(sorted(hot), np.uint64)
+            at = np.minimum(np.searchsorted(names, self.hashes), len(names) - 1)
+            parts = np.where(names[at] == self.hashes, np.array([hot[h] for h in names.tolist()])[at], 1)
         follower = self.hashes[self.next]
-        shard = (home[self.context].astype(np.int64) + (follower >> np.uint64(7)).astype(np.int64) % parts[self.context]) % shards
+        shard = (home[self.context] + (follower >> np.uint64(7)).astype(np.int64) % parts[self.context]) % shards
         by = np.lexsort((follower >> SUCCESSOR, self.hashes[self.context], shard))
-        edges = np.searchsorted(shard[by], np.arange(shards + 1))
-        spread = np.flatnonzero(parts > 1)
-        spread = spread[np.isin(spread, self.context)]
         used = np.unique(self.context)
-        order = used[np.argsort(self.hashes[used])]
-        for s in range(shards):
-            pairs = by[edges[s] : edges[s + 1]]
-            own = np.unique(np.concatenate((self.context[pairs], spread[(s - home[spread].astype(np.int64)) % shards < parts[spread]])))
-            if len(own):
-                own = own[np.argsort(self.hashes[own])]
-                yield s, pairs, own, np.searchsorted(self.hashes[own], self.hashes[self.context[pairs]])
+        spread = used[parts[used] > 1]
+        extra = np.repeat(spread, parts[spread])
+        nth = np.arange(len(extra)) - np.repeat(np.cumsum(parts[spread]) - parts[spread], parts[spread])
+        extra_shard = (home[extra] + nth) % shards
+        for s in np.unique(np.concatenate((shard, extra_shard))):
+            first, end = np.searchsorted(shard[by], (s, s + 1))
+            pairs = by[first:end]
+            own = np.unique(np.concatenate((self.context[pairs], extra[extra_shard == s])))
+            own = own[np.argsort(self.hashes[own])]
+            yield int(s), pairs, own, np.searchsorted(self.hashes[own], self.hashes[self.context[pairs]])
 
 
 def _rows(table: pa.Table) -> list[dict]:
     return table.to_pylist()
 
 
-def _hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of a block with many successors in it."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            block = _Block(row)
-            counts = np.bincount(block.context, minlength=len(block.hashes))
-            many = np.flatnonzero(counts >= HOT_IN_BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(block.hashes[many].view(np.int64)), pa.array(counts[many])], names=["context", "n"])
+def _hot(least: int):
+    """Contexts of a block with that many successors in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = _Block(row)
+                counts = np.bincount(block.context, minlength=len(block.hashes))
+                many = np.flatnonzero(counts >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(block.hashes[many].view(np.int64)), pa.array(counts[many])], names=["context", "n"])
+
+    return run
 
 
 _ASK = "shard int, block long, contexts binary, sizes binary, successors binary, counts binary"
@@ -213,8 +220,7 @@ def _shard(table: pa.Table, hot: frozenset[int]) -> pa.Table:
         out = []
         for r, own, key in zip(asks, lists, keys):
             at = trie.context(own)
-            of = np.repeat(at, _unpack(r["sizes"], "<u4"))
-            codes = trie.lookup(of, key & np.uint64((1 << Trie.SUCCESSOR) - 1))
+            codes = trie.lookup(at, _unpack(r["sizes"], "<u4"), key & np.uint64((1 << Trie.SUCCESSOR) - 1))
             out.append((r["shard"], r["block"], _pack(totals[at].astype("<u8")), _pack(kinds[at].astype("<u8")), _pack(codes), int(totals.sum()), words, spread))
         del trie
     arrays = [pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out]) for k in range(1, 7)), pa.array([x[7] for x in out], pa.list_(pa.int64()))]
@@ -271,14 +277,16 @@ def lm_scores(docs: DataFrame, fold: int = 7, held_out: int = 2, id_col: str = "
     """
     spark = docs.sparkSession
     out_of_fold = F.coalesce(F.crc32(F.encode(F.col("id").cast("string"), "UTF-8")) % fold == held_out, F.lit(True))
-    rows = with_rid(docs, id_col, text_col).withColumn("train", (~out_of_fold).cast("int"))
+    rows = with_rid(stable(docs), id_col, text_col).withColumn("train", (~out_of_fold).cast("int"))
     blocks = cut(rows.mapInArrow(_blocks, _BLOCK))
-    hot_rows = blocks.mapInArrow(_hot, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_SUCCESSORS)
-    size = blocks.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.length("tokens")), F.lit(0))).first()
-    # About two packed bytes a token. The number of contexts that one trie holds bounds the shards from below.
-    shards = int(max(4, size[2] // 2 // SHARD_TOKENS, size[0] // 8 // 2_000_000))
-    # As many rows as contexts with over HOT_SUCCESSORS successors: pairs / HOT_SUCCESSORS at most.
-    hot = {r["context"] % (1 << 64): min(shards, -(-r["n"] // HOT_SUCCESSORS)) for r in hot_rows.collect()}
+    size = blocks.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    # The number of contexts that one trie holds bounds the shards from below.
+    shards = int(max(4, size[2] // SHARD_TOKENS, size[0] // 8 // 2_000_000))
+    # A context with over `limit` successors has half of them in blocks with limit / (2 * blocks) or more; each of these rows
+    # stands for limit / 2 of all tokens, so that there are HOT_CONTEXTS at most.
+    limit = max(HOT_SUCCESSORS, 2 * size[2] // HOT_CONTEXTS)
+    seen = blocks.mapInArrow(_hot(max(1, limit // (2 * max(1, size[1])))), "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    hot = {r["context"] % (1 << 64): min(shards, -(-r["n"] * 2 // limit)) for r in seen.filter(F.col("n") * 2 > limit).collect()}
     asks = blocks.mapInArrow(_asks(shards, hot), _ASK)
     spread = frozenset(hot)
     answers = cut(asks.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _shard(t, spread), _ANSWER))
