@@ -3,11 +3,12 @@
 A conversation becomes one marked-up string; every assistant turn of it becomes an example whose context is all that
 stands before the reply and whose loss mask covers that reply alone. Examples hold offsets into the conversation's
 string, so a conversation of n turns takes room for n turns and not for n * n / 2; `materialise` cuts them out.
+Offsets are running sums over a conversation's turns, in the same shuffle that brings the turns together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
@@ -30,51 +31,45 @@ def unescape(c: Column) -> Column:
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, text, spans): one row per conversation of rows (conv_id, turn, role, text).
 
-    text is the marked-up conversation; spans has (turn_no, start, end) of each assistant reply, in code points from 0.
-    Null roles and texts are empty. Turns go by (turn, role, text), a null turn first; repeated rows are turns of their
-    own. A null conv_id is a conversation like any other. An empty table gives no rows; other columns are not read.
+    text is the marked-up conversation; spans has (turn_no, start, end, reply) of each assistant turn, in code points from
+    0; reply is escaped as it stands in text. Null roles and texts are empty. Turns go by (turn, role, text), a null turn
+    first; repeated rows are turns of their own. A null conv_id is a conversation like any other. An empty table gives
+    no rows; other columns are not read.
     """
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turns = rows.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), blank("role").alias("role"), blank("text").alias("text")).alias("t"))
-    turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    marked = turns.select(
-        "conv_id",
-        F.transform(
-            "turns",
-            lambda t: F.struct(
-                F.concat(F.lit(ROLE), escape(t.role), F.lit(TEXT)).alias("head"),
-                escape(t.text).alias("body"),
-                (t.role == "assistant").alias("reply"),
-            ),
-        ).alias("turns"),
-    )
-    pieces = F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END)))
-    # Where each turn ends: a fold over turns that appends one number each.
-    ends = F.aggregate(
-        F.transform("turns", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(END)),
-        F.array(F.lit(0)),
-        lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)),
-    )
-    marked = marked.select("conv_id", F.array_join(pieces, "").alias("text"), "turns", ends.alias("ends"))
-    spans = F.transform(
-        "turns",
-        lambda t, i: F.struct(
-            i.alias("turn_no"),
-            (F.get("ends", i) + F.length(t["head"])).alias("start"),
-            (F.get("ends", i + 1) - len(END)).alias("end"),
-            t["reply"].alias("reply"),
-        ),
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    turns = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"))
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = turns.select("conv_id", "role", F.row_number().over(so_far).alias("turn_no"), F.concat(F.lit(ROLE), escape(F.col("role")), F.lit(TEXT)).alias("head"), escape(F.col("text")).alias("body"), "turn", "text")
+    size = F.length("head") + F.length("body") + len(END)
+    turns = turns.withColumn("upto", F.sum(size).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    end = F.col("upto") - len(END)
+    each = F.struct(
+        (F.col("turn_no") - 1).alias("turn_no"),
+        F.concat("head", "body", F.lit(END)).alias("piece"),
+        (end - F.length("body")).alias("start"),
+        end.alias("end"),
+        F.when(F.col("role") == "assistant", F.col("body")).alias("reply"),
     )
-    spans = F.transform(F.filter(spans, lambda s: s["reply"]), lambda s: F.struct(s["turn_no"], s["start"], s["end"]))
-    return marked.select("conv_id", "text", spans.alias("spans"))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(each)).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["reply"].isNotNull()), lambda t: F.struct(t["turn_no"], t["start"], t["end"], t["reply"]))
+    return whole.select("conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("text"), spans.alias("spans"))
 
 
-def expand(conversations: DataFrame) -> DataFrame:
+def expand(conversations: DataFrame, with_text: bool = False) -> DataFrame:
     """(conv_id, example, n_context_turns, context_chars, loss_start, loss_end, reply): a row per assistant turn.
 
     The example's text is text[0 : loss_end + len(END)] of its conversation, and only [loss_start, loss_end) is trained on.
+    A conversation without replies has no row, unless with_text adds a row for each conversation with a null example and
+    the conversation's `text`, which is null in all other rows: so it goes along once, whatever the number of examples.
     """
-    one = conversations.select("conv_id", "text", F.posexplode("spans").alias("example", "s"))
+    one = conversations
+    if with_text:
+        none = F.lit(None).cast(conversations.schema["spans"].dataType.elementType)
+        first = F.struct(none.alias("s"), F.col("text").alias("text"))
+        rest = F.transform("spans", lambda s: F.struct(s.alias("s"), F.lit(None).cast("string").alias("text")))
+        one = one.select("conv_id", F.posexplode(F.concat(F.array(first), rest)).alias("nth", "e")).select("conv_id", F.when(F.col("nth") > 0, F.col("nth") - 1).alias("example"), "e.s", "e.text")
+    else:
+        one = one.select("conv_id", F.posexplode("spans").alias("example", "s"))
     return one.select(
         "conv_id",
         "example",
@@ -82,18 +77,22 @@ def expand(conversations: DataFrame) -> DataFrame:
         F.col("s.start").alias("context_chars"),
         F.col("s.start").alias("loss_start"),
         F.col("s.end").alias("loss_end"),
-        F.expr("substring(text, s.start + 1, s.end - s.start)").alias("reply"),
+        F.col("s.reply").alias("reply"),
+        *(["text"] if with_text else []),
     )
 
 
 def materialise(conversations: DataFrame) -> DataFrame:
-    """Examples with their whole text: (conv_id, example, context, reply, text, loss_start, loss_end)."""
+    """Examples with their whole text: (conv_id, example, context, reply, text, loss_start, loss_end).
+
+    Rows are as in expand; this takes the room of all prefixes.
+    """
     one = conversations.select("conv_id", "text", F.posexplode("spans").alias("example", "s"))
     return one.select(
         "conv_id",
         "example",
         F.expr("substring(text, 1, s.start)").alias("context"),
-        F.expr("substring(text, s.start + 1, s.end - s.start)").alias("reply"),
+        F.col("s.reply").alias("reply"),
         F.expr(f"substring(text, 1, s.end + {len(END)})").alias("text"),
         F.col("s.start").alias("loss_start"),
         F.col("s.end").alias("loss_end"),

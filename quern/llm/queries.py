@@ -12,25 +12,24 @@ from quern.llm.common import table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probe = "</s>[INST] ok [/INST]"
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    probe = F.lit("</s>[INST] ok [/INST]").alias("text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, probe)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    whole = chat_format.format_conversations(rows)
-    examples = chat_format.expand(whole)
-    replies = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "reply"))).alias("r"))
-    said = F.array_join(F.transform("r", lambda x: chat_format.unescape(x["reply"])), "")
-    losses = replies.select(F.col("conv_id").alias("c"), F.size("r").cast("long").alias("n_examples"), said.alias("said"))
-    out = whole.join(losses, F.col("conv_id").eqNullSafe(F.col("c")), "left").withColumn("turns", chat_format.read_back(F.col("text")))
+    examples = chat_format.expand(chat_format.format_conversations(rows), with_text=True)
+    own = F.when(F.col("example").isNotNull(), F.struct("example", "reply"))
+    whole = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(own)).alias("replies"), F.max("text").alias("text"))
+    said = F.array_join(F.transform("replies", lambda x: chat_format.unescape(x["reply"])), "")
+    out = whole.select("conv_id", "text", F.size("replies").alias("n_examples"), said.alias("said"), chat_format.read_back(F.col("text")).alias("turns"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    said = F.coalesce("said", F.lit(""))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.encode(flat, "UTF-8"), 256).alias("turns_sha256"),
-        F.length(said).cast("long").alias("loss_chars"),
-        F.sha2(F.encode(said, "UTF-8"), 256).alias("loss_sha256"),
+        F.length("said").cast("long").alias("loss_chars"),
+        F.sha2(F.encode("said", "UTF-8"), 256).alias("loss_sha256"),
         F.length("text").cast("long").alias("formatted_chars"),
-        F.coalesce("n_examples", F.lit(0)).alias("n_examples"),
+        F.col("n_examples").cast("long").alias("n_examples"),
     )
 
 
