@@ -510,6 +510,21 @@ def test_elias_fano_finds_all_and_nothing_else(values, shift):
     assert coded.find(asked).tolist() == [place.get(x, -1) for x in asked.tolist()]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(0, 40), st.lists(st.integers(0, 30), max_size=6), max_size=12))
+def test_trie_looks_successors_up_in_their_contexts_range(grams):
+    contexts = sorted(grams)
+    successors = [sorted(set(grams[c])) for c in contexts]
+    keys = np.array([i << elias_fano.Trie.SUCCESSOR | x for i, own in enumerate(successors) for x in own], np.uint64)
+    trie = elias_fano.Trie(np.array(contexts, np.uint64), keys, np.full(len(keys), 0.25))
+    at = trie.context(np.array([*contexts, 99], np.uint64))
+    assert at.tolist() == [*range(len(contexts)), -1]
+    first, end = trie.range(at)
+    assert (end - first).tolist() == [*map(len, successors), 0]
+    codes = trie.lookup(at, np.full(len(at), 31), np.tile(np.arange(31, dtype=np.uint64), len(at)))
+    assert (codes.reshape(-1, 31) > 0).tolist() == [[x in own for x in range(31)] for own in [*successors, []]]
+
+
 # 9. Suffix dedup
 
 
@@ -545,13 +560,43 @@ def test_crowded_anchors_give_the_same(spark, monkeypatch):
 
 def test_blocks_of_a_text_share_no_window(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SPAN", 256)
+    monkeypatch.setattr(suffix_dedup, "_tables", [])
     data = random.Random(9).randbytes(5000)
     for n in (59, 60, 255, 256, 257, 453, 5000):
-        _, first, count, _ = suffix_dedup.anchors(data[:n], 60)
-        seen = [f + k for f, c in zip(first.tolist(), count.tolist()) for k in range(c)]
+        _, first, count, _, times = suffix_dedup.anchors(data[:n], 60)
+        seen = [f + k for f, c, t in zip(first.tolist(), count.tolist(), times.tolist()) for k in range(c * t)]
         assert seen == list(range(max(0, n - 59)))
 
 
+@pytest.mark.parametrize("keep_first", [True, False])
+@pytest.mark.parametrize("crowd", [3, 1000])
+def test_runs_of_a_sign_take_few_rows(spark, keep_first, crowd, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "REPEATS", 100)
+    assert len(suffix_dedup.anchors(b" " * 5000, 60)[0]) == 50
+    texts = ["x" * 700, "start" + "x" * 130 + "end", "ab" * 300, "cab" * 100 + "x" * 64, "abc" * 90 + "q", " " * 59, " " * 60, " " * 61]
+    data = [(i, t, "s") for i, t in enumerate(texts)]
+    got = suffix_dedup.repeated_passages(frame(spark, data), 60, keep_first)
+    same(got.select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), list(brute_removed(data, 60, keep_first)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([b"aaab", b"aab", b"b", b"a", b"abab"]), min_size=1, max_size=40), st.integers(1, 6))
+def test_longest_previous_factors_are_those_of_brute_force(parts, depth):
+    data = b"".join(parts)
+    n = len(data) - depth + 1
+    if n < 1:
+        return
+    windows = np.array([np.frombuffer(data[i : i + depth], np.uint8) for i in range(n)])
+    order = np.array(sorted(range(n), key=lambda i: (data[i : i + depth], hash((i, depth)))))
+    shared = suffix_dedup.common_prefixes(windows[order])
+    factors, sources = suffix_dedup.longest_previous_factors(order, shared, np.arange(n), depth)
+    later = [data[i : i + depth] in {data[j : j + depth] for j in range(i)} for i in range(n)]
+    assert (factors >= depth).tolist() == later
+    count = Counter(data[i : i + depth] for i in range(n))
+    assert ((factors >= depth) | sources).tolist() == [count[data[i : i + depth]] > 1 for i in range(n)]
+
+
 @pytest.mark.parametrize("keep_first", [True, False])
 def test_long_texts_lose_only_what_is_repeated(spark, keep_first):
     rnd = random.Random(9)
