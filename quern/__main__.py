@@ -1,4 +1,4 @@
-"""python -m quern process PAGES RUN | index full|incremental|clear|stats INDEX [RUN]
+"""python -m quern crawl PAGES RUN [--state STATE] | process PAGES RUN | index full|incremental|clear|stats INDEX [RUN]
 
 Exit codes: 0 done, 1 failed, 2 bad arguments, 130 interrupted.
 """
@@ -15,6 +15,13 @@ SCHEMA = "id string, text string, page_title string, url string, section string,
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quern")
     commands = parser.add_subparsers(dest="command", required=True)
+    crawl = commands.add_parser("crawl", help="a breadth-first crawl over a page table, to page files, a report and a state")
+    crawl.add_argument("pages")
+    crawl.add_argument("run")
+    crawl.add_argument("--state", help="where the state of pages is read and written anew; default: RUN/state")
+    crawl.add_argument("--mode", choices=("full", "incremental"), default="incremental")
+    crawl.add_argument("--max-pages", type=int, default=None)
+    crawl.add_argument("--seed", action="append", default=[], help="a URL besides the start URL")
     process = commands.add_parser("process", help="page files or a page table to documents and chunks")
     process.add_argument("pages")
     process.add_argument("run")
@@ -44,6 +51,8 @@ def _run(args: argparse.Namespace) -> int:
     from quern.sources import files
 
     spark = SparkSession.builder.getOrCreate()
+    if args.command == "crawl":
+        return _crawl(args, spark)
     if args.command == "process":
         table = args.pages.endswith(".parquet")
         pages, bad = (spark.read.parquet(args.pages), None) if table else files.read_pages(spark, args.pages)
@@ -68,5 +77,29 @@ def _run(args: argparse.Namespace) -> int:
     return 0
 
 
+def _crawl(args: argparse.Namespace, spark) -> int:
+    from pyspark.sql import functions as F
+
+    from quern.config import CrawlConfig, SiteConfig, utc_now
+    from quern.operators import crawl, health
+    from quern.sources import files
+
+    site, now = SiteConfig(), utc_now()
+    config = CrawlConfig(mode=args.mode) if args.max_pages is None else CrawlConfig(mode=args.mode, max_pages=args.max_pages)
+    before = files.read_state(spark, args.state or f"{args.run}/state")
+    seed = crawl.seeds(spark, args.seed, site.start_url, before, args.mode)
+    fetched, decided, _ = crawl.crawl(spark.read.parquet(args.pages), seed, before, site.allowed_hosts, config)
+    kept = fetched.filter(F.col("outcome").isin("new", "updated"))
+    kept = kept.select("url", "final_url", "status_code", F.col("title").alias("page_title"), "headings", "visible_text", "content_hash", F.lit(now).alias("scraped_at"), F.lit(now).alias("crawl_timestamp"), "links", "html", "depth")
+    files.write_pages(kept, args.run)
+    counts = crawl.outcome_counts(fetched).first().asDict() | crawl.stats(decided).first().asDict() | {"mode": args.mode, "generated_at": now}
+    files.write_report(health.crawl_report(fetched, decided), counts, args.run)
+    changes = fetched.select("url", "title", "content_hash", "status", F.lit(now).alias("last_scraped"))
+    after = crawl.checkpointed(crawl.upsert_state(before, changes, now))  # it may be written where it was read
+    files.write_state(after, args.state or f"{args.run}/state", now)
+    print(json.dumps(counts))
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

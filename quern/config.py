@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 # Words that a question's terms leave out.
 STOPWORDS: tuple[str, ...] = tuple(
@@ -85,6 +86,39 @@ class CrawlConfig:
             raise ValueError("mode must be full or incremental")
 
 
+# Elements of a page that only a signed-in user sees.
+AUTH_SELECTORS = (
+    "#O365_MainLink_Me",
+    "#meInitialsButton",
+    "#SuiteNavWrapper",
+    "#O365_Header",
+    "#spSiteHeader",
+    "#sp-appBar",
+    "[data-automationid='SiteHeader']",
+    "button[aria-label*='Account' i]",
+    "a[aria-label*='Sign out' i]",
+    "a[href*='logout' i]",
+    "a[href*='signout' i]",
+    "#mectrl_main_trigger",
+    ".o365sx-navbar",
+    "[data-automation-id='SimpleSiteHeader']",
+)
+
+
+def auth_selectors(raw: str | None) -> tuple[str, ...]:
+    """A comma list of selectors, or AUTH_SELECTORS if it names none."""
+    return tuple(filter(None, map(str.strip, (raw or "").split(",")))) or AUTH_SELECTORS
+
+
+def utc_now(at: datetime | None = None) -> str:
+    return (at or datetime.now(timezone.utc)).isoformat(timespec="seconds")
+
+
+def run_name(prefix: str, at: datetime | None = None) -> str:
+    """A run's folder: prefix_YYYYmmdd_HHMMSS in UTC."""
+    return f"{prefix}_{(at or datetime.now(timezone.utc)).strftime('%Y%m%d_%H%M%S')}"
+
+
 @dataclass(frozen=True)
 class ModelConfig:
     """A deployment's name wins over the model's where the provider is a hosted deployment."""
@@ -97,6 +131,17 @@ class ModelConfig:
         return (self.deployment or self.model) if self.provider == "azure" else self.model
 
 
+def read_env(text: str) -> dict[str, str]:
+    """NAME=value lines of a .env file; quotes round a value go, and so do blank lines and comments."""
+    out = {}
+    for line in text.splitlines():
+        name, equals, value = line.strip().removeprefix("export ").partition("=")
+        if equals and not name.lstrip().startswith("#"):
+            value = value.strip()
+            out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
+    return out
+
+
 def from_environment(cls, prefix: str, env: dict[str, str]):
     """A config with fields overridden by PREFIX_FIELD entries of env; bad numbers raise."""
     from dataclasses import fields

@@ -130,18 +130,23 @@ def markdown_links(c: Column | str) -> Column:
     return F.zip_with(texts, urls, lambda t, u: F.struct(t.alias("text"), u.alias("url")))
 
 
+# Patterns of secrets in logs and in errors.
+LOG_SECRET = r"(?i)(cookie|set-cookie|authorization|bearer|password|passwd|secret|token|mfa|otp)\s*[=:]\s*\S+"
+ERROR_SECRET = r"(?i)(api[_-]?key|password|secret|token)\s*[=:]\s*\S+"
+BEARER = r"(?i)\bbearer\s+\S+"
+KEY = r"\bsk-[A-Za-z0-9_-]{8,}"
+
+
 def redact(c: Column | str) -> Column:
-    t = F.regexp_replace(blank(c), rf"(?i)(cookie|set-cookie|authorization|bearer|password|passwd|secret|token|mfa|otp)\s*[=:]\s*\S+", "$1=***")
-    return F.regexp_replace(t, r"(?i)\bbearer\s+\S+", "bearer ***")
+    return F.regexp_replace(F.regexp_replace(blank(c), LOG_SECRET, "$1=***"), BEARER, "bearer ***")
 
 
 def safe_error(kind: Column | str, message: Column | str) -> Column:
     """`Kind: message` without secrets; a blank message is the kind."""
     kind = _c(kind)
     t = default(strip(blank(message)), kind)
-    t = F.regexp_replace(t, r"(?i)(api[_-]?key|password|secret|token)\s*[=:]\s*\S+", "$1=***")
-    t = F.regexp_replace(t, r"(?i)\bbearer\s+\S+", "bearer ***")
-    return F.concat(kind, F.lit(": "), F.regexp_replace(t, r"\bsk-[A-Za-z0-9_-]{8,}", "***"))
+    t = F.regexp_replace(F.regexp_replace(t, ERROR_SECRET, "$1=***"), BEARER, "bearer ***")
+    return F.concat(kind, F.lit(": "), F.regexp_replace(t, KEY, "***"))
 
 
 def configured(c: Column | str) -> Column:

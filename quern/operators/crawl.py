@@ -5,7 +5,6 @@ Pages come from a supplied table; nothing here touches a network.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,19 +13,12 @@ from pyspark.sql import functions as F
 from quern.config import CrawlConfig
 from quern.functions import urls
 from quern.functions.text import blank, query_terms
+from quern.operators.frames import best_holders, checkpointed
 
 STATUSES = ("PENDING", "PROCESSING", "PROCESSED", "UPDATED", "FAILED", "ACCESS_DENIED", "SKIPPED")
 STATE = "url string, title string, content_hash string, last_scraped string, last_updated string, status string, error string, document_links array<string>"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the session's shared folder; a folder is set only where there is none."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
-    return df.checkpoint(eager=True)
-
-
 def admission(url: Column, depth: Column, hosts: Iterable[str], max_depth: int = CrawlConfig().max_depth, robots: Column | None = None) -> Column:
     """What becomes of a link, by the first rule that fits; the caller looks for duplicates and minds the page budget."""
     hosts = list(hosts)
@@ -145,15 +137,10 @@ def is_unchanged(old_hash: Column, new_hash: Column) -> Column:
     return F.coalesce((blank(old_hash) != "") & (old_hash == new_hash), F.lit(False))
 
 
-def _score(text: Column, terms: Column) -> Column:
-    low = F.lower(text)
-    return F.size(F.filter(terms, lambda t: F.contains(low, t)))
-
-
 def rank_catalog(state: DataFrame, questions: DataFrame, hosts: Iterable[str], limit: int = 10) -> DataFrame:
     """(query_id, rank, url, score) of state's internal pages by how many of a question's terms their title, URL and documents hold.
 
-    Questions are a stated set that goes to every task; each task keeps its best pages for a question.
+    Questions are a stated set that goes to the tasks in blocks; each task keeps its best pages for a question.
     """
     url = F.coalesce(urls.normalize_url("url"), F.col("url"))
     rows = state.filter(urls.is_internal("url", hosts)).select(url.alias("url"), "title", "document_links")
@@ -169,9 +156,8 @@ def rank_urls(links: DataFrame, questions: DataFrame, hosts: Iterable[str], limi
 
 def _ranked(rows: DataFrame, questions: DataFrame, limit: int) -> DataFrame:
     asked = questions.select("query_id", query_terms("question").alias("terms"))
-    rows = rows.join(F.broadcast(asked), F.size("terms") > 0).withColumn("score", _score(F.col("haystack"), F.col("terms"))).filter("score > 0")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "url")
-    return rows.select("query_id", F.row_number().over(order).alias("rank"), "url", "score").filter(F.col("rank") <= limit)
+    found = best_holders(asked, rows.select(F.col("url").alias("key"), F.lower("haystack").alias("body")), limit)
+    return found.select("query_id", "rank", F.col("key").alias("url"), "score")
 
 
 def search_catalog(state: DataFrame, questions: DataFrame, hosts: Iterable[str], limit: int = 10, start_url: str | None = None) -> DataFrame:
@@ -179,11 +165,13 @@ def search_catalog(state: DataFrame, questions: DataFrame, hosts: Iterable[str],
 
     state has pos, its store order. Ranked URLs that are not keys of state are left out.
     """
-    known = state.select("url").distinct()
-    ranked = rank_catalog(state, questions, hosts, limit).join(known, "url", "left_semi").select("query_id", "rank", "url", F.lit("ranked").alias("kind"))
+    known, questions = state.select("url").distinct(), questions.select("query_id", "question")
+    ranked = checkpointed(rank_catalog(state, questions, hosts, limit))
+    ranked = ranked.join(known, "url", "left_semi").select("query_id", "rank", "url", F.lit("ranked").alias("kind"))
     idle = state.filter(F.col("status").isin("PENDING", "FAILED")).orderBy("pos").limit(limit)
     idle = idle.select(F.row_number().over(Window.orderBy("pos")).alias("rank"), "url")
     missed = questions.select("query_id").join(ranked.select("query_id").distinct(), "query_id", "left_anti")
+    # idle has `limit` rows at most.
     fallback = missed.join(F.broadcast(idle), F.lit(True)).select("query_id", "rank", "url", F.lit("fallback").alias("kind"))
     out = ranked.unionByName(fallback)
     if start_url:
@@ -234,3 +222,33 @@ def bfs(seed: DataFrame, edges: DataFrame, hosts: Iterable[str], config: CrawlCo
             break
         links = edges.join(level, F.col("src") == level["url"]).select(F.col("dst").alias("url"), F.struct(F.col("order_no").alias("a"), F.col("pos").cast("long").alias("b")).alias("place"))
     return seen
+
+
+def requeue(frontier: DataFrame, fetched: DataFrame) -> DataFrame:
+    """frontier (url, order_no, ...) after a session was renewed: pages whose fetch (url, outcome) met an expired one come first again."""
+    expired = fetched.filter("outcome = 'session_expired'").select("url", F.lit(0).alias("again")).distinct()
+    rows = frontier.join(expired, "url", "left").withColumn("again", F.coalesce("again", F.lit(1)))
+    return rows.withColumn("order_no", F.row_number().over(Window.orderBy("again", "order_no")).cast("long")).drop("again")
+
+
+def crawl(pages: DataFrame, seed: DataFrame, state: DataFrame, hosts: Iterable[str], config: CrawlConfig = CrawlConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fetched, decided, links) of a breadth-first crawl over a page source pages (page_id, url, html).
+
+    fetched: the visited URLs in order with what their page gave and its outcome, a page that the source lacks being a 404;
+    decided: what became of each link that was found on them; links: (src, pos, dst). A URL's first page counts.
+    """
+    from quern.operators import html
+
+    hosts = list(hosts)
+    normal = pages.select("page_id", F.coalesce(urls.normalize_url("url"), F.col("url")).alias("url"), "html")
+    first = normal.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p")).select("url", "p.page_id", "p.html")
+    done = checkpointed(html.extract_pages(first, hosts).select("url", "title", "headings", "visible_text", "links", "content_hash"))
+    edges = checkpointed(done.select(F.col("url").alias("src"), F.posexplode("links").alias("pos", "l")).select("src", "pos", F.col("l.url").alias("dst")))
+    visited = bfs(seed, edges, hosts, config)
+    rows = visited.join(first, "url", "left").join(done, "url", "left")
+    code = F.when(F.col("page_id").isNull(), 404).otherwise(200).alias("status_code")
+    rows = rows.select("url", "depth", "order_no", F.col("url").alias("final_url"), code, blank("title").alias("title"), "headings", "visible_text", "links", blank("html").alias("html"), "content_hash")
+    fetched = checkpointed(outcomes(rows, state, hosts, config.mode))
+    found = visited.join(edges, F.col("url") == F.col("src")).select((F.col("order_no") * (1 << 32) + F.col("pos")).alias("pos"), F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"))
+    start = seed.select((F.col("pos") - (1 << 50)).cast("long").alias("pos"), "url", F.lit(0).alias("depth"))
+    return fetched, decisions(start.unionByName(found), hosts, config), edges

@@ -12,12 +12,12 @@ from quern.operators.index import Index
 
 def list_indexes(index: Index) -> list[str]:
     """Folders beside the index that hold a manifest."""
-    fs, manifest = index._file()
-    root = manifest.getParent().getParent()
+    fs, path = index._path()
+    root = path.getParent()
     if not fs.exists(root):
         return []
     found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
-    return sorted(p.getName() for p in found if fs.exists(index.spark._jvm.org.apache.hadoop.fs.Path(p, "manifest.json")))
+    return sorted(p.getName() for p in found if any(f.getPath().getName().startswith("manifest-") for f in fs.listStatus(p)))
 
 
 def diagnose(index: Index, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None, model_configured: bool) -> dict:

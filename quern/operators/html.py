@@ -95,15 +95,15 @@ def navigation(page: Node, base: str) -> list[dict]:
 def visible_text(page: Node) -> str:
     """A line for each text node outside scripts and styles; comments and doctype are nodes too."""
 
-    def lines(n: Node) -> Iterator[str]:
-        for c in n.children:
-            if isinstance(c, Node):
-                if c.tag not in ("script", "style", "noscript", "template", "svg"):
-                    yield from lines(c)
-            elif line := squeeze(c):
-                yield line
-
-    return "\n".join(lines(page))
+    out, stack = [], list(reversed(page.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, Node):
+            if x.tag not in ("script", "style", "noscript", "template", "svg"):
+                stack.extend(reversed(x.children))
+        elif line := squeeze(x):
+            out.append(line)
+    return "\n".join(out)
 
 
 def content_root(page: Node) -> Node:
@@ -142,17 +142,16 @@ def link_text(a: Node, base: str) -> str:
     return f"[{label}]({target})" if target.startswith(("http://", "https://")) else label
 
 
-def inline(n: Node, base: str, skip: tuple[str, ...] = (), nested: bool = False) -> str:
-    """The text of n's children on a line; links marked up; lists nested on lines of their own if asked for."""
+def inline(n: Node, base: str, skip: tuple[str, ...] = (), lists: dict[int, str] | None = None) -> str:
+    """The text of n's children on a line; links marked up; lists, whose texts are known, nested on lines of their own."""
     parts = []
     for c in n.children:
         if not isinstance(c, Node):
             part = squeeze(c)
         elif c.tag == "a":
             part = link_text(c, base)
-        elif nested and c.tag in ("ul", "ol"):
-            part = list_text(c, base)
-            part = part and "\n" + part
+        elif lists is not None and c.tag in ("ul", "ol"):
+            part = lists[id(c)] and "\n" + lists[id(c)]
         else:
             part = "" if c.tag in skip else c.text()
         if part:
@@ -161,8 +160,12 @@ def inline(n: Node, base: str, skip: tuple[str, ...] = (), nested: bool = False)
 
 
 def list_text(n: Node, base: str) -> str:
-    items = [t for c in n.children if isinstance(c, Node) and c.tag == "li" and (t := inline(c, base, nested=True))]
-    return "\n".join(f"{f'{i}. ' if n.tag == 'ol' else '- '}{t}" for i, t in enumerate(items, 1))
+    """Items of a list, those inside first, so that any depth will do."""
+    texts: dict[int, str] = {}
+    for x in reversed([n, *n.find_all("ul", "ol")]):
+        items = [t for c in x.children if isinstance(c, Node) and c.tag == "li" and (t := inline(c, base, lists=texts))]
+        texts[id(x)] = "\n".join(f"{f'{i}. ' if x.tag == 'ol' else '- '}{t}" for i, t in enumerate(items, 1))
+    return texts[id(n)]
 
 
 def table_text(n: Node, base: str) -> str:

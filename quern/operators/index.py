@@ -1,7 +1,8 @@
 """The chunk index: versioned snapshots of records, refreshed in full or by what changed.
 
 A snapshot is a folder snapshot=N of Parquet; a small manifest names the live one and holds the index's metadata. Plain
-Parquet can't be merged into, so each change writes a new snapshot and then moves the manifest.
+Parquet can't be merged into, so each change writes a new snapshot and then a new manifest, which appears whole under the
+next number. The manifest with the highest number counts, so a change that breaks off leaves the index as it was.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import blank, strip
+from quern.operators.frames import checkpointed
 
 #: The metadata that a record keeps.
 METADATA = ("page_title", "url", "section", "heading", "crawl_timestamp", "source_type", "source", "token_count", "content_hash", "access", "scraped_date", "document_id", "chunk_id")
@@ -92,24 +94,42 @@ class Index:
     def __init__(self, spark: SparkSession, path: str, schema: str, embed: Callable[[DataFrame], DataFrame] | None = None, model: str = "none"):
         self.spark, self.path, self.schema, self.embed, self.model = spark, path.rstrip("/"), schema, embed, model
 
-    def _file(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _numbers(self, prefix: str, suffix: str = "") -> list[int]:
+        """Numbers of files or folders of that name in the index's folder, in order."""
+        fs, root = self._path()
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        ends = [n[len(prefix) : len(n) - len(suffix)] for n in names if n.startswith(prefix) and n.endswith(suffix)]
+        return sorted(int(n) for n in ends if n.isdigit())
+
     def manifest(self) -> dict:
-        fs, path = self._file()
-        if not fs.exists(path):
+        known = self._numbers("manifest-", ".json")
+        if not known:
             return {"live": None, "space": "cosine", "embedding_model": self.model}
-        return json.loads("".join(r.value for r in self.spark.read.text(str(path)).collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/manifest-{known[-1]}.json").collect()))
 
     def _point(self, live: int | None) -> None:
-        fs, path = self._file()
-        beside = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json.new")
+        number = max(self._numbers("manifest-", ".json"), default=-1) + 1
+        content = json.dumps(self.manifest() | {"live": live, "embedding_model": self.model})
+        fs, beside = self._path(f"_manifest-{number}.json")
         out = fs.create(beside, True)
-        out.write(bytearray(json.dumps(self.manifest() | {"live": live, "embedding_model": self.model}).encode()))
+        out.write(bytearray(content.encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(beside, path)
+        if not fs.rename(beside, self._path(f"manifest-{number}.json")[1]):
+            raise RuntimeError(f"manifest {number} was written by someone else")
+
+    def vacuum(self, keep: int = 2) -> list[int]:
+        """Delete all snapshots but the live one and the last `keep`, and all but as many manifests; numbers of what went."""
+        live, known = self.manifest()["live"], self._numbers("snapshot=")
+        gone = [n for n in known[: max(0, len(known) - keep)] if n != live]
+        old = self._numbers("manifest-", ".json")
+        for name in (*(f"snapshot={n}" for n in gone), *(f"manifest-{n}.json" for n in old[: max(0, len(old) - max(1, keep))])):
+            fs, path = self._path(name)
+            fs.delete(path, True)
+        return gone
 
     def read(self) -> DataFrame:
         live = self.manifest()["live"]
@@ -118,8 +138,7 @@ class Index:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshot={live}")
 
     def write(self, records: DataFrame) -> None:
-        live = self.manifest()["live"]
-        new = 0 if live is None else live + 1
+        new = max(self._numbers("snapshot="), default=-1) + 1
         fields = self.spark.createDataFrame([], self.schema).schema.fields
         records.select(*((F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)).write.mode("overwrite").parquet(f"{self.path}/snapshot={new}")
         self._point(new)
@@ -134,7 +153,7 @@ class Index:
         return self.read().orderBy("id").limit(n)
 
     def refresh(self, chunks: DataFrame, mode: str = "incremental") -> dict:
-        chunks = self.embed(chunks) if self.embed else chunks
+        chunks = checkpointed(self.embed(chunks) if self.embed else chunks)  # it is gone through for the figures and for the snapshot
         after, figures = full(chunks) if mode == "full" else incremental(self.read(), chunks)
         out = figures.first().asDict()
         self.write(after)

@@ -1,7 +1,7 @@
 """Retrieval: exact vector top-k, keyword search, rank fusion, final order and sufficiency, for many questions at once.
 
 A corpus has chunk_id, text, title, url, section, access, pos (ingest order) and, for vector search, embedding.
-Questions have query_id, question and, for vector search, vector; they are a stated set that fits in memory.
+Questions have query_id, question and, for vector search, vector; they are a stated set, taken in blocks.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quern.config import RetrievalConfig
 from quern.functions.embedding import cosine_distance
 from quern.functions.text import authorized, blank, default, query_terms, relevance
+from quern.operators.frames import QUESTIONS, checkpointed, first_holders, in_blocks, small, union
 
 #: Decimals that distances keep, so that the order does not hang on the last bits of a sum.
 DIGITS = 6
@@ -38,18 +39,27 @@ def to_chunks(records: DataFrame, default_title: str) -> DataFrame:
 def vector_topk_one(corpus: DataFrame, vector: list[float], k: int) -> DataFrame:
     """(chunk_id, distance, rank) of the k nearest to one vector; a sort with a limit, without a shuffle of the corpus."""
     d = F.round(cosine_distance("embedding", F.array(*(F.lit(float(x)) for x in vector))), DIGITS) + F.lit(0.0)
-    best = corpus.select("chunk_id", d.alias("distance")).orderBy("distance", "chunk_id").limit(k)
+    best = corpus.filter("embedding IS NOT NULL").select("chunk_id", d.alias("distance")).orderBy("distance", "chunk_id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", "chunk_id")))
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, distance, rank): the k nearest chunks of each question by cosine distance, ties by chunk_id.
 
-    The corpus is read once, block by block; each task keeps k candidates for a question, and only those are shuffled.
+    Questions go to the tasks a block at a time. For each block the corpus is read once; each task keeps k candidates for
+    a question, and only those are shuffled. Questions and chunks without a vector are left out.
     """
-    asked = queries.select("query_id", "vector").filter("vector IS NOT NULL").toArrow().to_pydict()
-    ids = asked["query_id"]
-    matrix = np.array(asked["vector"], np.float64).reshape(len(ids), -1)
+    source = corpus.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding").filter("embedding IS NOT NULL")
+    parts = []
+    for block in in_blocks(queries.select("query_id", "vector").filter("vector IS NOT NULL"), "query_id", QUESTIONS):
+        asked = block.toArrow().to_pydict()
+        parts.append(source.mapInArrow(_nearest(asked["query_id"], np.array(asked["vector"], np.float64), k), "query_id long, chunk_id string, distance double"))
+    best = union(parts) if parts else queries.sparkSession.createDataFrame([], "query_id long, chunk_id string, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _nearest(ids: list[int], matrix: np.ndarray, k: int):
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
@@ -71,10 +81,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         if flat:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.float64())], names=["query_id", "chunk_id", "distance"])
 
-    source = corpus.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding").filter("embedding IS NOT NULL")
-    best = source.mapInArrow(run, "query_id long, chunk_id string, distance double") if ids else queries.sparkSession.createDataFrame([], "query_id long, chunk_id string, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return run
 
 
 def keyword_relevance(hits: Column, title: Column, question: Column) -> Column:
@@ -88,18 +95,18 @@ def keyword_topk(queries: DataFrame, corpus: DataFrame, k: int, config: Retrieva
     """(query_id, chunk_id, relevance, rank) by terms that are substrings of chunks.
 
     The first few terms of a question fetch k chunks each, in ingest order; all its terms count for relevance. Ties go by
-    where a chunk was first found. Questions' terms are distinct words of a stated set and go to every task.
+    where a chunk was first found. Each chunk is gone through once for all terms, and the text of those found is read
+    again where it lies.
     """
     asked = queries.select("query_id", "question", query_terms("question").alias("terms"))
     first = asked.select("query_id", F.posexplode(F.slice("terms", 1, config.terms_searched)).alias("term_no", "term"))
-    wanted = first.select("term").distinct()
     body = F.lower("text") if case_insensitive else F.col("text")
     chunks = corpus.select(F.col("chunk_id").cast("string").alias("chunk_id"), blank("text").alias("text"), "pos", blank("title").alias("title"))
-    found = chunks.join(F.broadcast(wanted), F.contains(body, F.col("term"))).select("term", "chunk_id", "pos")
-    nth = Window.partitionBy("term").orderBy("pos", "chunk_id")
-    found = found.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= k)
+    texts = chunks.select(F.col("chunk_id").alias("key"), F.col("pos").cast("long").alias("pos"), body.alias("body"))
+    found = first_holders(first.select("term").distinct(), texts, k).withColumnRenamed("key", "chunk_id")
     hits = first.join(found, "term").groupBy("query_id", "chunk_id").agg(F.min(F.struct("term_no", "nth")).alias("first_pos"))
-    rows = hits.join(asked, "query_id").join(chunks, "chunk_id")
+    hits = checkpointed(hits.join(asked, "query_id"))
+    rows = chunks.join(small(hits), "chunk_id")
     blob = F.lower(F.concat_ws(" ", "title", "text"))
     overlap = F.size(F.filter("terms", lambda t: F.contains(blob, t)))
     rows = rows.select("query_id", "chunk_id", "first_pos", keyword_relevance(overlap, F.col("title"), F.col("question")).alias("relevance"))
@@ -141,8 +148,9 @@ def final_order(fused: DataFrame, queries: DataFrame, corpus: DataFrame, k: int)
 
     Access is looked at after the candidates were cut, so fewer than k may come back.
     """
-    own = corpus.withColumn("chunk_id", F.col("chunk_id").cast("string"))
-    rows = fused.join(own.drop("relevance", "pos", "embedding"), "chunk_id").filter(authorized("access")).join(queries.select("query_id", "question"), "query_id")
+    own = corpus.withColumn("chunk_id", F.col("chunk_id").cast("string")).drop("relevance", "pos", "embedding")
+    asked = checkpointed(fused.join(queries.select("query_id", "question"), "query_id"))
+    rows = own.filter(authorized("access")).join(small(asked), "chunk_id")
     hit = (blank("title") != "") & F.contains(F.lower(blank("question")), F.lower(blank("title")))
     order = Window.partitionBy("query_id").orderBy(F.desc(hit.cast("int")), F.desc("relevance"), "position")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("question", "position")

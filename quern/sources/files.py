@@ -52,18 +52,43 @@ def page_folder(spark: SparkSession, root: str, run: str | None = None) -> str |
     return f"{newest}/pages" if newest else root
 
 
-def _is_object(value: str):
+def is_object(value: str):
+    """True where a text column holds a JSON object."""
     return F.try_parse_json(value).isNotNull() & F.col(value).rlike(r"\A\s*\{")
 
 
-def read_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(pages, failures): files that aren't JSON objects are listed and don't stop the rest."""
+def _objects(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, value, good) of folder/*.json: each line of a file that has an object on each, else the file as a whole."""
     raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    rows = raw.select(F.col("_metadata.file_name").alias("file"), "value", _is_object("value").alias("good"))
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
+    rows = raw.select(F.col("_metadata.file_name").alias("file"), "value", lines.alias("lines"))
+    each = rows.select("file", F.posexplode("lines").alias("nth", "line")).groupBy("file").agg(F.min(is_object("line")).alias("lined"))
+    rows = rows.join(each, "file", "left")
+    parts = F.when(F.col("lined"), F.col("lines")).otherwise(F.array("value"))
+    return rows.select("file", F.explode(parts).alias("value")).withColumn("good", is_object("value"))
+
+
+def read_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, failures): files that hold neither a JSON object nor one a line are listed and don't stop the rest."""
+    rows = _objects(spark, folder)
     parsed = rows.filter("good").select("file", F.from_json("value", PAGE).alias("page"))
     return parsed.select("page.*", "file"), rows.filter("NOT good").select("file", F.lit("not a JSON page").alias("error"))
 
 
+def write_pages(pages: DataFrame, run: str, per_file: int = 1000) -> None:
+    """Pages under run/pages, one JSON object a line, `per_file` a file, so that each is read back whole."""
+    fields = pages.sparkSession.createDataFrame([], PAGE).columns
+    pages.select(*(f for f in fields if f in pages.columns)).write.mode("overwrite").option("maxRecordsPerFile", per_file).json(f"{run}/pages")
+
+
+def write_report(frames: dict[str, DataFrame], report: dict, run: str) -> None:
+    """A crawl's report: each frame of crawl_report as JSON lines under its name, and the totals as one object."""
+    for name, frame in frames.items():
+        frame.write.mode("overwrite").json(f"{run}/{name}")
+    spark = next(iter(frames.values())).sparkSession
+    spark.createDataFrame([(json.dumps(report, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{run}/report.json")
+
+
 def process_run(spark: SparkSession, root: str, run: str | None = None) -> str:
     found = run or newest_run(spark, root, "process_")
     if found is None:
@@ -75,11 +100,11 @@ def read_chunks(spark: SparkSession, run: str) -> DataFrame:
     """Chunks of chunks.jsonl, invalid lines left out; without that file, those nested in documents/*.json."""
     fs, path = _fs(spark, f"{run}/chunks.jsonl")
     if fs.exists(path):
-        rows = spark.read.text(str(path)).filter(_is_object("value"))
+        rows = spark.read.text(str(path)).filter(is_object("value"))
         return rows.select(F.from_json("value", CHUNK).alias("c")).select("c.*")
     fields = ",".join(f.replace(" ", ":", 1) for f in CHUNK.split(", "))
-    docs = spark.read.schema(f"document_id string, chunks array<struct<{fields}>>").option("multiLine", True).json(f"{run}/documents")
-    return nested_chunks(docs)
+    docs = _objects(spark, f"{run}/documents").filter("good").select(F.from_json("value", f"document_id string, chunks array<struct<{fields}>>").alias("d"))
+    return nested_chunks(docs.select("d.*"))
 
 
 def nested_chunks(docs: DataFrame) -> DataFrame:
@@ -96,21 +121,28 @@ def write_run(documents: DataFrame, chunks: DataFrame, report: dict, run: str) -
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """State from {"urls": {url: record}} or {url: record}; the record's own url wins, blank ones go, a bad file is empty."""
+    """State from a file {"urls": {url: record}} or {url: record}, or from a folder that write_state wrote.
+
+    The record's own url wins, blank ones go, and a bad file is empty.
+    """
     from quern.operators.crawl import STATE
 
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return spark.createDataFrame([], STATE)
-    text = spark.read.text(path, wholetext=True)
-    wrapped = F.from_json("value", f"struct<urls:map<string,struct<{RECORD}>>>")["urls"]
-    bare = F.from_json("value", f"map<string,struct<{RECORD}>>")
-    rows = text.select(F.explode(F.coalesce(wrapped, bare)).alias("key", "r")).filter("r IS NOT NULL")
+    if fs.getFileStatus(p).isDirectory():
+        rows = spark.read.schema(STATE).json(path).select(F.lit(None).cast("string").alias("key"), F.struct("*").alias("r"))
+    else:
+        text = spark.read.text(path, wholetext=True)
+        wrapped = F.from_json("value", f"struct<urls:map<string,struct<{RECORD}>>>")["urls"]
+        bare = F.from_json("value", f"map<string,struct<{RECORD}>>")
+        rows = text.select(F.explode(F.coalesce(wrapped, bare)).alias("key", "r")).filter("r IS NOT NULL")
     links = F.coalesce("r.document_links", F.array().cast("array<string>")).alias("document_links")
     fields = [blank(f"r.{c}").alias(c) for c in ("title", "content_hash", "last_scraped", "last_updated")]
     status = F.coalesce(F.nullif("r.status", F.lit("")), F.lit("PENDING")).alias("status")
     return rows.select(F.coalesce("r.url", "key").alias("url"), *fields, status, blank("r.error").alias("error"), links).filter("url <> ''")
 
 
-def write_state(state: DataFrame, path: str) -> None:
-    state.orderBy("url").write.mode("overwrite").parquet(path)
+def write_state(state: DataFrame, path: str, now: str = "") -> None:
+    """A folder with a JSON record a line, by url over all files, each with the time of writing; read_state reads it."""
+    state.withColumn("updated_at", F.lit(now)).orderBy("url").write.mode("overwrite").json(path)

@@ -1,11 +1,14 @@
+import json
 import random
 from collections import deque
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from quern import config
 from quern.config import ChunkConfig, CrawlConfig, RetrievalConfig, SiteConfig
-from quern.operators import answer, chunking, conversation, crawl, html, index, loop, retrieval
+from quern.operators import answer, chunking, conversation, crawl, dom, frames, html, index, loop, retrieval
 from quern.sources import files, pages, robots
 
 # Pages
@@ -395,3 +398,65 @@ def test_robots_and_page_source(spark):
     assert robots.rules(lambda: (404, "")) is None and robots.rules(None) is None and rows.filter(robots.allows("url", None)).count() == 2
     source = pages.TableSource(spark.createDataFrame([("https://h/open", "<p>")], "url string, html string"))
     assert {(r["url"], r["status_code"]) for r in source.fetch(rows).collect()} == {("https://h/open", 200), ("https://h/private/x", 404)}
+
+
+# Whole frames
+
+
+def test_terms_meet_texts(spark):
+    rnd = random.Random(4)
+    texts = [(f"t{i:02}", i, "".join(rnd.choices("abc ", k=60))) for i in range(50)]
+    terms = sorted({"".join(rnd.choices("abc", k=rnd.randrange(1, 4))) for _ in range(25)})
+    rows = spark.createDataFrame(texts, "key string, pos long, body string").repartition(5)
+    got = frames.first_holders(spark.createDataFrame([(x,) for x in terms], "term string"), rows, 3)
+    expected = [(x, k, p, n) for x in terms for n, (k, p, _) in enumerate([r for r in texts if x in r[2]][:3], 1)]
+    assert sorted(tuple(r) for r in got.select("term", "key", "pos", "nth").collect()) == sorted(expected)
+    asked = [(q, rnd.sample(terms, 5) if q else []) for q in range(6)]
+    best = frames.best_holders(spark.createDataFrame(asked, "query_id long, terms array<string>"), rows, 4)
+    want = []
+    for q, own in asked:
+        scores = sorted((-sum(x in body for x in own), key) for key, _, body in texts)
+        want += [(q, key, -s, n) for n, (s, key) in enumerate(scores[:4], 1) if s]
+    assert sorted(tuple(r) for r in best.select("query_id", "key", "score", "rank").collect()) == sorted(want)
+
+
+def test_deep_pages_do_not_recurse():
+    deep = "<div>" * 3000 + "core" + "</div>" * 3000 + "<ul><li>x" * 2000
+    page = dom.parse(deep)
+    assert html.visible_text(page).splitlines()[0] == "core" and html.clean(deep)["cleaned_text"]
+    nested = dom.parse("<ul><li>a<ol><li>b</li><li>c</li></ol></li><li>d</li></ul>").first("ul")
+    assert html.list_text(nested, "") == "- a \n1. b\n2. c\n- d"
+
+
+def test_index_keeps_what_was_live_if_a_write_breaks_off(spark, tmp_path):
+    own = index.Index(spark, str(tmp_path / "i"), "id string, text string, url string, content_hash string, pos long")
+    rows = spark.createDataFrame([("a", "x", "u", "h", 0), ("b", "y", "u", "g", 1)], "chunk_id string, text string, url string, content_hash string, pos long")
+    own.refresh(rows)
+    (tmp_path / "i" / "_manifest-1.json").write_text("{")  # a manifest that was never renamed
+    (tmp_path / "i" / "snapshot=1").mkdir()
+    assert own.count() == 2 and own.manifest()["live"] == 0
+    own.refresh(rows.filter("chunk_id = 'a'"), "full")
+    assert own.count() == 1 and own.manifest()["live"] == 2 and own.vacuum(1) == [0, 1] and own.count() == 1
+    own.clear()
+    assert own.count() == 0
+
+
+def test_configuration():
+    assert config.read_env("# c\nA=1\nexport B = 'x y'\n\nC=\"q\n") == {"A": "1", "B": "x y", "C": '"q'}
+    assert config.run_name("crawl", datetime(2024, 1, 2, 3, 4, 5)) == "crawl_20240102_030405" and config.utc_now(datetime(2024, 1, 2)) == "2024-01-02T00:00:00"
+    assert config.auth_selectors("a, b") == ("a", "b") and len(config.auth_selectors("")) == 14
+
+
+def test_crawl_command(spark, tmp_path, capsys):
+    from quern.__main__ import main
+
+    pages = [(0, "https://hub.example.com/", '<title>Home</title><a href="/a">a</a><a href="/gone">g</a><a href="https://o.example/">o</a>'), (1, "https://hub.example.com/a", "<title>A</title><p>text</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "p.parquet"))
+    run = str(tmp_path / "run")
+    assert main(["crawl", str(tmp_path / "p.parquet"), run]) == 0
+    assert json.loads(capsys.readouterr().out)["successfully_crawled_pages"] == 2
+    got, bad = files.read_pages(spark, f"{run}/pages")
+    assert {r["page_title"] for r in got.collect()} == {"Home", "A"} and bad.count() == 0
+    assert {r["url"]: r["status"] for r in files.read_state(spark, f"{run}/state").collect()} == {"https://hub.example.com/": "PROCESSED", "https://hub.example.com/a": "PROCESSED", "https://hub.example.com/gone": "FAILED"}
+    assert main(["crawl", str(tmp_path / "p.parquet"), run]) == 0
+    assert json.loads(capsys.readouterr().out)["unchanged_pages"] == 2
