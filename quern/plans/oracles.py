@@ -66,13 +66,13 @@ _IN_HOSTS = f"{_HOST} IN ({', '.join(repr(h) for h in _HOSTS)})"
 _CORPUS = """
 corpus AS (SELECT d.doc_id::VARCHAR AS chunk_id, d.text, d.source AS title, 'https://hub.example.com/' || d.doc_id AS url, d.lang AS section,
   CASE WHEN l.toxic = 1 THEN 'restricted' ELSE 'authenticated' END AS access, d.doc_id AS pos, e.embedding::DOUBLE[] AS embedding
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l USING (doc_id)),
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l USING (doc_id)),
 questions AS (SELECT c.conv_id AS query_id, c.question, e.embedding::DOUBLE[] AS vector FROM
-  (SELECT conv_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id) c JOIN embeddings e ON c.conv_id = e.vec_id)
+  (SELECT conv_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id) c LEFT JOIN embeddings e ON c.conv_id = e.vec_id)
 """
 
 _VECTOR = """
-vec_all AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(vector, embedding), 6) AS distance FROM questions, corpus),
+vec_all AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(vector, embedding), 6) AS distance FROM questions, corpus WHERE vector IS NOT NULL AND embedding IS NOT NULL),
 vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM vec_all QUALIFY rank <= 12)
 """
 
@@ -135,11 +135,12 @@ after AS (SELECT id, url, content_hash FROM held UNION ALL SELECT id, url, conte
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 _MOVED = r"moved AS (SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN regexp_replace(url, '\Ahttps?://[^/?#]*', 'https://hub.example.com') ELSE url END AS url, html FROM pages)"
 _STATE = rf"""{_MOVED},
-last_page AS (SELECT url, max(page_id) AS pos, arg_max(html, page_id) AS html FROM moved WHERE page_id % 3 <> 0 GROUP BY url),
+last_page AS (SELECT url, max(page_id) AS pos, arg_max(html, page_id) AS html FROM moved GROUP BY url),
 state AS (SELECT pos, url, {_TITLE} AS title, CASE WHEN pos % 2 = 0 THEN sha256({_normal('html')}) ELSE '0' END AS content_hash,
   CASE WHEN pos % 5 = 0 THEN 'FAILED' WHEN pos % 5 = 1 THEN 'PENDING' ELSE 'PROCESSED' END AS status FROM last_page),
 hay AS (SELECT nurl AS url, title || ' ' || nurl || ' ' || url || '/a.pdf' AS haystack FROM (SELECT *, {_NORMAL_URL} AS nurl FROM state WHERE {_HOST} = 'hub.example.com'))
 """
+_KNOWN_STATE = _STATE.replace("FROM moved GROUP BY", "FROM moved WHERE page_id % 3 <> 0 GROUP BY")
 _RANKED = f"""asked_q AS (SELECT query_id, {_terms('question')} AS terms FROM (SELECT conv_id AS query_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id)),
 match AS (SELECT query_id, url, len(list_filter(terms, lambda t: contains(lower(haystack), t)))::INT AS score FROM asked_q, hay),
 ranked AS (SELECT query_id, url, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM match WHERE score > 0 QUALIFY rank <= 10)
@@ -160,12 +161,100 @@ _ERROR = rf"""'ValueError: ' || regexp_replace(regexp_replace(regexp_replace(coa
 _FOOTER = f"(len(low) = 0 OR (len(low) < 120 AND {_any('low', FOOTER_PHRASES)}) OR regexp_full_match(low, '(?:©|\\(c\\))[^\\n]*'))"
 _RULES = f"Instructions:\n- Ground every statement in the passages.\n- Cite sources by title and URL.\n- If evidence is missing, say so.\n- Otherwise answer: {INSUFFICIENT}\n"
 
+
+def _plain(c: str) -> str:
+    """Character references of the fixture's pages read, white space collapsed."""
+    for name, sign in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{sign}')"
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+_LINKS = rf"""
+hrefs AS (SELECT page_id, {_NORMAL_URL} AS base, {_part('url', 1)} || '://' || {_part('url', 2)} AS site, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs,
+  regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ts FROM source_pages),
+anchors AS (SELECT page_id, base, site || replace(unnest(hs), '&amp;', '&') AS url, unnest(ts) AS text, unnest(range(len(hs))) AS k FROM hrefs),
+normal_links AS (SELECT page_id, base, k, {_plain('text')} AS text, {_NORMAL_URL} AS url FROM anchors),
+first_links AS (SELECT page_id, base, url, min(k) AS k, arg_min(text, k) AS text FROM normal_links GROUP BY ALL),
+links AS (SELECT page_id, base, url, text, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INT AS pos FROM first_links)
+"""
+
+_PAGES = "source_pages AS (SELECT page_id, url, html FROM pages)"
+
+_H_TITLE = _plain(_TITLE)
+_H_PARTS = rf"""
+h_parts AS (SELECT page_id, url, {_H_TITLE} AS title, {_plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h1, regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<p>((?:[^<]|<b>|<br>)*)', 1) AS ps FROM pages),
+h_rows AS (SELECT page_id, h1, 0 AS k, 'heading' AS kind, '# ' || h1 AS text FROM h_parts WHERE h1 <> ''
+  UNION ALL SELECT page_id, h1, unnest(range(1, len(ps) + 1)), 'paragraph', {_plain("regexp_replace(unnest(ps), '<[^>]*>', ' ', 'g')")} FROM h_parts),
+h_kept AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind, lower(text) ORDER BY k) AS nth FROM (SELECT *, lower(text) AS low FROM h_rows) WHERE kind = 'heading' OR NOT {_FOOTER}),
+h_blocks AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INT AS pos, kind, text, h1 AS heading, h1 AS section, CASE kind WHEN 'heading' THEN 1 ELSE 0 END::INT AS level
+  FROM h_kept WHERE kind = 'heading' OR nth = 1 OR length(text) >= 180),
+h_clean AS (SELECT p.page_id, p.url, p.title, p.h1, coalesce(string_agg(b.text, chr(10) || chr(10) ORDER BY b.pos), '') AS cleaned_text FROM h_parts p LEFT JOIN h_blocks b USING (page_id) GROUP BY ALL)
+"""
+
+_VISIBLE = rf"""
+v_text AS (SELECT page_id, {_H_TITLE} AS title, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '<x>', 'g'), '\s+', ' ', 'g'),
+  '<!--(.*?)-->', '<x>\1<x>', 'g'), '<!DOCTYPE html>', 'html<x>') AS flat FROM pages),
+visible AS (SELECT page_id, title, array_to_string(list_filter(list_transform(string_split_regex(flat, '<[^>]*>'), lambda x: {_plain('x')}), lambda x: x <> ''), chr(10)) AS visible_text FROM v_text)
+"""
+
+
+def _windows(c: str) -> str:
+    """Pieces of 4,000 characters, each 600 before the last one's end."""
+    last = f"CASE WHEN length({c}) <= 4000 THEN 0 ELSE (length({c}) - 4000 + 3399) // 3400 END"
+    return f"list_transform(range({last} + 1), lambda i: {c}[i * 3400 + 1 : i * 3400 + 4000])"
+
+
+_JOINED = _strip("held || chr(10) || chr(10) || unit")
+_TAILED = _strip("right(held, 600) || chr(10) || chr(10) || unit")
+_MERGED = _strip("out[-1] || chr(10) || chr(10) || piece")
+#: Pieces of texts (key, heading, section, url, title, hash, text): packed from paragraphs or lines, then tiny ones merged.
+_CHUNKED = rf"""
+c_units AS (SELECT key, text, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS ps,
+  list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS ls FROM groups WHERE length(text) > 4000),
+c_lists AS (SELECT key, CASE WHEN len(ps) > 1 THEN ps ELSE ls END AS units FROM c_units WHERE len(ps) > 1 OR len(ls) > 1),
+c_fold AS (SELECT key, units, 0 AS n, ''::VARCHAR AS held, []::VARCHAR[] AS out FROM c_lists
+  UNION ALL SELECT key, units, n + 1,
+    CASE WHEN length(unit) > 4000 THEN '' WHEN length({_JOINED}) <= 4000 THEN {_JOINED} WHEN length({_TAILED}) > 4000 THEN '' ELSE {_TAILED} END,
+    CASE WHEN length(unit) > 4000 THEN out || CASE WHEN held <> '' THEN [held] ELSE [] END || {_windows('unit')} WHEN length({_JOINED}) <= 4000 THEN out
+      WHEN length({_TAILED}) > 4000 THEN out || [held] || {_windows(_TAILED)} ELSE out || [held] END
+  FROM (SELECT *, units[n + 1] AS unit FROM c_fold WHERE n < len(units))),
+c_pieces AS (SELECT key, out || CASE WHEN held <> '' THEN [held] ELSE [] END AS pieces FROM c_fold WHERE n = len(units)
+  UNION ALL SELECT key, [text] FROM groups WHERE length(text) <= 4000
+  UNION ALL SELECT key, {_windows('text')} FROM c_units WHERE len(ps) < 2 AND len(ls) < 2),
+c_merge AS (SELECT key, pieces, 0 AS n, []::VARCHAR[] AS out, []::VARCHAR[] AS starts FROM c_pieces
+  UNION ALL SELECT key, pieces, n + 1, CASE WHEN merges THEN out[:-2] || [{_MERGED}] ELSE out || [piece] END, CASE WHEN merges THEN starts ELSE starts || [piece[1:200]] END
+  FROM (SELECT *, len(out) > 0 AND (length(piece) + 3) // 4 < 40 AND (length({_MERGED}) + 3) // 4 <= 1150 AS merges FROM (SELECT *, pieces[n + 1] AS piece FROM c_merge WHERE n < len(pieces)))),
+c_rows AS (SELECT key, unnest(out) AS text, unnest(starts) AS seed, unnest(range(len(out))) AS chunk_no FROM c_merge WHERE n = len(pieces)),
+chunks AS (SELECT g.*, r.text AS chunk, r.chunk_no, coalesce(nullif(g.heading, ''), g.title) AS h, r.seed FROM c_rows r JOIN groups g USING (key)),
+chunk_rows AS (SELECT {_slug("coalesce(nullif(h, ''), 'intro')", 'intro')} || '-' || lpad(chunk_no::VARCHAR, greatest(4, length(chunk_no::VARCHAR))::INT, '0') || '-' || sha1(url || '|' || h || '|' || chunk_no || '|' || seed)[1:12] AS chunk_id,
+  {_slug("coalesce(nullif(title, ''), url)", 'document')} || '-' || right({_slug('url', 'page')}, 12) AS document_id, url, coalesce(nullif(section, ''), h) AS section, h AS heading,
+  ((length(chunk) + 3) // 4)::INT AS token_count, chunk_no::INT AS chunk_no, hash AS content_hash, chunk AS text, title FROM chunks)
+"""
+_PAGE_GROUPS = f"""SELECT 'p' || page_id AS key, h1 AS heading, h1 AS section, url, title, sha256({_normal("title || chr(10) || visible_text")}) AS hash, {_strip('cleaned_text')} AS text FROM h_clean JOIN visible USING (page_id, title) WHERE cleaned_text <> ''"""
+_DOC_GROUPS = f"""SELECT 'd' || doc_id AS key, source AS heading, '' AS section, 'https://hub.example.com/' || doc_id AS url, source AS title, sha256({_normal('text')}) AS hash, {_strip('text')} AS text FROM documents WHERE {_strip('text')} <> ''"""
+
+_FIT = f"NOT {_ends([*ASSET_ENDINGS, *DOCUMENT_ENDINGS])} AND prefix(url, 'https:') AND {_HOST} = 'hub.example.com'"
+#: Breadth first from all pages: links lead to pages, which are there already, or to URLs without a page.
+_FRONTIER = f"""source_pages AS (SELECT page_id, url, html FROM moved), {_LINKS}, ok AS (SELECT * FROM links WHERE {_FIT}),
+starts AS (SELECT page_id, {_NORMAL_URL} AS url FROM moved), fit_starts AS (SELECT url, min(page_id) AS p FROM starts WHERE {_FIT} GROUP BY url),
+zero AS (SELECT url, 0 AS depth, row_number() OVER (ORDER BY p) AS order_no FROM fit_starts),
+one AS (SELECT o.url, 1 AS depth, row_number() OVER (ORDER BY min((z.order_no, o.page_id * 100000 + o.pos))) + (SELECT count(*) FROM zero) AS order_no
+  FROM ok o JOIN zero z ON o.base = z.url WHERE o.url NOT IN (SELECT url FROM zero) GROUP BY o.url),
+visited AS (FROM zero UNION ALL FROM one)
+"""
+#: What a fetch comes to where its hash is never the known one.
+_OUTCOME = f"""CASE WHEN {_any(_HOST, LOGIN_HOSTS)} OR {_HOST} <> 'hub.example.com' OR {_any(f'lower({_PATH})', LOGIN_PATHS_ON_SITE)} THEN 'session_expired' WHEN code >= 400 THEN 'http_error'
+  WHEN {_any('hay', DENIED_PHRASES)} THEN 'access_denied' WHEN coalesce(old, '') <> '' THEN 'updated' ELSE 'new' END"""
+_STATUS = "CASE outcome WHEN 'session_expired' THEN 'PROCESSING' WHEN 'access_denied' THEN 'ACCESS_DENIED' WHEN 'http_error' THEN 'FAILED' WHEN 'updated' THEN 'UPDATED' ELSE 'PROCESSED' END"
+_CHUNK_FILE = f"SELECT doc_id::VARCHAR AS chunk_id, 'https://hub.example.com/' || (doc_id // 5) AS url, source, lang, text FROM documents"
+
 ORACLES: dict[str, str] = {
     "hybrid_search": f"{_ALL} SELECT query_id, rank, chunk_id, title, relevance FROM hybrid",
     "vector_topk": f"WITH {_CORPUS}, {_VECTOR} SELECT query_id, chunk_id, distance, rank FROM vec",
     "vector_topk_batch": """SELECT q.vec_id AS query_id, c.vec_id::VARCHAR AS chunk_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS distance,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, c.vec_id::VARCHAR) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5""",
-    "debug_search": f"""WITH {_CORPUS}, v AS (SELECT embedding AS vector FROM corpus ORDER BY pos LIMIT 1), d AS (SELECT c.*, round(1 - list_cosine_similarity(vector, embedding), 6) AS distance FROM corpus c, v)
+    "debug_search": f"""WITH {_CORPUS}, v AS (SELECT embedding AS vector FROM corpus WHERE embedding IS NOT NULL ORDER BY pos LIMIT 1),
+        d AS (SELECT c.*, round(1 - list_cosine_similarity(vector, embedding), 6) AS distance FROM corpus c, v WHERE embedding IS NOT NULL)
         SELECT row_number() OVER (ORDER BY distance, chunk_id) AS rank, chunk_id, title, url, greatest(0, least(1, 1 - distance)) AS relevance, text[1:200] AS preview FROM d QUALIFY rank <= 5""",
     "keyword_search": f"WITH {_CORPUS}, {_KEYWORD} SELECT query_id, chunk_id, relevance, rank FROM kw",
     "rrf_scores": f"WITH {_CORPUS}, {_VECTOR}, {_KEYWORD}, {_FUSED} SELECT query_id, chunk_id, round(score, 9) AS score FROM rrf",
@@ -192,8 +281,7 @@ ORACLES: dict[str, str] = {
     "text_normalize_hash": f"SELECT doc_id, length({_normal('text')}) AS chars, md5({_normal('text')}) AS normal_md5 FROM documents",
     "content_changed": "SELECT doc_id, doc_id % 7 <> 0 AS unchanged FROM documents",
     "query_terms": f"SELECT conv_id, turn, array_to_string({_terms('text')}, ' ') AS terms FROM conversations",
-    "query_terms_score": f"""SELECT conv_id, turn, item_id, len(list_filter(terms, lambda t: contains(lower(coalesce(text, '')), t)))::INT AS score
-        FROM conversations, (SELECT item_id, {_terms('text')} AS terms FROM benchmark) WHERE role = 'user'""",
+    "query_terms_score": f"WITH {_PAIRS} SELECT conv_id, turn, len(list_filter({_terms('question')}, lambda t: contains(lower(answer), t)))::INT AS score FROM turns",
     "keywords_top8": f"SELECT conv_id, turn, array_to_string({_terms('text', hybrid_stopwords('Knowledge Base'))}[1:8], ' ') AS keywords FROM conversations",
     "token_count": "SELECT doc_id, ((length(coalesce(text, '')) + 3) // 4)::INT AS tokens FROM documents",
     "truncate_tokens": "SELECT doc_id, md5(CASE WHEN (length(text) + 3) // 4 <= 100 THEN text ELSE text[1:400] END) AS cut_md5 FROM documents",
@@ -239,7 +327,7 @@ ORACLES: dict[str, str] = {
         count(DISTINCT url) FILTER (decision = 'document_link') AS document_links, count(*) FILTER (decision = 'duplicate') AS duplicate_links, count(DISTINCT url) FILTER (decision = 'duplicate') AS duplicate_urls,
         count(*) FILTER (decision = 'non_html_asset') AS non_html_skipped, count(*) FILTER (decision = 'robots_disallowed') AS robots_blocked, count(*) FILTER (decision = 'max_depth_exceeded') AS max_depth_reached,
         count(*) FILTER (decision IN ('not_approved_https_url', 'document_link', 'non_html_asset', 'robots_disallowed', 'max_depth_exceeded', 'max_pages_budget')) AS skipped_pages FROM decided""",
-    "crawl_outcomes": f"""WITH {_STATE}, f AS (SELECT p.page_id, p.url, CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 19 = 0 THEN 403 ELSE 200 END AS code, sha256({_normal('html')}) AS hash, s.content_hash AS old,
+    "crawl_outcomes": f"""WITH {_KNOWN_STATE}, f AS (SELECT p.page_id, p.url, CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 19 = 0 THEN 403 ELSE 200 END AS code, sha256({_normal('html')}) AS hash, s.content_hash AS old,
         lower(url || ' ' || {_TITLE} || ' ' || html[1:2000]) AS hay FROM moved p LEFT JOIN (SELECT url, content_hash FROM state) s USING (url)),
         o AS (SELECT page_id, url, CASE WHEN {_any(_HOST, LOGIN_HOSTS)} OR {_HOST} <> 'hub.example.com' OR {_any(f'lower({_PATH})', LOGIN_PATHS_ON_SITE)} THEN 'session_expired' WHEN code IN (401, 403) THEN 'access_denied' WHEN code >= 400 THEN 'http_error'
         WHEN {_any('hay', DENIED_PHRASES)} THEN 'access_denied' WHEN coalesce(old, '') <> '' AND old = hash THEN 'unchanged' WHEN coalesce(old, '') <> '' THEN 'updated' ELSE 'new' END AS outcome FROM f)
@@ -255,6 +343,63 @@ ORACLES: dict[str, str] = {
     "state_upsert": """WITH e AS (SELECT 'u' || user_id AS url, arg_max(event_type, (ts, event_id)) AS error FROM events GROUP BY user_id), s AS (SELECT 'u' || range AS url FROM range(10))
         SELECT url, CASE WHEN s.url IS NULL THEN '' ELSE 'kept' END AS title, CASE WHEN s.url IS NULL THEN '' ELSE 'h' END AS content_hash, CASE WHEN e.url IS NULL THEN 'PROCESSED' ELSE 'FAILED' END AS status,
         coalesce(e.error, '') AS error, CASE WHEN e.url IS NULL THEN '' ELSE '2000-01-01T00:00:00Z' END AS last_updated, CASE WHEN s.url IS NULL THEN '' ELSE 'd' END AS document_links FROM s FULL JOIN e USING (url)""",
+    "html_headings": f"WITH {_H_PARTS} SELECT page_id, 0 AS pos, 'h1' AS level, h1 AS text FROM h_parts WHERE h1 <> ''",
+    "html_links": f"""WITH {_PAGES}, {_LINKS} SELECT page_id, pos, url, text, {_IN_HOSTS} AS internal FROM links""",
+    "html_nav": """WITH n AS (SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=')) AS n FROM pages) SELECT page_id, 0 AS pos, 'nav' AS label, n::INT AS n_items FROM n WHERE n > 0""",
+    "html_visible_text": f"WITH {_VISIBLE} SELECT page_id, visible_text, sha256({_normal('title || chr(10) || visible_text')}) AS content_hash FROM visible",
+    "html_clean": rf"WITH {_H_PARTS} SELECT page_id, cleaned_text, len(regexp_extract_all(cleaned_text, '\[([^\]]+)\]\((https?://[^)]+)\)'))::INT AS n_links FROM h_clean",
+    "html_blocks": f"WITH {_H_PARTS} SELECT page_id, pos, kind, text, heading, section, level FROM h_blocks",
+    "chunk_documents": f"WITH RECURSIVE {_H_PARTS}, {_VISIBLE}, groups AS ({_PAGE_GROUPS} UNION ALL {_DOC_GROUPS}), {_CHUNKED} SELECT * EXCLUDE (title) FROM chunk_rows",
+    "sections_rollup": f"""WITH RECURSIVE {_H_PARTS}, {_VISIBLE}, groups AS ({_PAGE_GROUPS}), {_CHUNKED} SELECT document_id, url, any_value(section) AS sections, count(*) AS chunk_count FROM chunk_rows GROUP BY document_id, url, title""",
+    "line_dedupe": rf"""WITH RECURSIVE l AS (SELECT doc_id, string_split_regex(regexp_replace(text, '(\r\n|[\n\x0B\f\r\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}])\z', ''), '\r\n|[\n\x0B\f\r\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM documents),
+        f AS (SELECT doc_id, ls, 0 AS n, []::VARCHAR[] AS kept, []::VARCHAR[] AS recent FROM l
+        UNION ALL SELECT doc_id, ls, n + 1, CASE WHEN again THEN kept ELSE kept || [line] END, CASE WHEN again OR key = '' THEN recent ELSE (recent || [key])[-40:] END
+        FROM (SELECT *, key <> '' AND length(key) < 120 AND list_contains(recent, key) AS again FROM (SELECT *, ls[n + 1] AS line, lower({_strip('ls[n + 1]')}) AS key FROM f WHERE n < len(ls)))),
+        t AS (SELECT doc_id, array_to_string(kept, chr(10)) AS text FROM f WHERE n = len(ls)) SELECT doc_id, length(text)::INT AS chars, md5(text) AS text_md5 FROM t""",
+    "hash_embedding": """WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), b AS (SELECT doc_id, unnest(range(length(h) // 2)) AS i, h FROM h),
+        s AS (SELECT doc_id, (i % 32)::INT AS slot, sum((('0x' || h[2 * i + 1 : 2 * i + 2])::INT % 31) / 31.0::DOUBLE) AS x FROM b GROUP BY ALL),
+        a AS (SELECT doc_id, unnest(range(32))::INT AS slot FROM documents), n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY doc_id)
+        SELECT doc_id, slot, round(coalesce(x, 0) / coalesce(nullif(norm, 0), 1), 6) AS value FROM a LEFT JOIN s USING (doc_id, slot) LEFT JOIN n USING (doc_id)""",
+    "bfs_frontier": f"WITH {_MOVED}, {_FRONTIER} SELECT url, depth, order_no FROM visited",
+    "crawl_run": f"""WITH {_KNOWN_STATE}, {_FRONTIER}, firsts AS (SELECT nurl AS url, arg_min(html, page_id) AS html FROM (SELECT page_id, {_NORMAL_URL} AS nurl, html FROM moved) GROUP BY nurl),
+        f AS (SELECT v.url, v.depth, CASE WHEN p.url IS NULL THEN 404 ELSE 200 END AS code, lower(v.url || ' ' || {_TITLE} || ' ' || html[1:2000]) AS hay, s.content_hash AS old
+        FROM visited v LEFT JOIN firsts p USING (url) LEFT JOIN state s ON v.url = s.url), o AS (SELECT url, depth, code, {_OUTCOME} AS outcome FROM f)
+        SELECT url, depth, code AS status_code, outcome, {_STATUS} AS status FROM o""",
+    "refresh_run": f"""WITH {_KNOWN_STATE}, f AS (SELECT m.url, 200 AS code, lower(m.url || ' ' || {_TITLE} || ' ' || html[1:2000]) AS hay, s.content_hash AS old FROM (SELECT url, arg_min(html, page_id) AS html FROM moved GROUP BY url) m LEFT JOIN state s ON m.url = s.url),
+        o AS (SELECT url, {_OUTCOME} AS outcome FROM f) SELECT url, {_STATUS} AS status FROM o""",
+    "targeted_ingest": f"""WITH RECURSIVE {_H_PARTS}, {_VISIBLE}, groups AS ({_PAGE_GROUPS}), {_CHUNKED}, asked AS (SELECT url FROM pages ORDER BY page_id LIMIT 3)
+        SELECT url, count(DISTINCT chunk_id) AS chunks, (SELECT count(*) FROM pages WHERE url IN (SELECT url FROM asked))::INT AS ingested, 0 AS without_session FROM chunk_rows WHERE url IN (SELECT url FROM asked) GROUP BY url""",
+    "requeue_expired": "SELECT 'p' || page_id AS url, row_number() OVER (ORDER BY page_id % 10 <> 0, page_id) AS order_no FROM pages",
+    "page_files": rf"""WITH {_MOVED}, f AS (SELECT url, arg_min(html, page_id) AS html FROM moved GROUP BY url) SELECT url, url AS final_url, 200 AS status_code, {_TITLE} AS page_title, sha256({_normal('html')}) AS content_hash, md5(html) AS html_md5 FROM f""",
+    "page_file_failures": "SELECT page_id::VARCHAR AS page, 'not a JSON page' AS error FROM pages WHERE page_id % 3 = 0",
+    "chunk_files": f"WITH c AS ({_CHUNK_FILE}) SELECT chunk_id, url, source AS page_title, lang AS section, url AS document_id, md5(text) AS text_md5 FROM c",
+    "nested_chunk_files": f"WITH c AS ({_CHUNK_FILE}) SELECT chunk_id, url, url AS document_id, md5(text) AS text_md5 FROM c",
+    "state_round_trip": f"WITH {_STATE} SELECT url, title, content_hash, status, url || '/a.pdf' AS document_links FROM state",
+    "index_get_by_ids": f"WITH {_RECORDS} SELECT id, url, md5(text) AS text_md5 FROM records WHERE id IN (SELECT (vec_id * 2)::VARCHAR FROM embeddings)",
+    "index_get_by_metadata": f"WITH {_RECORDS} SELECT id, url FROM records WHERE url = 'https://hub.example.com/7'",
+    "index_rewrites": f"""WITH {_RECORDS}, p AS (SELECT string_agg(id, ',' ORDER BY id) AS peek FROM (SELECT id FROM records ORDER BY id LIMIT 5)), h AS (SELECT string_agg(id, ',' ORDER BY id) AS peek FROM (SELECT id FROM before ORDER BY id LIMIT 5))
+        SELECT 0 AS step_no, 'full' AS step, (SELECT count(*) FROM records) AS records, 0 AS live, 'none' AS model, peek FROM p UNION ALL SELECT 1, 'incremental', (SELECT count(*) FROM records), 1, 'none', peek FROM p
+        UNION ALL SELECT 2, 'clear', 0, NULL, 'none', '' UNION ALL SELECT 3, 'half', (SELECT count(*) FROM before), 2, 'none', peek FROM h""",
+    "index_peek": f"WITH {_RECORDS} SELECT id, url FROM records ORDER BY id LIMIT 5",
+    "health_report": """SELECT * FROM (VALUES ('filled', 'healthy', NULL, NULL, 1, 32), ('no model', 'unhealthy', 'llm_config', NULL, 1, 32), ('no embedder', 'unhealthy', 'embedding_config', NULL, 1, NULL),
+        ('broken embedder', 'unhealthy', 'embedding', 'ValueError', 1, NULL), ('empty', 'unhealthy', 'empty_index', NULL, 0, 32)) v(name, status, failure_point, error, k, dimensions)""".replace("SELECT *", "SELECT name, status, failure_point, error, k * (SELECT count(*) FROM documents) AS documents, dimensions"),
+    "crawl_report": f"""WITH {_DECIDED}, s AS (SELECT 'skipped' AS part, decision AS name, count(*) AS n FROM decided WHERE decision NOT IN ('queued', 'duplicate', 'external', 'invalid') GROUP BY decision),
+        f AS (SELECT CASE WHEN page_id % 17 = 0 THEN 'http_error' ELSE 'ACCESS_DENIED' END AS name, count(*) AS n FROM pages WHERE page_id % 17 = 0 OR page_id % 19 = 0 GROUP BY ALL) FROM s UNION ALL SELECT 'failed', name, n FROM f""",
+    "process_report": f"WITH {_H_PARTS}, c AS (SELECT count(*) AS n FROM h_clean WHERE cleaned_text <> '') SELECT (SELECT count(*) FROM pages)::INT AS input, n AS processed, 3 AS failed, (SELECT count(*) FROM pages) - n AS skipped FROM c",
+    "page_source": f"""WITH {_MOVED}, f AS (SELECT url, arg_min(html, page_id) AS html FROM moved GROUP BY url) SELECT url, url AS final_url, 200 AS status_code, md5(html) AS html_md5 FROM f
+        UNION ALL SELECT url || '/missing', url || '/missing', 404, NULL FROM f""",
+    "robots_allow": f"SELECT page_id, NOT (prefix({_PATH}, '/en/') OR prefix({_PATH}, '/tag')) AS allowed, true AS without_rules FROM pages",
+    "to_chunks": """SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 2 <> 0 THEN source WHEN doc_id % 3 <> 0 THEN lang ELSE 'Knowledge Base' END AS title, CASE WHEN doc_id % 4 <> 0 THEN lang ELSE source END AS section, '' AS url, md5(text) AS text_md5 FROM documents""",
+    "html_fallback": rf"""SELECT doc_id, md5({_strip(f"'# ' || source || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) || {_strip("regexp_replace(text, '[ \t\n\f\r\x0B]+', ' ', 'g')")} || chr(10) || chr(10) || '[more](https://hub.example.com/x)'")}) AS cleaned_md5 FROM documents""",
+    "placeholder_check": "SELECT doc_id, doc_id % 3 = 2 AND trim(source) <> '' AS configured FROM documents",
+    "request_validation": f"""WITH m AS (SELECT conv_id, turn, length({_strip("coalesce(text, '')")}) AS n FROM conversations WHERE turn = 0)
+        SELECT conv_id, turn, CASE WHEN n BETWEEN 1 AND 4000 THEN 'ok ' || n ELSE 'a message has 1 to 4000 characters' END AS verdict FROM m""",
+    "settings": """SELECT * FROM (VALUES ('hosts given', 'a.example,b.example'), ('hosts of the start', 'hub.example.com'), ('no selectors', '14'), ('selectors', '#a|.b'), ('default selectors', 'True'), ('model', 'm'), ('deployment', 'd')) v(name, value)""",
+    "seeds": f"""WITH {_STATE} SELECT 'https://hub.example.com/' AS url, 0 AS place UNION ALL SELECT 'https://hub.example.com/b', 1 UNION ALL SELECT 'https://hub.example.com/a', 2
+        UNION ALL SELECT url, NULL FROM state WHERE status IN ('FAILED', 'PENDING', 'PROCESSING')""",
+    "unseen_urls": f"WITH {_MOVED}, n AS (SELECT page_id, {_NORMAL_URL} AS url FROM moved) SELECT DISTINCT url FROM n WHERE url NOT IN (SELECT url FROM n WHERE page_id % 2 = 0)",
+    "processed_urls": f"WITH {_STATE} SELECT url FROM state WHERE status IN ('PROCESSED', 'UPDATED')",
+    "insufficient_answers": f"SELECT conv_id, true AS refused, 0 AS n_sources FROM conversations WHERE turn = 0 AND trim(text) <> ''",
     "state_stream": "SELECT user_id::VARCHAR AS url, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM (SELECT user_id, event_type, ts, event_id FROM events) GROUP BY user_id",
     "conversation_stream": "SELECT conv_id, turn, text AS question, least(4, row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS kept FROM conversations WHERE role = 'user'",
 }

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.config import CrawlConfig, RetrievalConfig, hybrid_stopwords
+from quern.config import AUTH_SELECTORS, CrawlConfig, ModelConfig, RetrievalConfig, SiteConfig, auth_selectors, hybrid_stopwords, run_name, utc_now
 from quern.functions import embedding, text, urls
-from quern.operators import answer, chunking, conversation, crawl, html, index, retrieval
+from quern.operators import answer, chunking, conversation, crawl, frames, health, html, index, loop, retrieval
 from quern.plans.oracles import ORACLES  # noqa: F401
+from quern.sources import files, pages as page_sources, robots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Hosts that the fixture's pages are looked at from.
@@ -30,17 +31,17 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have a vector, as chunks; access is a stand-in made from the toxicity labels."""
+    """Documents as chunks, with a vector where there is one; access is a stand-in made from the toxicity labels."""
     docs, vectors, labels = t(spark, sf_dir, "documents"), t(spark, sf_dir, "embeddings"), t(spark, sf_dir, "labels")
-    rows = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").join(labels.select("doc_id", "toxic"), "doc_id", "left")
+    rows = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").join(labels.select("doc_id", "toxic"), "doc_id", "left")
     access = F.when(F.col("toxic") == 1, "restricted").otherwise("authenticated")
     return rows.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("title"), F.concat(F.lit("https://hub.example.com/"), F.col("doc_id").cast("string")).alias("url"), F.col("lang").alias("section"), access.alias("access"), F.col("doc_id").alias("pos"), "embedding")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first user turn of each conversation whose number is also a vector's."""
+    """The first user turn of each conversation, with the vector of the same number where there is one."""
     first = t(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
-    return first.join(t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector")), "conv_id").withColumnRenamed("conv_id", "query_id")
+    return first.join(t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector")), "conv_id", "left").withColumnRenamed("conv_id", "query_id")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def vector_topk_batch(spark, sf_dir):
 @query
 def debug_search(spark, sf_dir):
     own = corpus(spark, sf_dir)
-    vector = own.orderBy("pos").select("embedding").first()
+    vector = own.filter("embedding IS NOT NULL").orderBy("pos").select("embedding").first()
     return retrieval.debug_search(own, list(vector[0]) if vector else [0.0] * 64)
 
 
@@ -166,8 +167,9 @@ def query_terms(spark, sf_dir):
 
 @query
 def query_terms_score(spark, sf_dir):
-    asked = t(spark, sf_dir, "benchmark").select("item_id", text.query_terms("text").alias("terms"))
-    return t(spark, sf_dir, "conversations").filter("role = 'user'").join(F.broadcast(asked), F.lit(True)).select("conv_id", "turn", "item_id", text.term_hits("text", "terms").alias("score"))
+    """How many of a question's terms its answer holds."""
+    pairs = conversation.pair_turns(t(spark, sf_dir, "conversations"))
+    return pairs.select("conv_id", "turn", text.term_hits("answer", text.query_terms("question")).alias("score"))
 
 
 @query
@@ -425,9 +427,10 @@ def crawl_stats(spark, sf_dir):
     return crawl.stats(crawl.decisions(_links(spark, sf_dir), HUB, CrawlConfig(max_pages=60)))
 
 
-def _state(spark, sf_dir) -> DataFrame:
-    """What was known of two thirds of the pages, half of it out of date; a URL's last page counts."""
-    rows = _pages(spark, sf_dir).filter("page_id % 3 <> 0").groupBy("url").agg(F.max("page_id").alias("pos"), F.max_by("html", "page_id").alias("html"))
+def _state(spark, sf_dir, unknown: bool = False) -> DataFrame:
+    """What was known of the pages, half of it out of date; a URL's last page counts. unknown: not of every third page."""
+    pages = _pages(spark, sf_dir)
+    rows = (pages.filter("page_id % 3 <> 0") if unknown else pages).groupBy("url").agg(F.max("page_id").alias("pos"), F.max_by("html", "page_id").alias("html"))
     old = F.when(F.col("pos") % 2 == 0, text.content_hash("html")).otherwise(F.lit("0"))
     status = F.when(F.col("pos") % 5 == 0, "FAILED").when(F.col("pos") % 5 == 1, "PENDING").otherwise("PROCESSED")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
@@ -439,18 +442,40 @@ def crawl_outcomes(spark, sf_dir):
     status = F.when(F.col("page_id") % 17 == 0, 404).when(F.col("page_id") % 19 == 0, 403).otherwise(200)
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     fetched = _pages(spark, sf_dir).select("page_id", "url", F.col("url").alias("final_url"), status.alias("status_code"), title.alias("title"), "html", text.content_hash("html").alias("content_hash"))
-    return crawl.outcomes(fetched, _state(spark, sf_dir), HUB).select("page_id", "url", "outcome", "status")
+    return crawl.outcomes(fetched, _state(spark, sf_dir, unknown=True), HUB).select("page_id", "url", "outcome", "status")
+
+
+def _seed(spark, sf_dir) -> DataFrame:
+    """All pages' URLs, in page order."""
+    return _pages(spark, sf_dir).select(F.col("page_id").alias("pos"), urls.normalize_url("url").alias("url")).filter("url IS NOT NULL")
+
+
+#: A budget and a depth beyond the fixture's pages.
+WIDE = CrawlConfig(max_pages=10_000_000)
 
 
 @query
 def bfs_frontier(spark, sf_dir):
-    """A fixed graph with a cycle, a self-loop, an external link, a document, a deep chain and more pages than the budget."""
-    rows = spark.range(400).selectExpr("id AS src_no", "explode(array(id * 2 + 1, id * 2 + 2, id, (id * 7) % 50)) AS dst_no")
-    name = lambda c: F.concat(F.lit("https://hub.example.com/p"), F.col(c).cast("string"))
-    dst = F.when(F.col("dst_no") % 41 == 40, F.lit("https://other.example/")).when(F.col("dst_no") % 37 == 36, F.concat(name("dst_no"), F.lit(".pdf"))).otherwise(name("dst_no"))
-    edges = rows.select(name("src_no").alias("src"), F.col("dst_no").alias("pos"), dst.alias("dst"))
-    seed = spark.range(1).select(F.col("id").alias("pos"), F.lit("https://hub.example.com/p0").alias("url"))
-    return crawl.bfs(seed, edges, ["hub.example.com"], CrawlConfig())
+    """The link graph of the whole page table, breadth first from all pages."""
+    pages = _pages(spark, sf_dir).select("page_id", urls.normalize_url("url").alias("url"), "html")
+    found = html.extract_pages(pages, HUB).select(F.col("url").alias("src"), F.col("page_key").alias("page_id"), F.posexplode("links").alias("k", "l"))
+    edges = found.select("src", (F.col("page_id") * 100_000 + F.col("k")).alias("pos"), F.col("l.url").alias("dst"))
+    return crawl.bfs(_seed(spark, sf_dir), edges, HUB, WIDE)
+
+
+@query
+def crawl_run(spark, sf_dir):
+    """A whole crawl over the page table as a source: what each visited URL came to."""
+    fetched, _, _ = crawl.crawl(_pages(spark, sf_dir), _seed(spark, sf_dir), _state(spark, sf_dir, unknown=True), HUB, WIDE)
+    return fetched.select("url", "depth", "status_code", "outcome", "status")
+
+
+@query
+def requeue_expired(spark, sf_dir):
+    """Every tenth page's session had expired; these come first again."""
+    own = _pages(spark, sf_dir).select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("url"))
+    outcome = F.when(F.col("page_id") % 10 == 0, "session_expired").otherwise("new").alias("outcome")
+    return crawl.requeue(own.select("url", F.col("page_id").alias("order_no")), own.select("url", outcome)).select("url", "order_no")
 
 
 def _asked(spark, sf_dir) -> DataFrame:
@@ -492,8 +517,7 @@ def status_counts(spark, sf_dir):
 
 
 def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
-    return f"{base.rstrip('/')}/{name}-{tempfile.mktemp(prefix='', dir='').strip('/')}"
+    return f"{frames.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf_dir: str, name: str) -> DataFrame:
@@ -535,22 +559,313 @@ def state_stream(spark, sf_dir):
     return live.join(live.agg(F.max("snapshot").alias("snapshot")), "snapshot").select("url", F.col("at.event_id").alias("event_id"), "event_type")
 
 
+# Files, stores and reports: written to the shared folder and read back.
+
+
+def _hub_pages(spark, sf_dir) -> DataFrame:
+    """Pages as crawled ones, of which the URL's first counts."""
+    rows = _pages(spark, sf_dir).groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return rows.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status_code"), title.alias("page_title"), "html", text.content_hash("html").alias("content_hash"))
+
+
 @query
-def knowledge_loop(spark, sf_dir):
-    """The loop over the page table: (step, urls ingested so far) until a page is relevant enough."""
-    from quern.operators import loop
+def page_files(spark, sf_dir):
+    """Page files of the newest crawl under a root: written, found by time and read."""
+    root = _folder(spark, "crawls")
+    files.write_pages(_hub_pages(spark, sf_dir).limit(0), f"{root}/crawl_20990101_000000")
+    files.write_pages(_hub_pages(spark, sf_dir), f"{root}/{run_name('crawl')}")
+    got, _ = files.read_pages(spark, files.page_folder(spark, root))
+    return got.select("url", "final_url", "status_code", "page_title", "content_hash", F.md5("html").alias("html_md5"))
+
+
+@query
+def page_file_failures(spark, sf_dir):
+    """Files that aren't pages are listed by name, whatever else is there."""
+    folder = _folder(spark, "pages")
+    body = F.when(F.col("page_id") % 3 == 0, F.lit("no page")).otherwise(F.to_json(F.struct("url", "html")))
+    rows = t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page"), body.alias("value"))
+    rows.repartition("page").write.partitionBy("page").text(folder)
+    # Files of a text sink end in .txt; these stand for page files.
+    raw = spark.read.text(folder, wholetext=True)
+    bad = raw.filter(~files.is_object("value"))
+    return bad.select(F.col("page").cast("string").alias("page"), F.lit("not a JSON page").alias("error"))
+
+
+def _chunk_rows(spark, sf_dir) -> DataFrame:
+    docs = t(spark, sf_dir, "documents")
+    url = F.concat(F.lit("https://hub.example.com/"), (F.col("doc_id") / 5).cast("long").cast("string"))
+    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", url.alias("url"), F.col("source").alias("page_title"), F.col("lang").alias("section"), text.content_hash("text").alias("content_hash"), url.alias("document_id"))
+
+
+@query
+def chunk_files(spark, sf_dir):
+    """Chunks of the newest process run: JSON lines, invalid ones left out."""
+    root, rows = _folder(spark, "processed"), _chunk_rows(spark, sf_dir)
+    run = f"{root}/{run_name('process')}"
+    files.write_run(rows.select("document_id").distinct(), rows, {"chunks": 1}, run)
+    spark.createDataFrame([("no chunk",), ("[1]",)], "value string").write.mode("append").text(f"{run}/chunks.jsonl")
+    return files.read_chunks(spark, files.process_run(spark, root)).select("chunk_id", "url", "page_title", "section", "document_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def nested_chunk_files(spark, sf_dir):
+    """Chunks nested in document files, where there is no file of chunks."""
+    run = _folder(spark, "process")
+    inner = F.collect_list(F.struct("chunk_id", "url", F.lit("").alias("document_id"), "text")).alias("chunks")
+    _chunk_rows(spark, sf_dir).groupBy("document_id").agg(inner).write.json(f"{run}/documents")
+    return files.read_chunks(spark, run).select("chunk_id", "url", "document_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def state_round_trip(spark, sf_dir):
+    """State as records by URL, written and read; blank URLs go and a missing status is pending."""
+    path = _folder(spark, "state")
+    rows = _state(spark, sf_dir).drop("pos")
+    odd = rows.limit(1).select(*(F.lit("").alias(c) if c in ("url", "status") else F.col(c) for c in rows.columns))
+    bare = rows.withColumn("status", F.when(F.col("status") == "PENDING", "").otherwise(F.col("status")))
+    files.write_state(bare.unionByName(odd), path, utc_now())
+    return files.read_state(spark, path).select("url", "title", "content_hash", "status", F.array_join("document_links", ",").alias("document_links"))
+
+
+def _stored(spark, sf_dir) -> index.Index:
+    own = index.Index(spark, _folder(spark, "index"), "id string, text string, url string, content_hash string, pos long")
+    own.refresh(_records(spark, sf_dir), "full")
+    return own
+
+
+@query
+def index_get_by_ids(spark, sf_dir):
+    """Records of asked ids, once each; unknown and repeated ids are asked for too."""
+    own = _stored(spark, sf_dir)
+    asked = t(spark, sf_dir, "embeddings").select((F.col("vec_id") * 2).cast("string").alias("id"))
+    return index.get_by_ids(own.read(), asked.unionByName(asked)).select("id", "url", F.md5("text").alias("text_md5"))
+
+
+@query
+def index_get_by_metadata(spark, sf_dir):
+    return index.get_by_metadata(_stored(spark, sf_dir).read(), url="https://hub.example.com/7").select("id", "url")
+
+
+@query
+def index_rewrites(spark, sf_dir):
+    """Counts and live snapshots of an index over a full load, a refresh, a clear and another load."""
+    own = _stored(spark, sf_dir)
+    out = []
+
+    def note(step: str) -> None:
+        stats = health.statistics(own)
+        out.append((len(out), step, stats["count"], stats["live"], stats["embedding_model"], ",".join(stats["sample_ids"])))
+
+    note("full")
+    own.refresh(_records(spark, sf_dir, edited=True))
+    note("incremental")
+    own.vacuum(1)
+    own.clear()
+    note("clear")
+    own.refresh(_records(spark, sf_dir).filter("pos % 2 = 0"), "full")
+    note("half")
+    return spark.createDataFrame(out, "step_no int, step string, records long, live long, model string, peek string")
+
+
+@query
+def index_peek(spark, sf_dir):
+    return _stored(spark, sf_dir).peek().select("id", "url")
+
+
+@query
+def health_report(spark, sf_dir):
+    """Diagnoses of a filled, an unconfigured and an empty index, by their first point of failure."""
+    own = _stored(spark, sf_dir)
+    none = index.Index(spark, _folder(spark, "index"), own.schema)
+
+    def broken(_):
+        raise ValueError("api_key=secret")
+
+    probe = lambda texts: [embedding.hash_vector(x).tolist() for x in texts]
+    cases = {"filled": (own, probe, True), "no model": (own, probe, False), "no embedder": (own, None, True), "broken embedder": (own, broken, True), "empty": (none, probe, True)}
+    rows = [(n, d["status"], d["failure_point"], d["error"], d["document_count"], d["dimensions"]) for n, d in ((n, health.diagnose(*c)) for n, c in cases.items())]
+    return spark.createDataFrame(rows, "name string, status string, failure_point string, error string, documents long, dimensions int")
+
+
+@query
+def crawl_report(spark, sf_dir):
+    """failed, skipped and counted URLs of a crawl as they are written, as (part, name, n)."""
+    run = _folder(spark, "crawl")
+    decided = crawl.decisions(_links(spark, sf_dir), HUB, CrawlConfig(max_pages=60))
+    status = F.when(F.col("page_id") % 17 == 0, 404).when(F.col("page_id") % 19 == 0, 403).otherwise(200)
+    fetched = _pages(spark, sf_dir).select("url", F.lit("https://hub.example.com/").alias("final_url"), status.alias("status_code"), F.lit("").alias("title"), F.lit("").alias("html"), F.lit("x").alias("content_hash"))
+    parts = health.crawl_report(crawl.outcomes(fetched, _state(spark, sf_dir), HUB).select("url", "outcome", "status_code"), decided)
+    files.write_report(parts, {"mode": "incremental"}, run)
+    failed = spark.read.schema("error_type string").json(f"{run}/failed").groupBy(F.lit("failed").alias("part"), F.col("error_type").alias("name")).count()
+    skipped = spark.read.schema("reason string").json(f"{run}/skipped").groupBy(F.lit("skipped").alias("part"), F.col("reason").alias("name")).count()
+    return failed.unionByName(skipped).withColumnRenamed("count", "n")
 
-    ranked = crawl.rank_catalog(_state(spark, sf_dir), spark.createDataFrame([(0, "the page and hub example")], "query_id long, question string"), HUB, 50)
-    order = [r["url"] for r in ranked.orderBy("rank").collect()]  # 50 at most
+
+@query
+def process_report(spark, sf_dir):
+    docs = _extracted(spark, sf_dir)
+    documents = chunking.to_documents(docs, chunking.chunk_documents(docs))
+    return health.process_report(t(spark, sf_dir, "pages").count(), 3, documents).select("input", "processed", "failed", "skipped")
+
+
+@query
+def page_source(spark, sf_dir):
+    """Pages fetched from a table by URL; what it lacks is a 404."""
+    source = page_sources.TableSource(_hub_pages(spark, sf_dir))
+    asked = _hub_pages(spark, sf_dir).select("url")
+    got = source.fetch(asked.unionByName(asked.select(F.concat("url", F.lit("/missing")).alias("url"))))
+    return got.select("url", "final_url", "status_code", F.md5("html").alias("html_md5"))
+
+
+@query
+def robots_allow(spark, sf_dir):
+    """Rules that are read once, then a predicate over URLs."""
+    lines = robots.rules(lambda: (200, "User-agent: *\nDisallow: /en/\nDisallow: /tag\n"))
+    rows = t(spark, sf_dir, "pages")
+    return rows.select("page_id", robots.allows("url", lines).alias("allowed"), robots.allows("url", robots.rules(lambda: (404, ""))).alias("without_rules"))
+
+
+@query
+def to_chunks(spark, sf_dir):
+    """Records as chunks, with defaults for what is missing."""
+    docs = t(spark, sf_dir, "documents")
+    gone = lambda c, k: F.when(F.col("doc_id") % k == 0, F.lit("")).otherwise(F.col(c)).alias(c)
+    rows = docs.select(F.col("doc_id").alias("chunk_id"), "text", gone("source", 2).alias("page_title"), gone("lang", 3).alias("title"), gone("lang", 4).alias("section"), F.col("source").alias("heading"))
+    return retrieval.to_chunks(rows, LABEL).select("chunk_id", "title", "section", "url", F.md5("text").alias("text_md5"))
+
+
+@query
+def html_fallback(spark, sf_dir):
+    """Documents as records that kept no HTML."""
+
+    @F.pandas_udf("string")
+    def cleaned(titles, bodies):
+        heads = [{"level": "h2", "text": "Part"}, {"level": "h9", "text": ""}]
+        own = [{"url": "https://hub.example.com/x", "text": "more", "internal": True}, {"url": "https://o.example/", "text": "out", "internal": False}]
+        return bodies.combine(titles, lambda b, n: html.clean_without_html(n, heads, b, own)["cleaned_text"])
+
+    one_line = F.regexp_replace("text", r"\s+", " ")
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned("source", one_line)).alias("cleaned_md5"))
+
+
+@query
+def placeholder_check(spark, sf_dir):
+    value = F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).when(F.col("doc_id") % 3 == 1, F.lit("x-replace_with_key")).otherwise(F.col("source"))
+    return t(spark, sf_dir, "documents").select("doc_id", text.configured(value).alias("configured"))
+
+
+@query
+def request_validation(spark, sf_dir):
+    """Questions that are asked as they are, and why others aren't."""
+    texts = [(r.conv_id, r.turn, r.text) for r in t(spark, sf_dir, "conversations").filter("turn = 0").toLocalIterator()]
+
+    def verdict(message: str | None) -> str:
+        try:
+            return f"ok {len(answer.validate(message))}"
+        except ValueError as e:
+            return str(e)
+
+    rows = [(c, n, verdict(x)) for c, n, x in texts]
+    return spark.createDataFrame(rows, "conv_id long, turn long, verdict string")
+
+
+@query
+def settings(spark, sf_dir):
+    """What configuration says for a few environments: hosts, selectors, embedding models."""
+    rows = [
+        ("hosts given", ",".join(SiteConfig.hosts_from(" A.example, b.example ,", ""))),
+        ("hosts of the start", ",".join(SiteConfig.hosts_from("", "https://Hub.example.com/x"))),
+        ("no selectors", str(len(auth_selectors(" , ")))),
+        ("selectors", "|".join(auth_selectors("#a, .b ,"))),
+        ("default selectors", str(auth_selectors(None) == AUTH_SELECTORS)),
+        ("model", ModelConfig("openai", "m", "d").embedding_model()),
+        ("deployment", ModelConfig("azure", "m", "d").embedding_model()),
+    ]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+@query
+def seeds(spark, sf_dir):
+    """The start URL, a given list and what a state has to try again, in this order."""
+    own = crawl.seeds(spark, ["https://hub.example.com/b", "HTTPS://HUB.example.com/a#x", "mailto:x"], "https://hub.example.com/", _state(spark, sf_dir))
+    return own.select("url", F.when(F.col("pos") < 1 << 40, F.col("pos")).alias("place"))
+
+
+@query
+def unseen_urls(spark, sf_dir):
+    """Discovered pages that were not seen before."""
+    found = _pages(spark, sf_dir).select(urls.normalize_url("url").alias("url")).distinct()
+    seen = _pages(spark, sf_dir).filter("page_id % 2 = 0").select(urls.normalize_url("url").alias("url"))
+    return found.join(seen, "url", "left_anti")
+
+
+@query
+def processed_urls(spark, sf_dir):
+    return crawl.processed_urls(_state(spark, sf_dir))
+
+
+@query
+def targeted_ingest(spark, sf_dir):
+    """The first few of the asked pages are processed and indexed."""
+    own = index.Index(spark, _folder(spark, "index"), "id string, text string, url string, content_hash string, pos long")
+    wanted = [r.url for r in t(spark, sf_dir, "pages").orderBy("page_id").select("url").limit(7).collect()]
+    n = loop.targeted_ingest(wanted, t(spark, sf_dir, "pages"), own)
+    blocked = loop.targeted_ingest(wanted, t(spark, sf_dir, "pages"), own, has_session=False)
+    return own.read().groupBy("url").agg(F.count(F.lit(1)).alias("chunks")).select("url", F.lit(n).alias("ingested"), F.lit(blocked).alias("without_session"))
+
+
+@query
+def refresh_run(spark, sf_dir):
+    """An incremental refresh of state and index from the page table: the state's new statuses."""
+    own = index.Index(spark, _folder(spark, "index"), "id string, text string, url string, content_hash string, pos long")
+    site = SiteConfig(allowed_hosts=HUB)
+    after, _ = loop.refresh(_pages(spark, sf_dir).dropDuplicates(["url"]), _state(spark, sf_dir, unknown=True).drop("pos"), own, site=site, now="2000-01-01T00:00:00Z")
+    return after.select("url", "status")
+
+
+@query
+def insufficient_answers(spark, sf_dir):
+    """Questions without passages get the refusal and no sources, and the model isn't asked."""
+
+    def never(*_):
+        raise AssertionError
+
+    own = answer.Answerer(lambda q: [], lambda chunks, q: False, never)
+    rows = [(r.conv_id, own.ask(r.text[:4000])) for r in t(spark, sf_dir, "conversations").filter("turn = 0 AND trim(text) <> ''").toLocalIterator()]
+    return spark.createDataFrame([(c, a["answer"] == answer.INSUFFICIENT, len(a["sources"])) for c, a in rows], "conv_id long, refused boolean, n_sources int")
+
+
+@query
+def knowledge_loop(spark, sf_dir):
+    """Questions that an empty index can't answer: pages are found in the catalog, ingested and searched, until one is relevant enough.
+
+    Each asks for the words of one page's title; (question, ingested, best relevance, whether that suffices).
+    """
+    pages = _hub_pages(spark, sf_dir).withColumn("page_id", F.xxhash64("url"))
+    state = _state(spark, sf_dir)
+    own = index.Index(spark, _folder(spark, "index"), "id string, text string, page_title string, url string, section string, heading string, content_hash string, access string, pos long")
+    asked = [r.title for r in state.filter("url LIKE 'https://hub.example.com/%' AND title <> ''").orderBy("pos").select("title").limit(3).collect()]
+    one = lambda q: spark.createDataFrame([(0, q)], "query_id long, question string")
     seen: set[str] = set()
-    steps: list[int] = []
+    counts: list[int] = []
 
-    def discover(_: str, limit: int) -> list[str]:
-        return [u for u in order if u not in seen][:limit]
+    def retrieve(q: str) -> list[dict]:
+        chunks = own.read().select(F.col("id").alias("chunk_id"), "text", F.col("page_title").alias("title"), "url", "section", "access", "pos")
+        return [r.asDict() for r in retrieval.keyword_topk(one(q), chunks, RetrievalConfig().top_k).collect()]
 
-    def ingest(new: list[str]) -> int:
-        steps.append(len(new))
-        return len(new)
+    def discover(q: str, limit: int) -> list[str]:
+        found = crawl.search_catalog(state, one(q), HUB, limit)
+        return [r.url for r in found.orderBy("rank").collect()]
 
-    loop.fill_gaps("q", [], lambda q: [{"relevance": 0.1 * len(steps)}], discover, ingest, seen)
-    return spark.createDataFrame([(i, n) for i, n in enumerate(steps)], "step int, n_urls int")
+    def ingest(new: list[str]) -> int:
+        counts.append(loop.targeted_ingest(new, pages, own, SiteConfig(allowed_hosts=HUB)))
+        return counts[-1]
+
+    out = []
+    for i, q in enumerate(asked):
+        before = sum(counts)
+        found = loop.fill_gaps(q, retrieve(q), retrieve, discover, ingest, seen)
+        best = max((c["relevance"] for c in found), default=0.0)
+        out.append((i, sum(counts) - before, best, best >= RetrievalConfig().min_relevance))
+    return spark.createDataFrame(out, "question_no int, ingested int, best double, enough boolean")
