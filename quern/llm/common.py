@@ -83,11 +83,12 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     # A local file's path has one or three slashes after its scheme, as it is listed or read.
     rows, files = _places(df, path, at), sorted({re.sub(":/+", ":/", f) for f in df.inputFiles()})
     if len(files) < 2:
-        return rows.withColumn(name, F.col(at)).drop(path, at)
+        return rows.withColumn(name, F.coalesce(at, F.lit(-1))).drop(path, at)
     order = df.sparkSession.createDataFrame([(f, i << ROW_BITS) for i, f in enumerate(files)], f"{path} string, {base} long")
     rows = rows.join(small(order), path, "left")
     start = F.coalesce(base, F.raise_error(F.concat(F.lit("a file that was not listed: "), path)).cast("long"))
-    return rows.withColumn(name, start + F.col(at)).drop(path, at, base)
+    # Never null, and known as such: a test for nulls before one of two joins would keep them from sharing a shuffle.
+    return rows.withColumn(name, F.coalesce(start + F.col(at), F.lit(-1))).drop(path, at, base)
 
 
 def with_rid(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
@@ -96,6 +97,12 @@ def with_rid(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mor
     return numbered(own, "rid").select("rid", *own.columns)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def per_text(df: DataFrame, fn: Callable[[str | None], tuple], columns: str, drop_text: bool = True) -> DataFrame:
     """fn's tuple for each text as new columns, one Arrow batch at a time; a null text is given as None.
 
@@ -111,13 +118,11 @@ def per_text(df: DataFrame, fn: Callable[[str | None], tuple], columns: str, dro
     heads = [f.name for f in fresh.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
-                rows = [fn(x) for x in batch.column("text").to_pylist()]
-                arrays = [batch.column(n) for n in names]
-                arrays += [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names + heads)
+        for batch in slices(batches):
+            rows = [fn(x) for x in batch.column("text").to_pylist()]
+            arrays = [batch.column(n) for n in names]
+            arrays += [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names + heads)
 
     return df.mapInArrow(run, schema)
 
