@@ -1,4 +1,9 @@
-"""From raw documents to token ids: quality rules, exact dedup, near-dedup, mixing, encoding."""
+"""From raw documents to token ids: quality rules, exact dedup, near-dedup, mixing, encoding.
+
+Each stage reads the five columns of documents and gives them back, but for the last; extra columns are left out, whatever
+their names. Null texts are empty ones, a null id or source is a value like any other, texts of any length are read
+whole, repeated rows are told apart, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +18,27 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules of policy 1 keep."""
+    """Documents that the rules of policy 1 keep; null and empty texts have too few words. Repeated rows are judged alike."""
     return quality_rules.passing(docs.select(*COLUMNS), quality_rules.POLICIES[1])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest id."""
+    """One document of each group of equal texts, the one with the largest id; of repeated rows the first in file order. Null and empty texts are equal."""
     return exact_dedup.without_exact_duplicates(docs.select(*COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by five-word shingles, the one with the smallest id."""
+    """One document of each group of near-duplicates by five-word shingles, the one with the smallest id, the first in file order if that occurs twice."""
     return simhash.without_near_duplicates(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document that the mix takes twice stands there twice."""
+    """Sources at their target weights; a document that the mix takes twice stands there twice. A null source is the last one."""
     return mixing.mixed(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document of the mix with its token ids and the text that they decode to."""
+    """Each document of the mix with its token ids and the text that they decode to; null and empty texts have no ids."""
     return bpe.encoded(docs.select(*COLUMNS))
 
 

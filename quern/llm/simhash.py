@@ -339,8 +339,10 @@ def similar_links(prints: DataFrame, most: int, crowd: int = 16) -> DataFrame:
 #: Documents whose shingles are counted to find the common ones, and how many of these are told apart.
 COUNTED = 20_000
 COMMON = 200_000
+#: Bytes of parities that go with each shingle of a prefix.
+SIG = 64
 #: Rows of a shingle's bucket beyond which its parts are compared two and two.
-HOLDERS = 2_000
+HOLDERS = 20_000
 
 
 def shingle_set(blocks: Iterable[np.ndarray]) -> np.ndarray:
@@ -374,17 +376,17 @@ def _sketch(width: int, share: Fraction, common: tuple[np.ndarray, np.ndarray]):
     """text to (node, fp, size, sig, parities, prefix): its shingle set's number, long fingerprint, size and so on.
 
     Bit k of the parities, two or more a shingle, is that of the number of shingles whose low bits are k: sets differ in
-    as many shingles as bits at least. sig has them folded to RING bytes. Of sets that overlap in share of the larger one, the first size - ceil(share * size) + 1 shingles
-    of each in a common order, rare ones first, meet in one at least.
+    as many shingles as bits at least. sig has them folded to SIG bytes. Of sets that overlap in share of the
+    larger one, the first size - ceil(share * size) + 1 shingles of each in a common order, rare ones first, meet in one.
     """
 
     def run(text: str | None) -> tuple:
         blocks = list(shingle_hashes(text, width))
         own = shingle_set(blocks)
-        bits = max(8 * RING, 1 << (2 * len(own)).bit_length())
+        bits = max(8 * SIG, 1 << (2 * len(own)).bit_length())
         odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         parities = np.packbits(odd.astype(np.uint8), bitorder="little")
-        sig = _folded(parities, RING)
+        sig = _folded(parities, SIG)
         times = np.zeros(len(own), np.int64)
         if len(common[0]):
             at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
@@ -397,14 +399,15 @@ def _sketch(width: int, share: Fraction, common: tuple[np.ndarray, np.ndarray]):
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root, prefix) to (token, node, root)."""
+    """(node, root, prefix) to (token, node, root, at), at being a shingle's place in the prefix."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
+        for start in range(0, whole.num_rows, 1000):
+            batch = whole.slice(start, 1000)
             lists = batch.column("prefix").to_pylist()
             sizes = np.array([len(x) // 8 for x in lists])
             columns = [np.frombuffer(b"".join(lists), np.int64), *(np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "root"))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "root"])
+            columns.append(np.arange(len(columns[0])) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:3]), pa.array(columns[3], pa.int32())], names=["token", "node", "root", "at"])
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], by: int) -> Iterator[list[np.ndarray]]:
@@ -417,7 +420,7 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], by: i
         for name in names:
             parts = [b.column(name) for b in held]
             binary = pa.types.is_binary(parts[0].type)
-            out.append(np.concatenate([np.frombuffer(b"".join(p.to_pylist()), np.uint8).reshape(-1, RING) if binary else p.to_numpy() for p in parts]))
+            out.append(np.concatenate([np.frombuffer(b"".join(p.to_pylist()), np.uint8).reshape(-1, SIG) if binary else p.to_numpy() for p in parts]))
         return out
 
     for batch in batches:
@@ -437,29 +440,41 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], by: i
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node, root), sorted by token, of tokens that occur under several roots."""
-    for token, node, root in _whole_runs(batches, ("token", "node", "root"), 1):
+    """Rows (token, node, root, at), sorted by token, of tokens that occur under several roots."""
+    names = ("token", "node", "root", "at")
+    for columns in _whole_runs(batches, names, 1):
+        token, _, root, _ = columns
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         sizes = np.diff(np.concatenate((first, [len(token)])))
         keep = np.repeat(np.maximum.reduceat(root, first) != np.minimum.reduceat(root, first), sizes)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, node, root)], names=["token", "node", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=list(names))
 
 
 def _candidates(share: Fraction):
-    """Rows sorted by (token, salt) to pairs (a, b) under different roots that sizes and parities don't rule out."""
+    """Rows sorted by (token, salt, size) to pairs (a, b) under different roots that places, sizes and parities don't rule out.
+
+    The first shingle that two sets have in common, in the order of their prefixes, leaves them as many as stand behind
+    it in either, itself included, to overlap in. At another shared one this may rule a pair out that the first one gave.
+    """
     n, d = share.numerator, share.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, salt, node, root, size, sig in _whole_runs(batches, ("token", "salt", "node", "root", "size", "sig"), 2):
+        for token, salt, node, root, at, size, sig in _whole_runs(batches, ("token", "salt", "node", "root", "at", "size", "sig"), 2):
+            left = size - at
             live, lag, found = np.arange(len(token)), 1, []
             while len(live := live[live < len(token) - lag]):
-                live = live[(token[live] == token[live + lag]) & (salt[live] == salt[live + lag])]
                 x, y = live, live + lag
-                ok = (root[x] != root[y]) & (np.minimum(size[x], size[y]) * d >= np.maximum(size[x], size[y]) * n)
-                x, y = x[ok], y[ok]
-                # Sets of similarity n / d differ in (d - n) / (d + n) of their sizes' sum at most.
-                ok = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) * (d + n) <= (size[x] + size[y]) * (d - n)
+                # Sizes grow within a bucket, so whoever is too small for this partner is so for all after it.
+                ok = (token[x] == token[y]) & (salt[x] == salt[y]) & (size[x] * d >= size[y] * n)
+                live = x = x[ok]
+                y = x + lag
+                # Sets of similarity n / d overlap in n / (n + d) of their sizes' sum at least ...
+                both = size[x] + size[y]
+                ok = (root[x] != root[y]) & (np.minimum(left[x], left[y]) * (n + d) >= both * n)
+                x, y, both = x[ok], y[ok], both[ok]
+                # ... and differ in (d - n) / (d + n) of it at most.
+                ok = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) * (d + n) <= both * (d - n)
                 x, y = node[x[ok]], node[y[ok]]
                 if len(x):
                     found.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
@@ -533,7 +548,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     other columns are not read.
     """
     share = Fraction(str(similarity))
-    rows = with_rid(docs, id_col, text_col)
+    rows = with_rid(stable(docs), id_col, text_col)
     sketch = _sketch(width, share, common_shingles(rows, width))
     marks = cut(per_text(rows, sketch, "node long, fp binary, size long, sig binary, parities binary, prefix binary"))
     first = marks.groupBy("node").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -541,10 +556,10 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     prints = marks.join(small(again), "rid", "left_anti").drop("id")
     sure = verified(similar_links(prints.select("node", "fp"), max_distance(similarity)), prints, rows, width, share)
     grouped = prints.join(small(components(sure)), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tokens = grouped.select("node", "root", "prefix").mapInArrow(_spread, "token long, node long, root long")
-    shared = cut(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, node long, root long"))
+    tokens = grouped.select("node", "root", "prefix").mapInArrow(_spread, "token long, node long, root long, at int")
+    shared = cut(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, node long, root long, at int"))
     shared = _cells(shared, "token", HOLDERS).join(prints.select("node", "size", "sig"), "node")
-    shared = shared.select("token", "salt", "node", "root", "size", "sig").repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
+    shared = shared.select("token", "salt", "node", "root", "at", "size", "sig").repartition("token", "salt").sortWithinPartitions("token", "salt", "size")
     more = shared.mapInArrow(_candidates(share), "a long, b long").distinct()
     roots = components(sure.unionByName(verified(more, prints, rows, width, share)))
     return marks.select("rid", "id", "node").join(roots, "node", "left").select("rid", "id", F.coalesce("root", "node").alias("root"))
@@ -552,6 +567,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of similar_documents, the first by (id, file order); columns as they were."""
+    docs = stable(docs)
     rows = similar_documents(docs, width, similarity, id_col, text_col)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("f"), F.count(F.lit(1)).alias("n"))
     return without(docs, rows.join(first.filter("n > 1"), "root").filter(F.col("rid") != F.col("f.rid")))
