@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Rows that a part of the global order is meant to hold, and parts at most.
 ROWS_PER_PART = 5_000
-PARTS = 20_000
+PARTS = 4_096
 
 
 def n_words(text: Column) -> Column:
