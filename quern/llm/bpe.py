@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -82,6 +83,8 @@ class SegmentTreeBPE:
         for t in spec["added_tokens"]:
             self.tokens[t["id"]] = t["content"]
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        #: What all special strings begin with; a text without it needs no search for them.
+        self.probe = os.path.commonprefix(list(self.special))
         self.words: dict[str, bytes] = {}
         self.chunks = _Chunks(self)
 
@@ -144,7 +147,7 @@ class SegmentTreeBPE:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian 32-bit integers; special strings become their ids."""
-        if self.at_special and "<|" in text:
+        if self.at_special and self.probe in text:
             parts = self.at_special.split(text)
             return b"".join(self.special[p] if k % 2 else self._plain(p) for k, p in enumerate(parts))
         return self._plain(text)
@@ -214,7 +217,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, id, n_tokens, ids_sha256, decoded_sha256: digests of the ids and of the text decoded from those ids."""
+    """rid, id, n_tokens, ids_sha256, decoded_sha256: digests of the ids and of the text decoded from those ids.
+
+    One row per row of docs: null and empty texts have no ids and decode to nothing, texts of any length are taken whole,
+    repeated rows each get a row, an empty table gives none, and other columns are not read.
+    """
     where = _path(path)
 
     def digests(text: str | None) -> tuple[int, str, str]:
@@ -226,7 +233,10 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
 
 def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id column, n_tokens, ids (array of int) and decoded (text), one row per row of docs; what decodes is what encode gave."""
+    """id column, n_tokens, ids (array of int) and decoded (text), one row per row of docs; what decodes is what encode gave.
+
+    Rows are treated as in encode_decode; other columns are left out, whatever their names.
+    """
     where = _path(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

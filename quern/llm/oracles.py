@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quern.llm.quality_rules import RULES
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,6 +79,27 @@ WITH docs AS (SELECT doc_id, text FROM documents), {LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM led_bits
 """
 
+_RULE_NAMES = list(RULES)
+OP7_ABLATION = f"""
+WITH docs AS (SELECT doc_id, text FROM documents), {LEDGER}, rules AS (SELECT unnest({_RULE_NAMES}) AS rule, unnest(range({len(_RULE_NAMES)})) AS i)
+SELECT rule, count(*) FILTER (failed & (1::BIGINT << i) <> 0) AS n_failed, count(*) FILTER (failed = (1::BIGINT << i)) AS n_only,
+  count(*) FILTER (failed & ~(1::BIGINT << i) = 0) AS n_kept_without FROM led_bits, rules GROUP BY rule
+"""
+
+#: Windows of 200 bytes as hex digits; those that stand elsewhere too are merged to runs, and what is left is put together.
+OP9 = """
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, coalesce(hex(encode(text)), '') AS h FROM documents),
+w AS (SELECT r, i, md5(h[2 * i + 1 : 2 * i + 400]) AS k FROM (SELECT r, h, unnest(range(len(h) // 2 - 199)) AS i FROM t WHERE len(h) >= 400)),
+hits AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+marks AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 200, true) AS new FROM hits),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS g FROM marks) GROUP BY r, g),
+gaps AS (SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a, a AS b FROM runs UNION ALL SELECT r, max(b), NULL FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(h[2 * g.a + 1 : 2 * coalesce(g.b, len(h) // 2)], '' ORDER BY g.a) AS h FROM gaps g JOIN t USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, len(t.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+FROM t LEFT JOIN sums USING (r) LEFT JOIN kept k USING (r)
+"""
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP10 = f"""
@@ -89,5 +112,7 @@ ORACLES: dict[str, str] = {
     "op1_chat_formatting": OP1,
     "op2_source_mixing": OP2,
     "op7_quality_rules": OP7,
+    "quality_ablation": OP7_ABLATION,
+    "op9_suffix_dedup": OP9,
     "op10_exact_dedup": OP10,
 }

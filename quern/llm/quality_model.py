@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, with_rid
+from quern.llm.common import crc_mod, slices, with_rid
 from quern.llm.quality_rules import MEASURES, measure
 
 FEATURES = (
@@ -165,7 +165,7 @@ def in_fold(id_col: Column, fold: int = 5) -> Column:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         x = [list(features(t)) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
 
@@ -186,10 +186,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fold:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, id, score: one row per row of docs, from the text alone. Null and empty texts get a score like any other."""
+    """rid, id, score: one row per row of docs, from the text alone. Null and empty texts get a score like any other.
+
+    Texts of any length are read whole, repeated rows each get a row, an empty table gives none, other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array(model.score(x))], names=["rid", "id", "score"])
 

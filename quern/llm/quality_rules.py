@@ -97,7 +97,10 @@ def rejects(policy: Policy) -> Column:
 
 
 def ablation(book: DataFrame, policy: Policy) -> DataFrame:
-    """For each rule of the policy: rows it fails, rows that no other rule of the policy fails, rows kept without it."""
+    """For each rule of the policy: rows it fails, rows that no other rule of the policy fails, rows kept without it.
+
+    Rows are first counted by their failure bits, of which there are as many as sets of rules at most. An empty ledger gives no rows.
+    """
     hit = F.col("failed").bitwiseAND(F.lit(policy.mask)).alias("hit")
     counts = book.select(hit).groupBy("hit").count()
     rules = [(r, 1 << list(RULES).index(r)) for r in policy.rules]
@@ -112,7 +115,10 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def passing(docs: DataFrame, policy: Policy = POLICIES[1], text_col: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, all columns as they were, in one pass without a shuffle."""
+    """The rows of docs that the policy keeps, all columns as they were, whatever their names, in one pass without a shuffle.
+
+    Null and empty texts have measurements of zero; repeated rows are judged alike; an empty table stays empty.
+    """
     own = [f"__q_{i}" for i in range(len(docs.columns))]
     held = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = ", ".join(f"{m} long" for m in MEASURES)

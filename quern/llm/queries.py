@@ -64,6 +64,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select(F.col("id").alias("doc_id"), *measures, failed.alias("base_failed"), (~failed & ~quality_rules.rejects(quality_rules.POLICIES[1])).alias("kept"), "failed")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does by itself, from the ledger's bits."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES[1])
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -78,6 +83,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op3_simhash_near_dedup, op4_bpe_round_trip, op5_quality_model, op6_token_counts, op7_quality_rules, op8_lm_scoring, op9_suffix_dedup, op10_exact_dedup)
-}
+_ALL = (
+    op1_chat_formatting, op2_source_mixing, op3_simhash_near_dedup, op4_bpe_round_trip, op5_quality_model, op6_token_counts,
+    op7_quality_rules, quality_ablation, op8_lm_scoring, op9_suffix_dedup, op10_exact_dedup,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

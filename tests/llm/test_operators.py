@@ -12,7 +12,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm import bpe, chat_format, elias_fano, exact_dedup, lm_scoring, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_counts
+from pyspark.sql.functions import array, explode, lit
+from pyspark.sql.functions import col as F_col
+
+from quern.llm import bpe, chat_format, common, elias_fano, exact_dedup, lm_scoring, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, source string, rid string, id string, __rid string, fp string, n string, key string, times string"
 
@@ -90,6 +93,28 @@ def test_chat_formatting_reads_back(spark):
         assert not any(x in text for x in ("</s>", "[INST]", "[/INST]", "<s>"))
 
 
+def test_a_long_conversation_takes_time_in_proportion(spark):
+    from pyspark.sql import functions as F
+
+    n = 50_000
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("turn "), F.col("id").cast("string")).alias("text"))
+    whole = chat_format.format_conversations(turns)
+    rows = chat_format.expand(whole, with_text=True).collect()
+    text = next(r["text"] for r in rows if r["example"] is None)
+    examples = sorted((r for r in rows if r["example"] is not None), key=lambda r: r["example"])
+    assert len(examples) == n // 2 and sum(r["text"] is not None for r in rows) == 1
+    assert all(text[r["loss_start"] : r["loss_end"]] == r["reply"] == f"turn {2 * i + 1}" for i, r in enumerate(examples))
+
+
+def test_a_very_long_text_is_formatted_whole(spark):
+    body = "é[INST] </s> \\ " * 100_000
+    row = chat_format.format_conversations(chat(spark, [(1, 0, "assistant", body, "a", "b")])).first()
+    (span,) = row["spans"]
+    assert row["text"][span["start"] : span["end"]] == span["reply"]
+    assert chat_format.format_conversations(chat(spark, [(1, 0, "assistant", body, "a", "b")])).select(chat_format.read_back(F_col("text")).alias("t")).first()["t"][0]["text"] == body
+
+
 def test_prefix_targets_have_only_their_reply_trainable(spark):
     whole = chat_format.format_conversations(chat(spark, [(*r, "a", "b") for r in CHAT]))
     texts = {r["conv_id"]: r["text"] for r in whole.collect()}
@@ -147,6 +172,11 @@ def test_mixing_matches_brute_force(docs, rows):
     assert Counter((r["id"], r["size"], r["taken"]) for r in again) == Counter((r["id"], r["size"], r["taken"]) for r in got)
 
 
+def test_mixing_is_the_same_in_any_parts(docs, spark):
+    whole, parts = (sorted(map(tuple, mixing.mix(docs, rows_per_part=n).drop("rid").collect()), key=str) for n in (5_000, 2))
+    assert whole == parts
+
+
 def test_mixed_repeats_rows_and_keeps_columns(docs, spark):
     plan = mixing.mix(docs).collect()
     out = mixing.mixed(docs)
@@ -421,6 +451,57 @@ def test_quality_model_without_labels(spark):
     assert quality_model.score(empty(spark), model).count() == 0
 
 
+def brute_tree(g, w, leaves):
+    parts = [(0, len(g))]
+    value = lambda a, b: sum(g[a:b]) ** 2 / (sum(w[a:b]) + 1)
+    while len(parts) < leaves:
+        options = [(value(a, c) + value(c, b) - value(a, b), k, c) for k, (a, b) in enumerate(parts) for c in range(a + 1, b) if min(sum(w[a:c]), sum(w[c:b])) >= 0.05]
+        best = max(options, key=lambda o: (o[0], -o[1], -o[2]), default=(0, 0, 0))
+        if best[0] <= 1e-9:
+            break
+        a, b = parts.pop(best[1])
+        parts += [(a, best[2]), (best[2], b)]
+    out = [0.0] * len(g)
+    for a, b in parts:
+        out[a:b] = [sum(g[a:b]) / (sum(w[a:b]) + 1)] * (b - a)
+    return out
+
+
+def test_boosted_tables_are_those_of_plain_loops(monkeypatch):
+    """Cyclic boosting with loops over rows, bins and cuts gives the same tables, and adding bins up the same scores."""
+    monkeypatch.setattr(quality_model, "ROUNDS", 6)
+    monkeypatch.setattr(quality_model, "PAIR_ROUNDS", 0)
+    rnd = np.random.default_rng(3)
+    x, y = rnd.random((80, 4)), (rnd.random(80) < 0.4).astype(float)
+    y[x[:, 1] > 0.6] = 1.0
+    model = quality_model.fit(x, y)
+    total, tables = [model.bias] * len(y), [[0.0] * (len(e) + 1) for e in model.edges]
+    bins = [[sum(v >= e for e in edges) for v in x[:, j]] for j, edges in enumerate(model.edges)]
+    for _ in range(6):
+        for j, table in enumerate(tables):
+            g, w = [0.0] * len(table), [0.0] * len(table)
+            for b, t, label in zip(bins[j], total, y):
+                q = 1 / (1 + math.exp(-t))
+                g[b] += label - q
+                w[b] += q * (1 - q)
+            step = [quality_model.RATE * v for v in brute_tree(g, w, 3)]
+            tables[j] = [a + b for a, b in zip(table, step)]
+            total = [t + step[b] for t, b in zip(total, bins[j])]
+    for mine, plain in zip(model.tables, tables):
+        assert mine == pytest.approx(plain, abs=1e-9)
+    assert model.score(x) == pytest.approx([1 / (1 + math.exp(-t)) for t in total], abs=1e-9)
+
+
+def test_quality_model_on_the_fixture(spark):
+    """Held-out accuracy on labels.quality, as the share of pairs of a good and a bad document in the right order."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scores = {r["id"]: r["score"] for r in quality_model.score(docs, quality_model.train(docs, labels)).collect()}
+    held = [(scores[r["doc_id"]], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["quality"] is not None]
+    good, bad = [s for s, q in held if q == 1], [s for s, q in held if q == 0]
+    assert good and bad and np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.95
+
+
 def test_pair_tables_catch_what_single_features_cannot():
     rnd = np.random.default_rng(1)
     x = rnd.random((4000, len(quality_model.FEATURES)))
@@ -645,6 +726,69 @@ def test_exact_dedup_matches_brute_force(docs, rows, spark, salt):
     assert exact_dedup.exact_duplicates(empty(spark)).count() == 0
 
 
+def test_huge_texts_are_hashed_in_parts(docs, spark):
+    key = lambda r: (r["id"] is None, r["id"] or 0, r["text_sha256"], r["kept"])
+    whole, parts = (sorted((tuple(r)[1:] for r in exact_dedup.exact_duplicates(docs, huge_chars=h, part_chars=7, rows_per_salt=3).collect()), key=str) for h in (1 << 25, 20))
+    assert whole == parts
+
+
+# Rows and frames
+
+
+@pytest.fixture
+def split_table(spark, tmp_path):
+    data = [(i % 40, f"Text {i % 25} " * 30, None, "a", "b", "c", "d", "e", "f", "g") for i in range(200)]
+    spark.createDataFrame(data, SCHEMA).repartition(5).write.parquet(str(tmp_path / "t.parquet"))
+    yield str(tmp_path / "t.parquet")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def split(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+
+def test_rows_keep_their_numbers_however_files_are_split(spark, split_table):
+    seen = []
+    for size in (1 << 27, 500):
+        split(spark, size)
+        rows = common.with_rid(common.stable(spark.read.parquet(split_table).filter("doc_id > 2")))
+        seen.append((rows.rdd.getNumPartitions(), sorted((r["rid"], r["id"], r["text"]) for r in rows.collect())))
+    assert seen[0][0] != seen[1][0] and seen[0][1] == seen[1][1] and len({r[0] for r in seen[0][1]}) == len(seen[0][1])
+
+
+def test_duplicates_are_found_if_splits_change_between_scans(spark, split_table, monkeypatch):
+    real, sizes = exact_dedup.cut, iter([500, 1 << 27] * 20)
+
+    def cut(df):
+        out = real(df)
+        split(spark, next(sizes))
+        return out
+
+    monkeypatch.setattr(exact_dedup, "cut", cut)
+    got = exact_dedup.without_exact_duplicates(spark.read.parquet(split_table))
+    assert got.count() == 25
+
+
+def test_frames_without_lasting_rows_are_checkpointed(spark, split_table):
+    table = spark.read.parquet(split_table)
+    narrow = table.select("doc_id", "text").filter("doc_id = 1")
+    assert common.stable(table) is table and common.stable(narrow) is narrow
+    for odd in (table.repartition(3), table.withColumn("x", explode(array(lit(1), lit(2)))), table.union(table), table.join(table.select("doc_id").distinct(), "doc_id")):
+        kept = common.stable(odd)
+        assert kept is not odd and common.stable(kept) is kept
+        rids = [r["rid"] for r in common.with_rid(kept).collect()]
+        assert len(set(rids)) == len(rids) == odd.count()
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    rows = [(i, 0 if i % 3 == 0 else i) for i in range(3000)]
+    count = Counter(k for _, k in rows)
+    got = common.join_hot(spark.createDataFrame(rows, "id long, k long"), spark.createDataFrame([(k, k * 2, n) for k, n in count.items()], "k long, twice long, n long"), "k", "n", len(rows))
+    assert sorted((r["id"], r["k"], r["twice"]) for r in got.collect()) == [(i, k, 2 * k) for i, k in rows]
+
+
 # The pipeline
 
 
