@@ -256,6 +256,7 @@ ORACLES: dict[str, str] = {
     "debug_search": f"""WITH {_CORPUS}, v AS (SELECT embedding AS vector FROM corpus WHERE embedding IS NOT NULL ORDER BY pos LIMIT 1),
         d AS (SELECT c.*, round(1 - list_cosine_similarity(vector, embedding), 6) AS distance FROM corpus c, v WHERE embedding IS NOT NULL)
         SELECT row_number() OVER (ORDER BY distance, chunk_id) AS rank, chunk_id, title, url, greatest(0, least(1, 1 - distance)) AS relevance, text[1:200] AS preview FROM d QUALIFY rank <= 5""",
+    "vector_recall": "SELECT count(*) FILTER (vec_id % 20 = 0) AS n_queries, count(*) FILTER (vec_id % 20 = 0) * least(10, count(*)) AS n_exact, true AS enough FROM embeddings",
     "keyword_search": f"WITH {_CORPUS}, {_KEYWORD} SELECT query_id, chunk_id, relevance, rank FROM kw",
     "rrf_scores": f"WITH {_CORPUS}, {_VECTOR}, {_KEYWORD}, {_FUSED} SELECT query_id, chunk_id, round(score, 9) AS score FROM rrf",
     "rrf_fuse": f"WITH {_CORPUS}, {_VECTOR}, {_KEYWORD}, {_FUSED} SELECT query_id, position, chunk_id, round(score, 9) AS score, round(relevance, 6) AS relevance FROM fused",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.config import AUTH_SELECTORS, CrawlConfig, ModelConfig, RetrievalConfig, SiteConfig, auth_selectors, hybrid_stopwords, run_name, utc_now
 from quern.functions import embedding, text, urls
-from quern.operators import answer, chunking, conversation, crawl, frames, health, html, index, loop, retrieval
+from quern.operators import answer, cells, chunking, conversation, crawl, frames, health, html, index, loop, retrieval
 from quern.plans.oracles import ORACLES  # noqa: F401
 from quern.sources import files, pages as page_sources, robots
 
@@ -69,6 +69,20 @@ def vector_topk_batch(spark, sf_dir):
     return retrieval.vector_topk(asked, vectors.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), 5)
 
 
+@query
+def vector_recall(spark, sf_dir):
+    """How much of the exact search the one by cells finds: every twentieth vector asked of all, at least nine of ten neighbours met.
+
+    The fixture's vectors are random and form no clusters, so a question has to look into 12 of 16 cells for that.
+    """
+    rows = t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "vec_id")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    centres = cells.fit_centres(rows, 16)
+    found = cells.vector_topk_cells(asked, cells.index_cells(rows, centres, _folder(spark, "cells")), centres, 10, 12)
+    figures = cells.recall(found, retrieval.vector_topk(asked, rows, 10))
+    return figures.select("n_queries", "n_exact", (F.col("n_met") >= 0.9 * F.col("n_exact")).alias("enough"))
+
+
 @query
 def debug_search(spark, sf_dir):
     own = corpus(spark, sf_dir)

@@ -3,12 +3,13 @@ import random
 from collections import deque
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern import config
 from quern.config import ChunkConfig, CrawlConfig, RetrievalConfig, SiteConfig
-from quern.operators import answer, chunking, conversation, crawl, dom, frames, html, index, loop, retrieval
+from quern.operators import answer, cells, chunking, conversation, crawl, dom, frames, html, index, loop, retrieval
 from quern.sources import files, pages, robots
 
 # Pages
@@ -400,6 +401,23 @@ def test_robots_and_page_source(spark):
     assert {(r["url"], r["status_code"]) for r in source.fetch(rows).collect()} == {("https://h/open", 200), ("https://h/private/x", 404)}
 
 
+def test_cells_find_near_vectors_of_clusters_in_few_probes(spark, tmp_path):
+    rnd = np.random.default_rng(2)
+    middle = rnd.normal(size=(12, 16))
+    vectors = [(i, f"c{i:03}", (middle[i % 12] + 0.1 * rnd.normal(size=16)).tolist() if i % 50 else None) for i in range(600)]
+    corpus = spark.createDataFrame(vectors, "id long, chunk_id string, embedding array<double>")
+    centres = cells.fit_centres(corpus, 12)
+    indexed = cells.index_cells(corpus, centres, str(tmp_path / "cells"))
+    assert indexed.count() == 588 and indexed.select("cell").distinct().count() <= 12
+    asked = corpus.filter("id % 20 = 1").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = retrieval.vector_topk(asked, corpus, 5)
+    few, every = (cells.vector_topk_cells(asked, indexed, centres, 5, p) for p in (2, 12))
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    figures = cells.recall(few, exact).first()
+    assert figures["n_exact"] == 150 and figures["n_met"] >= 135
+    assert cells.vector_topk_cells(asked.limit(0), indexed, centres, 5, 2).count() == 0
+
+
 # Whole frames
 
 
