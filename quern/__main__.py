@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+from dataclasses import replace
 
 SCHEMA = "id string, text string, page_title string, url string, section string, heading string, content_hash string, access string, token_count int, document_id string, pos long"
 
@@ -29,6 +31,8 @@ def main(argv: list[str] | None = None) -> int:
     index.add_argument("mode", choices=("full", "incremental", "clear", "stats"))
     index.add_argument("index")
     index.add_argument("run", nargs="?")
+    for command in (crawl, process):
+        command.add_argument("--env", help="a file of NAME=value lines; QUERN_<FIELD> there or in the environment sets a field of the configuration")
     args = parser.parse_args(argv)
     if args.command == "index" and args.mode in ("full", "incremental") and not args.run:
         parser.error("this mode needs a run")
@@ -41,6 +45,13 @@ def main(argv: list[str] | None = None) -> int:
         return 1
 
 
+def _configured(cls, args: argparse.Namespace):
+    from quern.config import from_environment, read_env
+
+    text = open(args.env, encoding="utf-8").read() if args.env else ""
+    return from_environment(cls, "QUERN", read_env(text) | dict(os.environ))
+
+
 def _run(args: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
@@ -58,7 +69,7 @@ def _run(args: argparse.Namespace) -> int:
         pages, bad = (spark.read.parquet(args.pages), None) if table else files.read_pages(spark, args.pages)
         if not table:
             pages = pages.withColumn("page_id", F.monotonically_increasing_id())
-        site = SiteConfig()
+        site = _configured(SiteConfig, args)
         docs = html.extract_pages(pages, site.allowed_hosts)
         chunks = chunking.chunk_documents(docs, source_label=site.source_label)
         documents = chunking.to_documents(docs, chunks)
@@ -84,8 +95,9 @@ def _crawl(args: argparse.Namespace, spark) -> int:
     from quern.operators import crawl, health
     from quern.sources import files
 
-    site, now = SiteConfig(), utc_now()
-    config = CrawlConfig(mode=args.mode) if args.max_pages is None else CrawlConfig(mode=args.mode, max_pages=args.max_pages)
+    site, now = _configured(SiteConfig, args), utc_now()
+    config = replace(_configured(CrawlConfig, args), mode=args.mode)
+    config = config if args.max_pages is None else replace(config, max_pages=args.max_pages)
     before = files.read_state(spark, args.state or f"{args.run}/state")
     seed = crawl.seeds(spark, args.seed, site.start_url, before, args.mode)
     fetched, decided, _ = crawl.crawl(spark.read.parquet(args.pages), seed, before, site.allowed_hosts, config)

@@ -13,6 +13,7 @@ from quern.functions.text import blank
 
 INSUFFICIENT = "There is not enough information in the indexed content to answer this confidently. Please rephrase the question or add context."
 NO_PASSAGES = "(No relevant passages were retrieved.)"
+RULES = f"Instructions:\n- Ground every statement in the passages.\n- Cite sources by title and URL.\n- If evidence is missing, say so.\n- Otherwise answer: {INSUFFICIENT}\n"
 SYSTEM = "Answer from the given passages alone. Cite them by title and URL, name conflicts between them, and say so if they don't hold the answer."
 
 
@@ -44,8 +45,7 @@ def build_prompt(question: Column, context: Column, history: Column) -> Column:
     """history, passages, question and instructions; context: the blocks, joined by blank lines."""
     shown = F.when(blank(context) == "", F.lit(NO_PASSAGES)).otherwise(context)
     before = F.when(blank(history) == "", F.lit("")).otherwise(F.concat(F.lit("Follow-up context:\n"), history, F.lit("\n\n")))
-    rules = f"Instructions:\n- Ground every statement in the passages.\n- Cite sources by title and URL.\n- If evidence is missing, say so.\n- Otherwise answer: {INSUFFICIENT}\n"
-    return F.concat(before, F.lit("Retrieved passages:\n"), shown, F.lit("\n\nUser question:\n"), blank(question), F.lit("\n\n" + rules))
+    return F.concat(before, F.lit("Retrieved passages:\n"), shown, F.lit("\n\nUser question:\n"), blank(question), F.lit("\n\n" + RULES))
 
 
 def prompts(queries: DataFrame, found: DataFrame, history: DataFrame | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
@@ -122,7 +122,7 @@ class Answerer:
             total += len(block)
         turns = self.histories.get(conversation_id or "", [])
         history = f"Follow-up context:\nPrevious question: {turns[-1][0]}\nPrevious answer: {turns[-1][1][: self.config.answer_chars]}\n\n" if turns else ""
-        prompt = f"{history}Retrieved passages:\n" + ("\n\n".join(blocks) or NO_PASSAGES) + f"\n\nUser question:\n{message}\n"
+        prompt = f"{history}Retrieved passages:\n" + ("\n\n".join(blocks) or NO_PASSAGES) + f"\n\nUser question:\n{message}\n\n{RULES}"
         try:
             answer = self.complete(SYSTEM, prompt)
         except Exception as e:

@@ -478,3 +478,15 @@ def test_crawl_command(spark, tmp_path, capsys):
     assert {r["url"]: r["status"] for r in files.read_state(spark, f"{run}/state").collect()} == {"https://hub.example.com/": "PROCESSED", "https://hub.example.com/a": "PROCESSED", "https://hub.example.com/gone": "FAILED"}
     assert main(["crawl", str(tmp_path / "p.parquet"), run]) == 0
     assert json.loads(capsys.readouterr().out)["unchanged_pages"] == 2
+    (tmp_path / ".env").write_text("QUERN_MAX_DEPTH=0\n")
+    assert main(["crawl", str(tmp_path / "p.parquet"), str(tmp_path / "other"), "--env", str(tmp_path / ".env")]) == 0
+    assert json.loads(capsys.readouterr().out)["successfully_crawled_pages"] == 1
+
+
+def test_one_question_and_many_get_the_same_prompt(spark):
+    chunk = {"title": "T", "url": "u", "section": "s", "relevance": 0.5, "text": "body"}
+    asked: list[str] = []
+    answer.Answerer(lambda q: [chunk], lambda c, q: True, lambda system, prompt: asked.append(prompt) or "yes").ask("What?")
+    found = spark.createDataFrame([(1, 1, "T", "u", "s", 0.5, "body")], "query_id long, rank int, title string, url string, section string, relevance double, text string")
+    many = answer.prompts(spark.createDataFrame([(1, "What?")], "query_id long, question string"), found)
+    assert asked == [r["prompt"] for r in many.collect()]
