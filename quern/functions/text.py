@@ -73,8 +73,8 @@ def keywords(c: Column | str, stopwords: Iterable[str], limit: int = 8) -> Colum
 
 def term_hits(text: Column | str, terms: Column | str) -> Column:
     """How many terms are substrings of the lower-cased text."""
-    lowered = F.lower(blank(text))
-    return F.size(F.filter(_c(terms), lambda t: F.contains(lowered, t)))
+    # As a lambda's variable the text is lowered once and not for each term.
+    return F.element_at(F.transform(F.array(F.lower(blank(text))), lambda low: F.size(F.filter(_c(terms), lambda t: F.contains(low, t)))), 1)
 
 
 def relevance(distance: Column | str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.config import RetrievalConfig
 from quern.functions.embedding import cosine_distance
-from quern.functions.text import authorized, blank, default, query_terms, relevance
+from quern.functions.text import authorized, blank, default, query_terms, relevance, term_hits
 from quern.operators.frames import QUESTIONS, checkpointed, first_holders, in_blocks, small, union
 
 #: Decimals that distances keep, so that the order does not hang on the last bits of a sum.
@@ -107,8 +107,7 @@ def keyword_topk(queries: DataFrame, corpus: DataFrame, k: int, config: Retrieva
     hits = first.join(found, "term").groupBy("query_id", "chunk_id").agg(F.min(F.struct("term_no", "nth")).alias("first_pos"))
     hits = checkpointed(hits.join(asked, "query_id"))
     rows = chunks.join(small(hits), "chunk_id")
-    blob = F.lower(F.concat_ws(" ", "title", "text"))
-    overlap = F.size(F.filter("terms", lambda t: F.contains(blob, t)))
+    overlap = term_hits(F.concat_ws(" ", "title", "text"), "terms")
     rows = rows.select("query_id", "chunk_id", "first_pos", keyword_relevance(overlap, F.col("title"), F.col("question")).alias("relevance"))
     order = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "first_pos")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "relevance", "rank")
