@@ -108,6 +108,59 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
   doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, text_sha256 FROM t
 """
 
+#: Rules as rows; of those that fit a URL the longest counts.
+OP11 = r"""
+WITH rules(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+p AS (SELECT row_number() OVER () AS r, page_id, regexp_replace(url, '(?s)^.*?://', '') AS rest, coalesce(contains(url, '://'), false) AS ok FROM pages),
+q AS (SELECT r, page_id, CASE WHEN ok THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM p),
+fits AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM q, rules
+  WHERE ends_with('.' || host, '.' || split_part(rule, '/', 1)) AND starts_with(path, rule[length(split_part(rule, '/', 1)) + 1:]) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q LEFT JOIN fits USING (r)
+"""
+
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+held AS (SELECT r, doc_id, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+every AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM held),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, every GROUP BY term),
+i AS (SELECT row_number() OVER () AS i, item_id, text FROM benchmark),
+asked AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i),
+m AS (SELECT r, doc_id, 50 + (50 * n * n_docs) // n_terms AS m FROM held, every),
+s AS (SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Codebooks round by round, each as a table; all in whole numbers."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+far{k} AS MATERIALIZED (SELECT r, p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN book{k} USING (p)),
+near{k} AS MATERIALIZED (SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM far{k} GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (SELECT p, e, i, floor(sum(x[i + 1])::DOUBLE / count(*))::BIGINT AS c FROM near{k} JOIN parts USING (r, p), range(len(x)) t(i) GROUP BY p, e, i),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(new, c) AS c FROM book{k} LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS new FROM mean{k} GROUP BY p, e) USING (p, e))""")
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)::BIGINT) AS y FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+parts AS MATERIALIZED (SELECT r, p, y[len(y) // 4 * p + 1 : len(y) // 4 * (p + 1)] AS x FROM v, range(4) t(p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 256), {",".join(steps)},
+sums AS (SELECT r, sum(d)::BIGINT AS error, string_agg(lower(printf('%02x', e::INT)), '' ORDER BY p) AS code FROM near{rounds} GROUP BY r),
+hash AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN sums USING (r), hash
+"""
+
+
+OP13 = _vector_codes()
+
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": OP1,
     "op2_source_mixing": OP2,
@@ -115,4 +168,7 @@ ORACLES: dict[str, str] = {
     "quality_ablation": OP7_ABLATION,
     "op9_suffix_dedup": OP9,
     "op10_exact_dedup": OP10,
+    "op11_url_filter": OP11,
+    "op12_lexical_search": OP12,
+    "op13_vector_codes": OP13,
 }

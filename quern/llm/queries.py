@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat_format, exact_dedup, lm_scoring, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_counts
+from quern.llm import bpe, chat_format, exact_dedup, lexical_search, lm_scoring, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, url_filter, vector_codes
 from quern.llm.common import table
 
 
@@ -83,8 +83,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: The stated rules: what a URL is held against, and what becomes of it.
+URL_RULES = (
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
+)
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+    return rows.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+    return rows.select("item_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
 _ALL = (
     op1_chat_formatting, op2_source_mixing, op3_simhash_near_dedup, op4_bpe_round_trip, op5_quality_model, op6_token_counts,
     op7_quality_rules, quality_ablation, op8_lm_scoring, op9_suffix_dedup, op10_exact_dedup,
+    op11_url_filter, op12_lexical_search, op13_vector_codes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
