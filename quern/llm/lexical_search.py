@@ -34,10 +34,14 @@ ITEMS = 2_000
 TERMS = 1_000_000
 #: Parts that the lists are dealt to at most, and postings of a part.
 PARTS, PART_POSTINGS = 8_192, 200_000
+#: Lists or segments that a task gives out at a time.
+SEGMENTS = 256
 
 #: Letters of ASCII in lower case, digits and all bytes of other characters stay; the rest parts terms.
 _BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-_SEGMENT = np.dtype([("at", "<u2"), ("tf", "<u4"), ("n", "<u4")])
+#: What a text's task writes of a posting, and what a list holds of it: a weight of 1 makes it worth `q` of a score.
+_COUNTS = np.dtype([("at", "<u2"), ("tf", "<u4"), ("n", "<u4")])
+_LIST = np.dtype([("at", "<u2"), ("q", "<u4")])
 _SEGMENTS = "term string, range long, n_docs long, n_terms long, packed binary"
 
 
@@ -65,7 +69,7 @@ def _packer(asked: frozenset[bytes] | None):
         def packed() -> pa.RecordBatch:
             own = np.frombuffer(term, np.uint32)
             order = np.argsort(own, kind="stable")
-            rows = np.empty(len(own), _SEGMENT)
+            rows = np.empty(len(own), _COUNTS)
             for name, values in (("at", at), ("tf", tf), ("n", size)):
                 rows[name] = np.frombuffer(values, values.typecode)[order]
             ends = np.searchsorted(own[order], np.arange(len(names)), side="right").tolist()
@@ -118,25 +122,44 @@ class Postings:
         lists = found.filter("term IS NOT NULL")
         self.df = cut(lists.groupBy("term").agg(F.sum("n_docs").alias("df")))
         held = self.df.agg(F.sum("df")).first()[0] or 0
-        parts = min(PARTS, max(1, held // PART_POSTINGS))
+        self.parts = min(PARTS, max(1, held // PART_POSTINGS))
+        worth = lists.select("term", "range", "packed").mapInArrow(_worth(self.n, self.l), _SEGMENT)
         # Two tasks may each have a segment of one term and range; they hold different rows.
-        self.lists = cut(lists.select("term", "range", "packed").repartitionByRange(parts, "term", "range").sortWithinPartitions("term", "range"))
+        self.lists = cut(worth.repartitionByRange(self.parts, "term", "range").sortWithinPartitions("term", "range"))
 
     def weights(self, terms: DataFrame) -> DataFrame:
         """terms (term, ...) that occur, with their weight."""
         idf = F.log((F.lit(2 * self.n + 2).cast("double")) / (2 * F.col("df") + 1).cast("double"))
         return terms.join(small(self.df), "term").withColumn("weight", F.floor(1000.0 * idf).cast("long"))
 
-    def values(self, packed: bytes, weight: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places in the range, what the term adds to each one's score) of a segment."""
-        return _values(packed, weight, self.n, self.l)
 
+_SEGMENT = "term string, range long, packed binary"
 
-def _values(packed: bytes, weight: int, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.frombuffer(packed, _SEGMENT)
-    tf, size = rows["tf"].astype(np.int64), rows["n"].astype(np.int64)
-    m = 50 + (50 * size * n) // total
-    return rows["at"], weight * ((1_000_000_000 * tf) // (1000 * tf + 20 * m))
+
+def _worth(n: int, total: int):
+    """Segments with each posting's share of a score, which hangs on the numbers of documents and terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for packed in batch.column("packed").to_pylist():
+                rows = np.frombuffer(packed, _COUNTS)
+                tf, size = rows["tf"].astype(np.int64), rows["n"].astype(np.int64)
+                own = np.empty(len(rows), _LIST)
+                own["at"], own["q"] = rows["at"], (1_000_000_000 * tf) // (1000 * tf + 20 * (50 + (50 * size * n) // total))
+                out.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("range"), pa.array(out, pa.binary())], names=["term", "range", "packed"])
+
+    return run
+
+
+def _segments(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+    """(term, range, places in the range, shares of a score, more) of segments, one by one."""
+    for batch in slices(batches):
+        columns = [batch.column(c).to_pylist() for c in ("term", "range", "packed", *more)]
+        for term, part, packed, *rest in zip(*columns):
+            rows = np.frombuffer(packed, _LIST)
+            yield term, part, rows["at"], rows["q"].astype(np.int64), *rest
 
 
 def search(index: Postings, items: DataFrame, k: int = 50, block: int = ITEMS) -> DataFrame:
@@ -170,77 +193,121 @@ def _search(index: Postings, items: DataFrame, k: int) -> DataFrame:
     for r in weighted.toLocalIterator():
         lists[r.term].append(r.item)
         weight[r.term] = r.weight
-    m = Counter(i for own in lists.values() for i in own)
-    n, total = index.n, index.l
+    terms_of_item: dict[int, list[str]] = defaultdict(list)
+    for t, own in lists.items():
+        for i in own:
+            terms_of_item[i].append(t)
+    if not lists:
+        return items.sparkSession.createDataFrame([], "item long, rid long, score long")
     terms = small(weighted.select("term").distinct())
-    asked = index.lists.join(terms, "term", "left_semi") if lists else index.lists.filter("false")
+    asked = index.lists.join(terms, "term", "left_semi")
 
     # 1. Heads. Segments come by term, so a task keeps one list's best at a time.
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, best = None, (np.empty(0, np.int64), np.empty(0, np.int64))
-        for batch in slices(batches):
-            done = []
-            for term, part, packed in zip(*(batch.column(c).to_pylist() for c in ("term", "range", "packed"))):
-                if term != name:
-                    done.append((name, *best))
-                    name, best = term, (np.empty(0, np.int64), np.empty(0, np.int64))
-                at, v = _values(packed, weight[term], n, total)
-                some = np.argsort(-v, kind="stable")[:k] if len(v) > k else slice(None)
-                rid, v = np.concatenate([best[0], at[some].astype(np.int64) + (part << RANGE_BITS)]), np.concatenate([best[1], v[some]])
-                some = np.argsort(-v, kind="stable")[:k]
-                best = rid[some], v[some]
-            yield _heads(done)
-        yield _heads([(name, *best)])
+        name, best, done = None, (np.empty(0, np.int64), np.empty(0, np.int64)), []
+        for term, part, at, q in _segments(batches):
+            if term != name:
+                done.append((name, *best))
+                name, best = term, (np.empty(0, np.int64), np.empty(0, np.int64))
+                if len(done) >= SEGMENTS:
+                    yield _heads(done)
+                    done = []
+            some = np.argsort(-q, kind="stable")[:k]
+            rid, v = np.concatenate([best[0], at[some].astype(np.int64) + (part << RANGE_BITS)]), np.concatenate([best[1], weight[term] * q[some]])
+            some = np.argsort(-v, kind="stable")[:k]
+            best = rid[some], v[some]
+        yield _heads([*done, (name, *best)])
 
     top = asked.mapInArrow(heads, "term string, rid long, v long")
     top = top.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("v"), "rid"))).filter(F.col("r") <= k)
     per_item = small(cut(weighted.select("item", "term")))
-    floor_1 = _nth_best(top.join(per_item, "term").groupBy("item", "rid").agg(F.sum("v").alias("s")), k)
+    bound = _nth_best(top.join(per_item, "term").groupBy("item", "rid").agg(F.sum("v").alias("s")), k)
 
     # 2. The uniform threshold: a document that reaches the bound has a value of bound / m or more in one of m lists.
-    least = {i: max(1, -(-floor_1.get(i, 0) // lists_of)) for i, lists_of in m.items()}
+    least = {i: max(1, -(-bound.get(i, 0) // len(own))) for i, own in terms_of_item.items()}
+    at_least = {t: min(least[i] for i in own) for t, own in lists.items()}
 
     def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for term, part, packed in zip(*(batch.column(c).to_pylist() for c in ("term", "range", "packed"))):
-                at, v = _values(packed, weight[term], n, total)
-                order = np.argsort(-v, kind="stable")
-                down = -v[order]
-                for item in lists[term]:
-                    some = order[: np.searchsorted(down, -least[item], side="right")]
-                    if len(some):
-                        yield _found(item, at[some].astype(np.int64) + (part << RANGE_BITS), v[some])
-
-    seen = asked.mapInArrow(above, "item long, rid long, v long")
-    seen = cut(seen.groupBy("item", "rid").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("lists")))
-    floor_2 = _nth_best(seen, k)
-    bounds = [(i, lists_of, least[i] - 1, max(floor_1.get(i, 0), floor_2.get(i, 0))) for i, lists_of in m.items()]
-    bounds = items.sparkSession.createDataFrame(bounds, "item long, m long, unseen long, bound long")
-    most = F.col("s") + (F.col("m") - F.col("lists")) * F.col("unseen")
-    left = seen.join(F.broadcast(bounds), "item").filter(most >= F.col("bound"))
+        out = []
+        for term, part, at, q in _segments(batches):
+            some = weight[term] * q >= at_least[term]
+            if some.any():
+                own = np.empty(int(some.sum()), _LIST)
+                own["at"], own["q"] = at[some], q[some]
+                out.append((term, part, own.tobytes()))
+            if len(out) >= SEGMENTS:
+                yield _list_batch(out)
+                out = []
+        if out:
+            yield _list_batch(out)
+
+    # What was fetched meets by range, each posting once and not once for each item that asks for it.
+    fetched = cut(asked.mapInArrow(above, _SEGMENT).repartition(index.parts, "range").sortWithinPartitions("range", "term"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(item, range, sum of what was fetched by place, number of lists by place)."""
+        for part, held in _ranges(batches):
+            for item, own in terms_of_item.items():
+                s, seen = np.zeros(1 << RANGE_BITS, np.int64), np.zeros(1 << RANGE_BITS, np.int64)
+                for at, q, w in ((*x, weight[t]) for t in own for x in held.get(t, ())):
+                    v = w * q
+                    some = v >= least[item]
+                    s[at[some]] += v[some]
+                    seen[at[some]] += 1
+                yield item, part, s, seen
+
+    def best_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for item, _, s, _ in sums(batches):
+            best = -np.partition(-s, min(k, len(s) - 1))[:k]
+            best = best[best >= max(1, bound.get(item, 0))]
+            if len(best):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), item, np.int64)), pa.array(best)], names=["item", "s"])
+
+    raised = _nth_best(fetched.mapInArrow(best_sums, "item long, s long"), k)
+    bound = {i: max(bound.get(i, 0), raised.get(i, 0), 1) for i in terms_of_item}
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for item, part, s, seen in sums(batches):
+            own = np.flatnonzero((seen > 0) & (s + (len(terms_of_item[item]) - seen) * (least[item] - 1) >= bound[item]))
+            if len(own):
+                yield pa.RecordBatch.from_pylist([{"item": item, "range": part, "places": own.astype("<u2").tobytes()}])
 
     # 3. Exact scores: what is left of a range meets that range of each of its item's lists.
-    here = F.shiftright("rid", RANGE_BITS)
-    asks = left.groupBy("item", here.alias("range")).agg(F.sort_array(F.collect_list("rid")).alias("rids"))
-    asks = asks.join(per_item, "item").groupBy("term", "range").agg(F.collect_list(F.struct("item", "rids")).alias("asks"))
+    asks = fetched.mapInArrow(left, "item long, range long, places binary").join(per_item, "item")
+    asks = asks.groupBy("term", "range").agg(F.collect_list(F.struct("item", "places")).alias("asks"))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 32):
-            for term, part, packed, own in zip(*(batch.column(c).to_pylist() for c in ("term", "range", "packed", "asks"))):
-                at, v = _values(packed, weight[term], n, total)
-                order = np.argsort(at, kind="stable")
-                rids = at[order].astype(np.int64) + (part << RANGE_BITS)
-                for ask in own:
-                    want = np.array(ask["rids"], np.int64)
-                    near = np.minimum(np.searchsorted(rids, want), len(rids) - 1)
-                    hit = rids[near] == want
-                    if hit.any():
-                        yield _found(ask["item"], want[hit], v[order[near[hit]]])
+        for term, part, at, q, own in _segments(batches, "asks"):
+            v = np.zeros(1 << RANGE_BITS, np.int64)
+            v[at] = weight[term] * q
+            for ask in own:
+                want = np.frombuffer(ask["places"], "<u2")
+                hit = want[v[want] > 0].astype(np.int64)
+                if len(hit):
+                    yield _found(ask["item"], hit + (part << RANGE_BITS), v[hit])
 
     exact = index.lists.join(asks, ["term", "range"]).mapInArrow(look_up, "item long, rid long, v long")
     scores = exact.groupBy("item", "rid").agg(F.sum("v").alias("score"))
-    reached = F.broadcast(bounds.select("item", "bound"))
-    return scores.join(reached, "item").filter((F.col("score") > 0) & (F.col("score") >= F.col("bound"))).drop("bound")
+    reached = F.broadcast(items.sparkSession.createDataFrame([*bound.items()], "item long, bound long"))
+    return scores.join(reached, "item").filter(F.col("score") >= F.col("bound")).drop("bound")
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list[tuple[np.ndarray, np.ndarray]]]]]:
+    """Segments of one range at a time, by term; they come in order of range."""
+    here, held = None, defaultdict(list)
+    for term, part, at, q in _segments(batches):
+        if part != here:
+            if here is not None:
+                yield here, held
+            here, held = part, defaultdict(list)
+        held[term].append((at, q))
+    if here is not None:
+        yield here, held
+
+
+def _list_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["term", "range", "packed"])
 
 
 def _heads(done: list[tuple[str | None, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
