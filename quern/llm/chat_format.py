@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
+#: Code points that a long text is read in at a time.
+BLOCK = 4096
 #: Strings that mean something to a chat template or a tokenizer; inside texts a backslash breaks them up.
 CONTROL = ("<|", "</s>", "<s>", "<unk>", "<pad>", "[INST]", "[/INST]")
 
@@ -31,8 +33,8 @@ def unescape(c: Column) -> Column:
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, text, spans): one row per conversation of rows (conv_id, turn, role, text).
 
-    text is the marked-up conversation; spans has (turn_no, start, end, reply) of each assistant turn, in code points from
-    0; reply is escaped as it stands in text. Null roles and texts are empty. Turns go by (turn, role, text), a null turn
+    text is the marked-up conversation; spans has (turn_no, start, end) of each assistant turn, in code points of text from
+    0: the loss mask. Null roles and texts are empty. Turns go by (turn, role, text), a null turn
     first; repeated rows are turns of their own. A null conv_id is a conversation like any other. An empty table gives
     no rows; other columns are not read.
     """
@@ -48,19 +50,20 @@ def format_conversations(rows: DataFrame) -> DataFrame:
         F.concat("head", "body", F.lit(END)).alias("piece"),
         (end - F.length("body")).alias("start"),
         end.alias("end"),
-        F.when(F.col("role") == "assistant", F.col("body")).alias("reply"),
+        (F.col("role") == "assistant").alias("reply"),
     )
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(each)).alias("turns"))
-    spans = F.transform(F.filter("turns", lambda t: t["reply"].isNotNull()), lambda t: F.struct(t["turn_no"], t["start"], t["end"], t["reply"]))
+    spans = F.transform(F.filter("turns", lambda t: t["reply"]), lambda t: F.struct(t["turn_no"], t["start"], t["end"]))
     return whole.select("conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("text"), spans.alias("spans"))
 
 
 def expand(conversations: DataFrame, with_text: bool = False) -> DataFrame:
-    """(conv_id, example, n_context_turns, context_chars, loss_start, loss_end, reply): a row per assistant turn.
+    """(conv_id, example, n_context_turns, context_chars, loss_start, loss_end): a row per assistant turn.
 
     The example's text is text[0 : loss_end + len(END)] of its conversation, and only [loss_start, loss_end) is trained on.
     A conversation without replies has no row, unless with_text adds a row for each conversation with a null example and
     the conversation's `text`, which is null in all other rows: so it goes along once, whatever the number of examples.
+    Nulls, empty texts and repeated rows were settled by format_conversations; an empty table gives no rows.
     """
     one = conversations
     if with_text:
@@ -77,22 +80,39 @@ def expand(conversations: DataFrame, with_text: bool = False) -> DataFrame:
         F.col("s.start").alias("context_chars"),
         F.col("s.start").alias("loss_start"),
         F.col("s.end").alias("loss_end"),
-        F.col("s.reply").alias("reply"),
         *(["text"] if with_text else []),
     )
 
 
+def under_mask(text: Column, spans: Column) -> Column:
+    """What stands in text at each of spans (start, end), still escaped; the time is that of the text and of what is cut out.
+
+    A text is read in blocks of BLOCK code points, so that a span is found without going through all that stands before it.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{BLOCK}}})"), F.lit(1))
+
+    def piece(held: Column, s: Column) -> Column:
+        first, last = F.floor(s["start"] / BLOCK).cast("int"), F.floor((s["end"] - 1) / BLOCK).cast("int")
+        near = F.array_join(F.slice(held, first + 1, last - first + 1), "")
+        cut = F.substring(near, (s["start"] - first * BLOCK + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+        return F.when(s["end"] > s["start"], cut).otherwise("")
+
+    # As a lambda's variable the blocks are made once and not for each span.
+    return F.element_at(F.transform(F.array(blocks), lambda held: F.transform(spans, lambda s: piece(held, s))), 1)
+
+
 def materialise(conversations: DataFrame) -> DataFrame:
     """Examples with their whole text: (conv_id, example, context, reply, text, loss_start, loss_end).
 
-    Rows are as in expand; this takes the room of all prefixes.
+    Rows are as in expand, and so is what nulls, empty texts, repeated rows and empty tables give; reply is what stands
+    under the mask. This takes the room of all prefixes.
     """
     one = conversations.select("conv_id", "text", F.posexplode("spans").alias("example", "s"))
     return one.select(
         "conv_id",
         "example",
         F.expr("substring(text, 1, s.start)").alias("context"),
-        F.col("s.reply").alias("reply"),
+        F.expr("substring(text, s.start + 1, s.end - s.start)").alias("reply"),
         F.expr(f"substring(text, 1, s.end + {len(END)})").alias("text"),
         F.col("s.start").alias("loss_start"),
         F.col("s.end").alias("loss_end"),

@@ -16,11 +16,15 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, probe)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    examples = chat_format.expand(chat_format.format_conversations(rows), with_text=True)
-    own = F.when(F.col("example").isNotNull(), F.struct("example", "reply"))
-    whole = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(own)).alias("replies"), F.max("text").alias("text"))
-    said = F.array_join(F.transform("replies", lambda x: chat_format.unescape(x["reply"])), "")
-    out = whole.select("conv_id", "text", F.size("replies").alias("n_examples"), said.alias("said"), chat_format.read_back(F.col("text")).alias("turns"))
+    return chat_digests(chat_format.expand(chat_format.format_conversations(rows), with_text=True))
+
+
+def chat_digests(examples: DataFrame) -> DataFrame:
+    """A row for each conversation of examples with texts: what is read back from the text, and what stands under the loss mask."""
+    own = F.when(F.col("example").isNotNull(), F.struct("example", F.col("loss_start").alias("start"), F.col("loss_end").alias("end")))
+    whole = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(own)).alias("spans"), F.max("text").alias("text"))
+    said = F.array_join(F.transform(chat_format.under_mask(F.col("text"), F.col("spans")), chat_format.unescape), "")
+    out = whole.select("conv_id", "text", F.size("spans").alias("n_examples"), said.alias("said"), chat_format.read_back(F.col("text")).alias("turns"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
