@@ -50,6 +50,15 @@ NEW_CAPITALS = (
     (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1),
     (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
 )
+#: Code point ranges of marks that Python's NFC moves or composes and the tokenizer's leaves where they are.
+NEW_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85),
+    (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0),
+    (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1),
+    (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+_AT_MARK = regex.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEW_MARKS) + "])")
 _AS_SIGN = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEW_LETTERS) + "]")
 _CAPITALS = {c: c + d for a, b, d in NEW_CAPITALS for c in range(a, b + 1)}
 _IS_CAPITAL = regex.compile("[" + "".join(map(chr, _CAPITALS)) + "]")
@@ -63,6 +72,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(free)) for b in range(256)]
 
 
+def nfc(text: str) -> str:
+    """NFC as the tokenizer has it: a mark that it doesn't know stays, and what stands before and after it is normalised by itself."""
+    if unicodedata.is_normalized("NFC", text):
+        return text  # parts of a normalised text are normalised
+    if not _AT_MARK.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_AT_MARK.split(text)))
+
+
 class SegmentTreeBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -154,7 +172,7 @@ class SegmentTreeBPE:
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = nfc(text)
             if _IS_CAPITAL.search(text):
                 text = text.translate(_CAPITALS)
         # Each code point is lowered for itself; only a final capital sigma would differ.
