@@ -46,21 +46,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _nodes(df: DataFrame) -> list[str]:
-    """Names of the nodes of df's plan, leaves last."""
-    lines = df._jdf.queryExecution().analyzed().toString().splitlines()
-    return [re.split(r"[ \[(]", re.sub(r"\A[\s:+-]*", "", line))[0] for line in lines]
+def _nodes(plan) -> list[str]:
+    """Classes of a plan's nodes, the plan's own first."""
+    children = plan.children()
+    return [plan.getClass().getSimpleName(), *(n for i in range(children.size()) for n in _nodes(children.apply(i)))]
+
+
+def _plan(df: DataFrame) -> tuple[list[str], bool]:
+    """Classes of the nodes of df's plan, and whether each scan gives the same rows: no rand(), no UDF that isn't deterministic."""
+    plan = df._jdf.queryExecution().analyzed()
+    return _nodes(plan), plan.deterministic()
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """df if its rows keep their names over scans, else df checkpointed.
+    """df if its rows and their names are the same in each scan, else df checkpointed.
 
-    Columns and rows chosen from a Parquet table have file and place there; a checkpointed frame has fixed partitions. What
-    a shuffle brings has neither: its partitions may be dealt anew when an executor is lost.
+    Columns and rows chosen by deterministic expressions from a Parquet table have file and place there; a checkpointed
+    frame has fixed partitions. What a shuffle brings has neither: its partitions may be dealt anew when an executor is
+    lost. What hangs on rand() or the like changes from scan to scan.
     """
-    nodes = [n for n in _nodes(df) if n]
-    plain = set(nodes[:-1]) <= {"Project", "Filter", "SubqueryAlias"}
-    return df if plain and (nodes[-1] == "LogicalRDD" or nodes[-1] == "Relation" and _places(df) is not None) else cut(df)
+    nodes, same = _plan(df)
+    plain = same and set(nodes[:-1]) <= {"Project", "Filter", "SubqueryAlias"}
+    return df if plain and (nodes[-1] == "LogicalRDD" or nodes[-1] == "LogicalRelation" and _places(df) is not None) else cut(df)
 
 
 def _places(df: DataFrame, path: str = "__path", at: str = "__at") -> DataFrame | None:
@@ -77,7 +84,7 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     For Parquet it is the file's number in the order of paths and the row's in its file; a checkpointed frame has
     partitions that don't change.
     """
-    if "Relation" not in _nodes(df):
+    if "LogicalRelation" not in _plan(df)[0]:
         return df.withColumn(name, F.monotonically_increasing_id())
     path, at, base = fresh(df, "__path"), fresh(df, "__at"), fresh(df, "__base")
     # A local file's path has one or three slashes after its scheme, as it is listed or read.

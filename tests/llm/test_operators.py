@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql.functions import array, explode, lit
 from pyspark.sql.functions import col as F_col
 
-from quern.llm import bpe, chat_format, common, elias_fano, exact_dedup, lm_scoring, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_counts
+from quern.llm import bpe, chat_format, common, elias_fano, exact_dedup, lm_scoring, mixing, quality_model, quality_rules, queries, simhash, suffix_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, source string, rid string, id string, __rid string, fp string, n string, key string, times string"
 
@@ -104,14 +105,32 @@ def test_a_long_conversation_takes_time_in_proportion(spark):
     text = next(r["text"] for r in rows if r["example"] is None)
     examples = sorted((r for r in rows if r["example"] is not None), key=lambda r: r["example"])
     assert len(examples) == n // 2 and sum(r["text"] is not None for r in rows) == 1
-    assert all(text[r["loss_start"] : r["loss_end"]] == r["reply"] == f"turn {2 * i + 1}" for i, r in enumerate(examples))
+    assert all(text[r["loss_start"] : r["loss_end"]] == f"turn {2 * i + 1}" for i, r in enumerate(examples))
+    digest = queries.chat_digests(chat_format.expand(whole, with_text=True)).first()
+    said = "".join(f"turn {i}" for i in range(1, n, 2))
+    assert (digest["loss_chars"], digest["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_the_loss_is_read_through_the_mask(spark):
+    """Moved offsets change what the query says: nothing but the text and the mask is read."""
+    from pyspark.sql import functions as F
+
+    bodies = ["x" * chat_format.BLOCK + "é🎉" * 9_000 + "y", "", "ok </s>", "z" * (2 * chat_format.BLOCK)]
+    rows = [(1, i, "assistant", b, "a", "b") for i, b in enumerate(bodies)]
+    examples = chat_format.expand(chat_format.format_conversations(chat(spark, rows)), with_text=True)
+    right = queries.chat_digests(examples).first()
+    said = "".join(bodies)
+    assert (right["loss_chars"], right["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    for column in ("loss_start", "loss_end"):
+        moved = examples.withColumn(column, F.when(F.col("example") == 2, F.col(column) + 1).otherwise(F.col(column)))
+        assert queries.chat_digests(moved).first()["loss_sha256"] != right["loss_sha256"]
 
 
 def test_a_very_long_text_is_formatted_whole(spark):
     body = "é[INST] </s> \\ " * 100_000
     row = chat_format.format_conversations(chat(spark, [(1, 0, "assistant", body, "a", "b")])).first()
     (span,) = row["spans"]
-    assert row["text"][span["start"] : span["end"]] == span["reply"]
+    assert chat_format.CONTROL[4] not in row["text"] and row["text"][span["start"] : span["end"]].replace("\\[", "[").count("é") == 100_000
     assert chat_format.format_conversations(chat(spark, [(1, 0, "assistant", body, "a", "b")])).select(chat_format.read_back(F_col("text")).alias("t")).first()["t"][0]["text"] == body
 
 
@@ -853,3 +872,51 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_frames_that_change_between_scans_are_checkpointed(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "t")
+    spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("Relation [\nJoin").alias("odd")).write.parquet(path)
+    table = spark.read.parquet(path)
+    for steady in (table, table.filter("doc_id > 3").select("doc_id", "text"), table.withColumn("name", F.lit("a\nJoin [x]")), common.cut(table)):
+        assert common.stable(steady) is steady
+    coin = F.udf(lambda: 1, "int").asNondeterministic()
+    for loose in (table.filter(F.rand() < 0.5), table.withColumn("r", F.rand()), table.select("doc_id", "text", coin().alias("r")), table.groupBy("doc_id").agg(F.max("text").alias("text")), table.union(table)):
+        assert common.stable(loose) is not loose
+    half = table.filter(F.rand() < 0.5)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        kept = common.stable(half)
+        ids = {r.doc_id for r in kept.collect()}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # other splits, other random numbers
+        assert {r.doc_id for r in kept.collect()} == ids
+        assert len({r.rid for r in common.numbered(kept, "rid").collect()}) == len(ids)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def _marks():
+    import unicodedata
+
+    return [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.combining(chr(c))]
+
+
+def test_bpe_marks_are_the_librarys(bpe_library):
+    """Each combining mark between others, and random strings of marks and letters."""
+    own = bpe.load(public_tokenizers.path(bpe.DEFAULT))
+    texts = [f"a{chr(c)}{m} a{m}{chr(c)}e" for c in _marks() for m in ("\u0301", "\u0323", "\u0334")]
+    rnd = random.Random(6)
+    marks = _marks()
+    texts += ["".join(chr(rnd.choice([rnd.choice(marks), rnd.randrange(0x61, 0x7B), rnd.randrange(0xC0, 0x3100)])) for _ in range(rnd.randrange(2, 9))) for _ in range(30_000)]
+    texts += ["\U00011935\U00011930", "\U00011938", "\U00011938\u0323", "e\U00011930\u0301", "e\u0301\u07fd\u0323"]
+    want = [e.ids for e in bpe_library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, w in zip(texts, want) if np.frombuffer(own.encode(t), "<u4").tolist() != w] == []
+
+
+@pytest.fixture(scope="module")
+def bpe_library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(bpe.DEFAULT))
