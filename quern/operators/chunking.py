@@ -106,7 +106,8 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), source
     """Chunks of docs (url, title, cleaned_text, blocks, optional content_hash and access), one row each.
 
     A document without blocks is one group of its cleaned text. Columns: chunk_id, document_id, page_title, url, section,
-    heading, crawl_timestamp, scraped_date, source_type, source, access, content_hash, token_count, chunk_no, text.
+    heading, crawl_timestamp, scraped_date, source_type, source, access, content_hash, token_count, chunk_no, text, and page_key
+    if docs has it.
     """
 
     @F.pandas_udf(_CHUNK)
@@ -131,8 +132,9 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), source
         return pd.Series(out)
 
     have = lambda c: F.col(c) if c in docs.columns else F.lit("")
+    key = ["page_key"] if "page_key" in docs.columns else []
     rows = docs.select(
-        blank("url").alias("url"), blank("title").alias("page_title"), default(have("content_hash"), content_hash("cleaned_text")).alias("content_hash"),
+        *key, blank("url").alias("url"), blank("title").alias("page_title"), default(have("content_hash"), content_hash("cleaned_text")).alias("content_hash"),
         default(have("access"), "authenticated").alias("access"), F.explode(cut(F.col("blocks"), blank("cleaned_text"), blank("title"))).alias("c"),
     )
     heading = default("c.heading", F.col("page_title"))
@@ -141,16 +143,21 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), source
         document_id(F.col("url"), F.col("page_title")).alias("document_id"),
         "page_title", "url", default("c.section", heading).alias("section"), heading.alias("heading"),
         F.lit(crawled_at).alias("crawl_timestamp"), F.lit(crawled_at).alias("scraped_date"), F.lit(source_type).alias("source_type"), F.lit(source_label).alias("source"),
-        "access", "content_hash", F.ceil(F.length("c.text") / CHARS).cast("int").alias("token_count"), F.col("c.chunk_no").alias("chunk_no"), F.col("c.text").alias("text"),
+        "access", "content_hash", F.ceil(F.length("c.text") / CHARS).cast("int").alias("token_count"), F.col("c.chunk_no").alias("chunk_no"), F.col("c.text").alias("text"), *key,
     )
 
 
 def to_documents(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(document_id, url, page_title, cleaned_text, content_hash, access, sections, chunk_count, chunks); empty ones are left out."""
+    """(document_id, url, page_title, cleaned_text, content_hash, access, sections, chunk_count, chunks); empty ones are left out.
+
+    Pages and chunks meet by page_key where both have it, so that two pages of one URL and title stay apart.
+    """
+    key = ["page_key"] if {"page_key"} <= {*docs.columns} & {*chunks.columns} else ["url", "page_title"]
     names = F.array_sort(F.array_distinct(F.filter(F.transform("blocks", lambda b: b["section"]), lambda s: s != "")))
-    own = docs.select(blank("url").alias("url"), blank("title").alias("page_title"), "cleaned_text", names.alias("sections")).filter(F.trim("cleaned_text") != "")
-    packed = chunks.groupBy("url", "page_title").agg(
+    page = [blank("url").alias("url"), blank("title").alias("page_title")]
+    own = docs.select(*(key if len(key) == 1 else []), *page, "cleaned_text", names.alias("sections")).filter(F.trim("cleaned_text") != "")
+    packed = chunks.groupBy(*key).agg(
         F.first("document_id").alias("document_id"), F.first("content_hash").alias("content_hash"), F.first("access").alias("access"), F.count(F.lit(1)).alias("chunk_count"),
         F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_id", "section", "heading", "token_count", "text"))).alias("chunks"),
     )
-    return own.join(packed, ["url", "page_title"])
+    return own.join(packed, key)

@@ -5,7 +5,7 @@ Pages come from a supplied table; nothing here touches a network.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.config import CrawlConfig
 from quern.functions import urls
 from quern.functions.text import blank, query_terms
-from quern.operators.frames import best_holders, checkpointed
+from quern.operators.frames import best_holders, checkpointed, running, small, union
 
 STATUSES = ("PENDING", "PROCESSING", "PROCESSED", "UPDATED", "FAILED", "ACCESS_DENIED", "SKIPPED")
 STATE = "url string, title string, content_hash string, last_scraped string, last_updated string, status string, error string, document_links array<string>"
@@ -45,14 +45,11 @@ def decisions(links: DataFrame, hosts: Iterable[str], config: CrawlConfig = Craw
     lasts, or `max_pages_budget`; one that is queued already is a `duplicate`."""
     rows = links.withColumn("decision", admission(F.col("url"), F.col("depth"), hosts, config.max_depth, robots))
     candidate = F.col("decision") == "candidate"
-    first = F.row_number().over(Window.partitionBy("url", "decision").orderBy("pos"))
-    rows = rows.withColumn("first", candidate & (first == 1))
-    firsts = rows.filter("first").select("pos", "url")
     # The first max_pages of distinct candidates; a sort with a limit, as few as the budget.
-    queued = firsts.orderBy("pos").limit(config.max_pages).select("url", F.lit(True).alias("in_queue"))
-    rows = rows.join(queued, "url", "left")
+    firsts = rows.filter(candidate).groupBy("url").agg(F.min("pos").alias("first_pos")).orderBy("first_pos").limit(config.max_pages)
+    rows = rows.join(small(checkpointed(firsts)), "url", "left")
     # Beyond the budget nothing is queued, so a later occurrence runs into the budget again.
-    decided = F.when(~candidate, F.col("decision")).when(F.col("in_queue") & F.col("first"), "queued").when(F.col("in_queue"), "duplicate").otherwise("max_pages_budget")
+    decided = F.when(~candidate, F.col("decision")).when(F.col("first_pos") == F.col("pos"), "queued").when(F.col("first_pos").isNotNull(), "duplicate").otherwise("max_pages_budget")
     return rows.select("pos", "url", "depth", decided.alias("decision"))
 
 
@@ -196,59 +193,148 @@ def seeds(spark: SparkSession, given: list[str], start_url: str, state: DataFram
     return out
 
 
+#: Outcomes that count against the page budget, and those whose links are followed.
+SUCCESSES = ("new", "updated")
+FOLLOWED = ("new", "updated", "unchanged")
+
+Visit = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
 def bfs(seed: DataFrame, edges: DataFrame, hosts: Iterable[str], config: CrawlConfig = CrawlConfig()) -> DataFrame:
-    """(url, depth, order_no): pages that a breadth-first crawl visits, in its order.
+    """(url, depth, order_no): pages that a breadth-first crawl visits if every fetch is a success, in its order.
 
-    seed: (pos, url); edges: (src, pos, dst). One pass a level: links of the frontier in order, the admission rules, an
-    anti-join against what was seen, and the rest of the budget. A level is as the sequential crawl has it if no
-    fetch in it fails.
+    seed: (pos, url); edges: (src, pos, dst).
     """
-    first = seed.select("url", F.lit(0).alias("depth"), F.struct(F.lit(0).cast("long").alias("a"), F.col("pos").cast("long").alias("b")).alias("place"))
-    seen: DataFrame | None = None
-    links, depth, total = first, 0, 0
-    while depth <= config.max_depth:
-        ok = links.filter(admission(F.col("url"), F.lit(depth), hosts, config.max_depth) == "candidate")
-        new = ok.groupBy("url").agg(F.min("place").alias("place"))
-        if seen is not None:
-            new = new.join(seen.select("url"), "url", "left_anti")
-        level = new.orderBy("place").limit(config.max_pages - total)
-        level = level.select("url", F.lit(depth).alias("depth"), (F.row_number().over(Window.orderBy("place")) + total).cast("long").alias("order_no"))
-        level = checkpointed(level)
-        n = level.count()
-        seen = level if seen is None else checkpointed(seen.unionByName(level))
-        total += n
-        depth += 1
-        if not n or total >= config.max_pages:
+
+    def visit(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+        links = edges.join(small(level.select(F.col("url").alias("src"), "order_no")), "src").select("order_no", F.col("pos").cast("long").alias("pos"), F.col("dst").alias("url"))
+        return level.withColumn("outcome", F.lit("new")), links
+
+    return walk(seed, visit, hosts, config)[0].select("url", "depth", "order_no")
+
+
+def walk(seed: DataFrame, visit: Visit, hosts: Iterable[str], config: CrawlConfig = CrawlConfig(), robots: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fetched, decided) of a breadth-first crawl, level by level, equal to a sequential one.
+
+    visit(level) fetches pages (url, depth, order_no): it gives them with `outcome`, and the links (order_no, pos, url) of
+    those whose links are followed. A link is queued while successes and waiting pages are fewer than the budget, so each
+    fetch that is no success frees a place for the links that come after it, also for one that was turned away before.
+    decided: (order_no, pos, url, depth, decision) of each link and seed (order_no 0).
+    """
+    hosts = list(hosts)
+    links = seed.select(F.lit(0).cast("long").alias("order_no"), F.col("pos").cast("long").alias("pos"), "url", F.lit(0).cast("long").alias("freed"))
+    fetched, decided, queued, freed, depth = [], [], 0, 0, 0
+    while True:
+        rows = checkpointed(links.withColumn("decision", admission(F.col("url"), F.lit(depth), hosts, config.max_depth, robots)))
+        offers = rows.filter("decision = 'candidate'")
+        if fetched:
+            offers = offers.join(union([f.select("url") for f in fetched]), "url", "left_anti")
+        # While no place is freed, a link that was turned away stays so: its first offer at each number of freed places will do.
+        offers = checkpointed(offers.groupBy("url", "freed").agg(F.min(F.struct("order_no", "pos")).alias("place")))
+        taken = checkpointed(_taken(offers, config.max_pages - queued))
+        n = taken.count()
+        decided.append(_decided(rows, taken, [f.select("url") for f in fetched], depth))
+        if not n:
             break
-        links = edges.join(level, F.col("src") == level["url"]).select(F.col("dst").alias("url"), F.struct(F.col("order_no").alias("a"), F.col("pos").cast("long").alias("b")).alias("place"))
-    return seen
+        level = running(taken.select("url", F.lit(depth).alias("depth"), "place", F.lit(1).alias("one")), ["place"], "one", "nth")
+        pages, found = visit(checkpointed(level.select("url", "depth", (F.col("nth") + queued).alias("order_no"))))
+        pages = checkpointed(pages)
+        lost = running(pages.select("order_no", (~F.col("outcome").isin(*SUCCESSES)).cast("long").alias("lost")), ["order_no"], "lost", "freed")
+        links = found.join(small(checkpointed(lost.select("order_no", (F.col("freed") + freed).alias("freed")))), "order_no")
+        fetched.append(pages)
+        queued, depth = queued + n, depth + 1
+        freed += pages.filter(~F.col("outcome").isin(*SUCCESSES)).count()
+    return (union(fetched) if fetched else visit(_no_level(seed))[0]), union(decided)
+
+
+def _no_level(seed: DataFrame) -> DataFrame:
+    return seed.select("url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("order_no")).limit(0)
+
+
+def _decided(rows: DataFrame, taken: DataFrame, seen: list[DataFrame], depth: int) -> DataFrame:
+    """What became of a level's links: the offer that was taken is queued, those after it are duplicates."""
+    rows = rows.join(small(taken.select("url", F.col("place").alias("at"))), "url", "left")
+    if seen:
+        rows = rows.join(small(checkpointed(union(seen)).withColumn("known", F.lit(True))), "url", "left")
+    else:
+        rows = rows.withColumn("known", F.lit(None).cast("boolean"))
+    place = F.struct("order_no", "pos")
+    what = F.when(F.col("decision") != "candidate", F.col("decision")).when(F.col("known") | (place > F.col("at")), "duplicate").when(place == F.col("at"), "queued").otherwise("max_pages_budget")
+    return rows.select("order_no", "pos", "url", F.lit(depth).alias("depth"), what.alias("decision"))
+
+
+def _taken(offers: DataFrame, room: int) -> DataFrame:
+    """(url, place) of what is queued of offers (url, freed, place), in order of place, `room` places and the freed ones being there.
+
+    A queue of bounded room that offers come to one by one, none leaving: offer t is taken if its room less t is not below
+    the least such number before it, or 0. That holds for offers that are no repeats. So the first offer of each URL comes
+    first; one that is turned away brings the URL's next offer, one that is taken makes the later ones void, until
+    nothing changes. Each round is right up to a later place than the one before.
+    """
+    firsts = offers.groupBy("url").agg(F.min(F.struct("place", "freed")).alias("o")).select("url", "o.place", "o.freed", F.lit(0).alias("k"))
+    asked = checkpointed(firsts)
+    if asked.count() <= room + (asked.agg(F.min("freed")).first()[0] or 0):
+        return asked.select("url", "place")
+    while True:
+        rows = running(asked.withColumn("one", F.lit(1)), ["place"], "one", "t")
+        rows = rows.withColumn("spare", F.greatest(F.lit(0), F.col("freed") + room) - F.col("t"))
+        rows = running(rows, ["place"], "spare", "least", F.min, before=True)
+        rows = checkpointed(rows.select("url", "place", "freed", "k", (F.col("spare") >= F.least(F.lit(0), "least")).alias("ok")))
+        won = rows.filter("ok").groupBy("url").agg(F.min("k").alias("won"))
+        rows = rows.join(won, "url", "left").filter("won IS NULL OR k <= won")
+        last = rows.filter("won IS NULL").groupBy("url").agg(F.max("k").alias("k"), F.max("freed").alias("last"))
+        more = offers.join(last, "url").filter("freed > last").groupBy("url").agg(F.min(F.struct("place", "freed", (F.col("k") + 1).alias("k"))).alias("o")).select("url", "o.*")
+        before, kept = asked.count(), rows.select("url", "place", "freed", "k", "won")
+        more, kept = checkpointed(more), checkpointed(kept)
+        if more.isEmpty() and kept.count() == before:
+            return kept.filter("k = won").select("url", "place")
+        asked = checkpointed(kept.select("url", "place", "freed", "k").unionByName(more))
 
 
 def requeue(frontier: DataFrame, fetched: DataFrame) -> DataFrame:
     """frontier (url, order_no, ...) after a session was renewed: pages whose fetch (url, outcome) met an expired one come first again."""
     expired = fetched.filter("outcome = 'session_expired'").select("url", F.lit(0).alias("again")).distinct()
     rows = frontier.join(expired, "url", "left").withColumn("again", F.coalesce("again", F.lit(1)))
-    return rows.withColumn("order_no", F.row_number().over(Window.orderBy("again", "order_no")).cast("long")).drop("again")
+    rows = running(checkpointed(rows.withColumn("one", F.lit(1))), ["again", "order_no"], "one", "nth")
+    return rows.withColumn("order_no", F.col("nth").cast("long")).drop("again", "one", "nth")
 
 
-def crawl(pages: DataFrame, seed: DataFrame, state: DataFrame, hosts: Iterable[str], config: CrawlConfig = CrawlConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(fetched, decided, links) of a breadth-first crawl over a page source pages (page_id, url, html).
+def crawl(
+    pages: DataFrame, seed: DataFrame, state: DataFrame, hosts: Iterable[str], config: CrawlConfig = CrawlConfig(), robots: Column | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fetched, decided, links) of a breadth-first crawl over a page source pages (page_id, url, html, and final_url and status_code if it has them).
 
     fetched: the visited URLs in order with what their page gave and its outcome, a page that the source lacks being a 404;
-    decided: what became of each link that was found on them; links: (src, pos, dst). A URL's first page counts.
+    decided: what became of each link that was found on them; links: (src, pos, dst). Rows of one URL are what its fetches
+    give, in order of page_id: one that met an expired session is made again at once, as requeue has it, so the first other
+    row counts, and only if all met one is the outcome session_expired; `renewals` says how many did before. Pages
+    are read and parsed only for the URLs that a level visits.
     """
     from quern.operators import html
 
     hosts = list(hosts)
-    normal = pages.select("page_id", F.coalesce(urls.normalize_url("url"), F.col("url")).alias("url"), "html")
-    first = normal.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p")).select("url", "p.page_id", "p.html")
-    done = checkpointed(html.extract_pages(first, hosts).select("url", "title", "headings", "visible_text", "links", "content_hash"))
-    edges = checkpointed(done.select(F.col("url").alias("src"), F.posexplode("links").alias("pos", "l")).select("src", "pos", F.col("l.url").alias("dst")))
-    visited = bfs(seed, edges, hosts, config)
-    rows = visited.join(first, "url", "left").join(done, "url", "left")
-    code = F.when(F.col("page_id").isNull(), 404).otherwise(200).alias("status_code")
-    rows = rows.select("url", "depth", "order_no", F.col("url").alias("final_url"), code, blank("title").alias("title"), "headings", "visible_text", "links", blank("html").alias("html"), "content_hash")
-    fetched = checkpointed(outcomes(rows, state, hosts, config.mode))
-    found = visited.join(edges, F.col("url") == F.col("src")).select((F.col("order_no") * (1 << 32) + F.col("pos")).alias("pos"), F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"))
-    start = seed.select((F.col("pos") - (1 << 50)).cast("long").alias("pos"), "url", F.lit(0).alias("depth"))
-    return fetched, decisions(start.unionByName(found), hosts, config), edges
+    url = F.coalesce(urls.normalize_url("url"), F.col("url")).alias("url")
+    final = F.col("final_url") if "final_url" in pages.columns else url
+    code = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
+    normal = pages.select("page_id", url, "html", final.alias("final_url"), code.cast("int").alias("status_code"))
+    expired = urls.looks_like_login(F.col("final_url"), hosts)
+    edges = []
+
+    def visit(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+        asked = small(level)
+        own = normal.join(asked.select("url"), "url", "left_semi").withColumn("expired", expired)
+        first = F.min_by(F.struct("page_id", "html", "final_url", "status_code"), F.struct("expired", "page_id")).alias("p")
+        got = checkpointed(own.groupBy("url").agg(first, F.count_if("expired").alias("renewals")).select("url", "p.*", "renewals"))
+        done = html.extract_pages(got.select("page_id", "url", "html"), hosts).select("url", "title", "headings", "visible_text", "links", "content_hash")
+        rows = level.join(got, "url", "left").join(done, "url", "left")
+        rows = rows.select(
+            "url", "depth", "order_no", F.coalesce("final_url", "url").alias("final_url"), F.coalesce("status_code", F.lit(404)).alias("status_code"), blank("title").alias("title"),
+            "headings", "visible_text", "links", blank("html").alias("html"), "content_hash", F.coalesce("renewals", F.lit(0)).alias("renewals"),
+        )
+        rows = checkpointed(outcomes(rows, state, hosts, config.mode))
+        found = rows.filter(F.col("outcome").isin(*FOLLOWED)).select("order_no", "url", F.posexplode("links").alias("pos", "l"))
+        edges.append(found.select(F.col("url").alias("src"), "pos", F.col("l.url").alias("dst")))
+        return rows, found.select("order_no", F.col("pos").cast("long").alias("pos"), F.col("l.url").alias("url"))
+
+    fetched, decided = walk(seed, visit, hosts, config, robots)
+    return fetched, decided, union(edges)

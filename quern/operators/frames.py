@@ -20,6 +20,8 @@ QUESTIONS = 20_000
 TERMS = 100_000
 #: Texts that are matched at a time.
 TEXTS = 1024
+#: Rows of a range of a global order, and ranges at most.
+RANGE_ROWS, RANGES = 50_000, 4_096
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +50,12 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if held <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, read from files, dealt over the session's cores if it has fewer files; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def in_blocks(df: DataFrame, key: str, rows: int) -> Iterator[DataFrame]:
     """df in parts of about `rows` rows by hash of key, for what must go to all tasks."""
     n = -(-df.count() // rows)
@@ -62,6 +70,21 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def running(df: DataFrame, order: list[str], value: str, name: str, how: Callable = F.sum, before: bool = False) -> DataFrame:
+    """df with `name`: the sum or minimum (how) of value over all rows up to each one, or before it, by order, which has no ties.
+
+    Rows are sorted by range over all tasks; what stands before a task's range comes from a table of the ranges.
+    """
+    parts = min(RANGES, -(-df.count() // RANGE_ROWS)) or 1
+    rows = checkpointed(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    whole = rows.groupBy("__part").agg(how(value).alias("__whole"))
+    earlier = how("__whole").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    inside = how(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+    rows = rows.withColumn("__inside", inside).join(F.broadcast(whole.select("__part", earlier.alias("__earlier"))), "__part")
+    total = F.coalesce("__inside", F.lit(0)) + F.coalesce("__earlier", F.lit(0)) if how is F.sum else F.least("__inside", "__earlier")
+    return rows.withColumn(name, total).drop("__part", "__inside", "__earlier")
+
+
 def _automaton(terms: list[str]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for i, t in enumerate(terms):

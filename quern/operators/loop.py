@@ -5,11 +5,12 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.config import ChunkConfig, CrawlConfig, RetrievalConfig, SiteConfig
 from quern.operators import chunking, crawl, html
+from quern.operators.frames import checkpointed, small
 from quern.operators.index import Index
 
 log = logging.getLogger(__name__)
@@ -48,6 +49,60 @@ def fill_gaps(
     return found
 
 
+def fill_gaps_together(
+    questions: DataFrame,
+    retrieve: Callable[[DataFrame], DataFrame],
+    discover: Callable[[DataFrame, int], DataFrame],
+    ingest: Callable[[DataFrame], DataFrame],
+    seen: DataFrame,
+    config: RetrievalConfig = RetrievalConfig(),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, found, seen) of the loop for many questions (query_id, question) that go through its steps together.
+
+    retrieve(questions) gives (query_id, chunk_id, relevance, ...), discover(questions, limit) gives (query_id, rank, url) and
+    ingest(pages (url)) the pages (url) that it took in. Each step takes all questions whose chunks are not relevant enough:
+    URLs that none had seen before the step are seen from then on, the first query_time_pages of each question are
+    ingested, each page once for all that ask for it, and the questions that had any are asked again. A question
+    ends as in fill_gaps: with a chunk that is relevant enough, without new URLs, without an ingested page, or after
+    max_iterations; all end if ingestion fails. answers: (query_id, steps, ingested, best, enough), best being null without a
+    chunk; seen: (url) of all steps and before. Driver and tasks hold no question's rows but by step.
+    """
+    config_pages = max(1, config.query_time_pages)
+    best_of = lambda rows: rows.groupBy("query_id").agg(F.max("relevance").alias("best"))
+    found = checkpointed(retrieve(questions))
+    zero = F.lit(0)
+    state = questions.select("query_id", "question").join(best_of(found), "query_id", "left").select("query_id", "question", zero.alias("steps"), zero.cast("long").alias("ingested"), "best", F.lit(True).alias("open"))
+    enough = F.coalesce(F.col("best") >= config.min_relevance, F.lit(False))
+    seen = seen.select("url").distinct()
+    for _ in range(config.max_iterations):
+        state = checkpointed(state.withColumn("open", F.col("open") & ~enough))
+        todo = state.filter("open").select("query_id", "question")
+        if todo.isEmpty():
+            break
+        wanted = checkpointed(discover(todo, config.discover_limit).select("query_id", "rank", "url").join(small(checkpointed(seen)), "url", "left_anti"))
+        if wanted.isEmpty():
+            break
+        seen = seen.unionByName(wanted.select("url")).distinct()
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+        picked = wanted.withColumn("nth", nth).filter(F.col("nth") <= config_pages)
+        try:
+            taken = checkpointed(ingest(picked.select("url").distinct()).select("url").distinct())
+        except Exception:
+            log.exception("ingestion failed")
+            break
+        counts = picked.join(taken, "url", "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("new"))
+        again = checkpointed(todo.join(wanted.select("query_id").distinct(), "query_id", "left_semi"))
+        better = checkpointed(retrieve(again))
+        found = checkpointed(found.join(again.select("query_id"), "query_id", "left_anti").unionByName(better))
+        asked = again.select("query_id", F.lit(True).alias("asked")).join(best_of(better).withColumnRenamed("best", "now"), "query_id", "left").join(counts, "query_id", "left")
+        asked = asked.select("query_id", "asked", "now", F.coalesce("new", F.lit(0)).alias("new"))
+        state = state.join(asked, "query_id", "left").select(
+            "query_id", "question", (F.col("steps") + F.coalesce(F.col("asked").cast("int"), zero)).alias("steps"), (F.col("ingested") + F.coalesce("new", zero)).alias("ingested"),
+            F.when(F.col("asked"), F.col("now")).otherwise(F.col("best")).alias("best"), (F.col("open") & F.coalesce(F.col("new") > 0, F.lit(False))).alias("open"),
+        )
+    return checkpointed(state.select("query_id", "steps", "ingested", "best", enough.alias("enough"))), found, seen
+
+
 def process(pages: DataFrame, site: SiteConfig = SiteConfig(), config: ChunkConfig = ChunkConfig(), crawled_at: str = "") -> DataFrame:
     """Chunks of pages (page_id, url, html)."""
     done = html.extract_pages(pages, site.allowed_hosts)

@@ -18,6 +18,7 @@ from quern.config import RetrievalConfig
 from quern.functions.embedding import cosine_distance
 from quern.functions.text import authorized, blank, default, query_terms, relevance, term_hits
 from quern.operators.frames import QUESTIONS, checkpointed, first_holders, in_blocks, small, union
+from quern.operators.grams import GramIndex
 
 #: Decimals that distances keep, so that the order does not hang on the last bits of a sum.
 DIGITS = 6
@@ -91,19 +92,28 @@ def keyword_relevance(hits: Column, title: Column, question: Column) -> Column:
     return F.round(F.when(named, F.least(F.lit(1.0), base + 0.2)).otherwise(base), DIGITS)
 
 
-def keyword_topk(queries: DataFrame, corpus: DataFrame, k: int, config: RetrievalConfig = RetrievalConfig(), case_insensitive: bool = False) -> DataFrame:
+def keyword_texts(corpus: DataFrame, case_insensitive: bool = False) -> DataFrame:
+    """(key, pos, body): chunks as keyword search looks at them, and as its index is built from them."""
+    text = blank("text")
+    return corpus.select(F.col("chunk_id").cast("string").alias("key"), F.col("pos").cast("long").alias("pos"), (F.lower(text) if case_insensitive else text).alias("body"))
+
+
+def keyword_topk(
+    queries: DataFrame, corpus: DataFrame, k: int, config: RetrievalConfig = RetrievalConfig(), case_insensitive: bool = False, index: GramIndex | None = None
+) -> DataFrame:
     """(query_id, chunk_id, relevance, rank) by terms that are substrings of chunks.
 
     The first few terms of a question fetch k chunks each, in ingest order; all its terms count for relevance. Ties go by
-    where a chunk was first found. Each chunk is gone through once for all terms, and the text of those found is read
-    again where it lies.
+    where a chunk was first found. With an index of keyword_texts(corpus, case_insensitive), only the lists of the asked terms
+    and the texts that they name are read; without one each chunk is gone through once for all terms. The text of
+    those found is read again where it lies.
     """
     asked = queries.select("query_id", "question", query_terms("question").alias("terms"))
     first = asked.select("query_id", F.posexplode(F.slice("terms", 1, config.terms_searched)).alias("term_no", "term"))
-    body = F.lower("text") if case_insensitive else F.col("text")
-    chunks = corpus.select(F.col("chunk_id").cast("string").alias("chunk_id"), blank("text").alias("text"), "pos", blank("title").alias("title"))
-    texts = chunks.select(F.col("chunk_id").alias("key"), F.col("pos").cast("long").alias("pos"), body.alias("body"))
-    found = first_holders(first.select("term").distinct(), texts, k).withColumnRenamed("key", "chunk_id")
+    chunks = corpus.select(F.col("chunk_id").cast("string").alias("chunk_id"), blank("text").alias("text"), blank("title").alias("title"))
+    texts, terms = keyword_texts(corpus, case_insensitive), first.select("term").distinct()
+    found = first_holders(terms, texts, k) if index is None else index.first_holders(terms, texts, k)
+    found = found.withColumnRenamed("key", "chunk_id")
     hits = first.join(found, "term").groupBy("query_id", "chunk_id").agg(F.min(F.struct("term_no", "nth")).alias("first_pos"))
     hits = checkpointed(hits.join(asked, "query_id"))
     rows = chunks.join(small(hits), "chunk_id")
@@ -155,15 +165,15 @@ def final_order(fused: DataFrame, queries: DataFrame, corpus: DataFrame, k: int)
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("question", "position")
 
 
-def hybrid_search(queries: DataFrame, corpus: DataFrame, config: RetrievalConfig = RetrievalConfig(), k: int | None = None) -> DataFrame:
-    """The k best chunks of each question, by vector and keyword search fused by reciprocal rank."""
+def hybrid_search(queries: DataFrame, corpus: DataFrame, config: RetrievalConfig = RetrievalConfig(), k: int | None = None, index: GramIndex | None = None) -> DataFrame:
+    """The k best chunks of each question, by vector and keyword search fused by reciprocal rank; index: of keyword_texts(corpus)."""
     k = k or config.top_k
     n = max(k, config.candidates)
     near = vector_topk(queries, corpus, n).select("query_id", F.lit(0).alias("list_no"), "chunk_id", "rank", relevance("distance").alias("relevance"))
     if not config.hybrid:
         fused = near.select("query_id", "chunk_id", "relevance", F.col("rank").alias("position"))
         return final_order(fused, queries, corpus, k)
-    words = keyword_topk(queries, corpus, n, config).select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank", "relevance")
+    words = keyword_topk(queries, corpus, n, config, index=index).select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank", "relevance")
     fused = _fuse(near.unionByName(words), config.rrf_k)
     # Without any keyword hit the vector list stands as it is, and a chunk has its own relevance.
     relevant = F.when(F.col("lists") > 0, F.col("relevance")).otherwise(F.col("best"))

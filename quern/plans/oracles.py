@@ -235,7 +235,8 @@ _DOC_GROUPS = f"""SELECT 'd' || doc_id AS key, source AS heading, '' AS section,
 
 _FIT = f"NOT {_ends([*ASSET_ENDINGS, *DOCUMENT_ENDINGS])} AND prefix(url, 'https:') AND {_HOST} = 'hub.example.com'"
 #: Breadth first from all pages: links lead to pages, which are there already, or to URLs without a page.
-_FRONTIER = f"""source_pages AS (SELECT page_id, url, html FROM moved), {_LINKS}, ok AS (SELECT * FROM links WHERE {_FIT}),
+_FRONTIER = f"""source_pages AS (SELECT page_id, url, html FROM moved), {_LINKS}, site_pages AS (SELECT coalesce({_NORMAL_URL}, url) AS nurl, page_id FROM moved),
+ok AS (SELECT * FROM links WHERE {_FIT} AND page_id IN (SELECT min(page_id) FROM site_pages GROUP BY nurl)),
 starts AS (SELECT page_id, {_NORMAL_URL} AS url FROM moved), fit_starts AS (SELECT url, min(page_id) AS p FROM starts WHERE {_FIT} GROUP BY url),
 zero AS (SELECT url, 0 AS depth, row_number() OVER (ORDER BY p) AS order_no FROM fit_starts),
 one AS (SELECT o.url, 1 AS depth, row_number() OVER (ORDER BY min((z.order_no, o.page_id * 100000 + o.pos))) + (SELECT count(*) FROM zero) AS order_no
@@ -243,12 +244,55 @@ one AS (SELECT o.url, 1 AS depth, row_number() OVER (ORDER BY min((z.order_no, o
 visited AS (FROM zero UNION ALL FROM one)
 """
 #: What a fetch comes to where its hash is never the known one.
-_OUTCOME = f"""CASE WHEN {_any(_HOST, LOGIN_HOSTS)} OR {_HOST} <> 'hub.example.com' OR {_any(f'lower({_PATH})', LOGIN_PATHS_ON_SITE)} THEN 'session_expired' WHEN code >= 400 THEN 'http_error'
+_OUTCOME = f"""CASE WHEN {_any(_HOST, LOGIN_HOSTS)} OR {_HOST} <> 'hub.example.com' OR {_any(f'lower({_PATH})', LOGIN_PATHS_ON_SITE)} THEN 'session_expired' WHEN code IN (401, 403) THEN 'access_denied' WHEN code >= 400 THEN 'http_error'
   WHEN {_any('hay', DENIED_PHRASES)} THEN 'access_denied' WHEN coalesce(old, '') <> '' THEN 'updated' ELSE 'new' END"""
 _STATUS = "CASE outcome WHEN 'session_expired' THEN 'PROCESSING' WHEN 'access_denied' THEN 'ACCESS_DENIED' WHEN 'http_error' THEN 'FAILED' WHEN 'updated' THEN 'UPDATED' ELSE 'PROCESSED' END"
+_RULE = f"""CASE WHEN url IS NULL THEN 'invalid' WHEN {_HOST} <> 'hub.example.com' THEN 'external' WHEN NOT prefix(url, 'https:') THEN 'not_approved_https_url'
+  WHEN {_ends(DOCUMENT_ENDINGS)} THEN 'document_link' WHEN {_ends(ASSET_ENDINGS)} THEN 'non_html_asset' ELSE 'candidate' END"""
+
+
+def _sequential(seeds: str, budget: int, code: str, renewals: str) -> str:
+    """A crawl as it goes one page at a time: each step takes the queue's first page and queues its links while there is room."""
+    followed = "outcome IN ('new', 'updated', 'unchanged')"
+    return f"""source_pages AS (SELECT page_id, url, html FROM moved), {_LINKS},
+site_pages AS (SELECT coalesce({_NORMAL_URL}, url) AS nurl, page_id, html FROM moved),
+site AS (SELECT nurl AS url, min(page_id) AS page_id, arg_min(html, page_id) AS html, count(*) FILTER ({renewals}) AS renewals FROM site_pages GROUP BY nurl),
+known AS (SELECT url, page_id, renewals, {code} AS code, lower(url || ' ' || {_TITLE} || ' ' || html[1:2000]) AS hay, k.content_hash AS old FROM site LEFT JOIN state k USING (url)),
+met AS (SELECT *, {_OUTCOME} AS outcome FROM known),
+ruled AS (SELECT page_id, pos, url, {_RULE} AS rule FROM links),
+page_links AS (SELECT page_id, list(url ORDER BY pos) FILTER (rule = 'candidate') AS nl FROM ruled GROUP BY page_id),
+f AS (SELECT met.url, page_id, code, outcome, renewals, CASE WHEN {followed} THEN coalesce(nl, []) ELSE [] END AS nl FROM met LEFT JOIN page_links USING (page_id)),
+seed_rows AS (SELECT pos, url, {_RULE} AS rule FROM (SELECT page_id AS pos, {_NORMAL_URL} AS url FROM moved WHERE {seeds}) WHERE url IS NOT NULL),
+seed_first AS (SELECT url, min(pos) AS p FROM seed_rows WHERE rule = 'candidate' GROUP BY url ORDER BY p LIMIT {budget}),
+c AS (SELECT 0::BIGINT AS order_no, NULL::VARCHAR AS url, -1 AS depth, 0 AS code, ''::VARCHAR AS outcome, 0::BIGINT AS renewals, (SELECT list({{'url': url, 'depth': 0}} ORDER BY p) FROM seed_first) AS queue,
+    (SELECT list(url ORDER BY p) FROM seed_first) AS ever, 0 AS good, (SELECT count(*) FROM seed_first) AS n_queued, (SELECT count(*) FROM seed_rows WHERE rule = 'candidate' AND url NOT IN (SELECT url FROM seed_first)) AS n_budget,
+    (SELECT count(*) FROM seed_rows JOIN seed_first USING (url) WHERE pos > p) AS n_duplicate
+  UNION ALL SELECT order_no + 1, url, depth, code, outcome, renewals, rest || list_transform(fresh[:room], lambda x: {{'url': x, 'depth': depth + 1}}), ever || fresh[:room], good, len(fresh[:room]), len(fresh) - len(fresh[:room]), len(nl) - len(fresh)
+  FROM (SELECT *, {budget} - good - len(rest) AS room, list_filter(nl, lambda x: NOT list_contains(ever, x)) AS fresh
+    FROM (SELECT order_no, queue[1].url AS url, queue[1].depth AS depth, coalesce(f.code, 404) AS code, coalesce(f.outcome, 'http_error') AS outcome, coalesce(f.renewals, 0) AS renewals, queue[2:] AS rest, ever,
+      good + (coalesce(f.outcome, '') IN ('new', 'updated'))::INT AS good, CASE WHEN queue[1].depth < 8 THEN coalesce(f.nl, []) ELSE [] END AS nl FROM c LEFT JOIN f ON f.url = queue[1].url WHERE len(queue) > 0)))
+"""
+
+
+_WHOLE_CRAWL = _sequential("true", 10_000_000, "200", "false")
+_TIGHT_CRAWL = _sequential("page_id % 4 = 1", 40, "CASE WHEN page_id % 5 = 0 THEN 404 WHEN page_id % 7 = 0 THEN 403 ELSE 200 END", "page_id % 3 = 0")
 _CHUNK_FILE = f"SELECT doc_id::VARCHAR AS chunk_id, 'https://hub.example.com/' || (doc_id // 5) AS url, source, lang, text FROM documents"
 
+#: The first step of the loop for all questions; a catalog that doesn't change brings nothing new in a second one.
+_LOOP = f"""{_STATE}, {_RANKED.replace('rank <= 10', 'rank <= 5')}, hit AS (SELECT query_id, rank, url FROM ranked WHERE url IN (SELECT url FROM state)),
+idle AS (SELECT row_number() OVER (ORDER BY pos) AS rank, url FROM state WHERE status IN ('PENDING', 'FAILED') QUALIFY rank <= 5),
+wanted AS (SELECT query_id, rank, url FROM hit UNION ALL SELECT query_id, rank, url FROM asked_q, idle WHERE query_id NOT IN (SELECT query_id FROM hit)),
+picked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM wanted QUALIFY nth <= 3),
+site_pages AS (SELECT min(page_id) AS page_id, url, arg_min(html, page_id) AS html FROM moved GROUP BY url HAVING url IN (SELECT url FROM picked)),
+{(_H_PARTS + ',' + _VISIBLE).replace('FROM pages', 'FROM site_pages')}, groups AS ({_PAGE_GROUPS}), {_CHUNKED},
+corpus AS (SELECT chunk_id, {_strip('text')} AS text, title, page_id * 1000000 + chunk_no AS pos FROM chunk_rows JOIN site_pages USING (url)),
+questions AS (SELECT conv_id AS query_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
+{_KEYWORD.replace('<= 12', '<= 5')}, best AS (SELECT query_id, max(relevance) AS best FROM kw GROUP BY query_id),
+counts AS (SELECT query_id, count(*) AS n FROM picked GROUP BY query_id)"""
+
 ORACLES: dict[str, str] = {
+    "knowledge_loop": f"""WITH RECURSIVE {_LOOP} SELECT query_id, coalesce(sign(n), 0)::INT AS steps, coalesce(n, 0) AS ingested, best, coalesce(best >= 0.28, false) AS enough
+        FROM questions LEFT JOIN best USING (query_id) LEFT JOIN counts USING (query_id)""",
     "hybrid_search": f"{_ALL} SELECT query_id, rank, chunk_id, title, relevance FROM hybrid",
     "vector_topk": f"WITH {_CORPUS}, {_VECTOR} SELECT query_id, chunk_id, distance, rank FROM vec",
     "vector_topk_batch": """SELECT q.vec_id AS query_id, c.vec_id::VARCHAR AS chunk_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS distance,
@@ -362,10 +406,12 @@ ORACLES: dict[str, str] = {
         a AS (SELECT doc_id, unnest(range(32))::INT AS slot FROM documents), n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY doc_id)
         SELECT doc_id, slot, round(coalesce(x, 0) / coalesce(nullif(norm, 0), 1), 6) AS value FROM a LEFT JOIN s USING (doc_id, slot) LEFT JOIN n USING (doc_id)""",
     "bfs_frontier": f"WITH {_MOVED}, {_FRONTIER} SELECT url, depth, order_no FROM visited",
-    "crawl_run": f"""WITH {_KNOWN_STATE}, {_FRONTIER}, firsts AS (SELECT nurl AS url, arg_min(html, page_id) AS html FROM (SELECT page_id, {_NORMAL_URL} AS nurl, html FROM moved) GROUP BY nurl),
-        f AS (SELECT v.url, v.depth, CASE WHEN p.url IS NULL THEN 404 ELSE 200 END AS code, lower(v.url || ' ' || {_TITLE} || ' ' || html[1:2000]) AS hay, s.content_hash AS old
-        FROM visited v LEFT JOIN firsts p USING (url) LEFT JOIN state s ON v.url = s.url), o AS (SELECT url, depth, code, {_OUTCOME} AS outcome FROM f)
-        SELECT url, depth, code AS status_code, outcome, {_STATUS} AS status FROM o""",
+    "crawl_run": f"WITH RECURSIVE {_KNOWN_STATE}, {_WHOLE_CRAWL} SELECT url, depth, code AS status_code, outcome, {_STATUS} AS status FROM c WHERE order_no > 0",
+    "crawl_budget": f"WITH RECURSIVE {_KNOWN_STATE}, {_TIGHT_CRAWL} SELECT order_no, url, depth, code AS status_code, outcome, renewals FROM c WHERE order_no > 0",
+    "crawl_budget_links": f"""WITH RECURSIVE {_KNOWN_STATE}, {_TIGHT_CRAWL}, own AS (SELECT order_no, unnest(['queued', 'max_pages_budget', 'duplicate']) AS decision, unnest([n_queued, n_budget, n_duplicate]) AS n FROM c
+        UNION ALL SELECT 0, rule, count(*) FROM seed_rows WHERE rule <> 'candidate' GROUP BY rule
+        UNION ALL SELECT order_no, CASE WHEN rule = 'candidate' THEN 'max_depth_exceeded' ELSE rule END AS decision, count(*) FROM c JOIN f USING (url) JOIN ruled USING (page_id)
+        WHERE c.outcome IN ('new', 'updated', 'unchanged') AND (rule <> 'candidate' OR depth >= 8) GROUP BY ALL) SELECT order_no, decision, n FROM own WHERE n > 0""",
     "refresh_run": f"""WITH {_KNOWN_STATE}, f AS (SELECT m.url, 200 AS code, lower(m.url || ' ' || {_TITLE} || ' ' || html[1:2000]) AS hay, s.content_hash AS old FROM (SELECT url, arg_min(html, page_id) AS html FROM moved GROUP BY url) m LEFT JOIN state s ON m.url = s.url),
         o AS (SELECT url, {_OUTCOME} AS outcome FROM f) SELECT url, {_STATUS} AS status FROM o""",
     "targeted_ingest": f"""WITH RECURSIVE {_H_PARTS}, {_VISIBLE}, groups AS ({_PAGE_GROUPS}), {_CHUNKED}, asked AS (SELECT url FROM pages ORDER BY page_id LIMIT 3)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.config import AUTH_SELECTORS, CrawlConfig, ModelConfig, RetrievalConfig, SiteConfig, auth_selectors, hybrid_stopwords, run_name, utc_now
 from quern.functions import embedding, text, urls
-from quern.operators import answer, cells, chunking, conversation, crawl, frames, health, html, index, loop, retrieval
+from quern.operators import answer, cells, chunking, conversation, crawl, frames, grams, health, html, index, loop, retrieval
 from quern.plans.oracles import ORACLES  # noqa: F401
 from quern.sources import files, pages as page_sources, robots
 
@@ -32,7 +32,7 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks, with a vector where there is one; access is a stand-in made from the toxicity labels."""
-    docs, vectors, labels = t(spark, sf_dir, "documents"), t(spark, sf_dir, "embeddings"), t(spark, sf_dir, "labels")
+    docs, vectors, labels = frames.spread(t(spark, sf_dir, "documents")), t(spark, sf_dir, "embeddings"), t(spark, sf_dir, "labels")
     rows = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").join(labels.select("doc_id", "toxic"), "doc_id", "left")
     access = F.when(F.col("toxic") == 1, "restricted").otherwise("authenticated")
     return rows.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("title"), F.concat(F.lit("https://hub.example.com/"), F.col("doc_id").cast("string")).alias("url"), F.col("lang").alias("section"), access.alias("access"), F.col("doc_id").alias("pos"), "embedding")
@@ -51,9 +51,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", kind.alias("kind"), "text", F.lit("").alias("heading"), F.lit("").alias("section"))
 
 
+def _grams(spark, sf_dir) -> grams.GramIndex:
+    """An index of the corpus for keyword search."""
+    return grams.GramIndex.build(retrieval.keyword_texts(corpus(spark, sf_dir)), _folder(spark, "grams"))
+
+
+def _hybrid(spark, sf_dir) -> DataFrame:
+    return retrieval.hybrid_search(questions(spark, sf_dir), corpus(spark, sf_dir), index=_grams(spark, sf_dir))
+
+
 @query
 def hybrid_search(spark, sf_dir):
-    found = retrieval.hybrid_search(questions(spark, sf_dir), corpus(spark, sf_dir))
+    found = _hybrid(spark, sf_dir)
     return found.select("query_id", "rank", "chunk_id", "title", "relevance")
 
 
@@ -92,12 +101,12 @@ def debug_search(spark, sf_dir):
 
 @query
 def keyword_search(spark, sf_dir):
-    return retrieval.keyword_topk(questions(spark, sf_dir), corpus(spark, sf_dir), RetrievalConfig().candidates)
+    return retrieval.keyword_topk(questions(spark, sf_dir), corpus(spark, sf_dir), RetrievalConfig().candidates, index=_grams(spark, sf_dir))
 
 
 def _two_lists(spark, sf_dir):
     near = retrieval.vector_topk(questions(spark, sf_dir), corpus(spark, sf_dir), 12).select("query_id", F.lit(0).alias("list_no"), "chunk_id", "rank", text.relevance("distance").alias("relevance"))
-    words = retrieval.keyword_topk(questions(spark, sf_dir), corpus(spark, sf_dir), 12).select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank", "relevance")
+    words = retrieval.keyword_topk(questions(spark, sf_dir), corpus(spark, sf_dir), 12, index=_grams(spark, sf_dir)).select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank", "relevance")
     return near.unionByName(words)
 
 
@@ -119,25 +128,25 @@ def authorized_filter(spark, sf_dir):
 @query
 def context_sufficient(spark, sf_dir):
     asked = questions(spark, sf_dir)
-    return retrieval.context_sufficient(retrieval.hybrid_search(asked, corpus(spark, sf_dir)), asked)
+    return retrieval.context_sufficient(_hybrid(spark, sf_dir), asked)
 
 
 @query
 def context_blocks(spark, sf_dir):
-    found = retrieval.hybrid_search(questions(spark, sf_dir), corpus(spark, sf_dir))
+    found = _hybrid(spark, sf_dir)
     kept = answer.context_budget(answer.context_blocks(found))
     return kept.select("query_id", "rank", F.length("block").alias("block_chars"), "chars", F.sha2(F.regexp_replace("block", "relevance=[0-9.]+", ""), 256).alias("block_sha256"))
 
 
 @query
 def source_list(spark, sf_dir):
-    return answer.source_list(retrieval.hybrid_search(questions(spark, sf_dir), corpus(spark, sf_dir)))
+    return answer.source_list(_hybrid(spark, sf_dir))
 
 
 @query
 def build_prompt(spark, sf_dir):
     asked = questions(spark, sf_dir)
-    rows = answer.prompts(asked, retrieval.hybrid_search(asked, corpus(spark, sf_dir)))
+    rows = answer.prompts(asked, _hybrid(spark, sf_dir))
     return rows.select("query_id", F.length("prompt").alias("chars"), F.sha2(F.regexp_replace("prompt", "relevance=[0-9.]+", ""), 256).alias("prompt_sha256"))
 
 
@@ -356,7 +365,7 @@ def _documents_as_pages(spark, sf_dir):
 def chunk_documents(spark, sf_dir):
     own = chunking.chunk_documents(_documents_as_pages(spark, sf_dir))
     pages = chunking.chunk_documents(_extracted(spark, sf_dir))
-    return own.unionByName(pages).select("chunk_id", "document_id", "url", "section", "heading", "token_count", "chunk_no", "content_hash", "text")
+    return own.unionByName(pages.drop("page_key")).select("chunk_id", "document_id", "url", "section", "heading", "token_count", "chunk_no", "content_hash", "text")
 
 
 @query
@@ -471,7 +480,8 @@ WIDE = CrawlConfig(max_pages=10_000_000)
 @query
 def bfs_frontier(spark, sf_dir):
     """The link graph of the whole page table, breadth first from all pages."""
-    pages = _pages(spark, sf_dir).select("page_id", urls.normalize_url("url").alias("url"), "html")
+    pages = _pages(spark, sf_dir).select("page_id", F.coalesce(urls.normalize_url("url"), F.col("url")).alias("url"), "html")
+    pages = pages.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p")).select("p.page_id", "url", "p.html")
     found = html.extract_pages(pages, HUB).select(F.col("url").alias("src"), F.col("page_key").alias("page_id"), F.posexplode("links").alias("k", "l"))
     edges = found.select("src", (F.col("page_id") * 100_000 + F.col("k")).alias("pos"), F.col("l.url").alias("dst"))
     return crawl.bfs(_seed(spark, sf_dir), edges, HUB, WIDE)
@@ -484,6 +494,37 @@ def crawl_run(spark, sf_dir):
     return fetched.select("url", "depth", "status_code", "outcome", "status")
 
 
+def _answers(spark, sf_dir) -> DataFrame:
+    """Pages as a site that fails now and then gives them: some are missing, some forbidden, and of some the first fetch meets an expired session."""
+    pages = _pages(spark, sf_dir)
+    status = F.when(F.col("page_id") % 5 == 0, 404).when(F.col("page_id") % 7 == 0, 403).otherwise(200).alias("status_code")
+    good = pages.select((F.col("page_id") * 2 + 1).alias("page_id"), "url", "html", urls.normalize_url("url").alias("final_url"), status)
+    expired = pages.filter("page_id % 3 = 0").select((F.col("page_id") * 2).alias("page_id"), "url", F.lit("").alias("html"), F.lit("https://hub.example.com/login").alias("final_url"), F.lit(200).alias("status_code"))
+    return good.unionByName(expired)
+
+
+#: A budget that a crawl of the fixture's pages runs into, again and again as fetches fail.
+TIGHT = CrawlConfig(max_pages=40)
+
+
+def _tight(spark, sf_dir):
+    seed = _seed(spark, sf_dir).filter("pos % 4 = 1")
+    return crawl.crawl(_answers(spark, sf_dir), seed, _state(spark, sf_dir, unknown=True), HUB, TIGHT)
+
+
+@query
+def crawl_budget(spark, sf_dir):
+    """A crawl within a budget over a site that fails: places that failures free go to later links, in the sequential crawl's order."""
+    return _tight(spark, sf_dir)[0].select("order_no", "url", "depth", "status_code", "outcome", "renewals")
+
+
+@query
+def crawl_budget_links(spark, sf_dir):
+    """What becomes of each link of such a crawl, counted by page and decision."""
+    decided = _tight(spark, sf_dir)[1]
+    return decided.groupBy("order_no", "decision").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def requeue_expired(spark, sf_dir):
     """Every tenth page's session had expired; these come first again."""
@@ -826,7 +867,7 @@ def targeted_ingest(spark, sf_dir):
     wanted = [r.url for r in t(spark, sf_dir, "pages").orderBy("page_id").select("url").limit(7).collect()]
     n = loop.targeted_ingest(wanted, t(spark, sf_dir, "pages"), own)
     blocked = loop.targeted_ingest(wanted, t(spark, sf_dir, "pages"), own, has_session=False)
-    return own.read().groupBy("url").agg(F.count(F.lit(1)).alias("chunks")).select("url", F.lit(n).alias("ingested"), F.lit(blocked).alias("without_session"))
+    return own.read().groupBy("url").agg(F.count(F.lit(1)).alias("chunks")).select("url", "chunks", F.lit(n).alias("ingested"), F.lit(blocked).alias("without_session"))
 
 
 @query
@@ -852,34 +893,21 @@ def insufficient_answers(spark, sf_dir):
 
 @query
 def knowledge_loop(spark, sf_dir):
-    """Questions that an empty index can't answer: pages are found in the catalog, ingested and searched, until one is relevant enough.
-
-    Each asks for the words of one page's title; (question, ingested, best relevance, whether that suffices).
-    """
-    pages = _hub_pages(spark, sf_dir).withColumn("page_id", F.xxhash64("url"))
+    """First questions of all conversations, asked of an empty index: pages are found in the catalog, ingested once for all, and searched."""
+    pages = _pages(spark, sf_dir).groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("p")).select("p.page_id", "url", "p.html")
     state = _state(spark, sf_dir)
     own = index.Index(spark, _folder(spark, "index"), "id string, text string, page_title string, url string, section string, heading string, content_hash string, access string, pos long")
-    asked = [r.title for r in state.filter("url LIKE 'https://hub.example.com/%' AND title <> ''").orderBy("pos").select("title").limit(3).collect()]
-    one = lambda q: spark.createDataFrame([(0, q)], "query_id long, question string")
-    seen: set[str] = set()
-    counts: list[int] = []
 
-    def retrieve(q: str) -> list[dict]:
-        chunks = own.read().select(F.col("id").alias("chunk_id"), "text", F.col("page_title").alias("title"), "url", "section", "access", "pos")
-        return [r.asDict() for r in retrieval.keyword_topk(one(q), chunks, RetrievalConfig().top_k).collect()]
+    def retrieve(asked: DataFrame) -> DataFrame:
+        chunks = own.read().select(F.col("id").alias("chunk_id"), "text", F.col("page_title").alias("title"), "pos")
+        return retrieval.keyword_topk(asked, chunks, RetrievalConfig().top_k)
 
-    def discover(q: str, limit: int) -> list[str]:
-        found = crawl.search_catalog(state, one(q), HUB, limit)
-        return [r.url for r in found.orderBy("rank").collect()]
+    def ingest(wanted: DataFrame) -> DataFrame:
+        got = frames.checkpointed(pages.join(frames.small(frames.checkpointed(wanted)), "url", "left_semi"))
+        chunks = loop.process(got, SiteConfig(allowed_hosts=HUB))
+        own.refresh(chunks.withColumn("pos", F.col("page_key") * 1_000_000 + F.col("chunk_no")))
+        return got.select("url")
 
-    def ingest(new: list[str]) -> int:
-        counts.append(loop.targeted_ingest(new, pages, own, SiteConfig(allowed_hosts=HUB)))
-        return counts[-1]
-
-    out = []
-    for i, q in enumerate(asked):
-        before = sum(counts)
-        found = loop.fill_gaps(q, retrieve(q), retrieve, discover, ingest, seen)
-        best = max((c["relevance"] for c in found), default=0.0)
-        out.append((i, sum(counts) - before, best, best >= RetrievalConfig().min_relevance))
-    return spark.createDataFrame(out, "question_no int, ingested int, best double, enough boolean")
+    discover = lambda asked, n: crawl.search_catalog(state, asked, HUB, n)
+    answers, _, _ = loop.fill_gaps_together(_asked(spark, sf_dir), retrieve, discover, ingest, spark.createDataFrame([], "url string"))
+    return answers

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern import config
 from quern.config import ChunkConfig, CrawlConfig, RetrievalConfig, SiteConfig
-from quern.operators import answer, cells, chunking, conversation, crawl, dom, frames, html, index, loop, retrieval
+from quern.operators import answer, cells, chunking, conversation, crawl, dom, frames, grams, html, index, loop, retrieval
 from quern.sources import files, pages, robots
 
 # Pages
@@ -285,6 +285,75 @@ def test_bfs_matches_a_sequential_crawl(spark, seed, config):
     assert got == brute_crawl([name(0), name(1), name(0)], edges, config)
 
 
+def slow_crawl(seeds, site, known, config):
+    """(visited with outcome, decisions) one page at a time; site: url -> list of fetches (status, expired, links)."""
+    queue, queued, good, out, said = deque(), set(), 0, [], []
+
+    def offer(url, depth, order, pos):
+        if depth > config.max_depth:
+            what = "max_depth_exceeded"
+        elif url in queued:
+            what = "duplicate"
+        elif good + len(queue) >= config.max_pages:
+            what = "max_pages_budget"
+        else:
+            what = "queued"
+            queue.append((url, depth))
+            queued.add(url)
+        said.append((order, pos, url, depth, what))
+
+    for i, u in enumerate(seeds):
+        offer(u, 0, 0, i)
+    while queue and good < config.max_pages:
+        url, depth = queue.popleft()
+        fetches = site.get(url, [(404, False, [])])
+        status, expired, links = next((f for f in fetches if not f[1]), fetches[0])
+        outcome = "session_expired" if expired else "access_denied" if status == 403 else "http_error" if status >= 400 else "unchanged" if known.get(url) == "same" else "updated" if url in known else "new"
+        out.append((url, depth, outcome))
+        good += outcome in ("new", "updated")
+        if outcome in ("new", "updated", "unchanged"):
+            for k, u in enumerate(dict.fromkeys(links)):
+                offer(u, depth + 1, len(out), k)
+    return out, said
+
+
+@pytest.mark.parametrize("seed,config", [(1, CrawlConfig()), (2, CrawlConfig(max_pages=12)), (3, CrawlConfig(max_pages=25, max_depth=2)), (4, CrawlConfig(max_pages=1)), (5, CrawlConfig(max_pages=30))])
+def test_crawl_matches_a_sequential_one_with_failures_and_expiries(spark, seed, config):
+    rnd = random.Random(seed)
+    name = lambda i: f"https://hub.example.com/p{i}"
+    site, rows, known = {}, [], {}
+    for i in range(70):
+        # Many links to few pages, so that ones that were turned away come again.
+        links = [name(rnd.choice([rnd.randrange(6), rnd.randrange(90)])) for _ in range(5)]
+        body = "<html><title>t</title><body>" + "".join(f'<a href="{u}">x</a>' for u in links) + f"page {i}</body></html>"
+        status = rnd.choice([200, 200, 200, 404, 403])
+        expired = [(200, True, [])] * rnd.choice([0, 0, 1, 2])
+        site[name(i)] = expired + [(status, False, links)] if rnd.random() < 0.9 else [(200, True, [])]
+        rows += [(1000 * i + k, name(i), body if not e else "", "https://hub.example.com/login" if e else name(i), st) for k, (st, e, _) in enumerate(site[name(i)])]
+        if rnd.random() < 0.4:
+            known[name(i)] = rnd.choice(["same", "other"])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, final_url string, status_code int")
+    hashes = {r.url: r.content_hash for r in html.extract_pages(pages.filter("html <> ''").dropDuplicates(["url"]), HOSTS).collect()}
+    state = spark.createDataFrame([(u, "", hashes.get(u, "x") if k == "same" else "other", "", "", "PROCESSED", "", []) for u, k in known.items()], crawl.STATE)
+    seeds = [name(0), name(1), name(0), name(2)]
+    start = spark.createDataFrame(list(enumerate(seeds)), "pos long, url string")
+    fetched, decided, _ = crawl.crawl(pages, start, state, HOSTS, config)
+    want, said = slow_crawl(seeds, site, known, config)
+    assert [(r.url, r.depth, r.outcome) for r in fetched.orderBy("order_no").collect()] == want
+    assert sorted(tuple(r) for r in decided.select("order_no", "pos", "url", "depth", "decision").collect()) == sorted(said)
+
+
+def test_running_totals_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(frames, "RANGE_ROWS", 7)
+    rnd = random.Random(2)
+    values = [(i, rnd.randrange(-5, 9)) for i in range(100)]
+    df = spark.createDataFrame(rnd.sample(values, 100), "pos long, v long").repartition(3)
+    assert [r.s for r in frames.running(df, ["pos"], "v", "s").orderBy("pos").collect()] == [sum(v for _, v in values[: i + 1]) for i in range(100)]
+    got = [r.s for r in frames.running(df, ["pos"], "v", "s", F.min, before=True).orderBy("pos").collect()]
+    assert got == [min((v for _, v in values[:i]), default=None) for i in range(100)]
+    assert frames.running(df.limit(0), ["pos"], "v", "s").count() == 0
+
+
 def test_decisions_and_outcomes(spark):
     links = spark.createDataFrame([(i, u, d) for i, (u, d) in enumerate([("https://hub.example.com/a", 0), ("https://hub.example.com/a", 1), (None, 0), ("https://o.example/", 0), ("http://hub.example.com/b", 0), ("https://hub.example.com/c.pdf", 0), ("https://hub.example.com/d.js", 0), ("https://hub.example.com/e", 9), ("https://hub.example.com/f", 1)])], "pos long, url string, depth int")
     decided = crawl.decisions(links, HOSTS, CrawlConfig(max_pages=1))
@@ -451,14 +520,42 @@ def test_index_keeps_what_was_live_if_a_write_breaks_off(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x", "u", "h", 0), ("b", "y", "u", "g", 1)], "chunk_id string, text string, url string, content_hash string, pos long")
     own.refresh(rows)
     (tmp_path / "i" / "_manifest-1.json").write_text("{")  # a manifest that was never renamed
-    (tmp_path / "i" / "snapshot=1").mkdir()
+    (tmp_path / "i" / "data-0").mkdir()
     assert own.count() == 2 and own.manifest()["live"] == 0
     own.refresh(rows.filter("chunk_id = 'a'"), "full")
-    assert own.count() == 1 and own.manifest()["live"] == 2 and own.vacuum(1) == [0, 1] and own.count() == 1
+    assert own.count() == 1 and own.manifest()["live"] == 1
+    gone = own.vacuum(1)
+    assert len(gone) == 2 and "data-0" in gone and own.count() == 1
     own.clear()
     assert own.count() == 0
 
 
+def test_a_refresh_writes_the_buckets_that_it_touches(spark, tmp_path):
+    """One percent of the records changes: a few buckets are written, the rest stays in its folders, and the rows are those of a plain refresh."""
+    own = index.Index(spark, str(tmp_path / "i"), SCHEMA, buckets=64)
+    rows = [(f"c{i}", f"text {i}", f"u{i // 2}", f"h{i // 2}") for i in range(1000)]
+    own.refresh(records(spark, rows), "full")
+    before = own.manifest()["folders"]
+    plain = index.normalize_records(records(spark, rows))
+    edited = [(f"c{i}", f"new {i}", f"u{i // 2}", "new") for i in range(100, 108)] + [("d1", "more", "v", "h"), ("d2", "more", "v", "h")]
+    figures = own.refresh(records(spark, edited))
+    after = own.manifest()["folders"]
+    moved = {b for b in before.keys() | after.keys() if before.get(b) != after.get(b)}
+    assert (figures["stale"], figures["upserted"], figures["collection_count"]) == (8, 10, 1002)
+    assert 1 <= len(moved) <= 10 and len(before) == 64
+    want = index.incremental(plain, records(spark, edited))
+    got = sorted((r.id, r.text, r.url, r.content_hash) for r in own.read().collect())
+    assert got == sorted((r.id, r.text, r.url, r.content_hash) for r in want[0].collect())
+    assert figures == want[1].first().asDict()
+    # A bucket that loses all its records is no longer named; a second writer on an old state fails and changes nothing.
+    own.write(own.read({0}).limit(0), {0})
+    assert "0" not in own.manifest()["folders"] and own.read({0}).count() == 0
+    n, old = own.count(), own._manifests()[:-1]
+    with pytest.raises(RuntimeError):
+        own.write(own.read(), None, old)
+    assert own.count() == n
+
+
 def test_configuration():
     assert config.read_env("# c\nA=1\nexport B = 'x y'\n\nC=\"q\n") == {"A": "1", "B": "x y", "C": '"q'}
     assert config.run_name("crawl", datetime(2024, 1, 2, 3, 4, 5)) == "crawl_20240102_030405" and config.utc_now(datetime(2024, 1, 2)) == "2024-01-02T00:00:00"
@@ -490,3 +587,44 @@ def test_one_question_and_many_get_the_same_prompt(spark):
     found = spark.createDataFrame([(1, 1, "T", "u", "s", 0.5, "body")], "query_id long, rank int, title string, url string, section string, relevance double, text string")
     many = answer.prompts(spark.createDataFrame([(1, "What?")], "query_id long, question string"), found)
     assert asked == [r["prompt"] for r in many.collect()]
+
+
+@pytest.mark.parametrize("stripe_texts", [4096, 10])
+def test_gram_index_finds_what_a_walk_finds(spark, tmp_path, monkeypatch, stripe_texts):
+    rnd = random.Random(8)
+    monkeypatch.setattr(grams, "FIRST_STRIPES", 2)
+    monkeypatch.setattr(grams, "GATHERED", 500)
+    texts = [(f"t{i:03}", rnd.choice([i, i, i // 3, None]), rnd.choice(["ABC", "é", ""]) + "".join(rnd.choices("ab- c", k=rnd.randrange(40)))) for i in range(150)]
+    texts += [("n1", 7, None), ("n2", 8, ""), ("n3", 9, "ab"), ("n4", 200, "rare-term here"), ("n4", 200, "rare-term here")]
+    terms = sorted({"".join(rnd.choices("ab-c", k=rnd.randrange(3, 6))) for _ in range(40)} | {"rare-term", "abc", "none-such", "zzz"})
+    rows = spark.createDataFrame(texts, "key string, pos long, body string").repartition(5)
+    own = grams.GramIndex.build(rows, str(tmp_path / "g"), buckets=8, stripe_texts=stripe_texts)
+    asked = spark.createDataFrame([(x,) for x in terms], "term string")
+    order = lambda r: (r[1] is not None, r[1] or 0, r[0])
+    want = [(x, k, p, n) for x in terms for n, (k, p, _) in enumerate([r for r in sorted(texts, key=order) if r[2] and x in r[2]][:3], 1)]
+    got = [tuple(r) for r in own.first_holders(asked, rows, 3).select("term", "key", "pos", "nth").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert own.first_holders(asked.limit(0), rows, 3).count() == 0
+    with pytest.raises(ValueError):
+        own.first_holders(spark.createDataFrame([("ab",)], "term string"), rows, 3)
+
+
+def test_gram_index_opens_the_buckets_of_asked_grams_alone(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), i, f"word{i} filler text") for i in range(300)], "key string, pos long, body string")
+    own = grams.GramIndex.build(rows, str(tmp_path / "g"), buckets=16, stripe_texts=50)
+    lists = own.asked(["word"], 0, 1, 16)
+    buckets = {int(g) % 16 for g in grams.grams("word")}
+    assert {r.bucket for r in lists.select("bucket").distinct().collect()} == buckets and {r.stripe for r in lists.select("stripe").distinct().collect()} == {0, 1}
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_keyword_search_is_the_same_with_and_without_an_index(spark, tmp_path):
+    rnd = random.Random(1)
+    words = ["travel", "policy", "leave", "holiday", "pay", "Travel"]
+    own = spark.createDataFrame([(f"c{i}", " ".join(rnd.choices(words, k=4)), "travel", f"u{i}", "", "authenticated", i) for i in range(60)], "chunk_id string, text string, title string, url string, section string, access string, pos long")
+    asked = spark.createDataFrame([(0, "travel policy"), (1, "holiday pay leave"), (2, "of the")], "query_id long, question string")
+    for fold in (False, True):
+        lists = grams.GramIndex.build(retrieval.keyword_texts(own, fold), str(tmp_path / f"g{fold}"), stripe_texts=16)
+        with_, without = (sorted(map(tuple, retrieval.keyword_topk(asked, own, 5, case_insensitive=fold, index=i).collect())) for i in (lists, None))
+        assert with_ == without and with_
