@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SLICE_ROWS, per_text, with_rid
+from quern.llm.common import SLICE_ROWS, per_text, releasing, with_rid
 
 DEFAULT = "word_bpe_49k.json"
 NEVER = 1 << 62
@@ -267,6 +267,8 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
                 edges = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), "<u4").view("<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), values, pa.array(map(bpe.decode, ids), pa.string())], names=["id", "n_tokens", "ids", "decoded"])
+        bpe.words.clear()
+        bpe.chunks.clear()
 
-    rows = with_rid(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids array<int>, decoded string")
+    rows = with_rid(docs, id_col, text_col).mapInArrow(releasing(run), "id long, n_tokens long, ids array<int>, decoded string")
     return rows.select(F.col("id").alias(id_col), "n_tokens", "ids", "decoded")

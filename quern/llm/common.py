@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -110,10 +112,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield whole.slice(at, rows)
 
 
-def per_text(df: DataFrame, fn: Callable[[str | None], tuple], columns: str, drop_text: bool = True) -> DataFrame:
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system; a worker that waits for its next task keeps it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with release() at the end of each task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+def per_text(df: DataFrame, fn: Callable[[str | None], tuple], columns: str, drop_text: bool = True, tidy: bool = False) -> DataFrame:
     """fn's tuple for each text as new columns, one Arrow batch at a time; a null text is given as None.
 
-    The other columns of df pass through; text itself only if drop_text is false.
+    The other columns of df pass through; text itself only if drop_text is false. tidy: release() after each task.
     """
     keep = [f for f in df.schema.fields if not (drop_text and f.name == "text")]
     fresh = df.sparkSession.createDataFrame([], columns).schema
@@ -131,7 +153,7 @@ def per_text(df: DataFrame, fn: Callable[[str | None], tuple], columns: str, dro
             arrays += [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
             yield pa.RecordBatch.from_arrays(arrays, names=names + heads)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run) if tidy else run, schema)
 
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, join_hot, per_text, small, stable, with_rid, without
+from quern.llm.common import cut, join_hot, per_text, releasing, small, stable, with_rid, without
 
 #: Shingles that are hashed and counted at a time.
 BLOCK = 1 << 14
@@ -331,7 +331,7 @@ def similar_links(prints: DataFrame, most: int, crowd: int = 16) -> DataFrame:
     rows = prints.select("node", "fp", spread.alias("s")).select("node", "fp", "s.first", "s.bucket")
     rows = _cells(rows, "bucket", BUCKET_ROWS).select("bucket", "salt", "first", "node", "fp")
     rows = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
-    return rows.mapInArrow(_edges(most, crowd), "a long, b long").distinct()
+    return rows.mapInArrow(releasing(_edges(most, crowd)), "a long, b long").distinct()
 
 
 # Shingle sets, held against each other exactly.
@@ -529,13 +529,13 @@ def verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, width: int, s
     """Those of pairs (a, b) of nodes whose shingle sets have that Jaccard similarity; only their texts are read again."""
     left = prints.select(F.col("node").alias("a"), F.col("size").alias("s"), F.col("parities").alias("x"))
     right = prints.select(F.col("node").alias("b"), F.col("size").alias("t"), F.col("parities").alias("y"))
-    pairs = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t", "x", "y").mapInArrow(_possible(share), "a long, b long"))
+    pairs = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t", "x", "y").mapInArrow(releasing(_possible(share)), "a long, b long"))
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = small(nodes.join(prints.select("node", "rid"), "node"))
-    sets = per_text(rows.select("rid", "text").join(needed, "rid"), lambda t: (shingle_set(shingle_hashes(t, width)).tobytes(),), "x binary")
+    sets = per_text(rows.select("rid", "text").join(needed, "rid"), lambda t: (shingle_set(shingle_hashes(t, width)).tobytes(),), "x binary", tidy=True)
     sets = cut(sets.select("node", "x"))
     both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_verified(share), "a long, b long"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(releasing(_verified(share)), "a long, b long"))
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -550,17 +550,17 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     share = Fraction(str(similarity))
     rows = with_rid(stable(docs), id_col, text_col)
     sketch = _sketch(width, share, common_shingles(rows, width))
-    marks = cut(per_text(rows, sketch, "node long, fp binary, size long, sig binary, parities binary, prefix binary"))
+    marks = cut(per_text(rows, sketch, "node long, fp binary, size long, sig binary, parities binary, prefix binary", tidy=True))
     first = marks.groupBy("node").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = marks.select("rid", "node").join(first, "node").filter(F.col("rid") != F.col("first")).select("rid")
     prints = marks.join(small(again), "rid", "left_anti").drop("id")
     sure = verified(similar_links(prints.select("node", "fp"), max_distance(similarity)), prints, rows, width, share)
     grouped = prints.join(small(components(sure)), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tokens = grouped.select("node", "root", "prefix").mapInArrow(_spread, "token long, node long, root long, at int")
-    shared = cut(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, node long, root long, at int"))
+    tokens = grouped.select("node", "root", "prefix").mapInArrow(releasing(_spread), "token long, node long, root long, at int")
+    shared = cut(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(releasing(_shared), "token long, node long, root long, at int"))
     shared = _cells(shared, "token", HOLDERS).join(prints.select("node", "size", "sig"), "node")
     shared = shared.select("token", "salt", "node", "root", "at", "size", "sig").repartition("token", "salt").sortWithinPartitions("token", "salt", "size")
-    more = shared.mapInArrow(_candidates(share), "a long, b long").distinct()
+    more = shared.mapInArrow(releasing(_candidates(share)), "a long, b long").distinct()
     roots = components(sure.unionByName(verified(more, prints, rows, width, share)))
     return marks.select("rid", "id", "node").join(roots, "node", "left").select("rid", "id", F.coalesce("root", "node").alias("root"))
 
