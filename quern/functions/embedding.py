@@ -63,3 +63,8 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(size == 0, F.lit(1.0)).otherwise(1.0 - dot(a, b) / size)
+
+
+def model_name(provider: Column, model: Column, deployment: Column) -> Column:
+    """The embedding model's name: a deployment's where the provider is a hosted deployment and names one."""
+    return F.when((provider == "azure") & (F.coalesce(deployment, F.lit("")) != ""), deployment).otherwise(model)

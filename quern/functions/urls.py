@@ -128,3 +128,10 @@ def looks_like_sign_in_title(title: Column | str) -> Column:
 def looks_like_denied(status: Column, url: Column, title: Column, html: Column) -> Column:
     text = F.lower(F.concat_ws(" ", blank(url), blank(title), F.substring(blank(html), 1, 2000)))
     return F.coalesce(status.isin(401, 403), F.lit(False)) | _any(text, DENIED_PHRASES)
+
+
+def allowed_hosts(raw: Column | str, start_url: Column | str) -> Column:
+    """A comma list of hosts in lower case, or the start URL's host if it names none."""
+    named = F.filter(F.transform(F.split(blank(raw), ","), lambda h: F.lower(strip(h))), lambda h: h != "")
+    own = host(start_url)
+    return F.when(F.size(named) > 0, named).when(own != "", F.array(own)).otherwise(F.array().cast("array<string>"))

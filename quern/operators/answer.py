@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.config import RetrievalConfig
-from quern.functions.text import blank
+from quern.functions.text import blank, strip
 
 INSUFFICIENT = "There is not enough information in the indexed content to answer this confidently. Please rephrase the question or add context."
-NO_PASSAGES = "(No relevant passages were retrieved.)"
+NO_PASSAGES = "(Retrieval found nothing for this question.)"
 RULES = f"Instructions:\n- Ground every statement in the passages.\n- Cite sources by title and URL.\n- If evidence is missing, say so.\n- Otherwise answer: {INSUFFICIENT}\n"
 SYSTEM = "Answer from the given passages alone. Cite them by title and URL, name conflicts between them, and say so if they don't hold the answer."
 
@@ -69,6 +69,40 @@ def validate(message: str, conversation_id: str | None = None, top_k: int | None
     return text
 
 
+def verdict(message: Column, conversation_id: Column | None = None, top_k: Column | None = None) -> Column:
+    """`ok n` for a message of n characters that validate() takes, else what validate() says of it; a null id or number isn't given."""
+    n = F.length(strip(blank(message)))
+    out = F.when((n < 1) | (n > 4000), "a message has 1 to 4000 characters")
+    if conversation_id is not None:
+        out = out.when(F.length(conversation_id.cast("string")) > 128, "a conversation id has 128 characters at most")
+    if top_k is not None:
+        out = out.when(~top_k.between(1, 20), "top_k is from 1 to 20")
+    return out.otherwise(F.concat(F.lit("ok "), n.cast("string")))
+
+
+def answers(queries: DataFrame, found: DataFrame, complete: Callable[[str, str], str] | None = None, history: DataFrame | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """(query_id, refused, answer, n_sources) of each question of queries from what retrieval found for it.
+
+    A question without sufficient context gets INSUFFICIENT and no sources, and the model isn't asked. The model answers the
+    prompts of the others where they lie; without a model the first passage's first line stands in.
+    """
+    from quern.operators.retrieval import context_sufficient
+
+    model = complete or extractive
+    enough = context_sufficient(found, queries, config).select("query_id", "sufficient")
+    asked = prompts(queries.join(enough.filter("sufficient"), "query_id", "left_semi"), found, history, config)
+
+    @F.pandas_udf("string")
+    def ask(prompts):
+        return prompts.map(lambda p: model(SYSTEM, p))
+
+    said = asked.select("query_id", ask("prompt").alias("said"))
+    sources = source_list(found).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = enough.join(said, "query_id", "left").join(sources, "query_id", "left")
+    refused = ~F.col("sufficient")
+    return rows.select("query_id", refused.alias("refused"), F.when(refused, INSUFFICIENT).otherwise(F.col("said")).alias("answer"), F.when(refused, 0).otherwise(F.coalesce("n", F.lit(0))).cast("int").alias("n_sources"))
+
+
 class ServiceError(RuntimeError):
     """Retrieval or the language model failed; there is no answer."""
 

@@ -213,19 +213,22 @@ def bfs(seed: DataFrame, edges: DataFrame, hosts: Iterable[str], config: CrawlCo
     return walk(seed, visit, hosts, config)[0].select("url", "depth", "order_no")
 
 
-def walk(seed: DataFrame, visit: Visit, hosts: Iterable[str], config: CrawlConfig = CrawlConfig(), robots: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def walk(seed: DataFrame, visit: Visit, hosts: Iterable[str], config: CrawlConfig = CrawlConfig(), robots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(fetched, decided) of a breadth-first crawl, level by level, equal to a sequential one.
 
     visit(level) fetches pages (url, depth, order_no): it gives them with `outcome`, and the links (order_no, pos, url) of
     those whose links are followed. A link is queued while successes and waiting pages are fewer than the budget, so each
     fetch that is no success frees a place for the links that come after it, also for one that was turned away before.
-    decided: (order_no, pos, url, depth, decision) of each link and seed (order_no 0).
+    decided: (order_no, pos, url, depth, decision) of each link and seed (order_no 0). robots: rules as robots.rules_of has them.
     """
+    from quern.sources.robots import allowed
+
     hosts = list(hosts)
     links = seed.select(F.lit(0).cast("long").alias("order_no"), F.col("pos").cast("long").alias("pos"), "url", F.lit(0).cast("long").alias("freed"))
     fetched, decided, queued, freed, depth = [], [], 0, 0, 0
     while True:
-        rows = checkpointed(links.withColumn("decision", admission(F.col("url"), F.lit(depth), hosts, config.max_depth, robots)))
+        links = allowed(links, robots) if robots is not None else links.withColumn("allowed", F.lit(True))
+        rows = checkpointed(links.withColumn("decision", admission(F.col("url"), F.lit(depth), hosts, config.max_depth, F.col("allowed"))))
         offers = rows.filter("decision = 'candidate'")
         if fetched:
             offers = offers.join(union([f.select("url") for f in fetched]), "url", "left_anti")
@@ -300,7 +303,7 @@ def requeue(frontier: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def crawl(
-    pages: DataFrame, seed: DataFrame, state: DataFrame, hosts: Iterable[str], config: CrawlConfig = CrawlConfig(), robots: Column | None = None
+    pages: DataFrame, seed: DataFrame, state: DataFrame, hosts: Iterable[str], config: CrawlConfig = CrawlConfig(), robots: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fetched, decided, links) of a breadth-first crawl over a page source pages (page_id, url, html, and final_url and status_code if it has them).
 

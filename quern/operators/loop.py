@@ -49,6 +49,11 @@ def fill_gaps(
     return found
 
 
+def unseen(found: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows of found whose url is not in seen (url); seen goes to all tasks while it is small."""
+    return found.join(small(checkpointed(seen.select("url").distinct())), "url", "left_anti")
+
+
 def fill_gaps_together(
     questions: DataFrame,
     retrieve: Callable[[DataFrame], DataFrame],
@@ -79,7 +84,7 @@ def fill_gaps_together(
         todo = state.filter("open").select("query_id", "question")
         if todo.isEmpty():
             break
-        wanted = checkpointed(discover(todo, config.discover_limit).select("query_id", "rank", "url").join(small(checkpointed(seen)), "url", "left_anti"))
+        wanted = checkpointed(unseen(discover(todo, config.discover_limit).select("query_id", "rank", "url"), seen))
         if wanted.isEmpty():
             break
         seen = seen.unionByName(wanted.select("url")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from quern.config import STOPWORDS, hybrid_stopwords
 from quern.functions.text import FOOTER_PHRASES
 from quern.functions.urls import ASSET_ENDINGS, DENIED_PHRASES, DOCUMENT_ENDINGS, LOGIN_HOSTS, LOGIN_PATHS_ON_SITE, SIGN_IN_TITLES
-from quern.operators.answer import INSUFFICIENT
+from quern.operators.answer import INSUFFICIENT, NO_PASSAGES
 
 _HOSTS = ("example.com", "example.org", "www.example.com")
 
@@ -314,7 +314,7 @@ ORACLES: dict[str, str] = {
     "source_list": f"""{_ALL}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, title, url, section ORDER BY rank) AS nth FROM hybrid QUALIFY nth = 1)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position, title, url, section, round_even(least(1, greatest(0, relevance)), 4) AS relevance FROM f""",
     "build_prompt": f"""{_ALL}, {_BLOCKS}, ctx AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM budget GROUP BY query_id),
-        p AS (SELECT query_id, 'Retrieved passages:' || chr(10) || coalesce(context, '(No relevant passages were retrieved.)') || chr(10) || chr(10) || 'User question:' || chr(10) || question || chr(10) || chr(10)
+        p AS (SELECT query_id, 'Retrieved passages:' || chr(10) || coalesce(context, '{NO_PASSAGES}') || chr(10) || chr(10) || 'User question:' || chr(10) || question || chr(10) || chr(10)
         || '{_RULES}' AS prompt FROM questions LEFT JOIN ctx USING (query_id))
         SELECT query_id, length(prompt) AS chars, sha256(regexp_replace(prompt, 'relevance=[0-9.]+', '', 'g')) AS prompt_sha256 FROM p""",
     "expand_query": f"""WITH {_PAIRS}, p AS (SELECT *, {_strip("coalesce(lag(question) OVER (PARTITION BY conv_id ORDER BY turn), '')")} AS previous FROM turns)
@@ -435,19 +435,28 @@ ORACLES: dict[str, str] = {
     "process_report": f"WITH {_H_PARTS}, c AS (SELECT count(*) AS n FROM h_clean WHERE cleaned_text <> '') SELECT (SELECT count(*) FROM pages)::INT AS input, n AS processed, 3 AS failed, (SELECT count(*) FROM pages) - n AS skipped FROM c",
     "page_source": f"""WITH {_MOVED}, f AS (SELECT url, arg_min(html, page_id) AS html FROM moved GROUP BY url) SELECT url, url AS final_url, 200 AS status_code, md5(html) AS html_md5 FROM f
         UNION ALL SELECT url || '/missing', url || '/missing', 404, NULL FROM f""",
-    "robots_allow": f"SELECT page_id, NOT (prefix({_PATH}, '/en/') OR prefix({_PATH}, '/tag')) AS allowed, true AS without_rules FROM pages",
+    "robots_allow": f"""WITH p AS (SELECT page_id, length({_HOST}) % 3 AS k, coalesce(nullif(regexp_extract(url, '(?s)\\A[^:]*://[^/?#]*(.*)\\z', 1), ''), '/') AS path, {_HOST} AS host FROM pages)
+        SELECT page_id, CASE WHEN host = '' OR k = 2 THEN true WHEN k = 0 THEN prefix(path, '/en/1') OR NOT prefix(path, '/en/') ELSE NOT prefix(path, '/fr') END AS allowed FROM p""",
     "to_chunks": """SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 2 <> 0 THEN source WHEN doc_id % 3 <> 0 THEN lang ELSE 'Knowledge Base' END AS title, CASE WHEN doc_id % 4 <> 0 THEN lang ELSE source END AS section, '' AS url, md5(text) AS text_md5 FROM documents""",
     "html_fallback": rf"""SELECT doc_id, md5({_strip(f"'# ' || source || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) || {_strip("regexp_replace(text, '[ \t\n\f\r\x0B]+', ' ', 'g')")} || chr(10) || chr(10) || '[more](https://hub.example.com/x)'")}) AS cleaned_md5 FROM documents""",
     "placeholder_check": "SELECT doc_id, doc_id % 3 = 2 AND trim(source) <> '' AS configured FROM documents",
-    "request_validation": f"""WITH m AS (SELECT conv_id, turn, length({_strip("coalesce(text, '')")}) AS n FROM conversations WHERE turn = 0)
-        SELECT conv_id, turn, CASE WHEN n BETWEEN 1 AND 4000 THEN 'ok ' || n ELSE 'a message has 1 to 4000 characters' END AS verdict FROM m""",
-    "settings": """SELECT * FROM (VALUES ('hosts given', 'a.example,b.example'), ('hosts of the start', 'hub.example.com'), ('no selectors', '14'), ('selectors', '#a|.b'), ('default selectors', 'True'), ('model', 'm'), ('deployment', 'd')) v(name, value)""",
+    "request_validation": f"""WITH m AS (SELECT conv_id, turn, length({_strip("coalesce(text, '')")}) AS n FROM conversations)
+        SELECT conv_id, turn, CASE WHEN n NOT BETWEEN 1 AND 4000 THEN 'a message has 1 to 4000 characters' WHEN 40 * length(conv_id::VARCHAR) > 128 THEN 'a conversation id has 128 characters at most'
+        WHEN turn NOT BETWEEN 1 AND 20 THEN 'top_k is from 1 to 20' ELSE 'ok ' || n END AS verdict FROM m""",
+    "settings": f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'a.example' || CASE WHEN {_HOST} <> '' THEN ',' || {_HOST} ELSE '' END ELSE {_HOST} END AS hosts,
+        CASE WHEN page_id % 4 = 0 THEN 'd' || page_id ELSE 'm' END AS model FROM pages""",
     "seeds": f"""WITH {_STATE} SELECT 'https://hub.example.com/' AS url, 0 AS place UNION ALL SELECT 'https://hub.example.com/b', 1 UNION ALL SELECT 'https://hub.example.com/a', 2
         UNION ALL SELECT url, NULL FROM state WHERE status IN ('FAILED', 'PENDING', 'PROCESSING')""",
     "unseen_urls": f"WITH {_MOVED}, n AS (SELECT page_id, {_NORMAL_URL} AS url FROM moved) SELECT DISTINCT url FROM n WHERE url NOT IN (SELECT url FROM n WHERE page_id % 2 = 0)",
     "processed_urls": f"WITH {_STATE} SELECT url FROM state WHERE status IN ('PROCESSED', 'UPDATED')",
-    "insufficient_answers": f"SELECT conv_id, true AS refused, 0 AS n_sources FROM conversations WHERE turn = 0 AND trim(text) <> ''",
+    "insufficient_answers": rf"""{_ALL}, per AS (SELECT q.query_id, {_terms('q.question')} AS terms, count(h.chunk_id) AS n_chunks, max(h.relevance) AS best, count(DISTINCT (h.title, h.url, h.section)) FILTER (h.chunk_id IS NOT NULL) AS n,
+        string_agg(lower(h.title || ' ' || h.section || ' ' || h.text), ' ') AS blob, arg_min(h.text, h.rank) AS first FROM questions q LEFT JOIN hybrid h USING (query_id) GROUP BY q.query_id, q.question),
+        s AS (SELECT *, coalesce(n_chunks > 0 AND best >= 0.28 AND (len(terms) = 0 OR best >= 0.55 OR len(list_filter(terms, lambda t: contains(blob, t))) >= greatest(1, least(2, (len(terms) + 1) // 2))), false) AS good FROM per)
+        SELECT query_id, NOT good AS refused, md5(CASE WHEN good THEN regexp_extract({_strip('first')}, '\A[^\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]*') ELSE '{INSUFFICIENT}' END) AS answer_md5,
+        CASE WHEN good THEN n ELSE 0 END::INT AS n_sources FROM s""",
     "state_stream": "SELECT user_id::VARCHAR AS url, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM (SELECT user_id, event_type, ts, event_id FROM events) GROUP BY user_id",
-    "conversation_stream": "SELECT conv_id, turn, text AS question, least(4, row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS kept FROM conversations WHERE role = 'user'",
+    "conversation_stream": f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS question, least(4, row_number() OVER w)::INT AS kept, {_strip("coalesce(lag(text) OVER w, '')")} AS previous
+        FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+        SELECT conv_id, turn, question, kept, CASE WHEN previous = '' OR lower(previous) = lower(question) THEN question ELSE question || chr(10) || chr(10) || 'Previous question in this conversation: ' || previous END AS query FROM c""",
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -599,19 +599,22 @@ def conversation_stream(spark, sf_dir):
     out, at = _folder(spark, "turns"), _folder(spark, "stream")
     source = _stream(spark, sf_dir, "conversations")
     turns = source.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), F.lit("").alias("answer"))
-    refresh.conversation_stream(turns).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("conv_id long, turn long, question string, answer string, kept int").parquet(out).select("conv_id", "turn", "question", "kept")
+    rows = refresh.conversation_stream(turns).withColumn("query", conversation.expand(F.col("question"), F.col("previous"))).drop("previous")
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("conv_id long, turn long, question string, kept int, query string").parquet(out)
 
 
 @query
 def state_stream(spark, sf_dir):
+    """The latest event of each user, from the changes that a stream of events makes to its state."""
     from quern.streaming import refresh
 
     out, at = _folder(spark, "state"), _folder(spark, "stream")
-    source = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.struct("ts", "event_id").alias("at"), "event_type")
+    # One number that orders events: microseconds, then the place of an id among ids.
+    order = F.concat(F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("event_id").cast("string"), 20, "0")).alias("at")
+    source = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), order, "event_id", "event_type")
     refresh.state_stream(source, out, at, order="at").awaitTermination()
-    live = spark.read.parquet(out)
-    return live.join(live.agg(F.max("snapshot").alias("snapshot")), "snapshot").select("url", F.col("at.event_id").alias("event_id"), "event_type")
+    return refresh.read_state(spark, out, source.schema, order="at").select("url", "event_id", "event_type")
 
 
 # Files, stores and reports: written to the shared folder and read back.
@@ -775,10 +778,14 @@ def page_source(spark, sf_dir):
 
 @query
 def robots_allow(spark, sf_dir):
-    """Rules that are read once, then a predicate over URLs."""
-    lines = robots.rules(lambda: (200, "User-agent: *\nDisallow: /en/\nDisallow: /tag\n"))
-    rows = t(spark, sf_dir, "pages")
-    return rows.select("page_id", robots.allows("url", lines).alias("allowed"), robots.allows("url", robots.rules(lambda: (404, ""))).alias("without_rules"))
+    """Rules of each host of the pages, of which a third have none, and what they allow."""
+    rows = t(spark, sf_dir, "pages").select("page_id", "url")
+    name = urls.host("url")
+    hosts = rows.select(name.alias("host")).filter("host <> ''").distinct()
+    strict = F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /en/1\nDisallow: /en/ # all else\nDisallow:\n")
+    lax = F.lit("User-Agent: *\nDisallow: /fr\nAllow: /\n")
+    bodies = hosts.select("host", F.when(F.length("host") % 3 == 0, strict).when(F.length("host") % 3 == 1, lax).alias("body"))
+    return robots.allowed(rows, robots.rules_of(bodies, "crawler/1.0")).select("page_id", "allowed")
 
 
 @query
@@ -812,32 +819,19 @@ def placeholder_check(spark, sf_dir):
 
 @query
 def request_validation(spark, sf_dir):
-    """Questions that are asked as they are, and why others aren't."""
-    texts = [(r.conv_id, r.turn, r.text) for r in t(spark, sf_dir, "conversations").filter("turn = 0").toLocalIterator()]
-
-    def verdict(message: str | None) -> str:
-        try:
-            return f"ok {len(answer.validate(message))}"
-        except ValueError as e:
-            return str(e)
-
-    rows = [(c, n, verdict(x)) for c, n, x in texts]
-    return spark.createDataFrame(rows, "conv_id long, turn long, verdict string")
+    """What becomes of every turn's text as a request, with its conversation's id and its turn as the number of results."""
+    rows = t(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", answer.verdict(F.col("text"), F.repeat(F.col("conv_id").cast("string"), F.lit(40)), F.col("turn")).alias("verdict"))
 
 
 @query
 def settings(spark, sf_dir):
-    """What configuration says for a few environments: hosts, selectors, embedding models."""
-    rows = [
-        ("hosts given", ",".join(SiteConfig.hosts_from(" A.example, b.example ,", ""))),
-        ("hosts of the start", ",".join(SiteConfig.hosts_from("", "https://Hub.example.com/x"))),
-        ("no selectors", str(len(auth_selectors(" , ")))),
-        ("selectors", "|".join(auth_selectors("#a, .b ,"))),
-        ("default selectors", str(auth_selectors(None) == AUTH_SELECTORS)),
-        ("model", ModelConfig("openai", "m", "d").embedding_model()),
-        ("deployment", ModelConfig("azure", "m", "d").embedding_model()),
-    ]
-    return spark.createDataFrame(rows, "name string, value string")
+    """What a site's configuration comes to if each page is a start URL: hosts, and the embedding model's name by provider."""
+    rows = t(spark, sf_dir, "pages")
+    raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" A.Example,, "), F.upper(urls.host("url")), F.lit(" ,"))).otherwise(F.lit(" , "))
+    provider = F.when(F.col("page_id") % 2 == 0, "azure").otherwise("openai")
+    deployment = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("d"), F.col("page_id").cast("string"))).otherwise("")
+    return rows.select("page_id", F.array_join(urls.allowed_hosts(raw, "url"), ",").alias("hosts"), embedding.model_name(provider, F.lit("m"), deployment).alias("model"))
 
 
 @query
@@ -852,7 +846,7 @@ def unseen_urls(spark, sf_dir):
     """Discovered pages that were not seen before."""
     found = _pages(spark, sf_dir).select(urls.normalize_url("url").alias("url")).distinct()
     seen = _pages(spark, sf_dir).filter("page_id % 2 = 0").select(urls.normalize_url("url").alias("url"))
-    return found.join(seen, "url", "left_anti")
+    return loop.unseen(found, seen)
 
 
 @query
@@ -881,14 +875,9 @@ def refresh_run(spark, sf_dir):
 
 @query
 def insufficient_answers(spark, sf_dir):
-    """Questions without passages get the refusal and no sources, and the model isn't asked."""
-
-    def never(*_):
-        raise AssertionError
-
-    own = answer.Answerer(lambda q: [], lambda chunks, q: False, never)
-    rows = [(r.conv_id, own.ask(r.text[:4000])) for r in t(spark, sf_dir, "conversations").filter("turn = 0 AND trim(text) <> ''").toLocalIterator()]
-    return spark.createDataFrame([(c, a["answer"] == answer.INSUFFICIENT, len(a["sources"])) for c, a in rows], "conv_id long, refused boolean, n_sources int")
+    """First questions of all conversations, answered from what retrieval finds or refused."""
+    rows = answer.answers(questions(spark, sf_dir), _hybrid(spark, sf_dir))
+    return rows.select("query_id", "refused", F.md5("answer").alias("answer_md5"), "n_sources")
 
 
 @query

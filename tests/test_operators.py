@@ -461,13 +461,105 @@ def test_files(spark, tmp_path):
         files.process_run(spark, str(tmp_path / "no"))
 
 
-def test_robots_and_page_source(spark):
-    lines = robots.rules(lambda: (200, "User-agent: *\nDisallow: /private"))
-    rows = spark.createDataFrame([("https://h/private/x",), ("https://h/open",)], "url string").coalesce(1)
-    assert [r[0] for r in rows.select(robots.allows("url", lines)).collect()] == [False, True]
-    assert robots.rules(lambda: (404, "")) is None and robots.rules(None) is None and rows.filter(robots.allows("url", None)).count() == 2
-    source = pages.TableSource(spark.createDataFrame([("https://h/open", "<p>")], "url string, html string"))
-    assert {(r["url"], r["status_code"]) for r in source.fetch(rows).collect()} == {("https://h/open", 200), ("https://h/private/x", 404)}
+def test_page_source(spark):
+    rows = spark.createDataFrame([("https://hub.example.com/private/x",), ("https://hub.example.com/y",)], "url string")
+    source = pages.TableSource(spark.createDataFrame([("https://hub.example.com/y", "<p>", 1)], "url string, html string, n int"))
+    assert sorted((r["url"], r["status_code"]) for r in source.fetch(rows).collect()) == [("https://hub.example.com/private/x", 404), ("https://hub.example.com/y", 200)]
+    assert robots.body_of(lambda: (404, "")) is None and robots.body_of(None) is None and robots.body_of(lambda: (200, "x")) == "x" and robots.body_of(lambda: 1 / 0) is None
+
+
+@pytest.mark.parametrize("agent", ["*", "Crawler/1.0", "other"])
+def test_robots_rules_are_those_of_the_standard_parser(spark, agent):
+    from urllib.robotparser import RobotFileParser
+
+    rnd = random.Random(12)
+    words = ["User-agent: *", "User-agent: crawl", "USER-AGENT : Other # x", "user-agent: bot", "Disallow: /a", "Allow: /a/b", "Disallow:", "Allow: /a%2Fb", "Disallow: /c d", "Disallow: /%63", "Crawl-delay: 3", "", "  ", "# note", "Sitemap: https://x/", "nonsense", "Disallow: *", "Disallow: /a?q=1", "Allow: /é"]
+    bodies = [(f"h{i}.example.com", "\n".join(rnd.choices(words, k=rnd.randrange(1, 14)))) for i in range(120)] + [("none.example.com", None)]
+    paths = ["", "/", "/a", "/a/b", "/a/b/c", "/a%2fb", "/ab", "/c%20d", "/c", "/a?q=1", "/a?q=2", "/%C3%A9", "/é/x", "/x"]
+    links = [f"https://{h}{p}" for h, _ in bodies for p in paths] + ["https://elsewhere.example.com/a"]
+    rules = robots.rules_of(spark.createDataFrame(bodies, "host string, body string"), agent)
+    got = {r.url: r.allowed for r in robots.allowed(spark.createDataFrame([(u,) for u in links], "url string"), rules).collect()}
+    parsers = {}
+    for h, body in bodies:
+        parsers[h] = RobotFileParser()
+        parsers[h].parse((body or "").splitlines())
+    want = {u: parsers[h].can_fetch(agent, u) if (h := u.split("/")[2]) in parsers else True for u in links}
+    assert {u: (got[u], want[u]) for u in links if got[u] != want[u]} == {}
+
+
+def test_a_crawl_keeps_to_robots_rules(spark):
+    site = spark.createDataFrame([(1, "https://hub.example.com/", '<a href="/a">x</a><a href="/b">y</a>')], "page_id long, url string, html string")
+    rules = robots.rules_of(spark.createDataFrame([("hub.example.com", "User-agent: *\nDisallow: /a")], "host string, body string"))
+    start = spark.createDataFrame([(0, "https://hub.example.com/")], "pos long, url string")
+    fetched, decided, _ = crawl.crawl(site, start, spark.createDataFrame([], crawl.STATE), HOSTS, robots=rules)
+    assert [r.url for r in fetched.orderBy("order_no").collect()] == ["https://hub.example.com/", "https://hub.example.com/b"]
+    assert {r.url: r.decision for r in decided.collect()}["https://hub.example.com/a"] == "robots_disallowed"
+
+
+def test_questions_go_through_the_loop_together_as_each_would_alone(spark):
+    """With discovered pages of their own, each question ends as the loop for one question leaves it."""
+    rnd = random.Random(3)
+    pages_of = {q: [[f"u{q}-{s}-{i}" for i in range(rnd.randrange(0, 4))] for s in range(7)] for q in range(12)}
+    real = {u for ps in pages_of.values() for p in ps for u in p if rnd.random() < 0.8}
+    gain = {u: rnd.choice([0.05, 0.1, 0.5]) for u in real}
+    limit = RetrievalConfig().query_time_pages
+
+    def alone(q):
+        have, calls = set(), []
+
+        def retrieve(_):
+            return [{"relevance": max((gain[u] for u in have if u.startswith(f"u{q}-")), default=0.0)}] if have else []
+
+        def discover(_, n):
+            calls.append(1)
+            return pages_of[q][len(calls) - 1][:n]
+
+        def ingest(us):
+            new = [u for u in us[:limit] if u in real]
+            have.update(new)
+            return len(new)
+
+        found = loop.fill_gaps("q", [], retrieve, discover, ingest, set())
+        return max((c["relevance"] for c in found), default=None), len(have)
+
+    have, step = set(), [0]
+
+    def retrieve(asked):
+        ids = [r.query_id for r in asked.collect()]
+        best = {q: max((gain[u] for u in have if u.startswith(f"u{q}-")), default=None) for q in ids}
+        # A question with ingested pages but none of its own has a chunk of no relevance.
+        rows = [(q, "c", b if b is not None else 0.0) for q, b in best.items() if have]
+        return spark.createDataFrame(rows, "query_id long, chunk_id string, relevance double")
+
+    def discover(asked, n):
+        step[0] += 1
+        return spark.createDataFrame([(r.query_id, i, u) for r in asked.collect() for i, u in enumerate(pages_of[r.query_id][step[0] - 1][:n])], "query_id long, rank int, url string")
+
+    def ingest(wanted):
+        new = [r.url for r in wanted.collect() if r.url in real]
+        have.update(new)
+        return spark.createDataFrame([(u,) for u in new], "url string")
+
+    questions = spark.createDataFrame([(q, f"q{q}") for q in range(12)], "query_id long, question string")
+    answers, found, seen = loop.fill_gaps_together(questions, retrieve, discover, ingest, spark.createDataFrame([], "url string"))
+    got = {r.query_id: (r.best, r.ingested, r.enough) for r in answers.collect()}
+    for q in range(12):
+        best, n = alone(q)
+        assert (got[q][0] or 0.0, got[q][1]) == (best or 0.0, n) and got[q][2] == ((best or 0.0) >= 0.28)
+    assert len(got) == 12 and seen.count() > 0 and {r.query_id for r in found.collect()} <= set(got)
+
+
+def test_many_questions_are_answered_or_refused(spark):
+    questions = spark.createDataFrame([(0, "travel policy"), (1, "travel policy"), (2, "pay")], "query_id long, question string")
+    rows = [(0, 1, "c1", "Travel", "u1", "s", 0.9, "travel policy text\nmore"), (0, 2, "c2", "Travel", "u1", "s", 0.8, "again"), (1, 1, "c3", "T", "u", "", 0.1, "low")]
+    found = spark.createDataFrame(rows, "query_id long, rank int, chunk_id string, title string, url string, section string, relevance double, text string")
+    asked = []
+    got = {r.query_id: (r.refused, r.answer, r.n_sources) for r in answer.answers(questions, found).collect()}
+    assert got == {0: (False, "travel policy text", 1), 1: (True, answer.INSUFFICIENT, 0), 2: (True, answer.INSUFFICIENT, 0)}
+    says = {r.query_id: r.answer for r in answer.answers(questions, found, lambda system, prompt: f"{'Ground' in prompt} {len(system) > 9}").collect()}
+    assert says[0] == "True True" and says[1] == answer.INSUFFICIENT and asked == []
+    check = spark.createDataFrame([(None, "a", 1), ("x" * 4001, "a", 1), ("x", "a" * 129, 1), ("x", None, 21), (" x ", "a", 20)], "m string, c string, k int")
+    assert [r[0] for r in check.select(answer.verdict(F.col("m"), F.col("c"), F.col("k"))).collect()] == ["a message has 1 to 4000 characters"] * 2 + ["a conversation id has 128 characters at most", "top_k is from 1 to 20", "ok 1"]
 
 
 def test_cells_find_near_vectors_of_clusters_in_few_probes(spark, tmp_path):
