@@ -1,13 +1,14 @@
-"""Chunking of texts and of pages' content blocks. A token is about four code points."""
+"""Chunking of texts and of pages' content blocks. A token is about four code points, unless a tokenizer is given."""
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.config import ChunkConfig
+from quern.functions import tokens as of_tokens
 from quern.functions.text import blank, chunk_id, content_hash, default, document_id
+from quern.functions.tokens import Characters, Ends
 
 CHARS = 4
 
@@ -20,8 +21,16 @@ def fixed_windows(text: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(whole))))
 
 
-def windows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    return docs.select(F.col(id_col), F.posexplode(fixed_windows(blank(text_col), config)).alias("piece", "text"))
+def windows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ChunkConfig = ChunkConfig(), ends: Ends | None = None) -> DataFrame:
+    """(id, piece, text): windows of each text, by the tokens that `ends` finds, or by code points in built-in functions."""
+    if ends is None:
+        return docs.select(F.col(id_col), F.posexplode(fixed_windows(blank(text_col), config)).alias("piece", "text"))
+
+    @F.pandas_udf("array<string>")
+    def cut(texts):
+        return texts.map(lambda t: of_tokens.windows(t, config.size, config.overlap, ends))
+
+    return docs.select(F.col(id_col), F.posexplode(cut(blank(text_col))).alias("piece", "text"))
 
 
 def section_groups(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -42,73 +51,77 @@ def section_groups(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     return rows.select(doc, "group_no", "heading", "section", F.trim(text).alias("text")).filter("text <> ''")
 
 
-def tokens(text: str) -> int:
-    return (len(text) + CHARS - 1) // CHARS
+_CHARACTERS = Characters(CHARS)
 
 
-def windows(text: str, config: ChunkConfig) -> list[str]:
-    whole, step = CHARS * config.size, CHARS * (config.size - config.overlap)
-    last = 0 if len(text) <= whole else -(-(len(text) - whole) // step)
-    return [text[i * step : i * step + whole] for i in range(last + 1)] if text else []
+def tokens(text: str, ends: Ends = _CHARACTERS) -> int:
+    return (len(text) + CHARS - 1) // CHARS if ends is _CHARACTERS else len(ends(text))
+
+
+def windows(text: str, config: ChunkConfig, ends: Ends = _CHARACTERS) -> list[str]:
+    return of_tokens.windows(text, config.size, config.overlap, ends)
 
 
-def split(text: str, config: ChunkConfig) -> list[str]:
+def split(text: str, config: ChunkConfig, ends: Ends = _CHARACTERS) -> list[str]:
     """Pieces of at most `size` tokens, packed from paragraphs, or from lines if there is one paragraph.
 
     A piece that follows a full one begins with the end of that; units that are too large by themselves are cut to windows.
     """
-    if tokens(text) <= config.size:
+    if tokens(text, ends) <= config.size:
         return [text]
     for mark in ("\n\n", "\n"):
         units = [u for x in text.split(mark) if (u := x.strip())]
         if len(units) > 1:
             break
     else:
-        return windows(text, config)
+        return windows(text, config, ends)
     out: list[str] = []
     held = ""
     for unit in units:
-        if tokens(unit) > config.size:
+        if tokens(unit, ends) > config.size:
             out += [held] if held else []
-            out += windows(unit, config)
+            out += windows(unit, config, ends)
             held = ""
-        elif tokens(joined := f"{held}\n\n{unit}".strip()) <= config.size:
+        elif tokens(joined := f"{held}\n\n{unit}".strip(), ends) <= config.size:
             held = joined
         else:
             # A unit alone is never too large here, so there is something held.
             out.append(held)
-            tail = held[-CHARS * config.overlap :] if config.overlap > 0 else ""
+            tail = of_tokens.suffix(held, config.overlap, ends) if ends is not _CHARACTERS else held[-CHARS * config.overlap :] if config.overlap > 0 else ""
             held = f"{tail}\n\n{unit}".strip()
-            if tokens(held) > config.size:
-                out += windows(held, config)
+            if tokens(held, ends) > config.size:
+                out += windows(held, config, ends)
                 held = ""
     return out + ([held] if held else [])
 
 
-def chunk_groups(groups: list[tuple[str, str, str]], config: ChunkConfig) -> list[dict]:
+def chunk_groups(groups: list[tuple[str, str, str]], config: ChunkConfig, ends: Ends = _CHARACTERS) -> list[dict]:
     """Chunks of (heading, section, text) groups; a tiny piece is laid to the chunk before it while that keeps in bounds."""
     out: list[dict] = []
     for heading, section, text in groups:
-        for piece in split(text, config):
-            if out and tokens(piece) < config.least:
+        for piece in split(text, config, ends):
+            if out and tokens(piece, ends) < config.least:
                 merged = f"{out[-1]['text']}\n\n{piece}".strip()
-                if tokens(merged) <= config.size + config.overlap:
+                if tokens(merged, ends) <= config.size + config.overlap:
                     out[-1]["text"] = merged
                     continue
             out.append({"chunk_no": len(out), "heading": heading, "section": section, "text": piece, "seed": piece[:200]})
+    for chunk in out:
+        chunk["tokens"] = tokens(chunk["text"], ends)
     return out
 
 
-_CHUNK = "array<struct<chunk_no:int,heading:string,section:string,text:string,seed:string>>"
+_CHUNK = "array<struct<chunk_no:int,heading:string,section:string,text:string,seed:string,tokens:int>>"
 
 
-def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), source_type: str = "web_page", source_label: str = "Knowledge Base", crawled_at: str = "") -> DataFrame:
+def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), source_type: str = "web_page", source_label: str = "Knowledge Base", crawled_at: str = "", ends: Ends | None = None) -> DataFrame:
     """Chunks of docs (url, title, cleaned_text, blocks, optional content_hash and access), one row each.
 
     A document without blocks is one group of its cleaned text. Columns: chunk_id, document_id, page_title, url, section,
     heading, crawl_timestamp, scraped_date, source_type, source, access, content_hash, token_count, chunk_no, text, and page_key
-    if docs has it.
+    if docs has it. Sizes are in tokens of `ends`, or of four code points each.
     """
+    own_ends = ends
 
     @F.pandas_udf(_CHUNK)
     def cut(blocks, text, title):
@@ -128,7 +141,7 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), source
             if not groups and t:
                 groups = [[name or "", "", [t]]]
             whole = [(h, s, x) for h, s, xs in groups if (x := "\n\n".join(filter(None, xs)).strip())]
-            out.append(chunk_groups(whole, config))
+            out.append(chunk_groups(whole, config, own_ends) if own_ends else chunk_groups(whole, config))
         return pd.Series(out)
 
     have = lambda c: F.col(c) if c in docs.columns else F.lit("")
@@ -143,7 +156,7 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), source
         document_id(F.col("url"), F.col("page_title")).alias("document_id"),
         "page_title", "url", default("c.section", heading).alias("section"), heading.alias("heading"),
         F.lit(crawled_at).alias("crawl_timestamp"), F.lit(crawled_at).alias("scraped_date"), F.lit(source_type).alias("source_type"), F.lit(source_label).alias("source"),
-        "access", "content_hash", F.ceil(F.length("c.text") / CHARS).cast("int").alias("token_count"), F.col("c.chunk_no").alias("chunk_no"), F.col("c.text").alias("text"), *key,
+        "access", "content_hash", F.col("c.tokens").alias("token_count"), F.col("c.chunk_no").alias("chunk_no"), F.col("c.text").alias("text"), *key,
     )
 
 

@@ -20,6 +20,8 @@ QUESTIONS = 20_000
 TERMS = 100_000
 #: Texts that are matched at a time.
 TEXTS = 1024
+#: Groups of a corpus's parts that a core goes through.
+GROUPS_PER_CORE = 3
 #: Rows of a range of a global order, and ranges at most.
 RANGE_ROWS, RANGES = 50_000, 4_096
 
@@ -56,6 +58,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
+def in_groups(df: DataFrame) -> DataFrame:
+    """df with neighbouring parts laid together, a few for each of the session's cores, without a shuffle.
+
+    What a task keeps of all it has seen, like the k best, is then kept once for a group of parts and not for each part.
+    """
+    return df.coalesce(GROUPS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def in_blocks(df: DataFrame, key: str, rows: int) -> Iterator[DataFrame]:
     """df in parts of about `rows` rows by hash of key, for what must go to all tasks."""
     n = -(-df.count() // rows)
@@ -117,7 +127,8 @@ def first_holders(terms: DataFrame, texts: DataFrame, k: int) -> DataFrame:
         return run
 
     schema = "term string, key string, pos long"
-    parts = [texts.select("key", "pos", "body").mapInArrow(matcher([r.term for r in block.collect()]), schema) for block in in_blocks(terms, "term", TERMS)]
+    source = in_groups(texts.select("key", "pos", "body"))
+    parts = [source.mapInArrow(matcher([r.term for r in block.collect()]), schema) for block in in_blocks(terms, "term", TERMS)]
     if not parts:
         return terms.sparkSession.createDataFrame([], schema + ", nth int")
     nth = F.row_number().over(Window.partitionBy("term").orderBy("pos", "key"))
@@ -171,7 +182,7 @@ def best_holders(questions: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     parts = []
     for block in in_blocks(questions.select("query_id", "terms").filter(F.size("terms") > 0), "query_id", QUESTIONS // 40):
         rows = block.collect()
-        parts.append(texts.select("key", "body").mapInArrow(scorer([r.query_id for r in rows], [r.terms for r in rows]), schema))
+        parts.append(in_groups(texts.select("key", "body")).mapInArrow(scorer([r.query_id for r in rows], [r.terms for r in rows]), schema))
     if not parts:
         return questions.sparkSession.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from quern.config import RetrievalConfig
 from quern.functions.embedding import cosine_distance
 from quern.functions.text import authorized, blank, default, query_terms, relevance, term_hits
-from quern.operators.frames import QUESTIONS, checkpointed, first_holders, in_blocks, small, union
+from quern.operators.frames import QUESTIONS, checkpointed, first_holders, in_blocks, in_groups, small, union
 from quern.operators.grams import GramIndex
 
+#: Distances that a task holds at a time.
+DISTANCES = 1 << 22
 #: Decimals that distances keep, so that the order does not hang on the last bits of a sum.
 DIGITS = 6
 
@@ -47,10 +49,11 @@ def vector_topk_one(corpus: DataFrame, vector: list[float], k: int) -> DataFrame
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, distance, rank): the k nearest chunks of each question by cosine distance, ties by chunk_id.
 
-    Questions go to the tasks a block at a time. For each block the corpus is read once; each task keeps k candidates for
-    a question, and only those are shuffled. Questions and chunks without a vector are left out.
+    Questions go to the tasks a block at a time. For each block the corpus is read once; a task goes through a group of the
+    corpus's parts, keeps k candidates for a question over all of them, and only those are shuffled: their number follows
+    the cluster's cores and not the corpus. Questions and chunks without a vector are left out.
     """
-    source = corpus.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding").filter("embedding IS NOT NULL")
+    source = in_groups(corpus.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding").filter("embedding IS NOT NULL"))
     parts = []
     for block in in_blocks(queries.select("query_id", "vector").filter("vector IS NOT NULL"), "query_id", QUESTIONS):
         asked = block.toArrow().to_pydict()
@@ -60,24 +63,35 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Distinct keys, which come in order, and each one's values."""
+    new = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[new].tolist(), np.split(values, new[1:])
+
+
 def _nearest(ids: list[int], matrix: np.ndarray, k: int):
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: list[list] = [[] for _ in ids]
+        worst = np.full(len(ids), np.inf)  # each question's k-th best so far
+        step = max(64, DISTANCES // len(ids))
         for batch in batches:
-            names, vectors = batch.column("chunk_id").to_pylist(), batch.column("embedding").to_pylist()
-            for at in range(0, len(names), 4096):
-                block = np.array(vectors[at : at + 4096], np.float64)
+            names = batch.column("chunk_id").to_pylist()
+            for at in range(0, len(names), step):
+                own = batch.column("embedding").slice(at, step)
+                block = np.array(own.to_pylist(), np.float64)
                 size = np.linalg.norm(block, axis=1, keepdims=True)
                 unit = np.divide(block, size, out=np.zeros_like(block), where=size > 0)
                 far = np.round(1.0 - matrix @ unit.T, DIGITS) + 0.0  # no negative zeros
-                for q, row in enumerate(far):
-                    near = np.argpartition(row, k)[:k] if len(row) > k else np.arange(len(row))
-                    near = np.flatnonzero(row <= row[near].max()) if len(row) > k else near
-                    best = [(float(row[i]), names[at + i]) for i in near]
-                    heaps[q] = heapq.nsmallest(k, heaps[q] + best)
+                limit = worst if np.isfinite(worst).all() or far.shape[1] <= k else np.minimum(worst, np.partition(far, k - 1, axis=1)[:, k - 1])
+                # Only what may be among a question's best is looked at one by one; after a few blocks that is little.
+                qs, js = np.nonzero(far <= limit[:, None])
+                for q, some in zip(*_runs(qs, js)):
+                    heaps[q] = heapq.nsmallest(k, heaps[q] + [(float(far[q, j]), names[at + j]) for j in some])
+                    if len(heaps[q]) == k:
+                        worst[q] = heaps[q][-1][0]
         flat = [(q, name, d) for q, heap in zip(ids, heaps) for d, name in heap]
         if flat:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.float64())], names=["query_id", "chunk_id", "distance"])

@@ -356,6 +356,10 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, pos::INT AS pos, kind, md5(text) AS text_md5 FROM k WHERE kind = 'heading' OR nth = 1 OR length(key) >= 180""",
     "chunk_fixed_windows": """WITH w AS (SELECT doc_id, text, unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 4000 THEN 1 ELSE 1 + ceil((length(text) - 4000) / 3400.0)::BIGINT END)) AS i FROM documents)
         SELECT doc_id, i::INT AS piece, length(text[i * 3400 + 1 : i * 3400 + 4000]) AS chars, md5(text[i * 3400 + 1 : i * 3400 + 4000]) AS text_md5 FROM w""",
+    "chunk_token_windows": r"""WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[ \t-\r]*[^ \t-\r]+[ \t-\r]*\z|[ \t-\r]*[^ \t-\r]+') AS ts FROM documents),
+        w AS (SELECT doc_id, ts, unnest(range(CASE WHEN len(ts) = 0 THEN 0 WHEN len(ts) <= 200 THEN 1 ELSE 1 + ceil((len(ts) - 200) / 170.0)::BIGINT END)) AS i FROM l),
+        c AS (SELECT doc_id, i, array_to_string(ts[i * 170 + 1 : i * 170 + 200], '') AS text FROM w)
+        SELECT doc_id, i::INT AS piece, length(text)::INT AS chars, md5(text) AS text_md5 FROM c""",
     "section_groups": f"""WITH {_LINES}, g AS (SELECT *, sum((kind = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS group_no FROM lines),
         r AS (SELECT doc_id, group_no, trim(ltrim(arg_min(text, pos), '# ')) AS heading, trim(string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (text <> '')) AS text FROM g GROUP BY ALL)
         SELECT doc_id, group_no, md5(heading) AS heading_md5, md5(text) AS text_md5 FROM r WHERE text <> ''""",

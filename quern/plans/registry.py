@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.config import AUTH_SELECTORS, CrawlConfig, ModelConfig, RetrievalConfig, SiteConfig, auth_selectors, hybrid_stopwords, run_name, utc_now
-from quern.functions import embedding, text, urls
+from quern.config import ChunkConfig, CrawlConfig, RetrievalConfig, SiteConfig, hybrid_stopwords, run_name, utc_now
+from quern.functions import embedding, text, tokens, urls
 from quern.operators import answer, cells, chunking, conversation, crawl, frames, grams, health, html, index, loop, retrieval
 from quern.plans.oracles import ORACLES  # noqa: F401
 from quern.sources import files, pages as page_sources, robots
@@ -350,6 +350,13 @@ def chunk_fixed_windows(spark, sf_dir):
     return rows.select("doc_id", "piece", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
+@query
+def chunk_token_windows(spark, sf_dir):
+    """Windows of exactly so many tokens of an injected tokenizer, here words with the white space before them."""
+    rows = chunking.windows_of(t(spark, sf_dir, "documents"), config=ChunkConfig(200, 30, 1), ends=tokens.Pattern())
+    return rows.select("doc_id", "piece", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
 @query
 def section_groups(spark, sf_dir):
     return chunking.section_groups(lines(spark, sf_dir)).select("doc_id", F.col("group_no").cast("long").alias("group_no"), F.md5("heading").alias("heading_md5"), F.md5("text").alias("text_md5"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -6,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.config import ChunkConfig, CrawlConfig, ModelConfig, SiteConfig, from_environment, hybrid_stopwords
-from quern.functions import embedding, text, urls
+from quern.functions import embedding, text, tokens, urls
+from quern.operators import chunking
 
 ODD = [None, "", "  ", "a  b", " x　", "İstanbul ΣΑΣ", "🎉 é", "x\x1cy", "A  B\t\nC"]
 
@@ -126,3 +128,46 @@ def test_configs():
     for bad in (lambda: ChunkConfig(10, 10), lambda: CrawlConfig(mode="some")):
         with pytest.raises(ValueError):
             bad()
+
+
+@pytest.mark.parametrize("size,overlap", [(5, 2), (1, 0), (7, 6), (400, 10)])
+def test_windows_have_exactly_so_many_tokens(size, overlap):
+    """Each window is a run of whole tokens of the text, `size` long but for the last, and steps on by size less overlap."""
+    import public_tokenizers
+
+    rnd = random.Random(size)
+    kinds = (tokens.Characters(3), tokens.Pattern(), tokens.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    texts = ["", " ", "one", "Naïve 🎉🎉 日本語 text", "x" * 50] + [" ".join(rnd.choice(["word", "Straße", "🎉", "a\n\nb", "1234"]) for _ in range(rnd.randrange(120))) for _ in range(20)]
+    for ends in kinds:
+        for text in texts:
+            at = ends(text).tolist()
+            assert at == sorted(at) and (not at or at[-1] == len(text))
+            walk, i = [], 0
+            while i < len(at):
+                walk.append(text[(at[i - 1] if i else 0) : at[min(len(at), i + size) - 1]])
+                if i + size >= len(at):
+                    break
+                i += size - overlap
+            assert tokens.windows(text, size, overlap, ends) == walk
+            assert tokens.truncate(text, size, ends) == (text if len(at) <= size else text[: at[size - 1]])
+            assert tokens.suffix(text, size, ends) == (text if len(at) <= size else text[at[-size - 1] :]) and tokens.suffix(text, 0, ends) == ""
+
+
+def test_tokens_are_the_librarys(spark):
+    import public_tokenizers
+    import tiktoken
+
+    ends = tokens.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ranks = tokens._encoding(ends.path, ends.pattern)
+    assert isinstance(ranks, tiktoken.Encoding)
+    texts = ["Hello there, general.", "日本語🎉", "", None, "a" * 99]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r.n for r in rows.select("i", tokens.count("text", ends).alias("n")).orderBy("i").collect()]
+    assert got == [len(ranks.encode_ordinary(t or "")) for t in texts]
+    config = ChunkConfig(20, 5, 3)
+    long = "\n\n".join(f"Paragraph {i} of some length, with numbers {i * i}." for i in range(40))
+    pieces = chunking.split(long, config, ends)
+    assert len(pieces) > 5 and all(len(ends(p)) <= config.size for p in pieces) and all(f"Paragraph {i} of" in "\n".join(pieces) for i in range(40))
+    docs = spark.createDataFrame([("https://hub.example.com/x", "T", long)], "url string, title string, cleaned_text string").withColumn("blocks", F.lit(None).cast("array<struct<kind:string,text:string,heading:string,section:string,level:int>>"))
+    chunks = chunking.chunk_documents(docs, config, ends=ends).collect()
+    assert [(c.text, c.token_count) for c in chunks] == [(p, len(ends(p))) for p in pieces]

@@ -140,6 +140,26 @@ def test_vector_topk(spark):
     assert retrieval.vector_topk(asked(spark, ("x", [1.0, 0.0])), corpus(spark).limit(0), 2).count() == 0
 
 
+def test_top_lists_do_not_grow_with_the_number_of_parts(spark, monkeypatch):
+    """Forty parts give no more candidates than a few groups do, and the same rows."""
+    monkeypatch.setattr(frames, "GROUPS_PER_CORE", 1)
+    monkeypatch.setattr(retrieval, "DISTANCES", 640)
+    rnd = np.random.default_rng(3)
+    vectors = [(f"c{i:03}", [float(x) for x in v]) for i, v in enumerate(rnd.integers(-2, 3, (400, 4)))]
+    corpus = spark.createDataFrame(vectors, "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, vectors[i][1]) for i in range(10)], "query_id long, vector array<double>")
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v
+    want = []
+    for q in range(10):
+        far = sorted((round(1 - float(unit(np.array(vectors[q][1])) @ unit(np.array(v))), 6) + 0.0, name) for name, v in vectors)
+        want += [(q, name, d, i) for i, (d, name) in enumerate(far[:5], 1)]
+    for parts in (1, 40):
+        got = retrieval.vector_topk(asked, corpus.repartition(parts), 5)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    cores = spark.sparkContext.defaultParallelism
+    assert frames.in_groups(corpus.repartition(40)).rdd.getNumPartitions() == cores < 40
+
+
 def test_keyword_search_counts_substrings(spark):
     got = retrieval.keyword_topk(asked(spark, ("travel art policy", None), ("the of", None)), corpus(spark), 5).orderBy("rank").collect()
     assert [(r["chunk_id"], round(r["relevance"], 2)) for r in got] == [("a", 0.85), ("c", 0.5), ("d", 0.5)]
