@@ -439,6 +439,8 @@ ORACLES: dict[str, str] = {
     "process_report": f"WITH {_H_PARTS}, c AS (SELECT count(*) AS n FROM h_clean WHERE cleaned_text <> '') SELECT (SELECT count(*) FROM pages)::INT AS input, n AS processed, 3 AS failed, (SELECT count(*) FROM pages) - n AS skipped FROM c",
     "page_source": f"""WITH {_MOVED}, f AS (SELECT url, arg_min(html, page_id) AS html FROM moved GROUP BY url) SELECT url, url AS final_url, 200 AS status_code, md5(html) AS html_md5 FROM f
         UNION ALL SELECT url || '/missing', url || '/missing', 404, NULL FROM f""",
+    "page_fetch_retries": """WITH u AS (SELECT DISTINCT url, md5(url)[1] = '0' AS lost FROM pages)
+        SELECT url, CASE WHEN NOT lost THEN 200 END AS status_code, CASE WHEN NOT lost THEN md5('<title>' || url || '</title>') END AS html_md5, CASE WHEN lost THEN 'TimeoutError' END AS error FROM u""",
     "robots_allow": f"""WITH p AS (SELECT page_id, length({_HOST}) % 3 AS k, coalesce(nullif(regexp_extract(url, '(?s)\\A[^:]*://[^/?#]*(.*)\\z', 1), ''), '/') AS path, {_HOST} AS host FROM pages)
         SELECT page_id, CASE WHEN host = '' OR k = 2 THEN true WHEN k = 0 THEN prefix(path, '/en/1') OR NOT prefix(path, '/en/') ELSE NOT prefix(path, '/fr') END AS allowed FROM p""",
     "to_chunks": """SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 2 <> 0 THEN source WHEN doc_id % 3 <> 0 THEN lang ELSE 'Knowledge Base' END AS title, CASE WHEN doc_id % 4 <> 0 THEN lang ELSE source END AS section, '' AS url, md5(text) AS text_md5 FROM documents""",

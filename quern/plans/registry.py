@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -783,6 +784,28 @@ def page_source(spark, sf_dir):
     return got.select("url", "final_url", "status_code", F.md5("html").alias("html_md5"))
 
 
+class _Flaky:
+    """A service that fails now and then: by its URL's digest a page comes at once, at the third attempt, or never."""
+
+    def __init__(self):
+        self.tries: dict[str, int] = {}
+
+    def __call__(self, url: str) -> tuple[str, int, str]:
+        self.tries[url] = self.tries.get(url, 0) + 1
+        digit = hashlib.md5(url.encode()).hexdigest()[0]
+        if digit == "0" or digit in "123" and self.tries[url] % 3:
+            raise TimeoutError(url)
+        return url, 200, f"<title>{url}</title>"
+
+
+@query
+def page_fetch_retries(spark, sf_dir):
+    """All pages' URLs fetched from a service that fails now and then: each once, as a page or as a failure."""
+    rows = t(spark, sf_dir, "pages").select("url").distinct()
+    got = page_sources.FetchSource(_Flaky(), wait=lambda n: 0.0).fetch(rows)
+    return got.select("url", "status_code", F.md5("html").alias("html_md5"), "error")
+
+
 @query
 def robots_allow(spark, sf_dir):
     """Rules of each host of the pages, of which a third have none, and what they allow."""

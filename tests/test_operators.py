@@ -481,6 +481,32 @@ def test_files(spark, tmp_path):
         files.process_run(spark, str(tmp_path / "no"))
 
 
+def test_calls_are_tried_again_and_failures_are_rows(spark):
+    from quern.sources import calls
+
+    class Service:
+        """Answers out of order; fails twice on each list that holds `slow`, always on one that holds `bad`, and loses `gap`."""
+
+        def __init__(self):
+            self.tries = {}
+
+        def __call__(self, values):
+            key = tuple(values)
+            self.tries[key] = self.tries.get(key, 0) + 1
+            if "bad" in values or "slow" in values and self.tries[key] < 3:
+                raise OSError("token=secret")
+            return [(i, [len(v), i]) for i, v in reversed(list(enumerate(values))) if v != "gap"]
+
+    texts = ["a", "bb", "slow", "bad", "ccc", None, "gap", "bad", "dddd"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").coalesce(1)
+    waits = []
+    got = calls.embedded(rows, "text", Service(), "v", batch=4, attempts=3, wait=lambda n: waits.append(n) or 0.0).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(27)) and [r.text for r in got] == texts
+    assert [r.error for r in got] == [{"bad": "OSError", "gap": "ValueError"}.get(t) for t in texts]
+    assert [r.v and r.v[0] for r in got] == [None if t in ("bad", "gap") else float(len(t or "")) for t in texts]
+    assert calls.embedded(rows.limit(0), "text", Service()).count() == 0 and [calls.back_off(n) for n in (1, 2, 3, 9)] == [2.0, 4.0, 6.0, 6.0]
+
+
 def test_page_source(spark):
     rows = spark.createDataFrame([("https://hub.example.com/private/x",), ("https://hub.example.com/y",)], "url string")
     source = pages.TableSource(spark.createDataFrame([("https://hub.example.com/y", "<p>", 1)], "url string, html string, n int"))
