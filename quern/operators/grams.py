@@ -9,6 +9,7 @@ stops reading for a term as soon as enough texts are found, so a common term tak
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,10 +24,12 @@ from quern.operators.frames import TERMS, checkpointed, in_blocks, small, union
 ALPHABET = b"abcdefghijklmnopqrstuvwxyz0123456789-"
 SIZE = 3
 BUCKETS = 16
-STRIPE_TEXTS = 4096
+STRIPE_TEXTS = 1024
 #: Entries that a task gathers before it writes lists, and stripes that a search begins with.
 GATHERED = 1 << 21
-FIRST_STRIPES = 8
+#: Candidates of a stripe that a term's first look takes for each text that is wanted, and how many times more the next one takes.
+TAKEN, TIMES = 16, 16
+FIRST_STRIPES = 2
 
 _BASE = len(ALPHABET) + 1
 _CODES = np.zeros(256, np.int64)
@@ -60,8 +63,9 @@ def _unpacked(data: bytes) -> np.ndarray:
 class GramIndex:
     """Lists of texts (key, pos, body) under a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, texts: DataFrame | None = None):
+        """texts: the frame that the index was built from, if it is at hand; candidates are looked at there."""
+        self.spark, self.path, self.texts = spark, path.rstrip("/"), texts
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(_LISTS).parquet(f"{self.path}/lists")
@@ -111,7 +115,7 @@ class GramIndex:
         lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists")
         stats = texts.sparkSession.createDataFrame([(int(len(bounds) + 1), buckets)], "stripes int, buckets int")
         stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-        return cls(texts.sparkSession, path)
+        return cls(texts.sparkSession, path, texts)
 
     def asked(self, terms: list[str], first: int, last: int, buckets: int) -> DataFrame:
         """Lists of the grams of terms in stripes first to last; other buckets' folders are not opened."""
@@ -147,23 +151,26 @@ class GramIndex:
         out, missing = [], dict.fromkeys(terms, k)
         first, last = 0, FIRST_STRIPES - 1
         while missing and first < stripes:
-            here, missing, take = {t: (n, _NONE - 1) for t, n in missing.items()}, {}, 4 * k
+            here, missing, take = {t: (n, _NONE - 1) for t, n in missing.items()}, {}, TAKEN * k
             while here:
                 rows, found, horizon = self._look(here, texts, self.asked([*here], first, last, buckets), take)
                 out.append(rows)
                 left = {t: n - found.get(t, 0) for t, (n, _) in here.items() if found.get(t, 0) < n}
                 missing |= {t: n for t, n in left.items() if t not in horizon}
                 here = {t: (n, horizon[t]) for t, n in left.items() if t in horizon}
-                take *= 8
+                take *= TIMES
             first, last = last + 1, 8 * (last + 1) - 1
         return out
 
     def _look(self, here: dict[str, tuple[int, int]], texts: DataFrame, lists: DataFrame, take: int) -> tuple[DataFrame, dict[str, int], dict[str, int]]:
         """(rows up to each term's horizon that hold it, how many those are, horizons) for terms (missing, behind)."""
-        met = lists.groupBy("stripe").applyInArrow(_intersect({t: behind for t, (_, behind) in here.items()}, take), "term string, pos long, more boolean")
+        met = lists.groupBy("stripe").applyInArrow(_intersect({t: behind for t, (_, behind) in here.items()}, take), "pos long, terms array<string>, ends array<string>")
         met = checkpointed(met)
-        hits = texts.join(small(met.select("term", "pos")), "pos").filter(F.contains("body", "term")).select("term", "key", "pos")
-        ends = {r.term: r.horizon for r in met.filter("more").groupBy("term").agg(F.min("pos").alias("horizon")).collect()}
+        # A text meets all terms that it may hold at once.
+        held = F.filter("terms", lambda t: F.contains(F.col("body"), t))
+        hits = texts.join(small(met.select("pos", "terms")), "pos").select("key", "pos", F.explode(held).alias("term")).select("term", "key", "pos")
+        ends = met.filter(F.size("ends") > 0).select("pos", F.explode("ends").alias("term")).groupBy("term").agg(F.min("pos").alias("horizon"))
+        ends = {r.term: r.horizon for r in ends.collect()}
         if ends:
             horizon = self.spark.createDataFrame([*ends.items()], "term string, horizon long")
             hits = hits.join(F.broadcast(horizon), "term", "left").filter("horizon IS NULL OR pos <= horizon").drop("horizon")
@@ -173,6 +180,7 @@ class GramIndex:
 
 #: Where texts without a place stand.
 _NONE = -(1 << 62)
+_EMPTY = np.empty(0, np.int64)
 
 
 def _place(c: str):
@@ -180,28 +188,34 @@ def _place(c: str):
 
 
 def _intersect(after: dict[str, int], take: int):
-    """For a stripe's lists (gram, places): each term's next `take` places that hold all its grams; `more` marks the last if others follow."""
+    """For a stripe's lists (gram, places): each place with the terms that have it among their next `take`, and those for which others follow it.
+
+    A term's places are those behind after[term] that hold all its grams.
+    """
+    asked = {term: [int(g) for g in grams(term)] for term in after}
 
     def run(lists: pa.Table) -> pa.Table:
         held: dict[int, np.ndarray] = {}
         for gram, data in zip(lists.column("gram").to_pylist(), lists.column("places")):
             own = _unpacked(data.as_py())
             held[gram] = np.union1d(held[gram], own) if gram in held else own
-        terms, places, more = [], [], []
+        terms: dict[int, list[str]] = defaultdict(list)
+        ends: dict[int, list[str]] = defaultdict(list)
         for term, behind in after.items():
-            own = [held.get(int(g)) for g in grams(term)]
-            if any(x is None for x in own):
+            own = sorted((held.get(g, _EMPTY) for g in asked[term]), key=len)
+            if not len(own[0]):
                 continue
-            own.sort(key=len)
             left = own[0][np.searchsorted(own[0], behind, side="right") :]
             for other in own[1:]:
                 at = np.minimum(np.searchsorted(other, left), len(other) - 1)
                 left = left[other[at] == left]
-            some = left[:take]
-            terms += [term] * len(some)
-            places.append(some)
-            more += [False] * (len(some) - 1) + [len(left) > take] if len(some) else []
-        flat = np.concatenate(places) if places else np.empty(0, np.int64)
-        return pa.table({"term": pa.array(terms, pa.string()), "pos": pa.array(flat, pa.int64()), "more": pa.array(more, pa.bool_())})
+            some = left[:take].tolist()
+            for place in some:
+                terms[place].append(term)
+            if len(left) > take:
+                ends[some[-1]].append(term)
+        places = sorted(terms)
+        kinds = pa.list_(pa.string())
+        return pa.table({"pos": pa.array(places, pa.int64()), "terms": pa.array([terms[p] for p in places], kinds), "ends": pa.array([ends.get(p, []) for p in places], kinds)})
 
     return run

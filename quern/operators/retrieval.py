@@ -126,7 +126,7 @@ def keyword_topk(
     first = asked.select("query_id", F.posexplode(F.slice("terms", 1, config.terms_searched)).alias("term_no", "term"))
     chunks = corpus.select(F.col("chunk_id").cast("string").alias("chunk_id"), blank("text").alias("text"), blank("title").alias("title"))
     texts, terms = keyword_texts(corpus, case_insensitive), first.select("term").distinct()
-    found = first_holders(terms, texts, k) if index is None else index.first_holders(terms, texts, k)
+    found = first_holders(terms, texts, k) if index is None else index.first_holders(terms, texts if index.texts is None else index.texts, k)
     found = found.withColumnRenamed("key", "chunk_id")
     hits = first.join(found, "term").groupBy("query_id", "chunk_id").agg(F.min(F.struct("term_no", "nth")).alias("first_pos"))
     hits = checkpointed(hits.join(asked, "query_id"))

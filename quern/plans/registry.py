@@ -53,8 +53,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grams(spark, sf_dir) -> grams.GramIndex:
-    """An index of the corpus for keyword search."""
-    return grams.GramIndex.build(retrieval.keyword_texts(corpus(spark, sf_dir)), _folder(spark, "grams"))
+    """An index of the corpus for keyword search, built from its texts alone."""
+    docs = frames.spread(t(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_id"), "text", F.col("doc_id").alias("pos"))
+    return grams.GramIndex.build(retrieval.keyword_texts(docs), _folder(spark, "grams"))
 
 
 def _hybrid(spark, sf_dir) -> DataFrame:

@@ -732,6 +732,8 @@ def test_gram_index_finds_what_a_walk_finds(spark, tmp_path, monkeypatch, stripe
     rnd = random.Random(8)
     monkeypatch.setattr(grams, "FIRST_STRIPES", 2)
     monkeypatch.setattr(grams, "GATHERED", 500)
+    monkeypatch.setattr(grams, "TAKEN", 1)
+    monkeypatch.setattr(grams, "TIMES", 2)
     texts = [(f"t{i:03}", rnd.choice([i, i, i // 3, None]), rnd.choice(["ABC", "é", ""]) + "".join(rnd.choices("ab- c", k=rnd.randrange(40)))) for i in range(150)]
     texts += [("n1", 7, None), ("n2", 8, ""), ("n3", 9, "ab"), ("n4", 200, "rare-term here"), ("n4", 200, "rare-term here")]
     terms = sorted({"".join(rnd.choices("ab-c", k=rnd.randrange(3, 6))) for _ in range(40)} | {"rare-term", "abc", "none-such", "zzz"})
