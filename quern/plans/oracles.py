@@ -422,8 +422,15 @@ ORACLES: dict[str, str] = {
         SELECT url, count(DISTINCT chunk_id) AS chunks, (SELECT count(*) FROM pages WHERE url IN (SELECT url FROM asked))::INT AS ingested, 0 AS without_session FROM chunk_rows WHERE url IN (SELECT url FROM asked) GROUP BY url""",
     "requeue_expired": "SELECT 'p' || page_id AS url, row_number() OVER (ORDER BY page_id % 10 <> 0, page_id) AS order_no FROM pages",
     "page_files": rf"""WITH {_MOVED}, f AS (SELECT url, arg_min(html, page_id) AS html FROM moved GROUP BY url) SELECT url, url AS final_url, 200 AS status_code, {_TITLE} AS page_title, sha256({_normal('html')}) AS content_hash, md5(html) AS html_md5 FROM f""",
+    "page_runs": rf"""WITH {_MOVED}, f AS (SELECT url, arg_min(html, page_id) AS html FROM moved GROUP BY url)
+        SELECT url, url AS final_url, 200 AS status_code, {_TITLE} AS page_title, sha256({_normal('html')}) AS content_hash, md5(html) AS html_md5 FROM f""",
+    "page_run_stream": f"""WITH {_MOVED}, f AS (SELECT url, arg_min(html, page_id) AS html FROM moved GROUP BY url)
+        SELECT url, (length(html) % 2)::INT AS batch, md5(html) AS html_md5 FROM f""",
     "page_file_failures": "SELECT page_id::VARCHAR AS page, 'not a JSON page' AS error FROM pages WHERE page_id % 3 = 0",
     "chunk_files": f"WITH c AS ({_CHUNK_FILE}) SELECT chunk_id, url, source AS page_title, lang AS section, url AS document_id, md5(text) AS text_md5 FROM c",
+    "chunk_runs": f"""WITH c AS ({_CHUNK_FILE})
+        SELECT chunk_id, url, source AS page_title, lang AS section, url AS document_id, md5(text) AS text_md5, NULL::VARCHAR AS failure FROM c
+        UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'not a JSON chunk' FROM range(2)""",
     "nested_chunk_files": f"WITH c AS ({_CHUNK_FILE}) SELECT chunk_id, url, url AS document_id, md5(text) AS text_md5 FROM c",
     "state_round_trip": f"WITH {_STATE} SELECT url, title, content_hash, status, url || '/a.pdf' AS document_links FROM state",
     "index_get_by_ids": f"WITH {_RECORDS} SELECT id, url, md5(text) AS text_md5 FROM records WHERE id IN (SELECT (vec_id * 2)::VARCHAR FROM embeddings)",

@@ -13,7 +13,7 @@ from quern.config import ChunkConfig, CrawlConfig, RetrievalConfig, SiteConfig,
 from quern.functions import embedding, text, tokens, urls
 from quern.operators import answer, cells, chunking, conversation, crawl, frames, grams, health, html, index, loop, retrieval
 from quern.plans.oracles import ORACLES  # noqa: F401
-from quern.sources import files, pages as page_sources, robots
+from quern.sources import files, pages as page_sources, robots, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Hosts that the fixture's pages are looked at from.
@@ -646,6 +646,32 @@ def page_files(spark, sf_dir):
     return got.select("url", "final_url", "status_code", "page_title", "content_hash", F.md5("html").alias("html_md5"))
 
 
+@query
+def page_runs(spark, sf_dir):
+    """Pages through the data source: two runs are written, and the newest one is read, failures told apart."""
+    runs.register(spark)
+    root, rows = _folder(spark, "crawls"), _hub_pages(spark, sf_dir)
+    for name, part in (("crawl_2099", rows.limit(0)), (run_name("crawl"), frames.spread(rows))):
+        part.write.format("quern_pages").mode("append").option("run", name).save(root)
+    got = spark.read.format("quern_pages").load(root).filter("failure IS NULL")
+    return got.select("url", "final_url", "status_code", "page_title", "content_hash", F.md5("html").alias("html_md5"))
+
+
+@query
+def page_run_stream(spark, sf_dir):
+    """Runs of pages as a stream, into runs of another root: those of even and of odd lengths come one after the other."""
+    runs.register(spark)
+    root, out, at = (_folder(spark, n) for n in ("crawls", "copies", "stream"))
+    rows = _hub_pages(spark, sf_dir)
+    for odd in (0, 1):
+        rows.filter(F.length("html") % 2 == odd).write.format("quern_pages").mode("append").option("run", f"crawl_{odd}").save(root)
+        new = spark.readStream.format("quern_pages").load(root).filter("failure IS NULL").select("url", "html")
+        sink = new.writeStream.format("quern_pages").option("stream", "copy").option("path", out).option("checkpointLocation", at)
+        sink.trigger(once=True).start().awaitTermination()
+    name = lambda odd: spark.read.format("quern_pages").option("run", f"crawl_copy_{odd:010d}").load(out).withColumn("batch", F.lit(odd))
+    return name(0).unionByName(name(1)).select("url", "batch", F.md5("html").alias("html_md5"))
+
+
 @query
 def page_file_failures(spark, sf_dir):
     """Files that aren't pages are listed by name, whatever else is there."""
@@ -675,6 +701,18 @@ def chunk_files(spark, sf_dir):
     return files.read_chunks(spark, files.process_run(spark, root)).select("chunk_id", "url", "page_title", "section", "document_id", F.md5("text").alias("text_md5"))
 
 
+@query
+def chunk_runs(spark, sf_dir):
+    """Chunks through the data source: a process run of lines, of which those that are no objects become failures."""
+    runs.register(spark)
+    root, rows = _folder(spark, "processed"), _chunk_rows(spark, sf_dir)
+    run = f"{root}/{run_name('process')}"
+    files.write_run(rows.select("document_id").distinct(), rows, {"chunks": 1}, run)
+    spark.createDataFrame([("no chunk",), ("[1]",)], "value string").write.mode("append").text(f"{run}/chunks.jsonl")
+    got = spark.read.format("quern_chunks").load(root)
+    return got.select("chunk_id", "url", "page_title", "section", "document_id", F.md5("text").alias("text_md5"), "failure")
+
+
 @query
 def nested_chunk_files(spark, sf_dir):
     """Chunks nested in document files, where there is no file of chunks."""
