@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +113,22 @@ def chunk_groups(groups: list[tuple[str, str, str]], config: ChunkConfig, ends:
     return out
 
 
+def grouped(blocks: Iterable[dict], text: str, title: str) -> list[tuple[str, str, str]]:
+    """(heading, section, text) groups of a document's blocks; of its text, under its title, if it has none."""
+    groups: list[tuple[str, str, list[str]]] = []
+    for b in blocks:
+        if b["kind"] == "heading":
+            heading = b["heading"] or b["text"].lstrip("# ").strip()
+            groups.append((heading, b["section"] or heading, [b["text"]]))
+        elif groups:
+            groups[-1][2].append(b["text"])
+        else:
+            groups.append(("", "", [b["text"]]))
+    if not groups and text:
+        groups = [(title or "", "", [text])]
+    return [(h, s, x) for h, s, xs in groups if (x := "\n\n".join(filter(None, xs)).strip())]
+
+
 _CHUNK = "array<struct<chunk_no:int,heading:string,section:string,text:string,seed:string,tokens:int>>"
 
 
@@ -129,18 +147,7 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), source
 
         out = []
         for bs, t, name in zip(blocks, text, title):
-            groups: list[list] = []
-            for b in bs if bs is not None else []:
-                if b["kind"] == "heading":
-                    heading = b["heading"] or b["text"].lstrip("# ").strip()
-                    groups.append([heading, b["section"] or heading, [b["text"]]])
-                elif groups:
-                    groups[-1][2].append(b["text"])
-                else:
-                    groups.append(["", "", [b["text"]]])
-            if not groups and t:
-                groups = [[name or "", "", [t]]]
-            whole = [(h, s, x) for h, s, xs in groups if (x := "\n\n".join(filter(None, xs)).strip())]
+            whole = grouped(bs if bs is not None else (), t, name)
             out.append(chunk_groups(whole, config, own_ends) if own_ends else chunk_groups(whole, config))
         return pd.Series(out)
 
@@ -150,13 +157,18 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), source
         *key, blank("url").alias("url"), blank("title").alias("page_title"), default(have("content_hash"), content_hash("cleaned_text")).alias("content_hash"),
         default(have("access"), "authenticated").alias("access"), F.explode(cut(F.col("blocks"), blank("cleaned_text"), blank("title"))).alias("c"),
     )
-    heading = default("c.heading", F.col("page_title"))
-    return rows.select(
-        chunk_id(F.col("url"), heading, F.col("c.chunk_no"), F.col("c.seed")).alias("chunk_id"),
+    return with_ids(rows.select(*key, "url", "page_title", "content_hash", "access", "c.*"), source_type, source_label, crawled_at)
+
+
+def with_ids(cut: DataFrame, source_type: str = "web_page", source_label: str = "Knowledge Base", crawled_at: str = "") -> DataFrame:
+    """The columns of chunk_documents from cut pieces (url, page_title, content_hash, access, chunk_no, heading, section, text, seed, tokens)."""
+    heading = default("heading", F.col("page_title"))
+    return cut.select(
+        chunk_id(F.col("url"), heading, F.col("chunk_no"), F.col("seed")).alias("chunk_id"),
         document_id(F.col("url"), F.col("page_title")).alias("document_id"),
-        "page_title", "url", default("c.section", heading).alias("section"), heading.alias("heading"),
+        "page_title", "url", default("section", heading).alias("section"), heading.alias("heading"),
         F.lit(crawled_at).alias("crawl_timestamp"), F.lit(crawled_at).alias("scraped_date"), F.lit(source_type).alias("source_type"), F.lit(source_label).alias("source"),
-        "access", "content_hash", F.col("c.tokens").alias("token_count"), F.col("c.chunk_no").alias("chunk_no"), F.col("c.text").alias("text"), *key,
+        "access", "content_hash", F.col("tokens").alias("token_count"), "chunk_no", "text", *(["page_key"] if "page_key" in cut.columns else []),
     )
 
 

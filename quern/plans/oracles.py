@@ -472,4 +472,6 @@ ORACLES: dict[str, str] = {
         FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
         SELECT conv_id, turn, question, kept, CASE WHEN previous = '' OR lower(previous) = lower(question) THEN question ELSE question || chr(10) || chr(10) || 'Previous question in this conversation: ' || previous END AS query FROM c""",
 }
+#: The same rows another way.
+ORACLES["chunk_documents_sql"] = ORACLES["chunk_documents"]
 ORACLES = {k: v for k, v in ORACLES.items() if v}

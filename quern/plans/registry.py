@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.config import ChunkConfig, CrawlConfig, RetrievalConfig, SiteConfig, hybrid_stopwords, run_name, utc_now
 from quern.functions import embedding, text, tokens, urls
-from quern.operators import answer, cells, chunking, conversation, crawl, frames, grams, health, html, index, loop, retrieval
+from quern.operators import answer, cells, chunk_table, chunking, conversation, crawl, frames, grams, health, html, index, loop, retrieval
 from quern.plans.oracles import ORACLES  # noqa: F401
 from quern.sources import files, pages as page_sources, robots, runs
 
@@ -377,6 +377,17 @@ def chunk_documents(spark, sf_dir):
     return own.unionByName(pages.drop("page_key")).select("chunk_id", "document_id", "url", "section", "heading", "token_count", "chunk_no", "content_hash", "text")
 
 
+@query
+def chunk_documents_sql(spark, sf_dir):
+    """The chunks of chunk_documents, cut by a table function in SQL text."""
+    own = _documents_as_pages(spark, sf_dir).withColumn("page_key", F.concat(F.lit("document "), "url"))
+    pages = _extracted(spark, sf_dir).withColumn("page_key", F.concat(F.lit("page "), F.col("page_key").cast("string")))
+    chunk_table.register(spark)
+    blocks = chunk_table.block_rows(own).unionByName(chunk_table.block_rows(pages))
+    cut = spark.sql("SELECT * FROM chunk_blocks(TABLE(SELECT * FROM {blocks}) PARTITION BY page_key ORDER BY pos)", blocks=blocks)
+    return chunking.with_ids(cut).select("chunk_id", "document_id", "url", "section", "heading", "token_count", "chunk_no", "content_hash", "text")
+
+
 @query
 def sections_rollup(spark, sf_dir):
     docs = _extracted(spark, sf_dir)
