@@ -511,6 +511,52 @@ def test_boosted_tables_are_those_of_plain_loops(monkeypatch):
     assert model.score(x) == pytest.approx([1 / (1 + math.exp(-t)) for t in total], abs=1e-9)
 
 
+def test_pairs_and_their_tables_are_those_of_plain_loops(monkeypatch):
+    """Which pairs are chosen, and the tables of trees of depth two over them, by loops over rows, cells and cuts."""
+    monkeypatch.setattr(quality_model, "ROUNDS", 2)
+    monkeypatch.setattr(quality_model, "PAIR_ROUNDS", 5)
+    monkeypatch.setattr(quality_model, "PAIRS", 3)
+    rnd = np.random.default_rng(8)
+    x = rnd.random((150, 5))
+    x[:, 4] = 0.5  # a feature of one value has one bin
+    y = ((x[:, 0] > 0.4) ^ (x[:, 2] > 0.6)).astype(float)
+    y[:20] = 1 - y[:20]
+    model = quality_model.fit(x, y)
+    place = lambda edges, j: [sum(v >= e for e in edges) for v in x[:, j]]
+    single = [place(e, j) for j, e in enumerate(model.edges)]
+    coarse = [place(e, j) for j, e in enumerate(model.pair_edges)]
+    total = [model.bias + sum(t[single[j][i]] for j, t in enumerate(model.tables)) for i in range(len(y))]
+
+    def cells(a, b):
+        g, w = ([[0.0] * (len(model.pair_edges[b]) + 1) for _ in range(len(model.pair_edges[a]) + 1)] for _ in range(2))
+        for i, t in enumerate(total):
+            q = 1 / (1 + math.exp(-t))
+            g[coarse[a][i]][coarse[b][i]] += y[i] - q
+            w[coarse[a][i]][coarse[b][i]] += q * (1 - q)
+        return g, w
+
+    def gain(a, b):
+        g, w = cells(a, b)
+        return sum(u**2 / (v + 1) for gs, ws in zip(g, w) for u, v in zip(gs, ws))
+
+    pairs = sorted(((a, b) for b in range(5) for a in range(b)), key=lambda p: -gain(*p))[:3]
+    assert model.pairs == pairs and pairs[0] == (0, 2)
+    tables = [[[0.0] * (len(model.pair_edges[b]) + 1) for _ in range(len(model.pair_edges[a]) + 1)] for a, b in pairs]
+    for _ in range(5):
+        for k, (a, b) in enumerate(pairs):
+            g, w = cells(a, b)
+            halves = brute_tree([sum(r) for r in g], [sum(r) for r in w], 2)
+            sides = [brute_tree([sum(c) for c in zip(*(g[i] for i in own))], [sum(c) for c in zip(*(w[i] for i in own))], 2)
+                     for value in dict.fromkeys(halves) for own in [[i for i, h in enumerate(halves) if h == value]]]
+            of = {value: side for value, side in zip(dict.fromkeys(halves), sides)}
+            step = [[quality_model.RATE * v for v in of[h]] for h in halves]
+            tables[k] = [[u + v for u, v in zip(us, vs)] for us, vs in zip(tables[k], step)]
+            total = [t + step[i][j] for t, i, j in zip(total, coarse[a], coarse[b])]
+    for mine, plain in zip(model.pair_tables, tables):
+        assert np.allclose(mine, plain, atol=1e-9) and np.abs(mine).max() > 0
+    assert model.score(x) == pytest.approx([1 / (1 + math.exp(-t)) for t in total], abs=1e-9)
+
+
 def test_quality_model_on_the_fixture(spark):
     """Held-out accuracy on labels.quality, as the share of pairs of a good and a bad document in the right order."""
     sf = "/root/testdata/sf0.01"
