@@ -1,5 +1,8 @@
+import json
+
 from pyspark.sql import functions as F
 
+from quern import __main__ as commands
 from quern.__main__ import main
 from quern.operators import crawl, health, index
 
@@ -42,6 +45,34 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["index", "clear", own]) == 0 and main(["index", "full", own, str(tmp_path / "none")]) == 1
 
 
+def test_refresh_command(spark, tmp_path, capsys, monkeypatch):
+    """Crawl, process and index in one; what changed goes into the index, and a refresh that breaks off is made up for."""
+    home = '<title>Home</title><p>Welcome to all</p><a href="/a">a</a><a href="/b">b</a>'
+    root, own = str(tmp_path / "root"), str(tmp_path / "index")
+
+    def go(a, b):
+        rows = [(0, "https://hub.example.com/", home), (1, "https://hub.example.com/a", f"<title>A</title><p>{a}</p>"), (2, "https://hub.example.com/b", f"<title>B</title><p>{b}</p>")]
+        source = str(tmp_path / f"{a}{b}.parquet")
+        spark.createDataFrame(rows, "page_id long, url string, html string").write.mode("overwrite").parquet(source)
+        code = main(["refresh", source, root, own])
+        said = capsys.readouterr().out
+        texts = {r["url"][24:]: r["text"] for r in index.Index(spark, own, commands.SCHEMA).read().collect()}
+        return code, json.loads(said) if code == 0 else None, {k: v for k, v in texts.items() if k in ("a", "b")}
+
+    code, first, held = go("one", "two")
+    assert code == 0 and first["crawl"]["successfully_crawled_pages"] == 3 and first["process"]["processed"] == 3
+    assert "one" in held["a"] and "two" in held["b"]
+    code, same, _ = go("one", "two")
+    assert code == 0 and same["crawl"]["unchanged_pages"] == 3 and same["process"]["input"] == 0 and same["index"]["upserted"] == 0
+    whole = commands._index
+    monkeypatch.setattr(commands, "_index", lambda *_: 1 // 0)
+    code, _, held = go("three", "two")
+    assert code == 1 and "one" in held["a"]
+    monkeypatch.setattr(commands, "_index", whole)
+    code, again, held = go("three", "two")
+    assert code == 0 and again["process"]["input"] == 1 and "three" in held["a"] and "one" not in held["a"] and "two" in held["b"]
+
+
 def test_state_survives_failures(spark):
     state = spark.createDataFrame([("u", "T", "h", "s", "s", "PROCESSED", "", [])], crawl.STATE)
     after = crawl.upsert_state(state, state.select("url", F.lit("FAILED").alias("status"), F.lit("e").alias("error")), "n").first()
