@@ -59,18 +59,17 @@ def test_refresh_command(spark, tmp_path, capsys, monkeypatch):
         texts = {r["url"][24:]: r["text"] for r in index.Index(spark, own, commands.SCHEMA).read().collect()}
         return code, json.loads(said) if code == 0 else None, {k: v for k, v in texts.items() if k in ("a", "b")}
 
-    code, first, held = go("one", "two")
-    assert code == 0 and first["crawl"]["successfully_crawled_pages"] == 3 and first["process"]["processed"] == 3
-    assert "one" in held["a"] and "two" in held["b"]
-    code, same, _ = go("one", "two")
-    assert code == 0 and same["crawl"]["unchanged_pages"] == 3 and same["process"]["input"] == 0 and same["index"]["upserted"] == 0
     whole = commands._index
     monkeypatch.setattr(commands, "_index", lambda *_: 1 // 0)
-    code, _, held = go("three", "two")
-    assert code == 1 and "one" in held["a"]
+    code, _, held = go("one", "two")
+    assert code == 1 and not held
     monkeypatch.setattr(commands, "_index", whole)
+    code, first, held = go("one", "two")
+    assert code == 0 and first["crawl"]["successfully_crawled_pages"] == 3 and first["process"]["processed"] == 3
+    assert "one" in held["a"] and "two" in held["b"]
     code, again, held = go("three", "two")
-    assert code == 0 and again["process"]["input"] == 1 and "three" in held["a"] and "one" not in held["a"] and "two" in held["b"]
+    assert code == 0 and again["process"]["input"] == 1 and again["crawl"]["unchanged_pages"] == 2
+    assert "three" in held["a"] and "one" not in held["a"] and "two" in held["b"]
 
 
 def test_state_survives_failures(spark):
