@@ -768,3 +768,25 @@ def test_keyword_search_is_the_same_with_and_without_an_index(spark, tmp_path):
         lists = grams.GramIndex.build(retrieval.keyword_texts(own, fold), str(tmp_path / f"g{fold}"), stripe_texts=16)
         with_, without = (sorted(map(tuple, retrieval.keyword_topk(asked, own, 5, case_insensitive=fold, index=i).collect())) for i in (lists, None))
         assert with_ == without and with_
+
+
+def test_words_of_texts_are_looked_at_once(monkeypatch):
+    monkeypatch.setattr(frames, "KEPT_RUNS", 3)
+    rng = random.Random(11)
+    words = [*{"".join(rng.choices("ab-1", k=rng.randint(1, 3))) for _ in range(30)}]
+    for own in (words, [*words, "a b"]):
+        met = frames._met(own)
+        for _ in range(60):
+            body = "".join(rng.choices("ab-1 \nÄB", k=40))
+            assert {own[i] for i in met(body)} == {w for w in own if w in body}
+
+
+def test_a_chunks_text_meets_its_questions_packed(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PACKED", 3)
+    chunks = spark.createDataFrame([("a", "Red Fox", "the fox ran-off"), ("b", "", "Ärgern 12"), ("c", "x", "y")], "chunk_id string, title string, text string")
+    terms = [["red", "fox"], ["ran"], ["gern", "fox", "off"], []]
+    hits = spark.createDataFrame([(q, c, (q, 1), terms[q % 4]) for q in range(20) for c in "ab"], "query_id long, chunk_id string, first_pos struct<term_no:int,nth:int>, terms array<string>")
+    got = retrieval._overlaps(chunks, hits)
+    bodies = {"a": "red fox the fox ran-off", "b": " ärgern 12"}
+    want = [(q, c, (q, 1), sum(t in bodies[c] for t in terms[q % 4])) for q in range(20) for c in "ab"]
+    assert sorted((r.query_id, r.chunk_id, tuple(r.first_pos), r.overlap) for r in got.collect()) == sorted(want)
