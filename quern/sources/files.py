@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import blank
+from quern.operators.frames import checkpointed, small
 
 PAGE = (
     "url string, final_url string, status_code int, page_title string, headings array<struct<level:string,text:string>>, visible_text string, content string, "
@@ -58,14 +59,24 @@ def is_object(value: str):
 
 
 def _objects(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, value, good) of folder/*.json: each line of a file that has an object on each, else the file as a whole."""
-    raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
-    rows = raw.select(F.col("_metadata.file_name").alias("file"), "value", lines.alias("lines"))
-    each = rows.select("file", F.posexplode("lines").alias("nth", "line")).groupBy("file").agg(F.min(is_object("line")).alias("lined"))
-    rows = rows.join(each, "file", "left")
-    parts = F.when(F.col("lined"), F.col("lines")).otherwise(F.array("value"))
-    return rows.select("file", F.explode(parts).alias("value")).withColumn("good", is_object("value"))
+    """(file, value, good) of folder/*.json: each line of a file that has an object on each, else the file as a whole.
+
+    Files are read a line at a time; only those that are no lines of objects are put together again, by file.
+    """
+    name, blank_line = F.col("_metadata.file_name").alias("file"), F.trim("value") == ""
+    source = lambda: spark.read.option("pathGlobFilter", "*.json")
+    raw = source().option("lineSep", "\n").text(folder)
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth")).alias("place")
+    lines = raw.select(name, place, F.regexp_replace("value", "\r$", "").alias("value"))
+    each = lines.filter(~blank_line).groupBy("file").agg(F.min(is_object("value")).alias("lined"))
+    lined = small(checkpointed(each.filter("lined").select("file")))
+    own = lines.join(lined, "file", "left_semi").filter(~blank_line).select("file", "value", F.lit(True).alias("good"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n")
+    whole = lines.join(lined, "file", "left_anti").groupBy("file").agg(text.alias("value"))
+    # Files without any lines are listed too.
+    names = source().format("binaryFile").load(folder).select(name).join(lined, "file", "left_anti")
+    whole = names.join(whole, "file", "left").select("file", blank("value").alias("value"))
+    return own.unionByName(whole.withColumn("good", is_object("value")))
 
 
 def read_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
