@@ -790,3 +790,24 @@ def test_a_chunks_text_meets_its_questions_packed(spark, monkeypatch):
     bodies = {"a": "red fox the fox ran-off", "b": " ärgern 12"}
     want = [(q, c, (q, 1), sum(t in bodies[c] for t in terms[q % 4])) for q in range(20) for c in "ab"]
     assert sorted((r.query_id, r.chunk_id, tuple(r.first_pos), r.overlap) for r in got.collect()) == sorted(want)
+
+
+def test_best_holders_of_many_like_texts(spark, monkeypatch):
+    monkeypatch.setattr(frames, "TEXTS", 5)
+    rng = random.Random(5)
+    words = ["red", "fox", "ran", "off", "x y"]
+    texts = [(f"k{i:03}", " ".join(rng.choices(words[: 2 + i % 4], k=rng.randint(0, 3)))) for i in range(200)]
+    asked = [(q, rng.sample(words, rng.randint(1, 4))) for q in range(12)] + [(12, [f"n{i}" for i in range(299)] + ["red"])]
+    rows = spark.createDataFrame(texts, "key string, body string").repartition(3)
+    got = {(r.query_id, r["rank"], r.key, r.score) for r in frames.best_holders(spark.createDataFrame(asked, "query_id long, terms array<string>"), rows, 4).collect()}
+    scored = {q: sorted((-n, k) for k, b in texts if (n := sum(t in b for t in own))) for q, own in asked}
+    assert got == {(q, i, k, -n) for q, own in scored.items() for i, (n, k) in enumerate(own[:4], 1)}
+
+
+def test_a_task_works_on_a_few_rows_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    sizes = [b.num_rows for b in frames.in_slices(lambda b: b, 4)(iter([pa.record_batch({"x": list(range(10))}), pa.record_batch({"x": [1]})]))]
+    assert sizes == [4, 4, 2, 1]
+    pages = spark.createDataFrame([(i, f"https://a.example/{i}", f"<title>{i}</title><p>text") for i in range(150)], "page_id long, url string, html string").coalesce(1)
+    assert {(r.page_key, r.title) for r in html.extract_pages(pages, ["a.example"]).collect()} == {(i, str(i)) for i in range(150)}
