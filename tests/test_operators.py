@@ -4,6 +4,7 @@ from collections import deque
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -792,6 +793,36 @@ def test_a_chunks_text_meets_its_questions_packed(spark, monkeypatch):
     assert sorted((r.query_id, r.chunk_id, tuple(r.first_pos), r.overlap) for r in got.collect()) == sorted(want)
 
 
+def test_words_with_their_places_are_met_no_more(monkeypatch):
+    sizes = []
+    real = frames.automaton
+    monkeypatch.setattr(frames, "automaton", lambda words, *numbers: sizes.append(len(words)) or real(words, *numbers))
+    rng = random.Random(3)
+    words = [*{"".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(80)}]
+    texts = [(f"k{i:03}", i, "".join(rng.choices("abc -", k=30))) for i in range(400)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "pos", "body"), r)) for r in texts[at : at + 50]]) for at in range(0, 400, 50)]
+    for own in (words, ["a", "b"], [*words, "nowhere"]):
+        sizes.clear()
+        got = [tuple(r.values()) for b in frames._firsts(own, 3)(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted((w, k, p) for w in own for k, p, _ in [r for r in texts if w in r[2]][:3])
+        assert own == ["a", "b"] or (len(sizes) > 1 and sizes == sorted(sizes, reverse=True) and sizes[-1] < len(own))
+
+
+def test_many_terms_of_a_chunk_are_met_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 2)
+    monkeypatch.setattr(retrieval, "ROWS_OUT", 7)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcde", k=rng.randint(3, 4))) for _ in range(30)]
+    bodies = [(f"c{i}", f"T{i}", " ".join(rng.choices(words, k=6)).title()) for i in range(9)]
+    chunks = spark.createDataFrame(bodies, "chunk_id string, title string, text string")
+    terms = [rng.sample(sorted({*words}), i % 5) for i in range(40)]
+    rows = [(q, f"c{q % 9 if q < 30 else 0}", (q, 1), terms[q]) for q in range(40)]
+    got = retrieval._overlaps(chunks, spark.createDataFrame(rows, "query_id long, chunk_id string, first_pos struct<term_no:int,nth:int>, terms array<string>"))
+    low = {c: f"{t} {x}".lower() for c, t, x in bodies}
+    want = [(q, c, f"T{c[1:]}", sum(t in low[c] for t in own)) for q, c, _, own in rows]
+    assert sorted((r.query_id, r.chunk_id, r.title, r.overlap) for r in got.collect()) == sorted(want)
+
+
 def test_best_holders_of_many_like_texts(spark, monkeypatch):
     monkeypatch.setattr(frames, "TEXTS", 5)
     rng = random.Random(5)
