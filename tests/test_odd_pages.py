@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from quern.plans import registry
-from quern.sources import files
+from quern.sources import files, runs
 from tests.test_registry import tidy
 
 
@@ -44,3 +44,10 @@ def test_files_of_lines_are_read_by_many_tasks(spark, tmp_path):
         assert rows.filter("file = 'a.json'").selectExpr("spark_partition_id()").distinct().count() > 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_of_many_tasks_lie_in_one_folder(spark, tmp_path):
+    rows = spark.range(40).repartition(5).selectExpr("concat(id, '.txt') AS name", "concat('é\n', id) AS value")
+    assert runs.write_files(rows, f"file:{tmp_path}/pages") == 40
+    assert {f.name: f.read_text() for f in (tmp_path / "pages").iterdir()} == {f"{i}.txt": f"é\n{i}" for i in range(40)}
+    assert runs.write_files(rows.limit(0), str(tmp_path / "none")) == 0
