@@ -171,3 +171,12 @@ def test_tokens_are_the_librarys(spark):
     docs = spark.createDataFrame([("https://hub.example.com/x", "T", long)], "url string, title string, cleaned_text string").withColumn("blocks", F.lit(None).cast("array<struct<kind:string,text:string,heading:string,section:string,level:int>>"))
     chunks = chunking.chunk_documents(docs, config, ends=ends).collect()
     assert [(c.text, c.token_count) for c in chunks] == [(p, len(ends(p))) for p in pieces]
+
+
+def test_text_for_a_hash_is_gone_through_once(spark):
+    odd = "\u00a0\u2003 a \t\u2028B\x1c\u3000"
+    rows = spark.createDataFrame([(odd,), (" \n",), ("",), (None,), ("x",)], "t string")
+    got = rows.select(text.normalize_for_hash("t").alias("n"))
+    assert [r.n for r in got.collect()] == ["a b", "", "", "", "x"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
