@@ -808,6 +808,63 @@ def test_words_with_their_places_are_met_no_more(monkeypatch):
         assert own == ["a", "b"] or (len(sizes) > 1 and sizes == sorted(sizes, reverse=True) and sizes[-1] < len(own))
 
 
+@pytest.mark.parametrize("few", [2, 300])
+def test_terms_are_counted_as_far_as_they_matter(monkeypatch, few):
+    """A chunk's terms are looked for until a question has enough; no more looks than distinct terms, the same relevance."""
+    monkeypatch.setattr(retrieval, "FEW_TERMS", few)
+    rng = random.Random(5)
+    words = [f"w{i}x" for i in range(40)]
+    body = " ".join(words[:30])
+    asked = [rng.sample(words, rng.randint(0, 12)) for _ in range(200)]
+    batch = pa.RecordBatch.from_pylist([{"chunk_id": "c", "title": "t", "body": body, "asked": [{"query_id": q, "term_no": 0, "nth": 1, "terms": " ".join(own)} for q, own in enumerate(asked)]}])
+    exact = [sum(w in body for w in own) for own in asked]
+    for most in (None, retrieval.ENOUGH_TERMS):
+        got = [n for b in retrieval._counted(most)(iter([batch])) for n in b.column("overlap").to_pylist()]
+        assert got == (exact if most is None else [min(n, most) for n in exact])
+    base = lambda n: min(1.0, 0.35 + 0.15 * n)
+    assert base(retrieval.ENOUGH_TERMS) == 1.0 and max(exact) > retrieval.ENOUGH_TERMS > min(exact)
+
+
+@pytest.mark.parametrize("head", [1, 10**9])
+def test_common_terms_are_looked_for_in_the_earliest_texts(spark, monkeypatch, head):
+    """Terms that have their places in the earliest texts don't go to the others; places and ties are the same either way."""
+    monkeypatch.setattr(frames, "HEAD_LEAST", head)
+    asked, real = [], frames._firsts
+    monkeypatch.setattr(frames, "_firsts", lambda words, k: asked.append(sorted(words)) or real(words, k))
+    texts = [(f"t{i:02}", None if i < 2 else i // 2, "common" + (" seldom" if i % 30 == 1 else "") + (" late" if i > 90 else "")) for i in range(96)]
+    rows = spark.createDataFrame(texts, "key string, pos long, body string").repartition(5)
+    got = frames.first_holders(spark.createDataFrame([(x,) for x in ("common", "seldom", "late", "nowhere")], "term string"), rows, 4)
+    want = [(x, k, p, n) for x in ("common", "seldom", "late") for n, (k, p, _) in enumerate([r for r in texts if x in r[2]][:4], 1)]
+    assert sorted(map(tuple, got.select("term", "key", "pos", "nth").collect()), key=repr) == sorted(want, key=repr)
+    assert asked[1:] == ([["late", "nowhere", "seldom"]] if head == 1 else [])
+
+
+@pytest.mark.parametrize("sample", [8, 4096])
+def test_few_pairs_of_vectors_are_worked_out_and_ties_stay(spark, monkeypatch, sample):
+    """A sample tells how near the best are, so few candidates leave the tasks; like vectors, zeros and near ties are ranked as before."""
+    monkeypatch.setattr(retrieval, "SAMPLE", sample)
+    monkeypatch.setattr(retrieval, "DISTANCES", 1 << 10)
+    rnd = np.random.default_rng(7)
+    rows = [*rnd.normal(size=(600, 8)), *np.tile(rnd.normal(size=8), (300, 1)), *np.zeros((5, 8))]
+    names = [f"c{i * 7919 % 905:04}" for i in range(905)]
+    matrix = np.array([v / (np.linalg.norm(v) or 1) for v in rows])
+    asked = [0, 1, 700, 903]
+    want = []
+    for q in asked:
+        far = sorted(zip((np.round(1 - matrix @ matrix[q], 6) + 0.0).tolist(), names))
+        want += [(q, name, d, n) for n, (d, name) in enumerate(far[:6], 1)]
+    corpus = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, rows)], "chunk_id string, embedding array<double>")
+    found = retrieval.vector_topk(spark.createDataFrame([(q, rows[q].tolist()) for q in asked], "query_id long, vector array<double>"), corpus, 6)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    floors = next(retrieval._floors(matrix, 6)(iter([pa.RecordBatch.from_pydict({"query_id": asked, "vector": [rows[q].tolist() for q in asked]})]))).column("floor").to_numpy()
+    batch = pa.RecordBatch.from_pydict({"chunk_id": sorted(names), "embedding": [rows[i].tolist() for i in np.argsort(names)]})
+    ids, none = np.array(asked), np.full(len(asked), -np.inf)
+    out = [next(retrieval._nearest(ids, matrix[asked], low, 6)(iter([batch]))).to_pylist() for low in (floors, none)]
+    assert out[0] == out[1]
+    tasks = [next(retrieval._nearest(ids[:2], matrix[asked[:2]], floors[:2], 6)(iter([batch.slice(at, 5)])), None) for at in range(0, 905, 5)]
+    assert sum(b.num_rows for b in tasks if b) < 181 * 2  # without floors each would give back all of its rows
+
+
 def test_many_terms_of_a_chunk_are_met_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "FEW_TERMS", 2)
     monkeypatch.setattr(retrieval, "ROWS_OUT", 7)
