@@ -386,6 +386,16 @@ def test_bpe_matches_the_library(text):
     assert bpe.load(path).decode(mine) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_words_are_merged_once(monkeypatch):
+    """As many different words as some 30 MB of the fixture's text hold are kept, so none is merged again."""
+    merged = []
+    own = bpe.SegmentTreeBPE(bpe._path(None))
+    monkeypatch.setattr(own, "merge", lambda symbols: merged.append(1) or symbols)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(300_000)]
+    assert own.encode(" ".join(words)) == own.encode(" ".join(words))
+    assert len(merged) == len(words)
+
+
 @settings(max_examples=300, deadline=None)
 @given(ALPHABET)
 def test_token_counts_match_the_library(text):
