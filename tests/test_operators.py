@@ -596,6 +596,28 @@ def test_questions_go_through_the_loop_together_as_each_would_alone(spark):
     assert len(got) == 12 and seen.count() > 0 and {r.query_id for r in found.collect()} <= set(got)
 
 
+@pytest.mark.parametrize("when", ["at once", "as rows are read"])
+@pytest.mark.parametrize("step", [1, 2])
+def test_a_failed_ingestion_is_no_answer(spark, when, step):
+    """Neither in the first step, which would look like nothing found, nor after one that brought pages."""
+    calls = []
+
+    def ingest(wanted):
+        calls.append(1)
+        if len(calls) < step:
+            return wanted
+        if when == "at once":
+            raise OSError("store is gone")
+        return wanted.select(F.raise_error(F.lit("store is gone")).cast("string").alias("url"))
+
+    questions = spark.createDataFrame([(0, "a"), (1, "b")], "query_id long, question string")
+    retrieve = lambda asked: asked.select("query_id", F.lit("c").alias("chunk_id"), F.lit(0.1).alias("relevance"))
+    discover = lambda asked, n: asked.select("query_id", F.lit(0).alias("rank"), F.concat(F.lit(f"u{len(calls)}-"), "question").alias("url"))
+    with pytest.raises(Exception, match="store is gone"):
+        loop.fill_gaps_together(questions, retrieve, discover, ingest, spark.createDataFrame([], "url string"))
+    assert len(calls) == step
+
+
 def test_many_questions_are_answered_or_refused(spark):
     questions = spark.createDataFrame([(0, "travel policy"), (1, "travel policy"), (2, "pay")], "query_id long, question string")
     rows = [(0, 1, "c1", "Travel", "u1", "s", 0.9, "travel policy text\nmore"), (0, 2, "c2", "Travel", "u1", "s", 0.8, "again"), (1, 1, "c3", "T", "u", "", 0.1, "low")]
